@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import odd_sketch
+from tidewright.llm import license_scan, mixing, odd_sketch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +16,22 @@ def op3_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(spark, _table(spark, sf_dir, "documents"), n_words=2, percent=80)
 
 
-QUERIES = {"op3_odd_sketch": op3_odd_sketch}
-ORACLE_SQL: dict[str, str] = {}
+def op6_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return license_scan.scan(spark, _table(spark, sf_dir, "documents"))[1]
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes of each document."""
+    return mixing.mix_counts(spark, _table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_odd_sketch": op3_odd_sketch,
+    "op6_diagonal_voting": op6_diagonal_voting,
+    "op10_mixing": op10_mixing,
+}
+ORACLE_SQL = {
+    "op6_diagonal_voting": license_scan.scan_sql(),
+    "op10_mixing": mixing.counts_sql(),
+}
