@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Bytes of text that one vectorised pass handles at once; a longer text is a pass of its own.
-SLAB_BYTES = 1 << 20
+SLAB_BYTES = 1 << 18
 
 
 class Scratch:

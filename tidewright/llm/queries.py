@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewright.llm import license_scan, mixing, odd_sketch
+import public_tokenizers
+
+from tidewright.llm import bin_slack, license_scan, mixing, odd_sketch, reply_trees, suffix_tree, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +19,34 @@ def op3_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(spark, _table(spark, sf_dir, "documents"), n_words=2, percent=80)
 
 
+def op4_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return bin_slack.pack(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from their formatted text."""
+    said = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", reply_trees.SAMPLE), (-1, 1, "assistant", reply_trees.SAMPLE)], said.schema)
+    return reply_trees.digest(reply_trees.format_trees(spark, reply_trees.chains(said.union(more))))
+
+
 def op6_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices in every document."""
     return license_scan.scan(spark, _table(spark, sf_dir, "documents"))[1]
 
 
+def op7_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.score(spark, docs.select("doc_id", "text"), labels).drop("text")
+
+
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document."""
+    return suffix_tree.score(spark, _table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes of each document."""
     return mixing.mix_counts(spark, _table(spark, sf_dir, "documents"))
@@ -28,10 +54,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_odd_sketch": op3_odd_sketch,
+    "op4_bin_slack": op4_bin_slack,
+    "op5_reply_trees": op5_reply_trees,
     "op6_diagonal_voting": op6_diagonal_voting,
+    "op7_pattern_grammar": op7_pattern_grammar,
+    "op9_suffix_tree": op9_suffix_tree,
     "op10_mixing": op10_mixing,
 }
 ORACLE_SQL = {
+    "op5_reply_trees": reply_trees.digest_sql(),
     "op6_diagonal_voting": license_scan.scan_sql(),
     "op10_mixing": mixing.counts_sql(),
 }
