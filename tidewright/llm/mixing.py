@@ -17,7 +17,7 @@ from tidewright.llm.common import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block, rounds of the permutation, slots in an output shard, and position buckets of a source.
-BLOCK, ROUNDS, SHARD, BUCKETS = 64, 24, 4096, 1024
+BLOCK, ROUNDS, SHARD, BUCKETS = 128, 16, 4096, 1024
 #: Slots that one row unfolds into, so that a large source's slots spread over tasks.
 RUN = 16384
 PRIME = 2147483647
@@ -51,22 +51,20 @@ def targets(sizes: DataFrame, percent: int, weights: tuple[int, ...], repeat: in
     return x.select("skey", "source_size", "rank", "weight", goal.alias("target"))
 
 
-def slots(sources: DataFrame, seed: int = 0) -> DataFrame:
-    """(skey, rank, shard, block, pass) for every slot of ``sources`` (skey, rank, n_blocks, n_slots, shards)."""
-    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / F.lit(RUN)))).alias("run")
-    x = sources.where("n_slots > 0").select("*", runs)
-    x = x.repartition("skey", "run")
-    last = F.least(F.col("n_slots"), (F.col("run") + 1) * RUN) - 1
-    x = x.select("skey", "rank", "n_blocks", "shards", F.explode(F.sequence(F.col("run") * RUN, last)).alias("slot"))
-    x = x.withColumns({"pass": F.expr("slot div n_blocks"), "key": F.expr(f"rank * 64 + slot div n_blocks + {seed} * 4099")})
-    return x.select("skey", "rank", F.expr(f"{draw('slot', '31', 'rank')} % shards").alias("shard"), F.expr(permuted("slot % n_blocks", "n_blocks", "key")).alias("block"), "pass")
-
-
-def permuted(x: str, n: str, key: str) -> str:
-    """Spark SQL for the swap-or-not permutation of range(n) at x."""
-    other = f"(({draw('r', '17', key)} % {n} - x + {n}) % {n})"
-    return (f"aggregate(sequence(1, {ROUNDS}), cast({x} as bigint), (x, r) -> "
-            f"CASE WHEN ({draw(f'greatest(x, {other})', 'r', key)} div 1024) % 2 = 1 THEN {other} ELSE x END)")
+def slots(sources: DataFrame, parts: int, seed: int = 0) -> DataFrame:
+    """(skey, shard, block, pass) for every slot of ``sources`` (skey, rank, n_blocks, n_slots, shards)."""
+    passes = F.expr("sequence(0L, (n_slots - 1) div n_blocks)")
+    x = sources.where("n_slots > 0").select("skey", "rank", "n_blocks", "n_slots", "shards", F.explode(passes).alias("pass"))
+    x = x.withColumn("here", F.expr("least(n_slots - pass * n_blocks, n_blocks)"))
+    x = x.select("*", F.explode(F.expr(f"sequence(0L, (here - 1) div {RUN})")).alias("run"))
+    # A number of partitions keeps Spark from joining these few rows in one task: each unfolds into a run.
+    x = x.repartition(parts, "skey", "pass", "run").withColumn("key", F.expr(f"rank * 64 + pass + {seed} * 4099"))
+    rounds = f"transform(sequence(1, {ROUNDS}), r -> named_struct('k', {draw('r', '17', 'key')} % n_blocks, 'a', {draw('r', '23', 'key')} + 1, 'b', {draw('r', '29', 'key')}))"
+    x = x.withColumn("rounds", F.expr(rounds))
+    step = "CASE WHEN (greatest(x, pmod(q.k - x, n_blocks)) % {0} * q.a + q.b) % {0} div 1024 % 2 = 1 THEN pmod(q.k - x, n_blocks) ELSE x END".format(PRIME)
+    drawn = (f"transform(sequence(run * {RUN}, least(here, (run + 1) * {RUN}) - 1), j -> named_struct("
+             f"'shard', ({draw('j', '31', 'key')}) % shards, 'block', aggregate(rounds, j, (x, q) -> {step})))")
+    return x.select("skey", "pass", F.explode(F.expr(drawn)).alias("slot")).select("skey", "slot.shard", "slot.block", "pass")
 
 
 def placed(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int, weights: tuple[int, ...], repeat: int, seed: int):
@@ -91,7 +89,8 @@ def placed(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int,
     own = Window.partitionBy("skey", "bucket").orderBy("doc_id", "size")
     x = rows.withColumns({"nth": F.row_number().over(own), "upto": F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0))})
     x = x.join(starts, ["skey", "bucket"]).withColumn("at", F.col("start") + F.col("upto") - F.col("size"))
-    return x.drop("start", "upto"), slots(goals, seed)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return x.drop("start", "upto"), slots(goals, parts, seed)
 
 
 def pieces(rows: DataFrame) -> DataFrame:
@@ -148,8 +147,9 @@ def mix_documents(spark: SparkSession, docs: DataFrame, percent: int = 150, weig
 
 def counts_sql(percent: int = 150, weights: tuple[int, ...] = (3, 1, 2), repeat: int = 2, seed: int = 0) -> str:
     """DuckDB SQL over ``documents`` for the rows of ``mix_counts``."""
-    other = f"(({draw('r', '17', 'key')} % n_blocks - x + n_blocks) % n_blocks)"
-    swap = f"CASE WHEN ({draw(f'greatest(x, {other})', 'r', 'key')} // 1024) % 2 = 1 THEN {other} ELSE x END"
+    other = f"((({draw('r', '17', 'key')} % n_blocks) - x + n_blocks) % n_blocks)"
+    swap = (f"CASE WHEN (greatest(x, {other}) % {PRIME} * ({draw('r', '23', 'key')} + 1) + {draw('r', '29', 'key')}) % {PRIME} // 1024 % 2 = 1 "
+            f"THEN {other} ELSE x END")
     return rf"""
     WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS skey,
         len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
