@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidewright.llm import bin_slack, license_scan, mixing, odd_sketch, reply_trees, suffix_tree, toxicity
+from tidewright.llm import bin_slack, license_scan, line_dedup, mixing, odd_sketch, reply_trees, suffix_tree, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,12 @@ def op7_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, docs.select("doc_id", "text"), labels).drop("text")
 
 
+def op8_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without copies of lines."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_copies(spark, docs)
+
+
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of every document."""
     return suffix_tree.score(spark, _table(spark, sf_dir, "documents"))
@@ -58,6 +64,7 @@ QUERIES = {
     "op5_reply_trees": op5_reply_trees,
     "op6_diagonal_voting": op6_diagonal_voting,
     "op7_pattern_grammar": op7_pattern_grammar,
+    "op8_segment_join": op8_segment_join,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_mixing": op10_mixing,
 }
