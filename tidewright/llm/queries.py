@@ -7,13 +7,24 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidewright.llm import bin_slack, license_scan, line_dedup, mixing, odd_sketch, reply_trees, suffix_tree, toxicity
+from tidewright.llm import bin_slack, lattice, license_scan, line_dedup, mixing, odd_sketch, prefix_forest, reply_trees, suffix_tree, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings of one label at a cosine of 0.98."""
+    return lattice.near_duplicates(spark, _table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every row whose vec_id is divisible by 20."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return prefix_forest.nearest(spark, vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op3_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents by 2-word shingles at a similarity of 0.8."""
     return odd_sketch.near_duplicates(spark, _table(spark, sf_dir, "documents"), n_words=2, percent=80)
@@ -59,6 +70,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lattice": op1_lattice,
+    "op2_prefix_forest": op2_prefix_forest,
     "op3_odd_sketch": op3_odd_sketch,
     "op4_bin_slack": op4_bin_slack,
     "op5_reply_trees": op5_reply_trees,
