@@ -46,7 +46,8 @@ def targets(sizes: DataFrame, percent: int, weights: tuple[int, ...], repeat: in
     x = x.withColumns({"all_words": F.sum("source_size").over(every), "all_weights": F.sum("weight").over(every),
                        "caps": F.coalesce(F.sum("cap").over(before), F.lit(0)), "gone": F.coalesce(F.sum("weight").over(before), F.lit(0))})
     x = x.withColumn("level", (F.col("all_words") * percent / 100.0 - F.col("caps")) / (F.col("all_weights") - F.col("gone")))
-    x = x.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every))
+    first = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "rank", "level"))).over(every)
+    x = x.withColumn("level", first["level"])
     goal = F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")))
     return x.select("skey", "source_size", "rank", "weight", goal.alias("target"))
 
@@ -162,7 +163,8 @@ def counts_sql(percent: int = 150, weights: tuple[int, ...] = (3, 1, 2), repeat:
         coalesce(sum(cap) OVER o, 0) AS caps, coalesce(sum(weight) OVER o, 0) AS gone FROM w
         WINDOW o AS (ORDER BY cap::DOUBLE / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     l AS (SELECT *, (all_words::DOUBLE * {percent} / 100.0::DOUBLE - caps::DOUBLE) / (all_weights - gone)::DOUBLE AS own FROM c),
-    v AS (SELECT *, min(CASE WHEN own * weight <= cap THEN own END) OVER () AS level FROM l),
+    v AS (SELECT *, first_value(CASE WHEN own * weight <= cap THEN own END IGNORE NULLS) OVER
+        (ORDER BY cap::DOUBLE / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS level FROM l),
     t AS (SELECT skey, rank, source_size, least(cap::DOUBLE, coalesce(level * weight, cap::DOUBLE)) AS target,
         (source_size + {BLOCK} - 1) // {BLOCK} AS n_blocks FROM v),
     n AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target * n_blocks / source_size + 0.5), n_blocks * {repeat}) ELSE 0 END::BIGINT AS n_slots FROM t),
