@@ -74,52 +74,78 @@ def blocks(members: DataFrame, key: str, chunk: int) -> DataFrame:
     return x.withColumns({"i": F.least("own", "o"), "j": F.greatest("own", "o")}).drop("o", "c")
 
 
-def pairs_across(members: DataFrame, width: int, most: int, parts: int) -> DataFrame:
-    """Pairs (a, b), a > b, of a key's ids in different components whose sketches differ in at most ``most`` bits."""
+def pairs_across(members: DataFrame, width: int, most: int, parts: int, best: int | None = None) -> DataFrame:
+    """Pairs (a, b), a > b, of a key's ids in different components whose sketches differ in at most ``most`` bits.
+
+    With ``best``, only so many of each id and block: those whose sketches are closest.
+    """
 
     def run(batches):
         for t, starts, ends in sorted_groups(batches, ["key", "i", "j"]):
             ids, comp = t.column("id").to_numpy(), t.column("component_id").to_numpy()
             own, alone = t.column("own").to_numpy(), t.column("i").to_numpy() == t.column("j").to_numpy()
             s = np.stack([t.column(f"s{k}").to_numpy() for k in range(width)], axis=1).view(U64)
-            for x, y in group_pairs(starts, ends, 1 << 18):
+            found = []
+            for x, y in group_pairs(starts, ends, max(1 << 12, (1 << 20) // width)):
                 m = (comp[x] != comp[y]) & (alone[x] | (own[x] != own[y]))
                 x, y = x[m], y[m]
-                m = np.bitwise_count(s[x] ^ s[y]).sum(axis=1, dtype=np.int32) <= most
-                if m.any():
-                    a, b = ids[x[m]], ids[y[m]]
-                    u = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], names=["a", "b"])
+                d = np.bitwise_count(s[x] ^ s[y]).sum(axis=1, dtype=np.int32)
+                m = d <= most
+                found.append((x[m], y[m], d[m]))
+            x, y, d = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+            if best is not None and len(x):
+                # Rows stand for one group each, so ranks are within a block.
+                row, pair = np.append(x, y), np.tile(np.arange(len(x)), 2)
+                order = np.lexsort((ids[np.append(y, x)], d[pair], row))
+                row, pair = row[order], pair[order]
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                nth = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+                keep = np.unique(pair[nth < best])
+                x, y = x[keep], y[keep]
+            if len(x):
+                a, b = ids[x], ids[y]
+                u = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], names=["a", "b"])
 
     x = members.select("key", "id", "component_id", *[F.col("sketch")[k].alias(f"s{k}") for k in range(width)])
     dealt = blocks(x, "key", CHUNK).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+#: Sketches by id: (table of id and sketch, longs in a sketch, bits that linked ones may differ in).
+Sketches = tuple[DataFrame, int, int]
+
+
 def links(
-    keys: DataFrame, sketches: DataFrame, width: int, most: int, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, parts: int, leaders: int,
+    keys: DataFrame, sketches: Sketches, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, parts: int,
+    leaders: int = 3, refine: Callable[[DataFrame], Sketches] | None = None,
 ) -> DataFrame:
     """Confirmed links (a, b) that connect what all confirmed links connect.
 
-    ``keys`` is the kept result of ``bucket_leaders``; ``sketches`` has id and sketch (array of ``width``
-    longs); ``verify`` keeps those pairs (a, b) of a table that pass the exact test.
+    ``keys`` is the kept result of ``bucket_leaders``; ``verify`` keeps those pairs (a, b) of a table that
+    pass the exact test. Each id first meets the leaders that it shares most buckets with, then its
+    closest partners in other components, and last all of them, by the sketches that ``refine`` makes for
+    the ids (table of id) that are left.
     """
-
-    def close(pairs):
-        x = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-        x = x.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        return x.select("a", "b", differing("sa", "sb", width).alias("d")).where(F.col("d") <= most)
-
-    stars = close(keys.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    tried = scratch.keep(stars.select("a", "b", rank.alias("r")).where(F.col("r") <= leaders).select("a", "b"), "tried")
+    table, width, most = sketches
+    shared = keys.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), F.xxhash64("leader")))
+    stars = shared.withColumn("r", rank).where(F.col("r") <= leaders).select(F.col("id").alias("a"), F.col("leader").alias("b"))
+    stars = stars.join(table.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
+    stars = stars.join(table.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+    tried = scratch.keep(stars.where(differing("sa", "sb", width) <= most).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "tried")
     sure = scratch.keep(verify(tried), "links")
-    found = connected_components(sure, scratch)
-    labelled = keys.select("key", "id").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    labelled = scratch.keep(labelled, "labelled")
-    open_keys = labelled.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi")
-    members = labelled.join(scratch.keep(open_keys.select("key"), "open"), "key").join(sketches, "id")
-    rest = pairs_across(members, width, most, parts)
-    rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    rest = scratch.keep(rest, "rest")
-    return sure.union(scratch.keep(verify(rest), "more"))
+    for best in (leaders, None):
+        found = connected_components(sure, scratch)
+        labelled = keys.select("key", "id").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+        labelled = scratch.keep(labelled, "labelled")
+        open_keys = labelled.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi")
+        keys = scratch.keep(labelled.join(scratch.keep(open_keys.select("key"), "open"), "key"), "left")
+        scratch.drop(labelled)
+        if best is None and refine is not None:
+            table, width, most = refine(keys.select("id").distinct())
+        rest = pairs_across(keys.join(table, "id"), width, most, parts, best).join(tried, ["a", "b"], "left_anti")
+        rest = scratch.keep(rest, "rest")
+        tried = tried.union(rest)
+        sure = scratch.keep(sure.union(verify(rest)), "links")
+    return sure

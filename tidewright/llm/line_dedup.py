@@ -160,7 +160,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, edits: int = EDITS, min_by
     def verify(pairs):
         return _verify(pairs, got, edits, parts)
 
-    edges = links(keys, sketches, 1, 2 * edits, verify, scratch, parts, leaders=3)
+    edges = links(keys, (sketches, 1, 2 * edits), verify, scratch, parts)
     classes = scratch.keep(connected_components(edges, scratch), "classes")
     member = seen.join(classes, "id", "left").withColumn("class", F.coalesce("component_id", "id"))
     # Only lines that occur twice or have links can be copies.

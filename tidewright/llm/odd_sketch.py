@@ -16,24 +16,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import (
-    U64, Scratch, group_pairs, lower_ascii, mix64, prefix_hash, range_hash, sorted_groups, spans, text_slabs, white)
+from tidewright.llm.candidates import bucket_leaders, links
+from tidewright.llm.common import U64, Scratch, lower_ascii, mix64, prefix_hash, range_hash, spans, text_slabs, white
 from tidewright.llm.components import connected_components
 
-SAMPLES, BANDS, BITS = 128, 32, 512
-WORDS = BITS // 64
+#: MinHash samples and bands of a document; samples of one that the first sketches leave open; bits for each sample.
+SAMPLES, BANDS, FINE, BITS = 128, 32, 1024, 4
 #: Standard errors by which an estimate may fall below the threshold and still be tested exactly.
 MARGIN = 5.0
-#: Rows of a bucket that one block compares; larger buckets are cut and compared block by block.
-CHUNK = 512
 #: Members that meet one leader in one group of the exact test.
 MEMBERS = 64
 
-_A = (mix64(np.arange(1, SAMPLES + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
-_B = (mix64(np.arange(1001, SAMPLES + 1001, dtype=U64)) >> U64(32)).astype(np.uint32)
+_A = (mix64(np.arange(1, FINE + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
+_B = (mix64(np.arange(100_001, FINE + 100_001, dtype=U64)) >> U64(32)).astype(np.uint32)
 
 
 def shingle_sets(column, n_words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -60,12 +58,13 @@ def shingle_sets(column, n_words: int) -> Iterator[tuple[int, list[np.ndarray]]]
         yield first, out
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """SAMPLES minima of pairwise independent functions of the set."""
+def signature(hashes: np.ndarray, samples: int) -> np.ndarray:
+    """Minima of ``samples`` pairwise independent functions of the set."""
     x = (hashes >> U64(32)).astype(np.uint32)
-    low = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(x), 2048):
-        np.minimum(low, (_A[:, None] * x[None, k:k + 2048] + _B[:, None]).min(axis=1), out=low)
+    low = np.full(samples, 0xFFFFFFFF, np.uint32)
+    step = max(1, (1 << 18) // samples)
+    for k in range(0, len(x), step):
+        np.minimum(low, (_A[:samples, None] * x[None, k:k + step] + _B[:samples, None]).min(axis=1), out=low)
     return low
 
 
@@ -80,23 +79,31 @@ def bands_of(low: np.ndarray) -> np.ndarray:
 
 
 def odd_sketches(low: np.ndarray) -> np.ndarray:
-    """Parity bitmaps (WORDS longs) of the numbered samples."""
-    n = len(low)
-    at = (mix64(low.astype(U64) + (np.arange(1, SAMPLES + 1, dtype=U64) << U64(32))[None, :]) % U64(BITS)).astype(np.int64)
-    parity = (np.bincount((at + np.arange(n)[:, None] * BITS).ravel(), minlength=n * BITS) & 1).astype(np.uint8)
-    return np.packbits(parity.reshape(n, BITS), axis=1).view(np.int64)
+    """Parity bitmaps of the numbered samples, as longs: BITS bits for each sample."""
+    n, samples = low.shape
+    bits = BITS * samples
+    at = (mix64(low.astype(U64) + (np.arange(1, samples + 1, dtype=U64) << U64(32))[None, :]) % U64(bits)).astype(np.int64)
+    parity = (np.bincount((at + np.arange(n)[:, None] * bits).ravel(), minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(parity.reshape(n, bits), axis=1).view(np.int64)
 
 
-def estimate(differing):
+def estimate(differing, samples: int):
     """Jaccard similarity from the number of differing bits."""
-    part = np.minimum(2.0 * np.asarray(differing) / BITS, 0.999)
-    return 1 + BITS / 4 * np.log1p(-part) / SAMPLES
+    bits = BITS * samples
+    part = np.minimum(2.0 * np.asarray(differing) / bits, 0.999)
+    return 1 + bits / 4 * np.log1p(-part) / samples
 
 
-def most_differing(threshold: float) -> int:
+def most_differing(threshold: float, samples: int) -> int:
     """The number of differing bits up to which pairs go to the exact test."""
-    least = threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / SAMPLES)
-    return int(np.flatnonzero(estimate(np.arange(BITS // 2)) >= least).max()) + 1
+    least = threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / samples)
+    return int(np.flatnonzero(estimate(np.arange(BITS * samples // 2), samples) >= least).max()) + 1
+
+
+def _lists(values: np.ndarray, full: np.ndarray) -> pa.ListArray:
+    """Rows of ``values`` as lists, empty where not ``full``."""
+    at = np.concatenate([[0], np.cumsum(np.where(full, values.shape[1], 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(values[full].ravel()))
 
 
 def sketch_documents(docs: DataFrame, n_words: int) -> DataFrame:
@@ -112,7 +119,7 @@ def sketch_documents(docs: DataFrame, n_words: int) -> DataFrame:
                 f = np.zeros((2, n), U64)
                 for i, h in enumerate(sets):
                     if len(h):
-                        low[i] = signature(h)
+                        low[i] = signature(h, SAMPLES)
                         f[0, i] = h.sum(dtype=U64)
                         f[1, i] = np.bitwise_xor.reduce(mix64(h))
                 size = np.array([len(h) for h in sets], np.int64)
@@ -120,78 +127,24 @@ def sketch_documents(docs: DataFrame, n_words: int) -> DataFrame:
                 bands, sketch = bands_of(low), odd_sketches(low)
                 f = mix64(f + size.astype(U64)).view(np.int64)
 
-                def rows(values, width):
-                    at = np.concatenate([[0], np.cumsum(np.where(full, width, 0))]).astype(np.int32)  # noqa: B023
-                    return pa.ListArray.from_arrays(pa.array(at), pa.array(values[full].ravel()))  # noqa: B023
-
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, n), pa.array(size), pa.array(f[0], mask=~full), pa.array(f[1], mask=~full),
-                     rows(bands, BANDS), rows(sketch, WORDS)],
+                     _lists(bands, full), _lists(sketch, full)],
                     names=["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def _leaders(keys: DataFrame, parts: int) -> DataFrame:
-    """Members of keys with at least two ids, and the leader of each: (key, id, leader)."""
+def fine_sketches(texts: DataFrame, n_words: int) -> DataFrame:
+    """(id, sketch) of FINE samples for (id, text)."""
 
     def run(batches):
-        for t, starts, ends in sorted_groups(batches, ["key"]):
-            sizes = ends - starts
-            if not (sizes > 1).any():
-                continue
-            ids, key = t.column("id").to_numpy(), t.column("key").to_numpy()
-            turn = mix64(ids.astype(U64) ^ mix64(key.astype(U64)))
-            group = np.repeat(np.arange(len(starts)), sizes)
-            order = np.lexsort((ids, turn, group))
-            lead = np.repeat(ids[order][starts], sizes)
-            m = np.repeat(sizes > 1, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(key[m]), pa.array(ids[m]), pa.array(lead[m])], names=["key", "id", "leader"])
-
-    dealt = keys.repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "key long, id long, leader long")
-
-
-def _differing(a: str, b: str):
-    total = F.lit(0)
-    for k in range(WORDS):
-        total = total + F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k]))
-    return total
-
-
-def blocks(members: DataFrame, key: str, chunk: int) -> DataFrame:
-    """Cut each key's rows into chunks and give each pair of chunks a block.
-
-    Adds ``i`` and ``j`` (the block, i <= j) and ``own`` (the row's chunk). Every pair of a key's rows
-    meets in just one block, and a block has at most about two chunks of rows.
-    """
-    counts = members.groupBy(key).agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("c"))
-    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("c")).cast("int")
-    x = members.join(counts, key).withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
-    x = x.select("*", other.alias("o"))
-    return x.withColumns({"i": F.least("own", "o"), "j": F.greatest("own", "o")}).drop("o", "c")
-
+        for batch in batches:
+            for first, sets in shingle_sets(batch.column("text"), n_words):
+                low = np.stack([signature(h, FINE) for h in sets])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(sets)), _lists(odd_sketches(low), np.ones(len(sets), bool))], names=["id", "sketch"])
 
-def _across(members: DataFrame, most: int, parts: int) -> DataFrame:
-    """Pairs of a key's ids in different components whose sketches are close enough: (a, b)."""
-
-    def run(batches):
-        for t, starts, ends in sorted_groups(batches, ["key", "i", "j"]):
-            ids, comp = t.column("id").to_numpy(), t.column("component_id").to_numpy()
-            own, alone = t.column("own").to_numpy(), (t.column("i").to_numpy() == t.column("j").to_numpy())
-            s = t.column("sketch").combine_chunks().values.to_numpy().reshape(-1, WORDS).view(U64)
-            for x, y in group_pairs(starts, ends):
-                m = (comp[x] != comp[y]) & (alone[x] | (own[x] != own[y]))
-                x, y = x[m], y[m]
-                m = np.bitwise_count(s[x] ^ s[y]).sum(axis=1, dtype=np.int32) <= most
-                if m.any():
-                    a, b = ids[x[m]], ids[y[m]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-
-    x = blocks(members, "key", CHUNK).select("key", "i", "j", "own", "id", "component_id", "sketch")
-    dealt = x.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return texts.mapInArrow(run, "id long, sketch array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int, parts: int) -> DataFrame:
@@ -253,34 +206,19 @@ def near_duplicates(
     classes = scratch.keep(classes, "classes")
     # A document with several texts belongs to several classes: their representatives are linked.
     reps = full.join(classes.withColumnRenamed("id", "doc_id"), ["f1", "f2", "doc_id"]).select(F.col("doc_id").alias("id"), "bands", "sketch")
-    keys = _leaders(reps.select("id", F.explode("bands").alias("key")), parts)
-    keys = scratch.keep(keys, "keys")
-    wanted = keys.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
+    keys = scratch.keep(bucket_leaders(reps.select("id", F.explode("bands").alias("key")), parts), "keys")
+    wanted = scratch.keep(keys.select("id").distinct(), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(wanted, "id", "left_semi")
     texts = scratch.keep(texts, "texts")
-    sketches = scratch.keep(reps.select("id", "sketch").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "near")
-    most = most_differing(percent / 100)
-
-    def close(pairs):
-        x = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-        x = x.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        return x.select("a", "b", _differing("sa", "sb").alias("d")).where(F.col("d") <= most)
-
-    stars = close(keys.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    tried = scratch.keep(stars.select("a", "b", rank.alias("r")).where(F.col("r") <= leaders).select("a", "b"), "tried")
-    links = scratch.keep(verify(tried, texts, n_words, percent, parts), "links")
-    found = connected_components(links, scratch)
-
-    labelled = keys.select("key", "id").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    labelled = scratch.keep(labelled, "labelled")
-    open_keys = labelled.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi")
-    members = labelled.join(open_keys.select("key"), "key", "left_semi").join(sketches, "id")
-    rest = scratch.keep(_across(members, most, parts), "rest")
-    rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    more = scratch.keep(verify(rest, texts, n_words, percent, parts), "more")
-    edges = links.union(more)
+    coarse = scratch.keep(reps.select("id", "sketch").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sketches")
+
+    def refine(ids):
+        left = texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
+        return scratch.keep(fine_sketches(left, n_words), "fine"), BITS * FINE // 64, most_differing(percent / 100, FINE)
 
+    edges = links(
+        keys, (coarse, BITS * SAMPLES // 64, most_differing(percent / 100, SAMPLES)),
+        lambda pairs: verify(pairs, texts, n_words, percent, parts), scratch, parts, leaders, refine)
     member = full.select("doc_id", "f1", "f2").join(classes.where("id <> top"), ["f1", "f2"])
     same = member.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
     # Most documents have one text, and so one class: only the others' links can connect classes.
