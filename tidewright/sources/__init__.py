@@ -23,10 +23,16 @@ SUFFIXES = (".csv", ".xlsx", ".lvm", ".json", ".ndjson", ".h5", ".hdf5")
 
 
 def head(spark: SparkSession, path: str, n: int) -> bytes:
-    """The first ``n`` bytes of a file, by whatever file system Spark reads it from."""
+    """The first ``n`` bytes of a file, or of a folder's first one, by whatever file system Spark reads it from."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
-    f = p.getFileSystem(conf).open(p)
+    fs = p.getFileSystem(conf)
+    if fs.getFileStatus(p).isDirectory():
+        inside = sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName()[0] not in "._")
+        if not inside:
+            return b""
+        p = jvm.org.apache.hadoop.fs.Path(inside[0])
+    f = fs.open(p)
     try:
         return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(f, n)))
     finally:

@@ -74,13 +74,21 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
         columns = [c.strip() for c in names["line"].split("\t")]
         x_columns = _first(meta, "X_Columns") or _first(glob, "X_Columns")
         described = {k: _first(meta, v) for k, v in FIELDS.items()} | {"x_columns": x_columns}
-        frames.append(_rows(body.where(F.col("row_idx") > names["row_idx"]), columns, separator, decimal, described).withColumn("segment", F.lit(n)))
+        frame, numeric = _rows(body.where(F.col("row_idx") > names["row_idx"]), columns, separator, decimal, described)
+        frames.append((frame.withColumn("segment", F.lit(n)), numeric))
         segments.append(described)
-    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).orderBy("segment", "at").drop("segment", "at")
+    # A column is numeric if it is in every segment that has it.
+    numbers: dict[str, bool] = {}
+    for _, flags in frames:
+        for c, on in flags.items():
+            numbers[c] = numbers.get(c, True) and on
+    kept = [f.select("at", "segment", *[number(quoted(c)).alias(c) if numbers[c] else F.col(quoted(c)).cast("string").alias(c) for c in flags]) for f, flags in frames]
+    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kept).orderBy("segment", "at").drop("segment", "at")
     return table, {"global_header": {k: _first(glob, k) for k in glob}, "segment_count": len(segments), "segments": segments}
 
 
-def _rows(body: DataFrame, columns: list[str], separator: str, decimal: str, described: dict) -> DataFrame:
+def _rows(body: DataFrame, columns: list[str], separator: str, decimal: str, described: dict) -> tuple[DataFrame, dict[str, bool]]:
+    """Cells of a segment, and which columns hold numbers only."""
     n = len(columns)
     f = F.split("line", "\t", -1)
     body = body.withColumn("f", f)
@@ -95,7 +103,7 @@ def _rows(body: DataFrame, columns: list[str], separator: str, decimal: str, des
         x0, dx = float(described["x0"].replace(decimal, ".")), float(described["delta_x"].replace(decimal, "."))
         body = segment_time(body.withColumn("segment", F.lit(0)), "segment", "at", x0, dx, "c0").drop("segment")
     numeric = body.agg(*[(F.count(number(f"c{k}")) == F.count(f"c{k}")).alias(f"c{k}") for k in range(n)]).first()
-    return body.select("at", *[(number(f"c{k}") if numeric[k] else F.col(f"c{k}")).alias(c) for k, c in enumerate(columns)])
+    return body.select("at", *[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)]), dict(zip(columns, numeric, strict=True))
 
 
 def segment_time(rows: DataFrame, segment: str, order: str, x0, dx, into: str) -> DataFrame:
@@ -105,7 +113,3 @@ def segment_time(rows: DataFrame, segment: str, order: str, x0, dx, into: str) -
     lit = lambda v: F.col(v) if isinstance(v, str) else F.lit(float(v))
     i = F.row_number().over(Window.partitionBy(segment).orderBy(order)) - 1
     return rows.withColumn(into, lit(x0) + i * lit(dx))
-
-
-def quoted_columns(columns: list[str]) -> list[str]:
-    return [quoted(c) for c in columns]
