@@ -22,8 +22,10 @@ from tidewright.llm.common import Scratch
 WINDOW, END = 2048, 1
 #: Salts that split the ranking of equal lengths.
 SALTS = 128
-#: Distinct words, and distinct word bodies, whose ids a worker remembers (about 200 bytes each).
-MEMORY = 300_000
+#: Distinct words and word bodies whose ids a worker remembers (about 150 bytes each).
+MEMORY = 800_000
+#: Characters of the texts that are looked up at once; a longer text is looked up by itself.
+AT_ONCE = 2_000_000
 #: Marks that end many words; a run of them after a letter is a part of its own for the tokenizer.
 TAIL = ".,!?|;:"
 BREAK = "<|startoftext|>"
@@ -49,28 +51,57 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > MEMORY:
-            self.known.clear()
-            self.known[""] = b""
-        words = list(words - self.known.keys())
-        for k in range(0, len(words), 2000):
-            part = words[k:k + 2000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.known = Known({"": b""})
+        self.stop = self.tokenizer.token_to_id(BREAK)
+
+    def fresh(self, words: list[str]) -> list[bytes]:
+        """Ids of words, encoded many at a time with a special token between them."""
+        one = lambda w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.stop is None:
+            return [one(w) for w in words]
+        out: list[bytes] = []
+        for k in range(0, len(words), 1000):
+            part = words[k:k + 1000]
+            ids = np.array(self.tokenizer.encode(BREAK.join(part), add_special_tokens=False).ids, "<u4")
+            cut, raw = np.flatnonzero(ids == self.stop), ids.tobytes()
+            if len(cut) != len(part) - 1:  # a word has that token itself
+                out += [one(w) for w in part]
+                continue
+            ends = np.append(cut, len(ids)).tolist()
+            out += [raw[4 * lo:4 * hi] for lo, hi in zip([0, *(cut + 1).tolist()], ends, strict=True)]
+        return out
+
+    def split(self, word: str) -> tuple[str, str]:
+        """A word's body and its tail of marks, where the tokenizer parts them too."""
+        body, tail = word.rstrip(TAIL), ""
+        if body and len(body) < len(word) and body[-1].isalpha():
+            tail = word[len(body):]
+        else:
+            body = word
+        return (body.lower() if body.isascii() and "<|" not in body else body), tail
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that aren't known, and of their parts that aren't."""
+        known = self.known
+        halves = [self.split(w) for w in words]
+        new = list({h for pair in halves for h in pair} - known.keys())
+        out = dict(zip(new, self.fresh(new), strict=True))
+        for w, (a, b) in zip(words, halves, strict=True):
+            if w not in out:
+                out[w] = (out[a] if a in out else known[a]) + (out[b] if b in out else known[b])
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        distinct = set(chain.from_iterable(parts))
-        missing = distinct - self.known.keys()
-        if missing:
-            if len(self.known) + len(missing) > MEMORY:
-                missing = distinct
-            self.learn(missing)
         known = self.known
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        missing = list(set(chain.from_iterable(parts)) - known.keys())
+        known.extra = self.learn(missing) if missing else {}
+        if len(known) + len(known.extra) <= MEMORY:
+            known.update(known.extra)
+        get = known.__getitem__
+        out = [b"".join(map(get, p)) for p in parts]
+        known.extra = {}
+        return out
 
 
 _WORKER: dict[str, WordIds] = {}
@@ -84,6 +115,19 @@ def word_ids(path: str) -> WordIds:
     return _WORKER[path]
 
 
+def _portions(texts: pa.Array):
+    """Runs of rows with about AT_ONCE characters: the first row and the texts, null as empty."""
+    at, part, size = 0, [], 0
+    for k, t in enumerate(texts):
+        part.append(t.as_py() or "")
+        size += len(part[-1])
+        if size >= AT_ONCE:
+            yield at, part
+            at, part, size = k + 1, [], 0
+    if part:
+        yield at, part
+
+
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): each document's full windows and its remainder."""
 
@@ -92,9 +136,9 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             doc, texts = batch.column("doc_id"), batch.column("text")
-            for at in range(0, batch.num_rows, 500):
+            for at, part in _portions(texts):
                 rows, starts, lengths, crcs, totals = [], [], [], [], []
-                for k, raw in enumerate(ids.encode([t or "" for t in texts.slice(at, 500).to_pylist()]), at):
+                for k, raw in enumerate(ids.encode(part), at):
                     raw += end
                     n = len(raw) // 4
                     for s in range(0, n, window):

@@ -26,11 +26,11 @@ class Scratch:
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as read back."""
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write ``df`` and return it as read back; ``by`` is a column of few values to read one of at a time."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
