@@ -74,40 +74,60 @@ def blocks(members: DataFrame, key: str, chunk: int) -> DataFrame:
     return x.withColumns({"i": F.least("own", "o"), "j": F.greatest("own", "o")}).drop("o", "c")
 
 
-def pairs_across(members: DataFrame, width: int, most: int, parts: int, best: int | None = None) -> DataFrame:
+def _unseen(held: list[np.ndarray], key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether ``key`` is the least that rows x and y share; ``held`` has their keys, ascending, column by column."""
+    seen = np.zeros(len(x), bool)
+    for k in held:
+        m = np.flatnonzero((k[x] < key[x]) & ~seen)
+        for other in held if len(m) else ():
+            seen[m] |= other[y[m]] == k[x[m]]
+    return ~seen
+
+
+def pairs_across(members: DataFrame, width: int, most: int, parts: int, closest: bool = False) -> DataFrame:
     """Pairs (a, b), a > b, of a key's ids in different components whose sketches differ in at most ``most`` bits.
 
-    With ``best``, only so many of each id and block: those whose sketches are closest.
+    A pair comes from the least key that both share. With ``closest``, only one for each component and
+    block: that whose sketches are closest.
     """
 
     def run(batches):
         for t, starts, ends in sorted_groups(batches, ["key", "i", "j"]):
-            ids, comp = t.column("id").to_numpy(), t.column("component_id").to_numpy()
+            ids, comp, key = (t.column(c).to_numpy() for c in ("id", "component_id", "key"))
             own, alone = t.column("own").to_numpy(), t.column("i").to_numpy() == t.column("j").to_numpy()
             s = np.stack([t.column(f"s{k}").to_numpy() for k in range(width)], axis=1).view(U64)
+            if not closest:
+                lists = t.column("held").combine_chunks()
+                at, flat = np.asarray(lists.offsets), lists.values.to_numpy()
+                n = np.diff(at)
+                # Past its keys a row repeats its own key here, which is not below itself.
+                held = [np.where(k < n, flat[np.minimum(at[:-1] + k, len(flat) - 1)], key) for k in range(int(n.max()))]
             found = []
             for x, y in group_pairs(starts, ends, max(1 << 12, (1 << 20) // width)):
                 m = (comp[x] != comp[y]) & (alone[x] | (own[x] != own[y]))
                 x, y = x[m], y[m]
                 d = np.bitwise_count(s[x] ^ s[y]).sum(axis=1, dtype=np.int32)
                 m = d <= most
-                found.append((x[m], y[m], d[m]))
+                x, y, d = x[m], y[m], d[m]
+                if not closest and len(x):
+                    m = _unseen(held, key, x, y)
+                    x, y, d = x[m], y[m], d[m]
+                found.append((x, y, d))
             x, y, d = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
-            if best is not None and len(x):
-                # Rows stand for one group each, so ranks are within a block.
-                row, pair = np.append(x, y), np.tile(np.arange(len(x)), 2)
-                order = np.lexsort((ids[np.append(y, x)], d[pair], row))
-                row, pair = row[order], pair[order]
-                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                nth = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
-                keep = np.unique(pair[nth < best])
+            if closest and len(x):
+                group = np.tile(np.searchsorted(starts, x, side="right"), 2)
+                c, pair = np.append(comp[x], comp[y]), np.tile(np.arange(len(x)), 2)
+                order = np.lexsort((ids[np.append(y, x)], ids[np.append(x, y)], d[pair], c, group))
+                c, group = c[order], group[order]
+                keep = np.unique(pair[order][np.append(True, (c[1:] != c[:-1]) | (group[1:] != group[:-1]))])
                 x, y = x[keep], y[keep]
             if len(x):
                 a, b = ids[x], ids[y]
                 u = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], names=["a", "b"])
 
-    x = members.select("key", "id", "component_id", *[F.col("sketch")[k].alias(f"s{k}") for k in range(width)])
+    held = [] if closest else ["held"]
+    x = members.select("key", "id", "component_id", *held, *[F.col("sketch")[k].alias(f"s{k}") for k in range(width)])
     dealt = blocks(x, "key", CHUNK).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -123,9 +143,9 @@ def links(
     """Confirmed links (a, b) that connect what all confirmed links connect.
 
     ``keys`` is the kept result of ``bucket_leaders``; ``verify`` keeps those pairs (a, b) of a table that
-    pass the exact test. Each id first meets the leaders that it shares most buckets with, then its
-    closest partners in other components, and last all of them, by the sketches that ``refine`` makes for
-    the ids (table of id) that are left.
+    pass the exact test. Each id first meets the leaders that it shares most buckets with, then each
+    component its closest others, and last every id all in other components, by the sketches that
+    ``refine`` makes for the ids (table of id) that are left.
     """
     table, width, most = sketches
     shared = keys.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
@@ -135,16 +155,19 @@ def links(
     stars = stars.join(table.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
     tried = scratch.keep(stars.where(differing("sa", "sb", width) <= most).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "tried")
     sure = scratch.keep(verify(tried), "links")
-    for best in (leaders, None):
+    for closest in (True, False):
         found = connected_components(sure, scratch)
         labelled = keys.select("key", "id").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
         labelled = scratch.keep(labelled, "labelled")
         open_keys = labelled.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi")
         keys = scratch.keep(labelled.join(scratch.keep(open_keys.select("key"), "open"), "key"), "left")
         scratch.drop(labelled)
-        if best is None and refine is not None:
+        if not closest and refine is not None:
             table, width, most = refine(keys.select("id").distinct())
-        rest = pairs_across(keys.join(table, "id"), width, most, parts, best).join(tried, ["a", "b"], "left_anti")
+        members = keys.join(table, "id")
+        if not closest:
+            members = members.join(keys.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("held")), "id")
+        rest = pairs_across(members, width, most, parts, closest).join(tried, ["a", "b"], "left_anti")
         rest = scratch.keep(rest, "rest")
         tried = tried.union(rest)
         sure = scratch.keep(sure.union(verify(rest)), "links")
