@@ -9,11 +9,12 @@ rank among those of its length picks its slot. So what one task sees never grows
 
 from __future__ import annotations
 
+import os
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,22 +25,13 @@ WINDOW, END = 2048, 1
 SALTS = 128
 #: Distinct words and word bodies whose ids a worker remembers (about 150 bytes each).
 MEMORY = 800_000
-#: Characters of the texts that are looked up at once; a longer text is looked up by itself.
+#: Bytes of the texts that are looked up at once; a longer text is looked up by itself.
 AT_ONCE = 2_000_000
 #: Marks that end many words; a run of them after a letter is a part of its own for the tokenizer.
 TAIL = ".,!?|;:"
 BREAK = "<|startoftext|>"
 
 
-class Known(dict):
-    """Ids by word; words beyond the memory are in ``extra`` while their batch lasts."""
-
-    extra: dict[str, bytes]
-
-    def __missing__(self, word: str) -> bytes:
-        return self.extra[word]
-
-
 class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit bytes, by words.
 
@@ -48,10 +40,11 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = Known({"": b""})
+        self.known: dict[str, bytes] = {"": b""}
         self.stop = self.tokenizer.token_to_id(BREAK)
 
     def fresh(self, words: list[str]) -> list[bytes]:
@@ -62,7 +55,8 @@ class WordIds:
         out: list[bytes] = []
         for k in range(0, len(words), 1000):
             part = words[k:k + 1000]
-            ids = np.array(self.tokenizer.encode(BREAK.join(part), add_special_tokens=False).ids, "<u4")
+            # A batch of one: that call works out no offsets.
+            ids = np.array(self.tokenizer.encode_batch_fast([BREAK.join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut, raw = np.flatnonzero(ids == self.stop), ids.tobytes()
             if len(cut) != len(part) - 1:  # a word has that token itself
                 out += [one(w) for w in part]
@@ -91,17 +85,18 @@ class WordIds:
                 out[w] = (out[a] if a in out else known[a]) + (out[b] if b in out else known[b])
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        missing = list(set(chain.from_iterable(parts)) - known.keys())
-        known.extra = self.learn(missing) if missing else {}
-        if len(known) + len(known.extra) <= MEMORY:
-            known.update(known.extra)
-        get = known.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
-        known.extra = {}
-        return out
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; null is empty. Arrow finds the distinct words and puts their ids in order."""
+        parts = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        words = parts.flatten().dictionary_encode()
+        distinct, known = words.dictionary.to_pylist(), self.known
+        more = self.learn([w for w in distinct if w not in known])
+        if len(known) + len(more) <= MEMORY:
+            known.update(more)
+        ids = pa.array([more[w] if w in more else known[w] for w in distinct], pa.large_binary()).take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
+        at, raw = ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()].tolist(), ids.buffers()[2]
+        return [raw[lo:hi].to_pybytes() if hi > lo else b"" for lo, hi in zip(at[:-1], at[1:], strict=True)]
 
 
 _WORKER: dict[str, WordIds] = {}
@@ -116,16 +111,14 @@ def word_ids(path: str) -> WordIds:
 
 
 def _portions(texts: pa.Array):
-    """Runs of rows with about AT_ONCE characters: the first row and the texts, null as empty."""
-    at, part, size = 0, [], 0
-    for k, t in enumerate(texts):
-        part.append(t.as_py() or "")
-        size += len(part[-1])
-        if size >= AT_ONCE:
-            yield at, part
-            at, part, size = k + 1, [], 0
-    if part:
-        yield at, part
+    """Runs of rows with about AT_ONCE bytes: the first row and the texts."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        upto = (ends[at - 1] if at else 0) + AT_ONCE
+        end = min(max(int(np.searchsorted(ends, upto, side="right")), at + 1), len(texts))
+        yield at, texts.slice(at, end - at)
+        at = end
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
