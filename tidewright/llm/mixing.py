@@ -112,7 +112,8 @@ def mix_counts(spark: SparkSession, docs: DataFrame, percent: int = 150, weights
     """
     scratch = Scratch(spark, "mixing")
     rows, drawn = placed(spark, docs.select("doc_id", "text", "source"), scratch, percent, weights, repeat, seed)
-    times = drawn.groupBy("skey", "block").agg(F.count("*").alias("times"))
+    # Spark takes unfolded slots for as few as the rows they come from, and would broadcast them.
+    times = drawn.groupBy("skey", "block").agg(F.count("*").alias("times")).hint("merge")
     key = ["skey", "bucket", "nth", "doc_id", "size", "source_size", "target"]
     x = pieces(rows).join(times, ["skey", "block"], "left")
     x = x.groupBy(*key).agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken"))
@@ -133,12 +134,12 @@ def mix_documents(spark: SparkSession, docs: DataFrame, percent: int = 150, weig
     docs_on = docs.withColumn("mix_mark", mark).withColumn("mix_nth", F.row_number().over(again))
     slim = docs.select("doc_id", "text", "source", mark.alias("again"))
     rows, drawn = placed(spark, slim, scratch, percent, weights, repeat, seed)
-    x = pieces(rows).where("block is not null").join(drawn.select("skey", "block", "pass"), ["skey", "block"])
+    x = pieces(rows).where("block is not null").join(drawn.select("skey", "block", "pass").hint("merge"), ["skey", "block"])
     x = x.groupBy("skey", "bucket", "nth", "again", "size", "pass").agg(
         F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"), F.sum("words").alias("taken"))
     x = x.groupBy("skey", "bucket", "nth", "again").agg(F.collect_list(F.struct("pass", "size", "taken", "parts")).alias("passes"))
     x = x.select(F.col("again").alias("mix_mark"), "passes", F.row_number().over(Window.partitionBy("again").orderBy("skey", "bucket", "nth")).alias("mix_nth"))
-    y = docs_on.join(x, ["mix_mark", "mix_nth"]).withColumn("mix_pass", F.explode("passes"))
+    y = docs_on.join(x.hint("merge"), ["mix_mark", "mix_nth"]).withColumn("mix_pass", F.explode("passes"))
     words = F.expr(f"transform(mix_pass.parts, p -> concat_ws(' ', slice(regexp_extract_all(text, '{WORD.replace(chr(92), chr(92) * 2)}', 0), cast(p.first + 1 as int), cast(p.words as int))))")
     y = y.withColumn("text", F.when(F.col("mix_pass.taken") == F.col("mix_pass.size"), F.col("text")).otherwise(F.concat_ws(" ", words)))
     if "n_chars" in docs.columns:
