@@ -160,8 +160,10 @@ def links(
         labelled = keys.select("key", "id").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
         labelled = scratch.keep(labelled, "labelled")
         open_keys = labelled.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi")
-        keys = scratch.keep(labelled.join(scratch.keep(open_keys.select("key"), "open"), "key"), "left")
+        open_keys = scratch.keep(open_keys.select("key"), "open")
+        keys = scratch.keep(labelled.join(open_keys, "key"), "left")
         scratch.drop(labelled)
+        scratch.drop(open_keys)
         if not closest and refine is not None:
             table, width, most = refine(keys.select("id").distinct())
         members = keys.join(table, "id")

@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import Scratch
 
 
-def _star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Link every ``b`` of an ``a`` to the smallest id among a and its bs.
-
-    The smallest ids are written first: both sides of the join are then plain shuffles, and Spark can
-    split the one partition that holds a hub's edges.
-    """
-    least = scratch.keep(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
-    return edges.join(least, "a").select(F.col("b").alias("x"), F.col("m")).where("x <> m")
-
-
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Smallest reachable id of every id with an edge: (id, component_id).
 
@@ -33,14 +23,19 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if seen == before or not seen[0]:
             break
         before = seen
+        old = now
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # Smallest ids are written first: both sides of a join are then plain shuffles, and Spark can split
+        # the one partition that holds a hub's edges.
         least = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = scratch.keep(large.where("a <> b").distinct(), "large")
-        small = _star(large, scratch, "smaller")
-        small = small.select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b"))
+        fewest = scratch.keep(large.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "smaller")
+        small = large.join(fewest, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         own = large.groupBy("a").agg(F.min("b").alias("b"))
         now = scratch.keep(small.union(own).distinct(), "edges")
+        for table in (old, least, large, fewest):
+            scratch.drop(table)
     ids = now.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
     roots = now.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component_id"))
     return ids.union(roots)
