@@ -70,6 +70,12 @@ def test_near_duplicates_match_all_pairs(spark, texts, n):
     assert all(got[i]["n_shingles"] == len(sets[i]) and got[i]["kept"] == (want[i] == i) for i in ids)
 
 
+@pytest.mark.parametrize("words", [1, 2, 3, 4, 5])
+def test_near_duplicates_of_one_short_document(spark, words):
+    got = odd_sketch.near_duplicates(spark, docs_of(spark, [(3, "a b c d e"[:2 * words - 1])]), 5, 80).collect()
+    assert [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got] == [(3, 1, 3, True)]
+
+
 def test_near_duplicates_of_odd_tables(spark, texts):
     assert odd_sketch.near_duplicates(spark, docs_of(spark, [])).count() == 0
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (9, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (7, "q"), (7, "a b c d e f")]

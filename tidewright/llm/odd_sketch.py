@@ -42,7 +42,7 @@ def shingle_sets(column, n_words: int) -> Iterator[tuple[int, list[np.ndarray]]]
         word = range_hash(prefix_hash(b), s, e)
         cut = np.searchsorted(row, np.arange(len(off)))
         joined = word.copy()
-        for k in range(1, n_words):
+        for k in range(1, min(n_words, len(word))):
             joined[:len(word) - k] = mix64(joined[:len(word) - k] * U64(0xD1342543DE82EF95) + word[k:])
         out = []
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
