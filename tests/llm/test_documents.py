@@ -314,6 +314,45 @@ def test_suffix_tree_scores(spark, texts, monkeypatch, frequent, top):
     assert (lone["n_known"], lone["train_tokens"], lone["held_out"]) == (0, 0, True)
 
 
+@pytest.mark.parametrize(("frequent", "top"), [(60, 8), (100_000, 512)])
+def test_suffix_tree_keeps_contexts_of_all_words(spark, monkeypatch, frequent, top):
+    monkeypatch.setattr(suffix_tree, "FREQUENT", frequent)
+    monkeypatch.setattr(suffix_tree, "TOP", top)
+    r = random.Random(4)
+    rows = []
+    for k in range(150):
+        w = [f"w{r.randrange(30)}" for _ in range(3)]
+        for _ in range(r.randrange(60)):  # of three words before, or one alone, or at random
+            x = sum(int(y[1:]) << j for j, y in enumerate(w[-3:]))
+            w.append(f"w{x % 30 if w[-1] < 'w15' and x % 2 else (int(w[-1][1:]) * 7 % 30 if x % 3 else r.randrange(200))}")
+        rows.append((k, " ".join(w)))
+    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    said = {i: [*t.split(), " "] for i, t in rows}
+    c = Counter(w for i, t in said.items() if not out(i) for w in t)
+    n, once = sum(c.values()), sum(v == 1 for v in c.values())
+    unknown = min(max(once, 1) / (n + 1), 0.5)
+    p = {(i, k): c[w] / n * (1 - unknown) if c[w] else unknown for i, t in said.items() for k, w in enumerate(t)}
+    going, deep = list(p), 0
+    while going:
+        deep += 1
+        at = {(i, k): tuple(said[i][k - deep:k]) for i, k in going if k >= deep}
+        seen, root = defaultdict(Counter), {}
+        for (i, k), ctx in at.items():
+            root[ctx, said[i][k]] = p[i, k]
+            if not out(i):
+                seen[ctx][said[i][k]] += 1
+        total = {x: sum(y.values()) for x, y in seen.items()}
+        kept = {x for x, y in seen.items() if total[x] > 1 and sum(m * np.log(m / total[x] / root[x, w]) for w, m in y.items()) >= suffix_tree.GAIN}
+        going = [z for z, ctx in at.items() if ctx in kept]
+        for i, k in going:
+            ctx = at[i, k]
+            p[i, k] = (seen[ctx][said[i][k]] + suffix_tree.WEIGHT * p[i, k]) / (total[ctx] + suffix_tree.WEIGHT)
+    assert deep > 3
+    got = {g["doc_id"]: g["score"] for g in suffix_tree.score(spark, docs_of(spark, rows)).collect()}
+    for i, t in said.items():
+        assert got[i] == pytest.approx(sum(np.log10(p[i, k]) for k in range(len(t))))
+
+
 def test_suffix_states_sum_to_one():
     rng = np.random.default_rng(2)
     counts = np.sort(rng.integers(50, 900, 6))[::-1].astype(np.int64)

@@ -3,136 +3,137 @@
 Symbols are the training words, a document's end, and one for all unknown words. A context becomes a
 state if its next-symbol distribution, over all its occurrences, saves enough against that of its
 longest kept suffix (Ron, Singer and Tishby, "The power of amnesia"); a state's distribution is smoothed
-towards its suffix's, and the longest suffix state scores each token. Contexts are of variable length:
-none; one of the TOP words; and a word outside the frequent ones, alone or with the frequent word after
-it, which is where texts that share a passage say the same next.
+towards its suffix's, and the longest suffix state scores each token. Every word that stands before
+another is a context; from each state grow the contexts that are one word longer, as deep as there are
+states.
 
-The FREQUENT most frequent words and the TOP by TOP table are held by every task, whatever the corpus;
-all other counts and states stay in tables and meet their tokens in joins.
+The FREQUENT most frequent words and the TOP by TOP table of exact pairs are held by every task, whatever
+the corpus; all other counts and states stay in tables and meet their tokens in joins. Words and contexts
+are 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import Scratch
+from tidewright.llm.common import U64, Scratch, lower_ascii, mix64, prefix_hash, range_hash, spans, text_slabs, white
 
-#: Words whose counts every task holds, at most; of these, contexts with a table of next words.
+#: Words whose counts every task holds, at most; of these, words whose pairs are counted in a table.
 FREQUENT, TOP = 3 << 17, 512
 #: Nats that a state must save over its occurrences; weight of the suffix in smoothing.
 GAIN, WEIGHT = 8.0, 1.0
-#: Distinct words that a counting task holds before it hands them on.
-HELD = 200_000
+#: Tokens that a counting task holds before it hands their counts on.
+HELD = 1_000_000
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_END = b" "
+_END = np.int64(0)
 
 
 def _training():
     return ~F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
 
 
-def _words(text: bytes | None) -> list[bytes]:
-    """Tokens: A-Z lower-cased, cut at ASCII white space (just what bytes.split() cuts at), then the end."""
-    out = (text or b"").translate(_LOWER).split()
-    out.append(_END)
-    return out
+def _tokens(column):
+    """Words of each text and its end, slab by slab: first row, rows, hashes, row and place of each token."""
+    for first, b, off in text_slabs(column):
+        b = lower_ascii(b)
+        s, e, row = spans(~white(b), off)
+        n = len(off) - 1
+        upto = np.cumsum(np.bincount(row, minlength=n))
+        word = np.insert(range_hash(prefix_hash(b), s, e).view(np.int64), upto, _END)
+        row = np.insert(row, upto, np.arange(n))
+        start = np.append(0, upto[:-1]) + np.arange(n)
+        yield first, n, word, row, np.arange(len(word)) - start[row]
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word binary, c) over all tokens of training documents."""
+def _context(word: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Hashes of the ``depth`` words before each of the tokens ``at``, which must be there."""
+    h = np.full(len(at), depth, U64)
+    for k in range(1, depth + 1):
+        h = mix64(h * U64(0xD1342543DE82EF95) + word[at - k].astype(np.int64).view(U64))
+    return h.view(np.int64)
 
-    def run(batches):
-        held: Counter = Counter()
 
-        def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
-            held.clear()
-            return out
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, c) over all tokens of training documents."""
 
+    def run(batches):
+        held, n = [], 0
         for batch in batches:
-            for text in batch.column("text").cast(pa.binary()):
-                held.update(_words(text.as_py()))
-                if len(held) > HELD:
-                    yield rows()
-        yield rows()
-
-    x = docs.where(_training()).select("text").mapInArrow(run, "word binary, c long")
+            for _, _, word, _, _ in _tokens(batch.column("text")):
+                held.append(word)
+                n += len(word)
+                if n > HELD:
+                    w, c = np.unique(np.concatenate(held), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(c.astype(np.int64))], names=["word", "c"])
+                    held, n = [], 0
+        if held:
+            w, c = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(c.astype(np.int64))], names=["word", "c"])
+
+    x = docs.where(_training()).select("text").mapInArrow(run, "word long, c long")
     return x.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class Frequent(dict):
-    """Numbers of the frequent words, in order of count; -1 for others."""
+def _number(words: np.ndarray, order: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of ``x`` among the frequent words by count, -1 for others; ``words`` ascend."""
+    if not len(words):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(words, x), len(words) - 1)
+    return np.where(words[at] == x, order[at], -1)
 
-    def __missing__(self, word: bytes) -> int:
-        return -1
 
+def count_pairs(docs: DataFrame, shared) -> DataFrame:
+    """(ctx, nxt, number, c, code) over training documents, partly summed.
 
-_HELD: dict = {}
-
-
-def _numbers(shared) -> Frequent:
-    """This worker's frequent words; reused by its later tasks."""
-    mark, words = shared.value
-    if mark not in _HELD:
-        _HELD.clear()
-        _HELD[mark] = Frequent(zip(words, range(len(words)), strict=True))
-    return _HELD[mark]
-
-
-def _contexts(words: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Positions with a context that begins outside the frequent words, and these contexts."""
-    rare = ids < 0
-    one = np.flatnonzero(rare[:-1]) + 1
-    two = np.flatnonzero(rare[:-2] & ~rare[1:-1]) + 2
-    at = np.concatenate([one, two])
-    return at, [words[i - 1] for i in one.tolist()] + [words[i - 2] + b" " + words[i - 1] for i in two.tolist()]
-
-
-def count_contexts(docs: DataFrame, shared, logs: np.ndarray, low: float) -> DataFrame:
-    """(ctx, nxt, c, lp, code) over training documents, partly summed.
-
-    Rows with a code count pairs of TOP words; the others a context, what follows it, and the natural log
-    probability that the root gives that (``low``, the most it can be, where the word is not frequent).
+    Rows with a code count pairs of TOP words; the others a word as context and what follows it, with the
+    place of that among the frequent words.
     """
 
     def run(batches):
-        number = _numbers(shared)
+        words, order = shared.value
         pairs = np.zeros(TOP * TOP, np.int64)
-        names = ["ctx", "nxt", "c", "lp", "code"]
+        held, n = [], 0
+        names = ["ctx", "nxt", "number", "c", "code"]
+
+        def rows():
+            a, b, num = (np.concatenate(z) for z in zip(*held, strict=True))
+            by = np.lexsort((b, a))
+            a, b, num = a[by], b[by], num[by]
+            at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, int)
+            c = np.diff(np.append(at, len(a)))
+            k = len(at)
+            return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(num[at].astype(np.int32)), pa.array(c.astype(np.int64)), pa.nulls(k, pa.int64())], names=names)
+
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for at in range(0, len(texts), 500):
-                ctx, nxt, lp = [], [], []
-                for text in texts.slice(at, 500).to_pylist():
-                    words = _words(text)
-                    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                    a, b = ids[:-1], ids[1:]
-                    m = (a >= 0) & (a < TOP) & (b >= 0) & (b < TOP)
-                    if m.any():
-                        pairs += np.bincount(a[m] * TOP + b[m], minlength=TOP * TOP)
-                    place, found = _contexts(words, ids)
-                    ctx += found
-                    nxt += [words[i] for i in place.tolist()]
-                    n = ids[place]
-                    lp.append(np.where(n >= 0, logs[n], low))
-                if ctx:
-                    k = len(ctx)
-                    yield pa.RecordBatch.from_arrays([pa.array(ctx, pa.binary()), pa.array(nxt, pa.binary()), pa.array(np.ones(k, np.int64)), pa.array(np.concatenate(lp).astype(np.float32)), pa.nulls(k, pa.int64())], names=names)
+            for _, _, word, _, place in _tokens(batch.column("text")):
+                number = _number(words, order, word)
+                at = np.flatnonzero(place > 0)
+                a, b = number[at - 1], number[at]
+                m = (a >= 0) & (a < TOP) & (b >= 0) & (b < TOP)
+                pairs += np.bincount(a[m] * TOP + b[m], minlength=TOP * TOP)
+                at, b = at[~m], b[~m]
+                held.append((_context(word, at, 1), word[at], b))
+                n += len(at)
+                if n > HELD:
+                    yield rows()
+                    held, n = [], 0
+        if held:
+            yield rows()
         code = np.flatnonzero(pairs)
         k = len(code)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(pairs[code]), pa.nulls(k, pa.float32()), pa.array(code)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(pairs[code]), pa.array(code.astype(np.int64))], names=names)
+
+    return docs.where(_training()).select("text").mapInArrow(run, "ctx long, nxt long, number int, c long, code long")
 
-    return docs.where(_training()).select("text").mapInArrow(run, "ctx binary, nxt binary, c long, lp float, code long")
 
+def _top_table(pairs: np.ndarray, counts: np.ndarray, p0: np.ndarray, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log factors over the root for a TOP word after a TOP word, and for any other word after one.
 
-def _top_table(pairs: np.ndarray, counts: np.ndarray, p0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log factors over the root for a TOP word after a TOP word, and for any other word after one."""
+    ``kept`` are the states, if they are known from all next words.
+    """
     k = len(p0)
     total = np.maximum(counts.astype(float), 1)
     rest, rest0 = np.maximum(total - pairs.sum(axis=1), 0), max(1 - p0.sum(), 1e-12)
@@ -141,12 +142,41 @@ def _top_table(pairs: np.ndarray, counts: np.ndarray, p0: np.ndarray) -> tuple[n
         gain = np.where(pairs > 0, pairs * np.log(p / p0[None, :]), 0).sum(axis=1) + np.where(rest > 0, rest * np.log(rest / total / rest0), 0)
     inner = np.log((pairs + WEIGHT * p0[None, :]) / (total + WEIGHT)[:, None]) - np.log(p0)[None, :]
     outer = np.log((rest + WEIGHT * rest0) / (total + WEIGHT) / rest0)
-    kept = gain >= GAIN
+    kept = gain >= GAIN if kept is None else kept
     table, other = np.zeros((TOP, TOP)), np.zeros(TOP)
     table[:k, :k], other[:k] = np.where(kept[:, None], inner, 0), np.where(kept, outer, 0)
     return table, other
 
 
+def _deeper(docs: DataFrame, tokens: DataFrame, depth: int) -> DataFrame:
+    """``tokens`` with the contexts of ``depth`` words and of one more, if there are so many, from their texts."""
+
+    def run(batches):
+        names = ["row", "train", "i", "ctx", "deeper", "nxt", "lp"]
+        for batch in batches:
+            lists = batch.column("tokens")
+            for first, m, word, row, place in _tokens(batch.column("text")):
+                part = lists.slice(first, m)
+                flat = part.flatten()
+                size = np.diff(part.offsets.to_numpy())
+                of = np.repeat(np.arange(m), size)
+                start = np.flatnonzero(place == 0)
+                i = flat.field("i").to_numpy()
+                at = start[of] + i
+                two = i > depth
+                longer = np.zeros(len(at), np.int64)
+                longer[two] = _context(word, at[two], depth + 1)
+                r = pa.array(of + first)
+                whole = pa.RecordBatch.from_arrays(
+                    [batch.column("row").take(r), batch.column("train").take(r), pa.array(i), pa.array(_context(word, at, depth)), pa.array(longer, mask=~two), flat.field("nxt"), flat.field("lp")], names=names)
+                for lo in range(0, len(at), 50_000):
+                    yield whole.slice(lo, 50_000)
+
+    lists = tokens.groupBy("row", "train").agg(F.collect_list(F.struct("i", "nxt", "lp")).alias("tokens"))
+    x = lists.join(docs.select("row", "text"), "row").select("row", "train", "text", "tokens")
+    return x.mapInArrow(run, "row long, train boolean, i int, ctx long, deeper long, nxt long, lp double")
+
+
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Scores of each row of ``docs`` (doc_id, text), learned from those with crc32(doc_id as text) mod 7 not 2.
 
@@ -157,7 +187,8 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     they stand; without training rows nothing is known. Further columns are ignored.
     """
     scratch = Scratch(spark, "suffix-tree")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row", F.monotonically_increasing_id())
+    docs = scratch.keep(docs, "documents")  # numbered once: rows are read again by their number
     counts = scratch.keep(count_words(docs), "counts")
     seen = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, True))).first()
     total, distinct, once = map(int, seen)
@@ -173,94 +204,122 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
             break
         least = r["s"]
     often = counts.where(step >= least).toArrow().sort_by([("c", "descending"), ("word", "ascending")])  # at most FREQUENT rows
-    c = often.column("c").to_numpy().copy()
-    shared = spark.sparkContext.broadcast((scratch.root, often.column("word").to_pylist()))
-    del often
+    c, word = often.column("c").to_numpy().copy(), often.column("word").to_numpy().copy()
+    order = np.argsort(word)
+    shared = spark.sparkContext.broadcast((word[order], order))
     logs = np.append(np.log(c / n * (1 - unknown)), 0.0)
-    most = (int(c[-1]) if len(c) else n) / n
+    rare_counts = counts.where(step < least).select(F.col("word").alias("nxt"), F.col("c").alias("own"))
+    root = F.when(F.col("own") > 0, F.log(F.col("own") * ((1 - unknown) / n))).otherwise(float(np.log(unknown)))
 
-    pairs = scratch.keep(count_contexts(docs, shared, logs, float(np.log(most))), "contexts")
-    found = pairs.where("code is not null").groupBy("code").agg(F.sum("c").alias("c")).toPandas()  # at most TOP * TOP rows
+    found = scratch.keep(count_pairs(docs, shared), "pairs")
+    codes = found.where("code is not null").groupBy("code").agg(F.sum("c").alias("c")).toPandas()  # at most TOP * TOP rows
     table = np.zeros(TOP * TOP)
-    table[found["code"].to_numpy(np.int64)] = found["c"]
+    table[codes["code"].to_numpy(np.int64)] = codes["c"]
     k = min(TOP, len(c))
-    inner, other = _top_table(table.reshape(TOP, TOP)[:k, :k], c[:k], np.exp(logs[:k]))
-
-    nexts = pairs.where("ctx is not null").groupBy("ctx", "nxt").agg(F.sum("c").alias("c"), F.max("lp").alias("lp"))
-    nexts = scratch.keep(nexts, "nexts")
+    table = table.reshape(TOP, TOP)[:k, :k]
+    pairs = scratch.keep(found.where("code is null").groupBy("ctx", "nxt").agg(F.max("number").alias("number"), F.sum("c").alias("n")), "summed")
+    scratch.drop(found)
+    # The root's log share of what follows: FREQUENT rows at most go to all tasks, other words meet their counts.
+    held = spark.createDataFrame(pa.table({"number": np.arange(len(c), dtype=np.int32), "lp": logs[:-1]}))
+    known = pairs.where("number >= 0").join(F.broadcast(held), "number").select("ctx", "nxt", "n", "lp")
+    ways = known.union(pairs.where("number < 0").join(rare_counts, "nxt", "left").select("ctx", "nxt", "n", root.alias("lp")))
+    ways = scratch.keep(ways, "ways")
     scratch.drop(pairs)
-    totals = nexts.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(F.col("c") * (F.log("c") - F.col("lp"))).alias("save"))
-    states = totals.where((F.col("total") > 1) & (F.col("save") - F.col("total") * F.log("total") >= GAIN)).select("ctx", "total")
+    save = F.sum(F.col("n") * (F.log("n") - F.col("lp")))
+    totals = scratch.keep(ways.groupBy("ctx").agg(F.sum("n").alias("total"), save.alias("save")), "totals")
+    # A TOP word's test takes in the pairs that the table holds.
+    tops = _context(np.append(word[:k], 0), np.arange(1, k + 1), 1)
+    names = spark.createDataFrame([(int(h),) for h in tops], "ctx long")
+    part = {r["ctx"]: (r["total"], r["save"]) for r in totals.join(F.broadcast(names), "ctx").collect()}  # at most TOP rows
+    more, saved = (np.array([part.get(int(h), (0, 0.0))[j] for h in tops], float) for j in (0, 1))
+    every = table.sum(axis=1) + more
+    with np.errstate(divide="ignore", invalid="ignore"):
+        saved += np.where(table > 0, table * (np.log(table) - logs[None, :k]), 0).sum(axis=1) - np.where(every > 0, every * np.log(every), 0)
+    kept = (every > 1) & (saved >= GAIN)
+    inner = _top_table(table, every, np.exp(logs[:k]), kept)[0]
+    is_top = np.append(kept, np.zeros(TOP - k, bool))
+
+    def chosen(x):
+        return x.where((F.col("total") > 1) & (F.col("save") - F.col("total") * F.log("total") >= GAIN)).select("ctx", "total")
+
+    states = chosen(totals.join(F.broadcast(names), "ctx", "left_anti"))
+    states = states.union(spark.createDataFrame([(int(h), int(t)) for h, t, m in zip(tops, every, kept, strict=True) if m], "ctx long, total long"))
     states = scratch.keep(states, "states")
-    ways = scratch.keep(nexts.join(states, "ctx", "left_semi").select("ctx", "nxt", "c"), "ways")
-    scratch.drop(nexts)
-    model = spark.sparkContext.broadcast((c, logs, inner, other))
-    names = ["row", "doc_id", "n_tokens", "sure", "base", "full", "ctx", "nxt", "lp", "number"]
+    model = spark.sparkContext.broadcast((c, logs, inner, is_top))
 
     def scan(batches):
-        number = _numbers(shared)
-        c, logs, inner, other = model.value
+        words, order = shared.value
+        c, logs, inner, is_top = model.value
         ones = np.append(np.log(c + 1.0), 0.0)
+        none = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+        columns = ["row", "train", "kind", "doc_id", "n_tokens", "sure", "base", "full", "i", "ctx", "deeper", "nxt", "lp"]
         for batch in batches:
-            ids, rows = batch.column("doc_id"), batch.column("row")
-            texts = batch.column("text").cast(pa.binary())
-            for first in range(0, batch.num_rows, 300):
-                tokens, sure, base, full, ctx, nxt, lp, nr, of = [], [], [], [], [], [], [], [], []
-                for k, text in enumerate(texts.slice(first, 300).to_pylist(), first):
-                    words = _words(text)
-                    w = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                    p = logs[w]
-                    b, a = w[1:], np.where((w[:-1] >= 0) & (w[:-1] < TOP), w[:-1], -1)
-                    near = (a >= 0) & (b >= 0) & (b < TOP)
-                    p[1:] += np.where(near, inner[a, np.where(near, b, 0)], np.where(a >= 0, other[a], 0))
-                    open_ = w < 0
-                    place, found = _contexts(words, w)
-                    tokens.append(len(words))
-                    sure.append(int((~open_).sum()))
-                    base.append(float(ones[w].sum()))
-                    by = np.full(len(w), -1)
-                    by[place] = np.arange(len(place))
-                    # Rows for joins: words that are not frequent, and words after a context.
-                    out = np.flatnonzero(open_ | (by >= 0))
-                    full.append(float(p.sum() - p[out].sum()))
-                    ctx += [found[i] if i >= 0 else None for i in by[out].tolist()]
-                    nxt += [words[i] for i in out.tolist()]
-                    lp.append(p[out])
-                    nr.append(w[out])
-                    of.append(np.full(len(out), k))
-                m, of = len(tokens), np.concatenate(of)
+            for first, m, word, row, place in _tokens(batch.column("text")):
+                w = _number(words, order, word)
+                p = logs[w]
+                a = np.append(-1, w[:-1])
+                a[place == 0] = -1
+                top = (a >= 0) & (a < TOP)
+                state = top & is_top[np.where(top, a, 0)]
+                pair = state & (w >= 0) & (w < TOP)
+                p[pair] += inner[a[pair], w[pair]]
+                # 1: words that meet their first context; 2: those that the table has taken there; 3: words that are not held.
+                kind = np.where(w < 0, 3, np.where(pair, np.where(place > 1, 2, 0), np.where((place > 0) & (~top | state), 1, 0)))
+                sums = [np.bincount(row, minlength=m), np.bincount(row, w >= 0, m).astype(np.int64), np.bincount(row, ones[w], m), np.bincount(row, np.where(kind == 0, p, 0), m)]
+                rows, train = batch.column("row").slice(first, m), batch.column("train").slice(first, m)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.slice(first, m), ids.slice(first, m), pa.array(tokens, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64()),
-                     pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.float32()), pa.nulls(m, pa.int32())], names=names)
-                if j := len(of):
+                    [rows, train, pa.array(np.zeros(m, np.int32)), batch.column("doc_id").slice(first, m), *(pa.array(x) for x in sums), *(pa.nulls(m, t) for t in none)], names=columns)
+                at = np.flatnonzero(kind)
+                for lo in range(0, len(at), 50_000):
+                    t = at[lo:lo + 50_000]
+                    r, g = pa.array(row[t]), kind[t]
+                    one, two = (place[t] > 0) & (~top[t] | state[t]), place[t] > 1
+                    c1, c2 = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
+                    c1[one], c2[two] = _context(word, t[one], 1), _context(word, t[two], 2)
+                    ctx, is_ctx = np.where(g == 2, c2, c1), one
                     yield pa.RecordBatch.from_arrays(
-                        [rows.take(pa.array(of)), *(pa.nulls(j, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array(ctx, pa.binary()), pa.array(nxt, pa.binary()),
-                         pa.array(np.concatenate(lp).astype(np.float32)), pa.array(np.concatenate(nr).astype(np.int32))], names=names)
-
-    schema = "row long, doc_id long, n_tokens long, sure long, base double, full double, ctx binary, nxt binary, lp float, number int"
-    # 0: documents; words that are not frequent 1: after no context, 2: after one; 3: frequent ones after one.
-    kind = F.when(F.col("nxt").isNull(), 0).when(F.col("number") >= 0, 3).otherwise(F.when(F.col("ctx").isNull(), 1).otherwise(2))
-    x = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(scan, schema).withColumn("kind", kind)
-    x = scratch.keep(x, "tokens", by="kind")
+                        [rows.take(r), train.take(r), pa.array(g.astype(np.int32)), *(pa.nulls(len(t), x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())),
+                         pa.array(place[t].astype(np.int32)), pa.array(ctx, mask=~is_ctx), pa.array(c2, mask=~two | (g == 2)), pa.array(word[t]), pa.array(p[t])], names=columns)
+
+    schema = "row long, train boolean, kind int, doc_id long, n_tokens long, sure long, base double, full double, i int, ctx long, deeper long, nxt long, lp double"
+    x = scratch.keep(docs.select("row", _training().alias("train"), "doc_id", "text").mapInArrow(scan, schema), "tokens", by="kind")
     done = x.where("kind = 0").select("row", "doc_id", "n_tokens", "sure", "base", "full")
-    lp = F.col("lp").cast("double").alias("lp")
-    # Words that are not frequent meet their counts: lp has held only what their context adds.
-    rare = x.where("kind in (1, 2)").select("row", "ctx", "nxt", lp).join(counts.where(step < least).withColumnRenamed("word", "nxt"), "nxt", "left")
-    root = F.when(F.col("c") > 0, F.log(F.col("c") * ((1 - unknown) / n))).otherwise(float(np.log(unknown)))
-    rare = rare.select("row", "ctx", "nxt", (F.col("lp") + root).alias("lp"), F.coalesce("c", F.lit(0)).alias("c"), F.col("ctx").isNotNull().alias("after"))
-    rare = scratch.keep(rare, "rare", by="after")
-    held = rare.where("after").drop("after").unionByName(x.where("kind = 3").select("row", "ctx", "nxt", lp, F.lit(0).cast("long").alias("c")))
-    met = held.join(states, "ctx", "left").withColumn("state", F.col("total").isNotNull())
-    name = lambda c: F.when(F.col("state"), F.col(c)).alias(c)
-    met = scratch.keep(met.select("row", name("ctx"), name("nxt"), "lp", "c", "total", "state"), "met", by="state")
-    own = F.log((F.coalesce("n", F.lit(0)) + WEIGHT * F.exp("lp")) / (F.col("total") + WEIGHT)).alias("lp")
-    with_state = met.where("state").join(ways.withColumnRenamed("c", "n"), ["ctx", "nxt"], "left").select("row", own, "c")
-    plain = rare.where("not after").select("row", "lp", "c").union(met.where("not state").select("row", "lp", "c"))
-    met = plain.union(with_state).groupBy("row").agg(
-        F.count(F.when(F.col("c") > 0, True)).alias("more"), F.sum("lp").alias("more_full"), F.sum(F.log(F.col("c") + 1.0)).alias("more_base"))
+    token = ["row", "train", "i", "ctx", "deeper", "nxt", "lp"]
+    rare = x.where("kind = 3").join(rare_counts, "nxt", "left").withColumn("lp", root)
+    rare = scratch.keep(rare.select(*token, F.coalesce("own", F.lit(0)).alias("own")), "rare")
+    zero = F.lit(0.0)
+    nothing = F.lit(0).cast("long")
+    sums = [rare.groupBy("row").agg(F.count(F.when(F.col("own") > 0, True)).alias("more"), F.sum(F.log(F.col("own") + 1.0)).alias("more_base"),
+                                    F.sum(F.when(F.col("ctx").isNull(), F.col("lp")).otherwise(0.0)).alias("more_full"))]
+    now = x.where("kind = 1").select(*token).union(rare.where("ctx is not null").select(*token))
+    depth = 1
+    while True:
+        met = now.join(states, "ctx", "left").withColumn("state", F.col("total").isNotNull())
+        met = scratch.keep(met, "met", by="state")
+        own = F.log((F.coalesce("n", F.lit(0)) + WEIGHT * F.exp("lp")) / (F.col("total") + WEIGHT))
+        hit = met.where("state").join(ways.select("ctx", "nxt", "n"), ["ctx", "nxt"], "left").select("row", "train", "i", "ctx", "deeper", "nxt", own.alias("lp"))
+        hit = scratch.keep(hit.withColumn("more", F.col("i") > depth), "hit", by="more")
+        for part in (met.where("not state"), hit.where("not more")):
+            sums.append(part.groupBy("row").agg(nothing.alias("more"), zero.alias("more_base"), F.sum("lp").alias("more_full")))
+        going = hit.where("more").drop("more")
+        depth += 1
+        if depth == 2:
+            now = going.select("row", "train", "i", F.col("deeper").alias("ctx"), F.lit(None).cast("long").alias("deeper"), "nxt", "lp").union(x.where("kind = 2").select(*token))
+        elif depth % 2 == 0:
+            now = going.select("row", "train", "i", F.col("deeper").alias("ctx"), F.lit(None).cast("long").alias("deeper"), "nxt", "lp")
+        else:
+            now = scratch.keep(_deeper(docs, going, depth), "deeper")
+        if now.isEmpty():
+            break
+        ways = scratch.keep(now.where("train").groupBy("ctx", "nxt").agg(F.count("*").alias("n"), F.max("lp").alias("lp")), "ways")
+        states = scratch.keep(chosen(ways.groupBy("ctx").agg(F.sum("n").alias("total"), save.alias("save"))), "states")
+    met = sums[0]
+    for y in sums[1:]:
+        met = met.union(y)
+    met = met.groupBy("row").agg(F.sum("more").alias("more"), F.sum("more_base").alias("more_base"), F.sum("more_full").alias("more_full"))
     out = done.join(met, "row", "left")
-    sums = {k: F.col(k) + F.coalesce(v, F.lit(0)) for k, v in (("sure", "more"), ("base", "more_base"), ("full", "more_full"))}
-    out = out.withColumns(sums)
+    parts = {k: F.col(k) + F.coalesce(v, F.lit(0)) for k, v in (("sure", "more"), ("base", "more_base"), ("full", "more_full"))}
+    out = out.withColumns(parts)
     base = F.col("base") / float(np.log(10)) - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))
     return out.select("doc_id", (~_training()).alias("held_out"), "n_tokens", F.col("sure").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
                       base.alias("base_score"), (F.col("full") / float(np.log(10))).alias("score"))
