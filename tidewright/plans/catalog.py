@@ -10,7 +10,7 @@ from tidewright.functions import normalized_header, number
 from tidewright.operators import resample, scaling, schema, signals, spikes, steady
 from tidewright.sources import lvm
 
-#: Hourly signals: the month's hours, and looser limits, since the values are noise.
+#: Hourly signals: the fewest hours of the grid, and looser limits, since the values are noise.
 HOURS = 720
 HOURLY = Steady(steady_window_seconds=21600.0, min_steady_duration_seconds=10800.0, min_points_per_window=5, max_change_in_window=None,
                 change_fraction_of_scale=1.0, std_fraction_of_scale=0.8)
@@ -26,10 +26,13 @@ def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean value of each hour and event type, null where there is none."""
-    e = events(spark, sf_dir).select("event_type", "value", F.timestamp_diff("HOUR", F.date_trunc("month", "ts").cast("timestamp_ntz"), F.col("ts")).alias("row_idx"))
+    """Mean value of each hour and event type, null where there is none; hours count from the first event's month to the last event, HOURS at least."""
+    e = events(spark, sf_dir)
+    start = e.agg(F.date_trunc("month", F.min("ts")).cast("timestamp_ntz").alias("start"))
+    e = e.crossJoin(F.broadcast(start)).select("event_type", "value", F.timestamp_diff("HOUR", F.col("start"), F.col("ts")).alias("row_idx"))
     means = e.groupBy("event_type", "row_idx").agg(F.avg("value").alias("value")).withColumnRenamed("event_type", "sensor")
-    grid = e.select(F.col("event_type").alias("sensor")).distinct().select("sensor", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOURS - 1).cast("long"))).alias("row_idx"))
+    ends = e.agg(F.greatest(F.max("row_idx"), F.lit(HOURS - 1).cast("long")).alias("last"))
+    grid = e.select(F.col("event_type").alias("sensor")).distinct().crossJoin(F.broadcast(ends)).select("sensor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("row_idx"))
     return grid.join(means, ["sensor", "row_idx"], "left").withColumn("time", F.col("row_idx") * 3600.0).select("sensor", "row_idx", "time", "value")
 
 
@@ -201,7 +204,7 @@ def time_score(spark, sf_dir):
 
 
 def unpivot_signals(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey <= 2000")
+    o = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     wide = o.groupBy(F.col("l_orderkey").alias("row_idx")).agg(F.sum("l_quantity").alias("Qty. total"), F.max("l_tax").alias("tax"), F.count("*").alias("lines"))
     wide = wide.withColumn("time", F.col("row_idx") * 1.0)
     return signals.unpivot(wide, ["Qty. total", "tax", "lines"])
