@@ -7,8 +7,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidewright.llm import bin_slack, license_scan, line_dedup, mixing, odd_sketch, suffix_tree, toxicity
+from tidewright.llm import bin_slack, candidates, license_scan, line_dedup, mixing, odd_sketch, suffix_tree, toxicity
+from tidewright.llm.common import Scratch
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, source string, row long, key long, id long, c long"
@@ -76,6 +78,26 @@ def test_near_duplicates_of_one_short_document(spark, words):
     assert [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got] == [(3, 1, 3, True)]
 
 
+def test_bucket_leaders_deal_out_a_hot_key(spark):
+    rows = [*[(7, i) for i in range(4000)], (7, 11), *[(k, i) for k in range(100, 160) for i in range(k % 4)], (8, 3), (8, 3)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = candidates.bucket_leaders(spark.createDataFrame(rows, "key long, id long"), Scratch(spark, "leaders"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = defaultdict(set)
+    for k, i in rows:
+        want[k].add(i)
+    have, lead = defaultdict(list), defaultdict(set)
+    for r in got.collect():
+        have[r["key"]].append(r["id"])
+        lead[r["key"]].add(r["leader"])
+    assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items() if len(v) > 1}
+    assert all(len(lead[k]) == 1 and lead[k] <= want[k] for k in have)
+    held = [r["count"] for r in got.where("key = 7").groupBy(F.input_file_name()).count().collect()]
+    assert sum(held) == 4000 and max(held) < 2000  # no task wrote the whole key
+
+
 def test_near_duplicates_of_odd_tables(spark, texts):
     assert odd_sketch.near_duplicates(spark, docs_of(spark, [])).count() == 0
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (9, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (7, "q"), (7, "a b c d e f")]

@@ -16,41 +16,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import U64, Scratch, group_pairs, mix64, sorted_groups
+from tidewright.llm.common import U64, Scratch, group_pairs, sorted_groups
 from tidewright.llm.components import connected_components
 
 #: Rows of a bucket that one block compares; larger buckets are cut and compared block by block.
 CHUNK = 512
 
 
-def bucket_leaders(keys: DataFrame, parts: int) -> DataFrame:
+def bucket_leaders(keys: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of keys with at least two ids, and the leader of each: (key, id, leader).
 
-    ``keys`` has key and id; repeated rows count once.
+    ``keys`` has key and id; repeated rows count once. No task holds a key's rows: distinct rows are dealt
+    by key and id, each partition sums up its part of a key, and leaders join the members by a shuffle
+    whose hot partitions Spark can split.
     """
-
-    def run(batches):
-        for t, starts, ends in sorted_groups(batches, ["key"]):
-            sizes = ends - starts
-            if not (sizes > 1).any():
-                continue
-            ids, key = t.column("id").to_numpy(), t.column("key").to_numpy()
-            group = np.repeat(np.arange(len(starts)), sizes)
-            m = sizes[group] > 1
-            ids, key, group = ids[m], key[m], group[m]
-            turn = mix64(ids.astype(U64) ^ mix64(key.astype(U64)))
-            order = np.lexsort((ids, turn, group))
-            ids, key, group = ids[order], key[order], group[order]
-            m = np.append(True, (group[1:] != group[:-1]) | (ids[1:] != ids[:-1]))
-            ids, key, group = ids[m], key[m], group[m]
-            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            n = np.diff(np.append(first, len(ids)))
-            lead, m = np.repeat(ids[first], n), np.repeat(n > 1, n)
-            ids, key, lead = ids[m], key[m], lead[m]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(lead)], names=["key", "id", "leader"])
-
-    dealt = keys.repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "key long, id long, leader long")
+    members = scratch.keep(keys.select("key", "id").distinct(), "members")
+    turn = F.struct(F.xxhash64("key", "id").alias("turn"), "id")
+    leads = members.groupBy("key").agg(F.min(turn).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    leads = scratch.keep(leads.select("key", F.col("lead.id").alias("leader")), "leaders")
+    out = scratch.keep(members.join(leads, "key").select("key", "id", "leader"), "keys")
+    scratch.drop(members)
+    scratch.drop(leads)
+    return out
 
 
 def differing(a: str, b: str, width: int) -> Column:

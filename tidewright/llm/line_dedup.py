@@ -140,8 +140,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, edits: int = EDITS, min_by
                 r = pa.array(row + first)
                 yield pa.RecordBatch.from_arrays([ids.take(r), marks.take(r), pa.array(number.astype(np.int64)), pa.array(h)], names=["doc_id", "mark", "line", "id"])
 
-    keys = bucket_leaders(texts.select("text").mapInArrow(segments, "key long, id long"), parts)
-    keys = scratch.keep(keys, "keys")
+    keys = bucket_leaders(texts.select("text").mapInArrow(segments, "key long, id long"), scratch)
     wanted = scratch.keep(keys.select("id").distinct(), "wanted")
 
     seen = texts.withColumn("mark", _doc_key()).mapInArrow(occurrences, "doc_id long, mark long, line long, id long")

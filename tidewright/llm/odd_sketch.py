@@ -206,7 +206,7 @@ def near_duplicates(
     classes = scratch.keep(classes, "classes")
     # A document with several texts belongs to several classes: their representatives are linked.
     reps = full.join(classes.withColumnRenamed("id", "doc_id"), ["f1", "f2", "doc_id"]).select(F.col("doc_id").alias("id"), "bands", "sketch")
-    keys = scratch.keep(bucket_leaders(reps.select("id", F.explode("bands").alias("key")), parts), "keys")
+    keys = bucket_leaders(reps.select("id", F.explode("bands").alias("key")), scratch)
     wanted = scratch.keep(keys.select("id").distinct(), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(wanted, "id", "left_semi")
     texts = scratch.keep(texts, "texts")
