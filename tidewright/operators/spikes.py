@@ -141,15 +141,12 @@ def fill_missing(signals: DataFrame, column: str = "value", into: str = "filled"
         x, keys = signals.withColumn("bucket", F.floor(F.col("row_idx") / F.lit(bucket_rows))), ["sensor", "bucket"]
         ends = x.where(F.col(column).isNotNull()).groupBy("sensor", "bucket").agg(F.min(known).alias("lo"), F.max(known).alias("hi"))
         all_ = x.select("sensor", "bucket").distinct().join(ends, ["sensor", "bucket"], "left")
-        b = Window.partitionBy("sensor").orderBy("bucket")
-        all_ = all_.withColumns({
-            "before": F.last("hi", ignorenulls=True).over(b.rowsBetween(Window.unboundedPreceding, -1)),
-            "after": F.first("lo", ignorenulls=True).over(b.rowsBetween(1, Window.unboundedFollowing))})
+        up, down = (Window.partitionBy("sensor").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("bucket"), F.desc("bucket")))
+        all_ = all_.withColumns({"before": F.last("hi", ignorenulls=True).over(up), "after": F.last("lo", ignorenulls=True).over(down)})
         x = x.join(all_.select("sensor", "bucket", "before", "after"), ["sensor", "bucket"])
-    w = Window.partitionBy(*keys).orderBy("row_idx")
-    prev = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    x = x.withColumns({"p": prev, "q": nxt})
+    # Backwards too, the frame grows by a row at a time: one that shrinks would be summed up anew for each row.
+    up, down = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("row_idx"), F.desc("row_idx")))
+    x = x.withColumns({"p": F.last(known, ignorenulls=True).over(up), "q": F.last(known, ignorenulls=True).over(down)})
     if bucket_rows is not None:
         x = x.withColumns({"p": F.coalesce("p", "before"), "q": F.coalesce("q", "after")})
     slope = (F.col("q.v") - F.col("p.v")) / (F.col("q.row_idx") - F.col("p.row_idx"))
