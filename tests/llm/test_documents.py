@@ -106,6 +106,16 @@ def test_near_duplicates_of_odd_tables(spark, texts):
     assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)] * 2
 
 
+def test_rows_that_share_a_doc_id_are_linked_by_any_text(spark):
+    r = random.Random(31)
+    near = lambda t: " ".join(w if k else "x" for k, w in enumerate(t.split()))
+    base = {k: prose(r, 150) for k in range(100, 112)}
+    rows = list(base.items()) + [(k - 90, prose(r, 150)) for k in base] + [(k - 90, near(t)) for k, t in base.items()]
+    for order in (rows, rows[::-1]):
+        got = {(x["doc_id"], x["component_id"], x["kept"]) for x in odd_sketch.near_duplicates(spark, docs_of(spark, order), 2, 80).collect()}
+        assert got == {(k, k - 90, False) for k in base} | {(k - 90, k - 90, True) for k in base}
+
+
 def test_a_large_group_of_near_copies(spark):
     """More members than one block holds: still one component, and a text apart stays apart."""
     r = random.Random(3)
@@ -176,19 +186,21 @@ def test_line_copies(spark):
     for x in lines[:8]:
         at = r.randrange(len(x))
         edited.append(x[:at] + "é" * (at % 2) + x[at + 1:])
+    middling = ["of a length for equal lines", "of a length for equal linez"]
     rows = []
     for k in range(60):
-        rows.append((1000 - k, "\n".join(r.choice(lines + edited + ["short", ""]) for _ in range(r.randrange(1, 7)))))
+        rows.append((1000 - k, "\n".join(r.choice(lines + edited + middling + ["short", ""]) for _ in range(r.randrange(1, 7)))))
     rows += [(None, lines[0]), (2000, None), (2001, ""), (2002, lines[1] + "\n" + lines[1]), (2003, prose(r, 9000))]
     got = {(x["doc_id"]): x for x in line_dedup.drop_copies(spark, docs_of(spark, rows)).collect()}
     place = defaultdict(list)
     order = lambda i: (i is None, i or 0)
     for i, t in rows:
         for k, x in enumerate((t or "").split("\n")):
-            if t is not None and len(x.encode()) >= line_dedup.MIN_BYTES:
+            if t is not None and len(x.encode()) >= line_dedup.EXACT_BYTES:
                 place[x].append((order(i), k))
     known = sorted(place)
-    up = components(known, [(a, b) for a in known for b in known if a < b and abs(len(a) - len(b)) < 3 and distance(a.encode(), b.encode()) <= 2])
+    long = [x for x in known if len(x.encode()) >= line_dedup.MIN_BYTES]
+    up = components(known, [(a, b) for a in long for b in long if a < b and abs(len(a) - len(b)) < 3 and distance(a.encode(), b.encode()) <= 2])
     first = defaultdict(lambda: ((True, 9e9), 0))
     for x in known:
         first[up[x]] = min(first[up[x]], *place[x]) if first[up[x]][0][1] != 9e9 else min(place[x])
@@ -196,10 +208,12 @@ def test_line_copies(spark):
         if t is None:
             assert got[i]["text"] is None and (got[i]["n_lines"], got[i]["n_dropped"]) == (0, 0)
             continue
-        kept = [x for k, x in enumerate(t.split("\n")) if len(x.encode()) < line_dedup.MIN_BYTES or first[up[x]] == (order(i), k)]
+        kept = [x for k, x in enumerate(t.split("\n")) if len(x.encode()) < line_dedup.EXACT_BYTES or first[up[x]] == (order(i), k)]
         assert got[i]["text"] == "\n".join(kept)
         assert (got[i]["n_lines"], got[i]["n_dropped"]) == (t.count("\n") + 1, t.count("\n") + 1 - len(kept))
     assert line_dedup.drop_copies(spark, docs_of(spark, [])).count() == 0
+    clash = docs_of(spark, [(1, lines[0]), (2, lines[0])]).selectExpr("doc_id", "text", "1 as gone", "2 as t", "3 as mark", "4 as row", "5 as n_dropped")
+    assert [(x["gone"], x["t"], x["mark"], x["row"], x["n_dropped"]) for x in line_dedup.drop_copies(spark, clash).orderBy("doc_id").collect()] == [(1, 2, 3, 4, 0), (1, 2, 3, 4, 1)]
     assert set(docs_of(spark, []).columns) < set(line_dedup.drop_copies(spark, docs_of(spark, [])).columns)
 
 

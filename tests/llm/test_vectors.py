@@ -147,7 +147,7 @@ def test_components(spark):
 
 def test_blocks_meet_every_pair_once(spark):
     df = spark.createDataFrame([(1, k) for k in range(30)] + [(2, 5)], "key long, id long")
-    x = candidates.blocks(df, "key", 8).collect()
+    x = lattice.blocks(df, "key", 8).collect()
     met = {}
     for r in x:
         met.setdefault((r["key"], r["i"], r["j"]), []).append((r["id"], r["own"]))
@@ -155,6 +155,31 @@ def test_blocks_meet_every_pair_once(spark):
     assert sorted(pairs) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
 
 
+def test_links_across_connect_what_links_connect(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "CHUNK", 8)
+    r = random.Random(6)
+    # key 1: a large component, one that is near it, and single ids; key 2: a part of it; key 3: connected.
+    comp = {k: 0 if k < 40 else 40 if k < 50 else k for k in range(70)}
+    held = {k: [1, 2] if k % 3 == 0 else [1, 3] if k < 40 else [1] for k in comp}
+    value = {k: r.randrange(30) for k in comp}
+    rows = [(key, k, comp[k], held[k], [value[k] >> 2], bytes([value[k]])) for k in comp for key in held[k]]
+    df = spark.createDataFrame(rows, "key long, id long, component_id long, held array<long>, sketch array<long>, payload binary")
+    got = candidates.links_across(df, 1, 1, lambda a, b: abs(a[0] - b[0]) <= 1, 4).collect()
+    want = [(a, b) for a in comp for b in comp if b < a and comp[a] != comp[b] and abs(value[a] - value[b]) <= 1 and ((value[a] >> 2) ^ (value[b] >> 2)).bit_count() <= 1]
+    assert {(x["a"], x["b"]) for x in got} <= set(want)
+
+    def joined(pairs):
+        up = dict.fromkeys(comp)
+        for k in comp:
+            up[k] = comp[k]
+        for a, b in pairs:
+            one, two = up[a], up[b]
+            up = {k: min(one, two) if v in (one, two) else v for k, v in up.items()}
+        return up
+
+    assert joined((x["a"], x["b"]) for x in got) == joined(want)
+
+
 CHAT = "conv_id long, turn long, role string, text string, node long, tree string"
 
 

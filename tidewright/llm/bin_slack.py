@@ -24,7 +24,7 @@ WINDOW, END = 2048, 1
 #: Salts that split the ranking of equal lengths.
 SALTS = 128
 #: Distinct words and word bodies whose ids a worker remembers (about 150 bytes each).
-MEMORY = 800_000
+MEMORY = 250_000
 #: Bytes of the texts that are looked up at once; a longer text is looked up by itself.
 AT_ONCE = 2_000_000
 #: Marks that end many words; a run of them after a letter is a part of its own for the tokenizer.

@@ -1,10 +1,12 @@
 """From candidate buckets to links, without all pairs of a bucket.
 
-Members of a bucket first meet its leader, one of them by a hash of bucket and member, so leaders differ
+Members of a bucket first meet its leader, one of them by an order of the bucket's own, so leaders differ
 between buckets. The pairs with the closest sketches go to the exact test. Buckets whose members are
-connected by then hold nothing new; in the others all pairs across components are weighed by their
-sketches, in blocks of bounded size, and those that are close enough go to the exact test too. So the
-components are those of all links, and a large group of copies costs about one test for each copy.
+connected by then hold nothing new. In the others what is outside the largest component meets all the
+rest, in blocks of bounded size that carry all that the exact test needs: pairs of different components
+whose sketches are close are tested there, the closest first, until they are connected. Only links leave
+a block. So the components are those of all links, and a large group of copies costs about one test for
+each copy.
 """
 
 from __future__ import annotations
@@ -19,23 +21,23 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import U64, Scratch, group_pairs, sorted_groups
 from tidewright.llm.components import connected_components
 
-#: Rows of a bucket that one block compares; larger buckets are cut and compared block by block.
-CHUNK = 512
+#: Rows and bytes of a chunk; a block compares two chunks of a bucket.
+CHUNK, CHUNK_BYTES = 2048, 8 << 20
 
 
 def bucket_leaders(keys: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of keys with at least two ids, and the leader of each: (key, id, leader).
 
-    ``keys`` has key and id; repeated rows count once. No task holds a key's rows: distinct rows are dealt
-    by key and id, each partition sums up its part of a key, and leaders join the members by a shuffle
+    ``keys`` has longs key and id; repeated rows count once. The leader has the least id XOR key. No task
+    holds a key's rows: each partition sums up its part of a key, and leaders join the members by a shuffle
     whose hot partitions Spark can split.
     """
-    members = scratch.keep(keys.select("key", "id").distinct(), "members")
-    turn = F.struct(F.xxhash64("key", "id").alias("turn"), "id")
-    leads = members.groupBy("key").agg(F.min(turn).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    leads = scratch.keep(leads.select("key", F.col("lead.id").alias("leader")), "leaders")
-    out = scratch.keep(members.join(leads, "key").select("key", "id", "leader"), "keys")
-    scratch.drop(members)
+    keys = scratch.keep(keys.select("key", "id"), "keys")
+    turn = F.col("id").bitwiseXOR(F.col("key"))
+    leads = keys.groupBy("key").agg(F.min(turn).alias("lo"), F.max(turn).alias("hi")).where("lo <> hi")
+    leads = scratch.keep(leads.select("key", F.col("lo").bitwiseXOR(F.col("key")).alias("leader")), "leaders")
+    out = scratch.keep(keys.join(leads, "key").select("key", "id", "leader").distinct(), "members")
+    scratch.drop(keys)
     scratch.drop(leads)
     return out
 
@@ -48,17 +50,24 @@ def differing(a: str, b: str, width: int) -> Column:
     return total
 
 
-def blocks(members: DataFrame, key: str, chunk: int) -> DataFrame:
-    """Cut each key's rows into chunks and give each pair of chunks a block.
+def blocks(members: DataFrame) -> DataFrame:
+    """Cut each key's rows into chunks and give each pair of chunks that has anything to compare a block.
 
-    Adds ``i`` and ``j`` (the block, i <= j) and ``own`` (the row's chunk). Every pair of a key's rows
-    meets in just one block, and a block has about two chunks of rows at most.
+    ``members`` has key, id, component_id and size (bytes). Adds ``i`` and ``j`` (the block, i <= j) and
+    ``own`` (the row's chunk). Chunks of a key's largest component come last and don't meet each other;
+    every other pair of a key's rows meets in just one block.
     """
-    counts = members.groupBy(key).agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("c"))
-    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("c")).cast("int")
-    x = members.join(counts, key).withColumn("own", own)
-    x = x.select("*", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("o"))
-    return x.withColumns({"i": F.least("own", "o"), "j": F.greatest("own", "o")}).drop("o", "c")
+    parts = members.groupBy("key", "component_id").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    most = F.max(F.struct("n", "component_id", "b"))
+    sums = parts.groupBy("key").agg(most.alias("m"), F.sum("n").alias("n"), F.sum("b").alias("b"))
+    chunks = lambda n, b: F.greatest(F.ceil(n / F.lit(CHUNK)), F.ceil(b / F.lit(CHUNK_BYTES))).cast("int")
+    sums = sums.select("key", F.col("m.component_id").alias("largest"), chunks(F.col("n") - F.col("m.n"), F.col("b") - F.col("m.b")).alias("q"), chunks(F.col("m.n"), F.col("m.b")).alias("p"))
+    x = members.join(sums, "key").withColumn("last", F.col("component_id") == F.col("largest"))
+    turn = F.xxhash64("id", F.lit(7))
+    own = F.when(F.col("last"), F.col("q") + F.pmod(turn, F.col("p"))).otherwise(F.pmod(turn, F.col("q"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("last"), F.col("q")).otherwise(F.col("q") + F.col("p")) - 1)
+    x = x.where("q > 0").withColumn("own", own).select("*", F.explode(others).alias("o"))
+    return x.withColumns({"i": F.least("own", "o"), "j": F.greatest("own", "o")}).drop("o", "p", "q", "largest", "last", "size")
 
 
 def _unseen(held: list[np.ndarray], key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -71,52 +80,57 @@ def _unseen(held: list[np.ndarray], key: np.ndarray, x: np.ndarray, y: np.ndarra
     return ~seen
 
 
-def pairs_across(members: DataFrame, width: int, most: int, parts: int, closest: bool = False) -> DataFrame:
-    """Pairs (a, b), a > b, of a key's ids in different components whose sketches differ in at most ``most`` bits.
+def _root(up: dict[int, int], c: int) -> int:
+    while (p := up.get(c, c)) != c:
+        up[c] = up.get(p, p)
+        c = p
+    return c
 
-    A pair comes from the least key that both share. With ``closest``, only one for each component and
-    block: that whose sketches are closest.
+
+def links_across(members: DataFrame, width: int, most: int, test: Callable[[bytes, bytes], bool], parts: int) -> DataFrame:
+    """Links (a, b) between a key's ids of different components that connect what all such links connect.
+
+    ``members`` has key, id, component_id, held (the id's keys, ascending), sketch and payload. Pairs whose
+    sketches differ in at most ``most`` bits pass ``test`` (payload, payload) or not; a pair is tested at
+    the least key that both share.
     """
 
     def run(batches):
         for t, starts, ends in sorted_groups(batches, ["key", "i", "j"]):
             ids, comp, key = (t.column(c).to_numpy() for c in ("id", "component_id", "key"))
             own, alone = t.column("own").to_numpy(), t.column("i").to_numpy() == t.column("j").to_numpy()
-            s = np.stack([t.column(f"s{k}").to_numpy() for k in range(width)], axis=1).view(U64)
-            if not closest:
-                lists = t.column("held").combine_chunks()
-                at, flat = np.asarray(lists.offsets), lists.values.to_numpy()
-                n = np.diff(at)
-                # Past its keys a row repeats its own key here, which is not below itself.
-                held = [np.where(k < n, flat[np.minimum(at[:-1] + k, len(flat) - 1)], key) for k in range(int(n.max()))]
+            s = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, width).view(U64)
+            lists = t.column("held").combine_chunks()
+            at, flat = np.asarray(lists.offsets), lists.values.to_numpy()
+            n = np.diff(at)
+            # Past its keys a row repeats its own key here, which is not below itself.
+            held = [np.where(k < n, flat[np.minimum(at[:-1] + k, len(flat) - 1)], key) for k in range(int(n.max()))]
             found = []
             for x, y in group_pairs(starts, ends, max(1 << 12, (1 << 20) // width)):
                 m = (comp[x] != comp[y]) & (alone[x] | (own[x] != own[y]))
                 x, y = x[m], y[m]
-                d = np.bitwise_count(s[x] ^ s[y]).sum(axis=1, dtype=np.int32)
+                d = np.zeros(len(x), np.int32)
+                for k in range(width):
+                    d += np.bitwise_count(s[x, k] ^ s[y, k])
                 m = d <= most
                 x, y, d = x[m], y[m], d[m]
-                if not closest and len(x):
-                    m = _unseen(held, key, x, y)
-                    x, y, d = x[m], y[m], d[m]
-                found.append((x, y, d))
+                m = _unseen(held, key, x, y)
+                found.append((x[m], y[m], d[m]))
             x, y, d = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
-            if closest and len(x):
-                group = np.tile(np.searchsorted(starts, x, side="right"), 2)
-                c, pair = np.append(comp[x], comp[y]), np.tile(np.arange(len(x)), 2)
-                order = np.lexsort((ids[np.append(y, x)], ids[np.append(x, y)], d[pair], c, group))
-                c, group = c[order], group[order]
-                keep = np.unique(pair[order][np.append(True, (c[1:] != c[:-1]) | (group[1:] != group[:-1]))])
-                x, y = x[keep], y[keep]
-            if len(x):
-                a, b = ids[x], ids[y]
-                u = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], names=["a", "b"])
-
-    held = [] if closest else ["held"]
-    x = members.select("key", "id", "component_id", *held, *[F.col("sketch")[k].alias(f"s{k}") for k in range(width)])
-    dealt = blocks(x, "key", CHUNK).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+            payload, out, up = t.column("payload"), [], {}
+            for k in np.argsort(d, kind="stable").tolist():
+                a, b = int(x[k]), int(y[k])
+                one, two = _root(up, int(comp[a])), _root(up, int(comp[b]))
+                if one != two and test(payload[a].as_py(), payload[b].as_py()):
+                    up[max(one, two)] = min(one, two)
+                    out.append((max(ids[a], ids[b]), min(ids[a], ids[b])))
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    x = members.withColumn("size", F.octet_length("payload") + 8 * width)
+    dealt = blocks(x).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.select("key", "i", "j", "own", "id", "component_id", "held", "sketch", "payload").mapInArrow(run, "a long, b long")
 
 
 #: Sketches by id: (table of id and sketch, longs in a sketch, bits that linked ones may differ in).
@@ -124,15 +138,15 @@ Sketches = tuple[DataFrame, int, int]
 
 
 def links(
-    keys: DataFrame, sketches: Sketches, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, parts: int,
-    leaders: int = 3, refine: Callable[[DataFrame], Sketches] | None = None,
+    keys: DataFrame, sketches: Sketches, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], Sketches],
+    test: Callable[[bytes, bytes], bool], scratch: Scratch, parts: int, leaders: int = 3,
 ) -> DataFrame:
     """Confirmed links (a, b) that connect what all confirmed links connect.
 
     ``keys`` is the kept result of ``bucket_leaders``; ``verify`` keeps those pairs (a, b) of a table that
-    pass the exact test. Each id first meets the leaders that it shares most buckets with, then each
-    component its closest others, and last every id all in other components, by the sketches that
-    ``refine`` makes for the ids (table of id) that are left.
+    pass the exact test. Each id first meets the leaders that it shares most buckets with. The ids (table
+    of id) of buckets that are not connected by then get what ``refine`` makes for them, with a column
+    payload for ``test``, and meet in blocks.
     """
     table, width, most = sketches
     shared = keys.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
@@ -142,22 +156,13 @@ def links(
     stars = stars.join(table.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
     tried = scratch.keep(stars.where(differing("sa", "sb", width) <= most).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "tried")
     sure = scratch.keep(verify(tried), "links")
-    for closest in (True, False):
-        found = connected_components(sure, scratch)
-        labelled = keys.select("key", "id").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-        labelled = scratch.keep(labelled, "labelled")
-        open_keys = labelled.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi")
-        open_keys = scratch.keep(open_keys.select("key"), "open")
-        keys = scratch.keep(labelled.join(open_keys, "key"), "left")
-        scratch.drop(labelled)
-        scratch.drop(open_keys)
-        if not closest and refine is not None:
-            table, width, most = refine(keys.select("id").distinct())
-        members = keys.join(table, "id")
-        if not closest:
-            members = members.join(keys.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("held")), "id")
-        rest = pairs_across(members, width, most, parts, closest).join(tried, ["a", "b"], "left_anti")
-        rest = scratch.keep(rest, "rest")
-        tried = tried.union(rest)
-        sure = scratch.keep(sure.union(verify(rest)), "links")
-    return sure
+    found = connected_components(sure, scratch)
+    labelled = keys.select("key", "id").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    labelled = scratch.keep(labelled, "labelled")
+    open_keys = labelled.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi")
+    left = scratch.keep(labelled.join(open_keys.select("key"), "key"), "left")
+    scratch.drop(labelled)
+    table, width, most = refine(left.select("id").distinct())
+    held = left.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("held"))
+    members = left.join(held.join(table, "id"), "id")
+    return scratch.keep(sure.union(links_across(members, width, most, test, parts)), "links")

@@ -143,6 +143,7 @@ def sorted_groups(batches, keys: list[str]):
     Yields (table, starts, ends). A group stays in memory until it ends, so callers bound the groups.
     """
     rest: list[pa.RecordBatch] = []
+    held, size, last = 0, 0, None
 
     def table_of(parts):
         t = pa.Table.from_batches(parts).combine_chunks()
@@ -157,8 +158,12 @@ def sorted_groups(batches, keys: list[str]):
     for batch in batches:
         if not batch.num_rows:
             continue
+        # Rows of the group that is being held come to it as they are; it is joined once it has ended.
+        ended = last is not None and any(batch.column(k)[batch.num_rows - 1] != last[k] for k in keys)
         rest.append(batch)
-        if sum(x.num_rows for x in rest) < 20_000:
+        held, size = held + batch.num_rows, size + batch.nbytes
+        last = {k: batch.column(k)[batch.num_rows - 1] for k in keys}
+        if held < 20_000 and size < 1 << 24 or len(rest) > 1 and not ended:
             continue
         t, starts = table_of(rest)
         cut = int(starts[-1])
@@ -167,6 +172,7 @@ def sorted_groups(batches, keys: list[str]):
         head = t.slice(0, cut)
         yield head, starts[:-1], np.append(starts[1:-1], cut)
         rest = t.slice(cut).to_batches()
+        held, size = t.num_rows - cut, 0
     if rest:
         t, starts = table_of(rest)
         yield t, starts, np.append(starts[1:], t.num_rows)

@@ -18,8 +18,8 @@ from tidewright.llm.candidates import bucket_leaders, links
 from tidewright.llm.common import U64, Scratch, mix64, prefix_hash, range_hash, spans, text_slabs
 from tidewright.llm.components import connected_components
 
-#: Edits within which lines are copies; bytes of a line from which it takes part.
-EDITS, MIN_BYTES = 2, 40
+#: Edits within which lines are copies; bytes of a line from which near copies and exact copies count.
+EDITS, MIN_BYTES, EXACT_BYTES = 2, 40, 20
 #: Members that meet one leader in one group of the exact test.
 MEMBERS = 256
 
@@ -111,12 +111,12 @@ def _doc_key():
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-def drop_copies(spark: SparkSession, docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
+def drop_copies(spark: SparkSession, docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES, exact_bytes: int = EXACT_BYTES) -> DataFrame:
     """``docs`` without copies of lines, with n_lines and n_dropped added.
 
     Lines end at line feeds. Lines of at least ``min_bytes`` bytes are linked where their edit distance is
-    at most ``edits``; of the lines that links connect, the first one stays: by doc_id (null last), then
-    place. Shorter lines always stay. A null text stays null with no lines; an empty one has one line.
+    at most ``edits``, and those of at least ``exact_bytes`` bytes where they are equal; of the lines that
+    links connect, the first one stays: by doc_id (null last), then place. Shorter lines always stay. A null text stays null with no lines; an empty one has one line.
     Rows that are equal in doc_id and text are one document and fare alike; empty tables give empty
     results; all columns pass through, n_chars (if present) follows the text.
     """
@@ -136,7 +136,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, edits: int = EDITS, min_by
     def occurrences(batches):
         for batch in batches:
             ids, marks = batch.column("doc_id"), batch.column("mark")
-            for first, _, _, _, _, row, h, number in _lines(batch.column("text"), min_bytes):
+            for first, _, _, _, _, row, h, number in _lines(batch.column("text"), min(exact_bytes, min_bytes)):
                 r = pa.array(row + first)
                 yield pa.RecordBatch.from_arrays([ids.take(r), marks.take(r), pa.array(number.astype(np.int64)), pa.array(h)], names=["doc_id", "mark", "line", "id"])
 
@@ -159,7 +159,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, edits: int = EDITS, min_by
     def verify(pairs):
         return _verify(pairs, got, edits, parts)
 
-    edges = links(keys, (sketches, 1, 2 * edits), verify, scratch, parts)
+    def refine(ids):
+        left = sketches.join(ids, "id", "left_semi").join(got.withColumnRenamed("line", "payload"), "id")
+        return left, 1, 2 * edits
+
+    edges = links(keys, (sketches, 1, 2 * edits), verify, refine, lambda a, b: within(a, b, edits), scratch, parts)
     classes = scratch.keep(connected_components(edges, scratch), "classes")
     member = seen.join(classes, "id", "left").withColumn("class", F.coalesce("component_id", "id"))
     # Only lines that occur twice or have links can be copies.
@@ -168,16 +172,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, edits: int = EDITS, min_by
     least = scratch.keep(member.groupBy("class").agg(F.min("at").alias("first")), "least")
     gone = member.join(least, "class").where("at <> first").select("at.mark", "at.line")
     gone = gone.groupBy("mark").agg(F.collect_set("line").alias("gone"))
-    x = docs.withColumn("mark_", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    x = x.join(gone.select(F.col("mark").alias("mark_"), "gone"), "mark_", "left").withColumn("t_", F.split(F.col("text").cast("string"), "\n"))
-    kept = F.expr("filter(t_, (l, i) -> not coalesce(array_contains(gone, cast(i as bigint)), false))")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    own = {c: F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")} | {"text": text}
+    # The row as it is stays in one struct, so that no column of it can clash with those added here.
+    text = F.col("text").cast("string")
+    x = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("mark"), F.split(text, "\n").alias("t"), F.struct("*").alias("row"))
+    x = x.join(gone, "mark", "left")
+    # array_except looks places up in a set, so a long document takes time in proportion to its lines.
+    kept = F.expr("transform(array_except(sequence(0L, size(t) - 1L), gone), i -> t[cast(i as int)])")
+    new = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    own = {c: F.col("row").getField(c) for c in docs.columns if c not in ("n_lines", "n_dropped")} | {"text": new}
     if "n_chars" in docs.columns:
-        own["n_chars"] = F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
-    dropped = F.coalesce(F.size("gone"), F.lit(0))
-    n_lines = F.greatest(F.coalesce(F.size("t_"), F.lit(0)), F.lit(0))
-    return x.select(*[v.alias(c) for c, v in own.items()], n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(dropped).cast("long").alias("n_dropped"))
+        own["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+    n_lines = F.greatest(F.coalesce(F.size("t"), F.lit(0)), F.lit(0))
+    n_dropped = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    return x.select(*[v.alias(c) for c, v in own.items()], n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))
 
 
 def _parities(batches):

@@ -7,7 +7,11 @@ odd sketches"), so few pairs come to the exact test on full shingle sets.
 
 Components need no more links than connect them, so proposals are tested in two rounds. First each
 document meets a few leaders, one of each band bucket's members. Buckets whose documents are connected
-by then hold nothing new; in the rest all pairs across components are weighed, in blocks.
+by then hold nothing new; in the rest all pairs across components are weighed by longer sketches, in
+blocks that hold the sets for the exact test.
+
+Documents with equal sets are one class, and classes are what is linked: a document that stands in
+several rows with different texts belongs to several classes, which it connects.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ def shingle_sets(column, n_words: int) -> Iterator[tuple[int, list[np.ndarray]]]
         word = range_hash(prefix_hash(b), s, e)
         cut = np.searchsorted(row, np.arange(len(off)))
         joined = word.copy()
-        for k in range(1, min(n_words, len(word))):
+        for k in range(1, min(n_words, len(word))):  # a slab may hold fewer words than a shingle
             joined[:len(word) - k] = mix64(joined[:len(word) - k] * U64(0xD1342543DE82EF95) + word[k:])
         out = []
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -68,6 +72,11 @@ def signature(hashes: np.ndarray, samples: int) -> np.ndarray:
     return low
 
 
+def fingerprint(h: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of a set, which together tell equal sets."""
+    return mix64(np.array([h.sum(dtype=U64), np.bitwise_xor.reduce(mix64(h))]) + U64(len(h)))
+
+
 def bands_of(low: np.ndarray) -> np.ndarray:
     """One key for each band of each row of signatures."""
     rows = SAMPLES // BANDS
@@ -116,39 +125,63 @@ def sketch_documents(docs: DataFrame, n_words: int) -> DataFrame:
             for first, sets in shingle_sets(batch.column("text"), n_words):
                 n = len(sets)
                 low = np.zeros((n, SAMPLES), np.uint32)
-                f = np.zeros((2, n), U64)
+                f = np.zeros((n, 2), U64)
                 for i, h in enumerate(sets):
                     if len(h):
-                        low[i] = signature(h, SAMPLES)
-                        f[0, i] = h.sum(dtype=U64)
-                        f[1, i] = np.bitwise_xor.reduce(mix64(h))
+                        low[i], f[i] = signature(h, SAMPLES), fingerprint(h)
                 size = np.array([len(h) for h in sets], np.int64)
                 full = size > 0
                 bands, sketch = bands_of(low), odd_sketches(low)
-                f = mix64(f + size.astype(U64)).view(np.int64)
-
+                f = f.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, n), pa.array(size), pa.array(f[0], mask=~full), pa.array(f[1], mask=~full),
+                    [ids.slice(first, n), pa.array(size), pa.array(f[:, 0], mask=~full), pa.array(f[:, 1], mask=~full),
                      _lists(bands, full), _lists(sketch, full)],
                     names=["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def fine_sketches(texts: DataFrame, n_words: int) -> DataFrame:
-    """(id, sketch) of FINE samples for (id, text)."""
+def shingle_bytes(docs: DataFrame, n_words: int) -> DataFrame:
+    """(doc_id, f1, f2, payload): sorted shingle hashes of (doc_id, text) as bytes; blank texts have no row."""
 
     def run(batches):
         for batch in batches:
             for first, sets in shingle_sets(batch.column("text"), n_words):
-                low = np.stack([signature(h, FINE) for h in sets])
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(sets)), _lists(odd_sketches(low), np.ones(len(sets), bool))], names=["id", "sketch"])
+                some = [k for k, h in enumerate(sets) if len(h)]
+                f = np.array([fingerprint(sets[k]) for k in some], U64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array([first + k for k in some], pa.int64())), pa.array(f[:, 0].view(np.int64)), pa.array(f[:, 1].view(np.int64)),
+                     pa.array([sets[k].tobytes() for k in some], pa.binary())], names=["doc_id", "f1", "f2", "payload"])
+
+    return docs.mapInArrow(run, "doc_id long, f1 long, f2 long, payload binary")
+
 
-    return texts.mapInArrow(run, "id long, sketch array<long>")
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """(id, sketch, payload) of FINE samples for (id, payload)."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                low = np.stack([signature(np.frombuffer(p.as_py(), U64), FINE) for p in part.column("payload")])
+                yield pa.RecordBatch.from_arrays([part.column("id"), _lists(odd_sketches(low), np.ones(len(low), bool)), part.column("payload")], names=["id", "sketch", "payload"])
+
+    return sets.select("id", "payload").mapInArrow(run, "id long, sketch array<long>, payload binary")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int, parts: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) with 100 * |A and B| >= percent * |A or B| on full shingle sets.
+def similar(own: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether 100 * |A and B| >= percent * |A or B| for two sorted sets."""
+    small, large = (own, other) if len(own) <= len(other) else (other, own)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    where = np.searchsorted(large, small)
+    where[where == len(large)] = 0
+    both = int((large[where] == small).sum())
+    return 100 * both >= percent * (len(small) + len(large) - both)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are ``similar`` by ``sets`` (id, payload).
 
     Members meet their leader ``b`` in groups of about MEMBERS, sorted so that the leader comes first;
     each group holds one set at a time.
@@ -157,21 +190,13 @@ def verify(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int, parts
     def run(batches):
         lead, at = None, None
         for batch in batches:
-            keys = list(zip(batch.column("b").to_pylist(), batch.column("salt").to_pylist(), strict=True))
-            ids, out = batch.column("a").to_pylist(), []
-            for first, sets in shingle_sets(batch.column("text"), n_words):
-                for k, own in enumerate(sets, first):
-                    if keys[k] != at:
-                        lead, at = own, keys[k]  # sorted: the first row of a group is its leader
-                        continue
-                    small, large = (own, lead) if len(own) <= len(lead) else (lead, own)
-                    if not len(small) or 100 * len(small) < percent * len(large):
-                        continue
-                    where = np.searchsorted(large, small)
-                    where[where == len(large)] = 0
-                    both = int((large[where] == small).sum())
-                    if 100 * both >= percent * (len(small) + len(large) - both):
-                        out.append((ids[k], at[0]))
+            ids, payload, out = batch.column("a").to_pylist(), batch.column("payload"), []
+            for k, key in enumerate(zip(batch.column("b").to_pylist(), batch.column("salt").to_pylist(), strict=True)):
+                own = np.frombuffer(payload[k].as_py(), U64)
+                if key != at:
+                    lead, at = own, key  # sorted: the first row of a group is its leader
+                elif similar(own, lead, percent):
+                    out.append((ids[k], key[0]))
             if out:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -180,9 +205,9 @@ def verify(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int, parts
     member = pairs.join(groups, "b").withColumn("salt", F.pmod(F.xxhash64("a", F.lit(11)), F.col("c")).cast("int"))
     member = member.select("a", "b", "salt", F.lit(1).alias("rank"))
     leader = groups.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("salt"), F.lit(0).alias("rank"))
-    rows = member.union(leader).join(texts.withColumnRenamed("id", "a"), "a").select("b", "salt", "rank", "a", "text")
+    rows = member.union(leader).join(sets.withColumnRenamed("id", "a"), "a").select("b", "salt", "rank", "a", "payload")
     dealt = rows.repartition(parts, "b", "salt").sortWithinPartitions("b", "salt", "rank", "a")
-    return dealt.select("b", "salt", "a", "text").mapInArrow(run, "a long, b long")
+    return dealt.select("b", "salt", "a", "payload").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -193,41 +218,45 @@ def near_duplicates(
     Texts are lower-cased (A-Z), cut at ASCII white space, and taken as sets of ``n_words``-word
     shingles; a text with fewer words is one shingle. Documents are linked where 100 * |A and B| >=
     percent * |A or B|, tested on the full sets. Null and blank texts have no shingles and no links.
-    Equal sets link at once and are then carried by their smallest doc_id. Rows with a null doc_id get a
-    null component and are kept; rows that share a doc_id are one document, linked by any of their
-    texts. Empty tables give empty results; further columns of ``docs`` are ignored.
+    Equal sets link at once. Rows with a null doc_id get a null component and are kept; rows that share a
+    doc_id are one document, linked by any of their texts. Empty tables give empty results; further
+    columns of ``docs`` are ignored.
     """
     scratch = Scratch(spark, "odd-sketch")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = scratch.keep(sketch_documents(docs, n_words), "sketches")
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("top"))
-    classes = scratch.keep(classes, "classes")
-    # A document with several texts belongs to several classes: their representatives are linked.
-    reps = full.join(classes.withColumnRenamed("id", "doc_id"), ["f1", "f2", "doc_id"]).select(F.col("doc_id").alias("id"), "bands", "sketch")
+    # Numbers of classes are given once: the table is written and read again.
+    low = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("low"))
+    classes = scratch.keep(low.withColumn("id", F.monotonically_increasing_id()), "classes")
+    reps = full.join(classes.withColumnRenamed("low", "doc_id"), ["f1", "f2", "doc_id"])
     keys = bucket_leaders(reps.select("id", F.explode("bands").alias("key")), scratch)
-    wanted = scratch.keep(keys.select("id").distinct(), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(wanted, "id", "left_semi")
-    texts = scratch.keep(texts, "texts")
-    coarse = scratch.keep(reps.select("id", "sketch").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sketches")
+    wanted = keys.select("id").distinct().join(classes, "id").withColumnRenamed("low", "doc_id")
+    wanted = scratch.keep(wanted, "wanted")
+    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = shingle_bytes(texts, n_words).join(wanted, ["f1", "f2", "doc_id"]).select("id", "payload")
+    sets = scratch.keep(sets.dropDuplicates(["id"]), "sets")
+    coarse = reps.select("id", "sketch").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    coarse = scratch.keep(coarse, "sketches")
 
     def refine(ids):
-        left = texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
-        return scratch.keep(fine_sketches(left, n_words), "fine"), BITS * FINE // 64, most_differing(percent / 100, FINE)
+        fine = fine_sketches(sets.join(ids, "id", "left_semi"))
+        return scratch.keep(fine, "fine"), BITS * FINE // 64, most_differing(percent / 100, FINE)
 
     edges = links(
-        keys, (coarse, BITS * SAMPLES // 64, most_differing(percent / 100, SAMPLES)),
-        lambda pairs: verify(pairs, texts, n_words, percent, parts), scratch, parts, leaders, refine)
-    member = full.select("doc_id", "f1", "f2").join(classes.where("id <> top"), ["f1", "f2"])
-    same = member.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
-    # Most documents have one text, and so one class: only the others' links can connect classes.
-    several = same.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    edges = edges.union(same.join(several, "a", "left_semi"))
-    final = scratch.keep(connected_components(edges, scratch), "components")
-    home = same.groupBy("a").agg(F.min("b").alias("home")).withColumnRenamed("a", "doc_id")
-    out = rows.select("doc_id", "n_shingles").join(home, "doc_id", "left")
-    out = out.withColumn("id", F.coalesce("home", "doc_id")).join(final, "id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+        keys, (coarse, BITS * SAMPLES // 64, most_differing(percent / 100, SAMPLES)), lambda pairs: verify(pairs, sets, percent, parts), refine,
+        lambda a, b: similar(np.frombuffer(a, U64), np.frombuffer(b, U64), percent), scratch, parts, leaders)
+    member = full.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "id")
+    home = member.groupBy("doc_id").agg(F.min("id").alias("home"), F.max("id").alias("other"))
+    home = scratch.keep(home, "homes")
+    # Most documents have one text, and so one class: only the others connect classes.
+    several = member.join(home.where("home <> other"), "doc_id").where("id <> home").select(F.col("id").alias("a"), F.col("home").alias("b"))
+    final = scratch.keep(connected_components(edges.union(several), scratch), "components")
+    least = final.join(classes.select("id", "low"), "id").groupBy("component_id").agg(F.min("low").alias("least"))
+    known = final.join(least, "component_id").select("id", "least").union(
+        classes.join(final, "id", "left_anti").select("id", F.col("low").alias("least")))
+    of = home.join(known.withColumnRenamed("id", "home"), "home").select("doc_id", F.col("least").alias("of"))
+    out = rows.select("doc_id", "n_shingles").join(of, "doc_id", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("of", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
 from tidewright.llm import bin_slack, lattice, license_scan, line_dedup, mixing, odd_sketch, prefix_forest, reply_trees, suffix_tree, toxicity
 
 
@@ -32,6 +30,8 @@ def op3_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
+    import public_tokenizers  # here: the other queries don't need it
+
     return bin_slack.pack(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 

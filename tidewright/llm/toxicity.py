@@ -11,20 +11,22 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewright.llm.common import Scratch
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most; those with the smallest hashes.
 FIT_ROWS = 20_000
-#: Lexicon entries at most; lengths of word stems; toxic documents and precision that an entry needs.
-ENTRIES, STEMS, SUPPORT, PRECISION = 4000, (4, 5, 6, 7), 5, 0.9
-#: Distinct words whose classes a worker remembers.
-MEMORY = 200_000
+#: Lengths of word stems; toxic documents and precision that a lexicon entry needs.
+STEMS, SUPPORT, PRECISION = (4, 5, 6, 7), 5, 0.9
+#: Distinct words whose classes a task remembers; forms that it counts before it hands them on; rows of text unpacked at once.
+MEMORY, FORMS, ROWS = 100_000, 60_000, 256
 
 #: Function words of the grammar, in English, German, French and Spanish.
 TARGETS = "you your yours yourself he she they him her them his their du dich dir dein ihr euch sie er tu toi te vous votre il elle ils usted tu ti ustedes ellos"
@@ -78,8 +80,14 @@ def grammar() -> tuple[list[list[int]], list[list[int]], str]:
     return follow, written, out
 
 
-def _held_out():
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+def _held_out(doc_id: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
+def _texts(column) -> Iterator[str | None]:
+    """Texts of an Arrow column, unpacked a few at a time."""
+    for first in range(0, len(column), ROWS):
+        yield from column.slice(first, ROWS).to_pylist()
 
 
 def _forms(word: str) -> list[str]:
@@ -88,9 +96,10 @@ def _forms(word: str) -> list[str]:
 
 
 def lexicon(fit: DataFrame, scratch: Scratch) -> dict[str, float]:
-    """Words and stems that tell toxic documents: weights by entry, at most ENTRIES.
+    """Words and stems that tell toxic documents: weights by entry.
 
-    Documents are counted for each form, in tasks first. A stem that a shorter kept stem begins is
+    All come from ``fit``, at most FIT_ROWS rows, and each stands in SUPPORT of them at least, so what
+    comes to the driver does not grow with the corpus. Documents are counted for each form, in tasks first. A stem that a shorter kept stem begins is
     dropped, and so is a word with a kept stem.
     """
 
@@ -105,17 +114,17 @@ def lexicon(fit: DataFrame, scratch: Scratch) -> dict[str, float]:
             return out
 
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for text, label in zip(_texts(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
                 forms = {f for w in set(WORD.findall((text or "").lower())) for f in _forms(w)}
                 (toxic if label else clean).update(forms)
-                if len(toxic) + len(clean) > 300_000:
+                if len(toxic) + len(clean) > FORMS:
                     yield rows()
         yield rows()
 
     counts = fit.select("text", "toxic").mapInArrow(run, "form string, toxic long, clean long")
     counts = counts.groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     good = counts.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
-    found = good.orderBy(F.desc("toxic"), F.length("form"), "form").limit(ENTRIES).collect()
+    found = good.collect()
     kept: dict[str, float] = {}
     for r in sorted(found, key=lambda r: (not r["form"].endswith("*"), len(r["form"]), r["form"])):
         form = r["form"].rstrip("*")
@@ -205,7 +214,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: fl
     def features(batches):
         tagger = Tagger(entries)
         for batch in batches:
-            x = [tagger.features(t) for t in batch.column("text").to_pylist()]
+            x = [tagger.features(t) for t in _texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
 
     rows = fit.select("text", "toxic").mapInArrow(features, "x array<double>, toxic int").collect()
@@ -216,17 +225,22 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: fl
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.1
         weights = np.append(np.zeros(Tagger.FEATURES), np.log(share / (1 - share)))
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    # Columns go by place, so that none can clash; the text goes once, where it is a string already.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    text = names[docs.columns.index("text")]
+    if dict(rows.dtypes)[text] != "string":
+        rows, text = rows.withColumn("text", F.col(text).cast("string")), "text"
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
 
     def scored(batches):
         tagger = Tagger(entries)
         for batch in batches:
-            x = np.array([tagger.features(t) for t in batch.column("_text").to_pylist()]).reshape(-1, Tagger.FEATURES)
+            x = np.array([tagger.features(t) for t in _texts(batch.column(text))]).reshape(-1, Tagger.FEATURES)
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-            keep = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(p)], names=[*batch.schema.names[:-1], "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=schema.names)
 
-    out = docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(scored, f"{fields}, _score double")
-    out = out.withColumn("held_out", _held_out()).withColumn("predicted", (F.col("_score") >= threshold).cast("int"))
-    own = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    return out.select(*own, "held_out", F.col("_score").alias("score"), "predicted")
+    out = rows.mapInArrow(scored, schema)
+    own = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in ("held_out", "score", "predicted")]
+    held_out = _held_out(names[docs.columns.index("doc_id")])
+    return out.select(*own, held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
