@@ -6,6 +6,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,10 +331,7 @@ def test_permutation(spark):
         assert n < 1000 or list(got[got["pass"] == 0].block) != list(range(n))
 
 
-@pytest.mark.parametrize("frequent,top", [(3 << 17, 512), (40, 10)])
-def test_suffix_tree_scores(spark, texts, monkeypatch, frequent, top):
-    monkeypatch.setattr(suffix_tree, "FREQUENT", frequent)
-    monkeypatch.setattr(suffix_tree, "TOP", top)
+def test_suffix_tree_scores(spark, texts):
     r = random.Random(1)
     rows = [*texts, *[(2000 + k, prose(r, 40)) for k in range(60)], (None, "al be"), (3, "Al\x0bbe x")]
     got = suffix_tree.score(spark, docs_of(spark, rows)).toPandas()
@@ -350,10 +349,7 @@ def test_suffix_tree_scores(spark, texts, monkeypatch, frequent, top):
     assert (lone["n_known"], lone["train_tokens"], lone["held_out"]) == (0, 0, True)
 
 
-@pytest.mark.parametrize(("frequent", "top"), [(60, 8), (100_000, 512)])
-def test_suffix_tree_keeps_contexts_of_all_words(spark, monkeypatch, frequent, top):
-    monkeypatch.setattr(suffix_tree, "FREQUENT", frequent)
-    monkeypatch.setattr(suffix_tree, "TOP", top)
+def test_suffix_tree_matches_a_tree_of_dictionaries(spark):
     r = random.Random(4)
     rows = []
     for k in range(150):
@@ -362,41 +358,61 @@ def test_suffix_tree_keeps_contexts_of_all_words(spark, monkeypatch, frequent, t
             x = sum(int(y[1:]) << j for j, y in enumerate(w[-3:]))
             w.append(f"w{x % 30 if w[-1] < 'w15' and x % 2 else (int(w[-1][1:]) * 7 % 30 if x % 3 else r.randrange(200))}")
         rows.append((k, " ".join(w)))
-    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    said = {i: [*t.split(), " "] for i, t in rows}
+    rows += [(300, rows[10][1]), (301, rows[11][1] + " tail"), (302, None), (303, "w1"), (None, rows[12][1])]
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    said = {i: [*(t or "").split(), " "] for i, t in rows}
     c = Counter(w for i, t in said.items() if not out(i) for w in t)
     n, once = sum(c.values()), sum(v == 1 for v in c.values())
     unknown = min(max(once, 1) / (n + 1), 0.5)
-    p = {(i, k): c[w] / n * (1 - unknown) if c[w] else unknown for i, t in said.items() for k, w in enumerate(t)}
-    going, deep = list(p), 0
-    while going:
-        deep += 1
-        at = {(i, k): tuple(said[i][k - deep:k]) for i, k in going if k >= deep}
-        seen, root = defaultdict(Counter), {}
-        for (i, k), ctx in at.items():
-            root[ctx, said[i][k]] = p[i, k]
-            if not out(i):
-                seen[ctx][said[i][k]] += 1
-        total = {x: sum(y.values()) for x, y in seen.items()}
-        kept = {x for x, y in seen.items() if total[x] > 1 and sum(m * np.log(m / total[x] / root[x, w]) for w, m in y.items()) >= suffix_tree.GAIN}
-        going = [z for z, ctx in at.items() if ctx in kept]
-        for i, k in going:
-            ctx = at[i, k]
-            p[i, k] = (seen[ctx][said[i][k]] + suffix_tree.WEIGHT * p[i, k]) / (total[ctx] + suffix_tree.WEIGHT)
-    assert deep > 3
+    root = lambda w: c[w] / n * (1 - unknown) if c[w] else unknown
+    seen = defaultdict(Counter)
+    for i, t in said.items():
+        for k in range(0 if out(i) else len(t)):
+            for d in range(1, k + 1):
+                seen[tuple(t[k - d:k])][t[k]] += 1
+    total = {x: sum(y.values()) for x, y in seen.items()}
+    states = {}
+
+    def p(context, w):
+        """Probability by the longest state that the context ends with."""
+        own = root(w)
+        for d in range(1, len(context) + 1):
+            x = context[-d:]
+            if x not in states:
+                break
+            own = (seen[x][w] + suffix_tree.WEIGHT * own) / (total[x] + suffix_tree.WEIGHT)
+        return own
+
+    for x in sorted(seen, key=len):
+        if total[x] >= 2 and (len(x) == 1 or x[1:] in states):
+            if sum(m * np.log(m / total[x] / p(x[1:], w)) - suffix_tree.COST for w, m in seen[x].items()) >= 0:
+                states[x] = True
+    assert max(map(len, states)) > 3
+    for x in random.Random(5).sample(sorted(states), 30):
+        assert sum(p(x, w) for w in [*c, "unknown"]) == pytest.approx(1)
     got = {g["doc_id"]: g["score"] for g in suffix_tree.score(spark, docs_of(spark, rows)).collect()}
     for i, t in said.items():
-        assert got[i] == pytest.approx(sum(np.log10(p[i, k]) for k in range(len(t))))
-
-
-def test_suffix_states_sum_to_one():
-    rng = np.random.default_rng(2)
-    counts = np.sort(rng.integers(50, 900, 6))[::-1].astype(np.int64)
-    p0 = counts / counts.sum() * 0.7
-    pairs = np.stack([rng.multinomial(int(n * 0.8), rng.dirichlet(np.ones(6) * 0.4)) for n in counts])
-    inner, other = suffix_tree._top_table(pairs, counts, p0)
-    for k in range(6):
-        assert (p0 * np.exp(inner[k, :6])).sum() + (1 - p0.sum()) * np.exp(other[k]) == pytest.approx(1)
+        assert got[i] == pytest.approx(sum(np.log10(p(tuple(t[:k]), t[k])) for k in range(len(t))))
+    # Texts that occur twice stand out.
+    assert got[300] > 2 * sum(np.log10(root(w)) for w in said[300]) / 3
+
+
+def test_sums_of_slabs():
+    """A round's keys come back in order with the sums of all slabs, whatever their buckets."""
+    rng = np.random.default_rng(3)
+    slabs = [np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64) % np.uint64(500) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(4)]
+    values = [rng.integers(-5, 9, len(k)) for k in slabs]
+    asked = pa.concat_tables([suffix_tree._rows(j, b"", 1, k, v, 7) for j, (k, v) in enumerate(zip(slabs, values, strict=True))])
+    want, back = Counter(), defaultdict(list)
+    for k, v in zip(slabs, values, strict=True):
+        for x, y in zip(k.tolist(), v.tolist(), strict=True):
+            want[x] += y
+    for b in range(7):
+        answer = suffix_tree._sum_up(asked.filter(pa.compute.equal(asked.column("bucket"), b)))
+        for slab, sums in zip(answer.column("slab").to_pylist(), answer.column("sums").to_pylist(), strict=True):
+            back[slab] += suffix_tree.unpack(sums)["v"].tolist()
+    for j, k in enumerate(slabs):
+        assert back[j] == [want[x] for x in k.tolist()]
 
 
 def test_toxicity(spark):

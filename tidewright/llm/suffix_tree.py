@@ -1,180 +1,325 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Symbols are the training words, a document's end, and one for all unknown words. A context becomes a
-state if its next-symbol distribution, over all its occurrences, saves enough against that of its
-longest kept suffix (Ron, Singer and Tishby, "The power of amnesia"); a state's distribution is smoothed
-towards its suffix's, and the longest suffix state scores each token. Every word that stands before
-another is a context; from each state grow the contexts that are one word longer, as deep as there are
-states.
-
-The FREQUENT most frequent words and the TOP by TOP table of exact pairs are held by every task, whatever
-the corpus; all other counts and states stay in tables and meet their tokens in joins. Words and contexts
-are 64-bit hashes.
+Symbols are the training words, a document's end, and one for all unknown words. A context of d words is a
+state if its suffix of d - 1 words is one (the root always is), if it occurs twice or more, and if its
+next-symbol distribution diverges enough from its suffix's: the nats that it saves over all its
+occurrences must pay COST for each different next symbol (Ron, Singer and Tishby, "The power of
+amnesia"). A state's distribution is smoothed towards its suffix's, and the longest suffix state scores
+each token. Every word that stands before another is a context, and contexts grow as deep as there are
+states: no word, count or depth is left out.
+
+Tokens stay where their documents are, in slabs of about TOKENS tokens. A round sums up what all slabs
+say about keys (words, contexts with what follows them, contexts): each slab hands on its distinct keys
+with its own sums, keys are dealt to buckets by their hash, and each slab gets back the whole sums of the
+keys that it has named. A hot word is one key of each slab, and a bucket holds about ASKS keys. Depth by
+depth one round counts, and one adds up savings in whole units, so that sums don't depend on their order.
+Words and contexts are 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import U64, Scratch, lower_ascii, mix64, prefix_hash, range_hash, spans, text_slabs, white
 
-#: Words whose counts every task holds, at most; of these, words whose pairs are counted in a table.
-FREQUENT, TOP = 3 << 17, 512
-#: Nats that a state must save over its occurrences; weight of the suffix in smoothing.
-GAIN, WEIGHT = 8.0, 1.0
-#: Tokens that a counting task holds before it hands their counts on.
-HELD = 1_000_000
+#: Tokens of a slab (a longer document is a slab of its own) and keys of a bucket, about; the fewest buckets.
+TOKENS, ASKS, BUCKETS = 1 << 19, 1 << 19, 64
+#: Nats that each different next symbol of a state costs; weight of the suffix in smoothing; units of a nat.
+COST, WEIGHT, UNITS = 8.0, 1.0, 1 << 20
+
+_END = np.zeros(1, U64)
+_MULTIPLIER, _FOLLOWS = U64(0xD1342543DE82EF95), U64(0x6C62272E07BB0142)
+
+
+def _held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
 
-_END = np.int64(0)
 
+def pack(arrays: dict[str, np.ndarray]) -> bytes:
+    """Arrays as bytes, byte plane by byte plane: high bytes of small numbers compress to nothing."""
+    head = json.dumps([(k, a.dtype.str, len(a)) for k, a in arrays.items()]).encode()
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays.values()]
+    return b"".join([len(head).to_bytes(4, "little"), head, *planes])
 
-def _training():
-    return ~F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+
+def unpack(raw: bytes) -> dict[str, np.ndarray]:
+    at = 4 + int.from_bytes(raw[:4], "little")
+    out = {}
+    for name, kind, n in json.loads(raw[4:at]):
+        size = np.dtype(kind).itemsize
+        out[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(kind)
+        at += n * size
+    return out
 
 
 def _tokens(column):
-    """Words of each text and its end, slab by slab: first row, rows, hashes, row and place of each token."""
+    """Words of each text and its end, slab by slab: first row, hashes, and tokens of each row."""
     for first, b, off in text_slabs(column):
         b = lower_ascii(b)
         s, e, row = spans(~white(b), off)
-        n = len(off) - 1
-        upto = np.cumsum(np.bincount(row, minlength=n))
-        word = np.insert(range_hash(prefix_hash(b), s, e).view(np.int64), upto, _END)
-        row = np.insert(row, upto, np.arange(n))
-        start = np.append(0, upto[:-1]) + np.arange(n)
-        yield first, n, word, row, np.arange(len(word)) - start[row]
-
-
-def _context(word: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Hashes of the ``depth`` words before each of the tokens ``at``, which must be there."""
-    h = np.full(len(at), depth, U64)
-    for k in range(1, depth + 1):
-        h = mix64(h * U64(0xD1342543DE82EF95) + word[at - k].astype(np.int64).view(U64))
-    return h.view(np.int64)
+        size = np.bincount(row, minlength=len(off) - 1)
+        yield first, np.insert(range_hash(prefix_hash(b), s, e), np.cumsum(size), _END[0]), size + 1
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) over all tokens of training documents."""
+def slabs(docs: DataFrame) -> DataFrame:
+    """(slab, state, active): documents (doc_id, text, train) as slabs of tokens."""
 
     def run(batches):
-        held, n = [], 0
+        base, made = TaskContext.get().partitionId() << 32, 0
+        held: list[tuple] = []
+
+        def row():
+            nonlocal made
+            made += 1
+            ids, null, train, size, word = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            words, stream = np.unique(word, return_inverse=True)
+            state = pack({"ids": ids, "null": null, "train": train, "size": size.astype(np.int64), "words": words, "stream": stream.astype(np.uint32)})
+            return pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([state], pa.binary()), pa.array([len(word)], pa.int64())], names=["slab", "state", "active"])
+
+        n = 0
         for batch in batches:
-            for _, _, word, _, _ in _tokens(batch.column("text")):
-                held.append(word)
+            ids = batch.column("doc_id")
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            ids, train = ids.fill_null(0).to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
+            for first, word, size in _tokens(batch.column("text")):
+                part = slice(first, first + len(size))
+                held.append((ids[part], null[part], train[part], size, word))
                 n += len(word)
-                if n > HELD:
-                    w, c = np.unique(np.concatenate(held), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(c.astype(np.int64))], names=["word", "c"])
-                    held, n = [], 0
+                if n >= TOKENS:
+                    yield row()
+                    n = 0
         if held:
-            w, c = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(c.astype(np.int64))], names=["word", "c"])
+            yield row()
 
-    x = docs.where(_training()).select("text").mapInArrow(run, "word long, c long")
-    return x.groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(run, "slab long, state binary, active long")
 
 
-def _number(words: np.ndarray, order: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Places of ``x`` among the frequent words by count, -1 for others; ``words`` ascend."""
-    if not len(words):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(words, x), len(words) - 1)
-    return np.where(words[at] == x, order[at], -1)
+def _lookup(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(keys, return_inverse=True)
 
 
-def count_pairs(docs: DataFrame, shared) -> DataFrame:
-    """(ctx, nxt, number, c, code) over training documents, partly summed.
+class Slab:
+    """Documents of a slab, and what is known of their tokens so far.
 
-    Rows with a code count pairs of TOP words; the others a word as context and what follows it, with the
-    place of that among the frequent words.
+    ``advance`` takes the sums that a round has brought and returns the keys and values of the next one.
     """
 
-    def run(batches):
-        words, order = shared.value
-        pairs = np.zeros(TOP * TOP, np.int64)
-        held, n = [], 0
-        names = ["ctx", "nxt", "number", "c", "code"]
-
-        def rows():
-            a, b, num = (np.concatenate(z) for z in zip(*held, strict=True))
-            by = np.lexsort((b, a))
-            a, b, num = a[by], b[by], num[by]
-            at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, int)
-            c = np.diff(np.append(at, len(a)))
-            k = len(at)
-            return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(num[at].astype(np.int32)), pa.array(c.astype(np.int64)), pa.nulls(k, pa.int64())], names=names)
+    def __init__(self, raw: bytes):
+        self.has = unpack(raw)
+        self.step = int(self.has.pop("step", np.zeros(1, np.int64))[0])
+        size = self.has["size"]
+        if "stream" in self.has:
+            self.doc = np.repeat(np.arange(len(size)), size)
+            self.place = np.arange(len(self.doc)) - np.repeat(np.cumsum(size) - size, size)
+            self.train = self.has["train"][self.doc]
+
+    def raw(self) -> bytes:
+        return pack({**self.has, "step": np.array([self.step], np.int64)})
+
+    @property
+    def active(self) -> int:
+        return len(self.has["at"]) if "at" in self.has else len(self.has.get("stream", ()))
+
+    def _word(self, at: np.ndarray) -> np.ndarray:
+        return self.has["words"][self.has["stream"][at]]
+
+    def _context(self, at: np.ndarray, depth: int) -> np.ndarray:
+        """Hashes of the ``depth`` words before each of the tokens ``at``, which must be there."""
+        h = np.full(len(at), depth, U64)
+        for k in range(1, depth + 1):
+            h = mix64(h * _MULTIPLIER + self._word(at - k))
+        return h
+
+    def _follows(self, context: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return mix64((context ^ _FOLLOWS) * _MULTIPLIER + self._word(at))
+
+    def _sums(self, where: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
+        """Whole numbers below 2**53, so that they add up exactly."""
+        return np.bincount(where, values, n).astype(np.int64)
+
+    def _add(self, name: str, at: np.ndarray, values: np.ndarray) -> None:
+        self.has[name] = self.has[name] + np.bincount(self.doc[at], values, len(self.has["size"]))
+
+    # Depth 0: words.
+
+    def ask_words(self):
+        stream, words = self.has["stream"], self.has["words"]
+        return words, self._sums(stream, len(words), self.train)
+
+    def take_words(self, sums: np.ndarray, model: tuple[int, float]):
+        self.has["c"] = sums
+        n = len(self.has["size"])
+        c = sums[self.has["stream"]]
+        self.has |= {"known": np.bincount(self.doc, c > 0, n).astype(np.int64), "base": np.bincount(self.doc, np.log(c + 1.0), n), "score": np.zeros(n)}
+        return self.ask_pairs()
+
+    def _roots(self, model: tuple[int, float]) -> np.ndarray:
+        """Log probability of each distinct word at the root."""
+        n, unknown = model
+        c = self.has["c"]
+        return np.where(c > 0, np.log(np.maximum(c, 1) / n * (1 - unknown)), np.log(unknown))
+
+    # Depth 1: a word and what follows it.
+
+    def _first(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens after a word that occurs twice, what occurs of them at all, and whether their count must be asked for."""
+        c, stream = self.has["c"], self.has["stream"]
+        at = np.flatnonzero(self.place > 0)
+        at = at[c[stream[at - 1]] >= 2]
+        own = c[stream[at]]
+        known = (own == 0) | (self.train[at] & (own == 1))
+        return at, own, ~known
+
+    def ask_pairs(self):
+        at, _, asked = self._first()
+        at = at[asked]
+        keys, where = _lookup(self._follows(self._context(at, 1), at))
+        return keys, self._sums(where, len(keys), self.train[at])
+
+    def take_pairs(self, sums: np.ndarray, model: tuple[int, float]):
+        at, own, asked = self._first()
+        keys, where = _lookup(self._follows(self._context(at[asked], 1), at[asked]))
+        n = np.minimum(own, 1)
+        n[asked] = sums[where]
+        self.has["n"] = n
+        lp = self._roots(model)[self.has["stream"][at]]
+        return self._savings(at, self.has["c"][self.has["stream"][at - 1]], n, lp, 1)
+
+    def _savings(self, at, total, n, lp, depth):
+        """What each context saves over its suffix, less its cost; contexts that occur twice or more."""
+        keys, where = _lookup(self._context(at, depth))
+        m = self.train[at]
+        each = np.rint((np.log(n[m] / total[m]) - lp[m] - COST / n[m]) * UNITS)
+        return keys, self._sums(where[m], len(keys), each)
+
+    def take_first_savings(self, sums: np.ndarray, model: tuple[int, float]):
+        stream, at, n = self.has["stream"], self._first()[0], self.has.pop("n")
+        roots = self._roots(model)
+        total = self.has.pop("c")
+        total, lp = total[stream[at - 1]], roots[stream[at]]
+        rest = np.ones(len(stream), bool)
+        rest[at] = False
+        self._add("score", np.flatnonzero(rest), roots[stream[rest]])
+        twice = np.zeros(len(stream), bool)
+        twice[at] = n >= 2
+        self.has["twice"] = np.packbits(twice)
+        return self._deepen(at, total, n, lp, sums, 1)
+
+    # From depth to depth.
+
+    def _deepen(self, at, total, n, lp, sums, depth):
+        """Score by the states of ``depth``; what may have a state below goes on and asks for its counts."""
+        keys, where = _lookup(self._context(at, depth))
+        state = sums[where] >= 0 if len(at) else np.zeros(0, bool)
+        lp = np.where(state, np.log((n + WEIGHT * np.exp(lp)) / (total + WEIGHT)), lp)
+        on = state & (self.place[at] > depth)
+        twice = np.unpackbits(self.has["twice"], count=len(self.has["stream"])).view(bool)
+        on[on] = twice[at[on] - depth]  # else the longer context occurs once at most
+        self._add("score", at[~on], lp[~on])
+        self.has |= {"at": at[on].astype(np.uint32), "lp": lp[on].astype(np.float32)}
+        if not on.any():
+            for name in ("at", "lp", "twice", "words", "stream"):
+                del self.has[name]
+            return np.zeros(0, U64), np.zeros(0, np.int64)
+        return self._counts(at[on], depth + 1)[:2]
+
+    def _counts(self, at, depth):
+        context = self._context(at, depth)
+        one, of = _lookup(context)
+        two, to = _lookup(self._follows(context, at))
+        train = self.train[at]
+        values = np.append(self._sums(of, len(one), train), self._sums(to, len(two), train))
+        keys = np.append(one, two)
+        order = np.argsort(keys)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return keys[order], values[order], back[of], back[len(one) + to]
+
+    def take_counts(self, sums: np.ndarray, depth: int):
+        at = self.has["at"].astype(np.int64)
+        _, _, of, to = self._counts(at, depth)
+        total, n, lp = sums[of], sums[to], self.has["lp"].astype(float)
+        m = total >= 2
+        self._add("score", at[~m], lp[~m])
+        at, total, n, lp = at[m], total[m], n[m], lp[m]
+        self.has |= {"at": at.astype(np.uint32), "lp": lp.astype(np.float32), "total": total, "n": n}
+        return self._savings(at, total, n, lp, depth)
+
+    def take_savings(self, sums: np.ndarray, depth: int):
+        return self._deepen(self.has["at"].astype(np.int64), self.has.pop("total"), self.has.pop("n"), self.has["lp"].astype(float), sums, depth)
+
+    def advance(self, sums: np.ndarray, model: tuple[int, float]):
+        """Steps: words, pairs, savings, and then counts and savings for each further depth."""
+        self.step += 1
+        if self.step == 1:
+            return self.take_words(sums, model)
+        if "stream" not in self.has:
+            return np.zeros(0, U64), np.zeros(0, np.int64)
+        if self.step == 2:
+            return self.take_pairs(sums, model)
+        if self.step == 3:
+            return self.take_first_savings(sums, model)
+        return (self.take_savings if self.step % 2 else self.take_counts)(sums, self.step // 2)
+
+
+_ROUND = "slab long, bucket int, keys binary, sums binary, state binary, active long"
+
+
+def _rows(slab: int, raw: bytes, active: int, keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
+    """A slab's row, and one for each bucket that it asks: keys ascend, and so do buckets."""
+    bucket = ((keys >> U64(32)) * U64(buckets)) >> U64(32)
+    at = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U64))
+    some = np.flatnonzero(at[1:] > at[:-1])
+    n = len(some)
+    parts = [(keys[at[b]:at[b + 1]], values[at[b]:at[b + 1]]) for b in some.tolist()]
+    columns = [
+        pa.array([slab] * (n + 1), pa.int64()), pa.array([None, *some.tolist()], pa.int32()), pa.array([None, *(k.tobytes() for k, _ in parts)], pa.binary()),
+        pa.array([None, *(pack({"v": v}) for _, v in parts)], pa.binary()), pa.array([raw] + [None] * n, pa.binary()), pa.array([active] + [None] * n, pa.int64())]
+    return pa.Table.from_arrays(columns, names=["slab", "bucket", "keys", "sums", "state", "active"])
+
+
+def _sum_up(table: pa.Table) -> pa.Table:
+    """A bucket's sums for each slab that asks, and how many keys have a positive one, have 1, and their total."""
+    keys = [np.frombuffer(k.as_py(), U64) for k in table.column("keys")]
+    values = np.concatenate([unpack(v.as_py())["v"] for v in table.column("sums")])
+    every, where = _lookup(np.concatenate(keys))
+    order = np.argsort(where, kind="stable")
+    sums = np.add.reduceat(values[order], np.searchsorted(where[order], np.arange(len(every))))
+    parts = np.split(sums[where], np.cumsum([len(k) for k in keys])[:-1])
+    first = lambda x: pa.array([int(x)] + [0] * (len(parts) - 1), pa.int64())
+    columns = [table.column("slab"), table.column("bucket"), pa.array([pack({"v": p}) for p in parts], pa.binary()), first(sums.sum()), first((sums > 0).sum()), first((sums == 1).sum())]
+    return pa.Table.from_arrays(columns, names=["slab", "bucket", "sums", "total", "distinct", "once"])
+
+
+def _asked(buckets: int):
+    """The slabs' first round: counts of words."""
 
+    def run(batches):
         for batch in batches:
-            for _, _, word, _, place in _tokens(batch.column("text")):
-                number = _number(words, order, word)
-                at = np.flatnonzero(place > 0)
-                a, b = number[at - 1], number[at]
-                m = (a >= 0) & (a < TOP) & (b >= 0) & (b < TOP)
-                pairs += np.bincount(a[m] * TOP + b[m], minlength=TOP * TOP)
-                at, b = at[~m], b[~m]
-                held.append((_context(word, at, 1), word[at], b))
-                n += len(at)
-                if n > HELD:
-                    yield rows()
-                    held, n = [], 0
-        if held:
-            yield rows()
-        code = np.flatnonzero(pairs)
-        k = len(code)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(pairs[code]), pa.array(code.astype(np.int64))], names=names)
+            for k in range(batch.num_rows):
+                raw = batch.column("state")[k].as_py()
+                slab = Slab(raw)
+                yield from _rows(batch.column("slab")[k].as_py(), raw, slab.active, *slab.ask_words(), buckets).to_batches()
 
-    return docs.where(_training()).select("text").mapInArrow(run, "ctx long, nxt long, number int, c long, code long")
+    return run
 
 
-def _top_table(pairs: np.ndarray, counts: np.ndarray, p0: np.ndarray, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log factors over the root for a TOP word after a TOP word, and for any other word after one.
+def _advanced(model: tuple[int, float], buckets: int):
+    def run(states: pa.Table, answers: pa.Table) -> pa.Table:
+        slab = Slab(states.column("state")[0].as_py())
+        order = np.argsort(answers.column("bucket").to_numpy())
+        sums = [unpack(answers.column("sums")[k].as_py())["v"] for k in order.tolist()]
+        keys, values = slab.advance(np.concatenate(sums) if sums else np.zeros(0, np.int64), model)
+        return _rows(states.column("slab")[0].as_py(), slab.raw(), slab.active, keys, values, buckets)
 
-    ``kept`` are the states, if they are known from all next words.
-    """
-    k = len(p0)
-    total = np.maximum(counts.astype(float), 1)
-    rest, rest0 = np.maximum(total - pairs.sum(axis=1), 0), max(1 - p0.sum(), 1e-12)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = pairs / total[:, None]
-        gain = np.where(pairs > 0, pairs * np.log(p / p0[None, :]), 0).sum(axis=1) + np.where(rest > 0, rest * np.log(rest / total / rest0), 0)
-    inner = np.log((pairs + WEIGHT * p0[None, :]) / (total + WEIGHT)[:, None]) - np.log(p0)[None, :]
-    outer = np.log((rest + WEIGHT * rest0) / (total + WEIGHT) / rest0)
-    kept = gain >= GAIN if kept is None else kept
-    table, other = np.zeros((TOP, TOP)), np.zeros(TOP)
-    table[:k, :k], other[:k] = np.where(kept[:, None], inner, 0), np.where(kept, outer, 0)
-    return table, other
-
-
-def _deeper(docs: DataFrame, tokens: DataFrame, depth: int) -> DataFrame:
-    """``tokens`` with the contexts of ``depth`` words and of one more, if there are so many, from their texts."""
-
-    def run(batches):
-        names = ["row", "train", "i", "ctx", "deeper", "nxt", "lp"]
-        for batch in batches:
-            lists = batch.column("tokens")
-            for first, m, word, row, place in _tokens(batch.column("text")):
-                part = lists.slice(first, m)
-                flat = part.flatten()
-                size = np.diff(part.offsets.to_numpy())
-                of = np.repeat(np.arange(m), size)
-                start = np.flatnonzero(place == 0)
-                i = flat.field("i").to_numpy()
-                at = start[of] + i
-                two = i > depth
-                longer = np.zeros(len(at), np.int64)
-                longer[two] = _context(word, at[two], depth + 1)
-                r = pa.array(of + first)
-                whole = pa.RecordBatch.from_arrays(
-                    [batch.column("row").take(r), batch.column("train").take(r), pa.array(i), pa.array(_context(word, at, depth)), pa.array(longer, mask=~two), flat.field("nxt"), flat.field("lp")], names=names)
-                for lo in range(0, len(at), 50_000):
-                    yield whole.slice(lo, 50_000)
-
-    lists = tokens.groupBy("row", "train").agg(F.collect_list(F.struct("i", "nxt", "lp")).alias("tokens"))
-    x = lists.join(docs.select("row", "text"), "row").select("row", "train", "text", "tokens")
-    return x.mapInArrow(run, "row long, train boolean, i int, ctx long, deeper long, nxt long, lp double")
+    return run
 
 
 def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -184,142 +329,44 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     base_score (add-one unigrams over the known words and one more) and score (the model's), both log10.
     Unknown words are one symbol in both; the model gives it the share that words seen once have.
     Null and empty texts are an end alone; a null doc_id is not held out; equal rows count as often as
-    they stand; without training rows nothing is known. Further columns are ignored.
+    they stand; without training rows nothing is known. A text is tokenized in one task, whole. Further
+    columns are ignored.
     """
     scratch = Scratch(spark, "suffix-tree")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row", F.monotonically_increasing_id())
-    docs = scratch.keep(docs, "documents")  # numbered once: rows are read again by their number
-    counts = scratch.keep(count_words(docs), "counts")
-    seen = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, True))).first()
-    total, distinct, once = map(int, seen)
-    n = max(total, 1)
-    unknown = min(max(once, 1) / (n + 1), 0.5)
-    # Words by count, in steps of a sixteenth of an octave: the highest steps with at most FREQUENT words.
-    step = F.floor(F.log2("c") * 16)
-    steps = counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect()
-    room, least = FREQUENT, 1 << 20
-    for r in steps:
-        room -= r["n"]
-        if room < 0:
-            break
-        least = r["s"]
-    often = counts.where(step >= least).toArrow().sort_by([("c", "descending"), ("word", "ascending")])  # at most FREQUENT rows
-    c, word = often.column("c").to_numpy().copy(), often.column("word").to_numpy().copy()
-    order = np.argsort(word)
-    shared = spark.sparkContext.broadcast((word[order], order))
-    logs = np.append(np.log(c / n * (1 - unknown)), 0.0)
-    rare_counts = counts.where(step < least).select(F.col("word").alias("nxt"), F.col("c").alias("own"))
-    root = F.when(F.col("own") > 0, F.log(F.col("own") * ((1 - unknown) / n))).otherwise(float(np.log(unknown)))
-
-    found = scratch.keep(count_pairs(docs, shared), "pairs")
-    codes = found.where("code is not null").groupBy("code").agg(F.sum("c").alias("c")).toPandas()  # at most TOP * TOP rows
-    table = np.zeros(TOP * TOP)
-    table[codes["code"].to_numpy(np.int64)] = codes["c"]
-    k = min(TOP, len(c))
-    table = table.reshape(TOP, TOP)[:k, :k]
-    pairs = scratch.keep(found.where("code is null").groupBy("ctx", "nxt").agg(F.max("number").alias("number"), F.sum("c").alias("n")), "summed")
-    scratch.drop(found)
-    # The root's log share of what follows: FREQUENT rows at most go to all tasks, other words meet their counts.
-    held = spark.createDataFrame(pa.table({"number": np.arange(len(c), dtype=np.int32), "lp": logs[:-1]}))
-    known = pairs.where("number >= 0").join(F.broadcast(held), "number").select("ctx", "nxt", "n", "lp")
-    ways = known.union(pairs.where("number < 0").join(rare_counts, "nxt", "left").select("ctx", "nxt", "n", root.alias("lp")))
-    ways = scratch.keep(ways, "ways")
-    scratch.drop(pairs)
-    save = F.sum(F.col("n") * (F.log("n") - F.col("lp")))
-    totals = scratch.keep(ways.groupBy("ctx").agg(F.sum("n").alias("total"), save.alias("save")), "totals")
-    # A TOP word's test takes in the pairs that the table holds.
-    tops = _context(np.append(word[:k], 0), np.arange(1, k + 1), 1)
-    names = spark.createDataFrame([(int(h),) for h in tops], "ctx long")
-    part = {r["ctx"]: (r["total"], r["save"]) for r in totals.join(F.broadcast(names), "ctx").collect()}  # at most TOP rows
-    more, saved = (np.array([part.get(int(h), (0, 0.0))[j] for h in tops], float) for j in (0, 1))
-    every = table.sum(axis=1) + more
-    with np.errstate(divide="ignore", invalid="ignore"):
-        saved += np.where(table > 0, table * (np.log(table) - logs[None, :k]), 0).sum(axis=1) - np.where(every > 0, every * np.log(every), 0)
-    kept = (every > 1) & (saved >= GAIN)
-    inner = _top_table(table, every, np.exp(logs[:k]), kept)[0]
-    is_top = np.append(kept, np.zeros(TOP - k, bool))
-
-    def chosen(x):
-        return x.where((F.col("total") > 1) & (F.col("save") - F.col("total") * F.log("total") >= GAIN)).select("ctx", "total")
-
-    states = chosen(totals.join(F.broadcast(names), "ctx", "left_anti"))
-    states = states.union(spark.createDataFrame([(int(h), int(t)) for h, t, m in zip(tops, every, kept, strict=True) if m], "ctx long, total long"))
-    states = scratch.keep(states, "states")
-    model = spark.sparkContext.broadcast((c, logs, inner, is_top))
-
-    def scan(batches):
-        words, order = shared.value
-        c, logs, inner, is_top = model.value
-        ones = np.append(np.log(c + 1.0), 0.0)
-        none = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-        columns = ["row", "train", "kind", "doc_id", "n_tokens", "sure", "base", "full", "i", "ctx", "deeper", "nxt", "lp"]
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (~_held_out()).alias("train"))
+    now = scratch.keep(slabs(docs), "slabs")
+    active = now.agg(F.sum("active")).first()[0] or 0
+    model, distinct, step = None, 0, 0
+    while active:
+        buckets = max(BUCKETS, -(-active // ASKS))
+        if step == 0:
+            before, now = now, scratch.keep(now.mapInArrow(_asked(buckets), _ROUND), "round")
+            scratch.drop(before)
+        answers = now.where("bucket is not null").select("slab", "bucket", "keys", "sums").groupBy("bucket").applyInArrow(
+            _sum_up, "slab long, bucket int, sums binary, total long, distinct long, once long")
+        answers = scratch.keep(answers, "answers")
+        if step == 0:
+            total, distinct, once = (int(x or 0) for x in answers.agg(F.sum("total"), F.sum("distinct"), F.sum("once")).first())
+            model = (max(total, 1), min(max(once, 1) / (max(total, 1) + 1), 0.5))
+        states = now.where("state is not null").select("slab", "state")
+        step += 1
+        after = states.groupBy("slab").cogroup(answers.select("slab", "bucket", "sums").groupBy("slab")).applyInArrow(_advanced(model, buckets), _ROUND)
+        after = scratch.keep(after, "round")
+        scratch.drop(now)
+        scratch.drop(answers)
+        now = after
+        active = now.agg(F.sum("active")).first()[0] or 0
+
+    def rows(batches):
         for batch in batches:
-            for first, m, word, row, place in _tokens(batch.column("text")):
-                w = _number(words, order, word)
-                p = logs[w]
-                a = np.append(-1, w[:-1])
-                a[place == 0] = -1
-                top = (a >= 0) & (a < TOP)
-                state = top & is_top[np.where(top, a, 0)]
-                pair = state & (w >= 0) & (w < TOP)
-                p[pair] += inner[a[pair], w[pair]]
-                # 1: words that meet their first context; 2: those that the table has taken there; 3: words that are not held.
-                kind = np.where(w < 0, 3, np.where(pair, np.where(place > 1, 2, 0), np.where((place > 0) & (~top | state), 1, 0)))
-                sums = [np.bincount(row, minlength=m), np.bincount(row, w >= 0, m).astype(np.int64), np.bincount(row, ones[w], m), np.bincount(row, np.where(kind == 0, p, 0), m)]
-                rows, train = batch.column("row").slice(first, m), batch.column("train").slice(first, m)
+            for raw in batch.column("state"):
+                s = unpack(raw.as_py())
                 yield pa.RecordBatch.from_arrays(
-                    [rows, train, pa.array(np.zeros(m, np.int32)), batch.column("doc_id").slice(first, m), *(pa.array(x) for x in sums), *(pa.nulls(m, t) for t in none)], names=columns)
-                at = np.flatnonzero(kind)
-                for lo in range(0, len(at), 50_000):
-                    t = at[lo:lo + 50_000]
-                    r, g = pa.array(row[t]), kind[t]
-                    one, two = (place[t] > 0) & (~top[t] | state[t]), place[t] > 1
-                    c1, c2 = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
-                    c1[one], c2[two] = _context(word, t[one], 1), _context(word, t[two], 2)
-                    ctx, is_ctx = np.where(g == 2, c2, c1), one
-                    yield pa.RecordBatch.from_arrays(
-                        [rows.take(r), train.take(r), pa.array(g.astype(np.int32)), *(pa.nulls(len(t), x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())),
-                         pa.array(place[t].astype(np.int32)), pa.array(ctx, mask=~is_ctx), pa.array(c2, mask=~two | (g == 2)), pa.array(word[t]), pa.array(p[t])], names=columns)
-
-    schema = "row long, train boolean, kind int, doc_id long, n_tokens long, sure long, base double, full double, i int, ctx long, deeper long, nxt long, lp double"
-    x = scratch.keep(docs.select("row", _training().alias("train"), "doc_id", "text").mapInArrow(scan, schema), "tokens", by="kind")
-    done = x.where("kind = 0").select("row", "doc_id", "n_tokens", "sure", "base", "full")
-    token = ["row", "train", "i", "ctx", "deeper", "nxt", "lp"]
-    rare = x.where("kind = 3").join(rare_counts, "nxt", "left").withColumn("lp", root)
-    rare = scratch.keep(rare.select(*token, F.coalesce("own", F.lit(0)).alias("own")), "rare")
-    zero = F.lit(0.0)
-    nothing = F.lit(0).cast("long")
-    sums = [rare.groupBy("row").agg(F.count(F.when(F.col("own") > 0, True)).alias("more"), F.sum(F.log(F.col("own") + 1.0)).alias("more_base"),
-                                    F.sum(F.when(F.col("ctx").isNull(), F.col("lp")).otherwise(0.0)).alias("more_full"))]
-    now = x.where("kind = 1").select(*token).union(rare.where("ctx is not null").select(*token))
-    depth = 1
-    while True:
-        met = now.join(states, "ctx", "left").withColumn("state", F.col("total").isNotNull())
-        met = scratch.keep(met, "met", by="state")
-        own = F.log((F.coalesce("n", F.lit(0)) + WEIGHT * F.exp("lp")) / (F.col("total") + WEIGHT))
-        hit = met.where("state").join(ways.select("ctx", "nxt", "n"), ["ctx", "nxt"], "left").select("row", "train", "i", "ctx", "deeper", "nxt", own.alias("lp"))
-        hit = scratch.keep(hit.withColumn("more", F.col("i") > depth), "hit", by="more")
-        for part in (met.where("not state"), hit.where("not more")):
-            sums.append(part.groupBy("row").agg(nothing.alias("more"), zero.alias("more_base"), F.sum("lp").alias("more_full")))
-        going = hit.where("more").drop("more")
-        depth += 1
-        if depth == 2:
-            now = going.select("row", "train", "i", F.col("deeper").alias("ctx"), F.lit(None).cast("long").alias("deeper"), "nxt", "lp").union(x.where("kind = 2").select(*token))
-        elif depth % 2 == 0:
-            now = going.select("row", "train", "i", F.col("deeper").alias("ctx"), F.lit(None).cast("long").alias("deeper"), "nxt", "lp")
-        else:
-            now = scratch.keep(_deeper(docs, going, depth), "deeper")
-        if now.isEmpty():
-            break
-        ways = scratch.keep(now.where("train").groupBy("ctx", "nxt").agg(F.count("*").alias("n"), F.max("lp").alias("lp")), "ways")
-        states = scratch.keep(chosen(ways.groupBy("ctx").agg(F.sum("n").alias("total"), save.alias("save"))), "states")
-    met = sums[0]
-    for y in sums[1:]:
-        met = met.union(y)
-    met = met.groupBy("row").agg(F.sum("more").alias("more"), F.sum("more_base").alias("more_base"), F.sum("more_full").alias("more_full"))
-    out = done.join(met, "row", "left")
-    parts = {k: F.col(k) + F.coalesce(v, F.lit(0)) for k, v in (("sure", "more"), ("base", "more_base"), ("full", "more_full"))}
-    out = out.withColumns(parts)
-    base = F.col("base") / float(np.log(10)) - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))
-    return out.select("doc_id", (~_training()).alias("held_out"), "n_tokens", F.col("sure").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-                      base.alias("base_score"), (F.col("full") / float(np.log(10))).alias("score"))
+                    [pa.array(s["ids"], mask=s["null"]), pa.array(~s["train"]), pa.array(s["size"]), pa.array(s["known"]), pa.array(s["base"]), pa.array(s["score"])],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+    out = now.where("state is not null").select("state").mapInArrow(rows, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    total = model[0] if model and distinct else 0
+    log10 = float(np.log(10))
+    base = F.col("base") / log10 - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") / log10).alias("score"))
