@@ -10,10 +10,11 @@ states: no word, count or depth is left out.
 
 Tokens stay where their documents are, in slabs of about TOKENS tokens. A round sums up what all slabs
 say about keys (words, contexts with what follows them, contexts): each slab hands on its distinct keys
-with its own sums, keys are dealt to buckets by their hash, and each slab gets back the whole sums of the
+with its own sums, keys are dealt to buckets by hash, and each slab gets back the whole sums of the
 keys that it has named. A hot word is one key of each slab, and a bucket holds about ASKS keys. Depth by
 depth one round counts, and one adds up savings in whole units, so that sums don't depend on their order.
-Words and contexts are 64-bit hashes.
+Words and contexts are hashes of up to 64 bits, as
+many as the number of tokens asks for.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ from tidewright.llm.common import U64, Scratch, lower_ascii, mix64, prefix_hash,
 
 #: Tokens of a slab (a longer document is a slab of its own) and keys of a bucket, about; the fewest buckets.
 TOKENS, ASKS, BUCKETS = 1 << 19, 1 << 19, 64
-#: Nats that each different next symbol of a state costs; weight of the suffix in smoothing; units of a nat.
-COST, WEIGHT, UNITS = 8.0, 1.0, 1 << 20
+#: Nats that each different next symbol of a state costs; weight of the suffix in smoothing; units of a nat;
+#: bits that a key has beyond those that number the tokens.
+COST, WEIGHT, UNITS, SPARE = 12.0, 1.0, 1 << 20, 24
 
 _END = np.zeros(1, U64)
 _MULTIPLIER, _FOLLOWS = U64(0xD1342543DE82EF95), U64(0x6C62272E07BB0142)
@@ -42,13 +44,15 @@ def _held_out():
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
-    """Arrays as bytes, byte plane by byte plane: high bytes of small numbers compress to nothing."""
+    """Arrays as compressed bytes, byte plane by byte plane: high bytes of small numbers come to nothing."""
     head = json.dumps([(k, a.dtype.str, len(a)) for k, a in arrays.items()]).encode()
     planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays.values()]
-    return b"".join([len(head).to_bytes(4, "little"), head, *planes])
+    body = b"".join([len(head).to_bytes(4, "little"), head, *planes])
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
 
 def unpack(raw: bytes) -> dict[str, np.ndarray]:
+    raw = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
     at = 4 + int.from_bytes(raw[:4], "little")
     out = {}
     for name, kind, n in json.loads(raw[4:at]):
@@ -105,17 +109,32 @@ def _lookup(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_inverse=True)
 
 
+def _sums(where: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
+    """Whole numbers below 2**53, so that they add up exactly."""
+    return np.bincount(where, values, n).astype(np.int64)
+
+
+def _told(where: np.ndarray, n: int, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``n`` keys, its tokens in training and whether it has others."""
+    return _sums(where, n, train), np.bincount(where[~train], minlength=n) > 0
+
+
 class Slab:
     """Documents of a slab, and what is known of their tokens so far.
 
-    ``advance`` takes the sums that a round has brought and returns the keys and values of the next one.
+    Steps: words, pairs of words, savings of words, and then counts and savings for each further depth.
+    ``ask`` gives a step's keys, in ascending order, the slab's own sums, and where a token that is held out
+    wants them; ``take`` takes the whole sums of those keys and whether any slab's tokens want them, and
+    goes on to the next step. ``model`` has the bits of a key, and from the second step
+    on the number of training tokens and the share of unknown words.
     """
 
-    def __init__(self, raw: bytes):
-        self.has = unpack(raw)
+    def __init__(self, raw: bytes, model: tuple):
+        self.has, self.model = unpack(raw), model
+        self.shift = U64(64 - model[0])
         self.step = int(self.has.pop("step", np.zeros(1, np.int64))[0])
-        size = self.has["size"]
-        if "stream" in self.has:
+        if self.step < 3:
+            size = self.has["size"]
             self.doc = np.repeat(np.arange(len(size)), size)
             self.place = np.arange(len(self.doc)) - np.repeat(np.cumsum(size) - size, size)
             self.train = self.has["train"][self.doc]
@@ -125,7 +144,7 @@ class Slab:
 
     @property
     def active(self) -> int:
-        return len(self.has["at"]) if "at" in self.has else len(self.has.get("stream", ()))
+        return len(self.has["stream" if self.step < 3 else "at"])
 
     def _word(self, at: np.ndarray) -> np.ndarray:
         return self.has["words"][self.has["stream"][at]]
@@ -138,186 +157,201 @@ class Slab:
         return h
 
     def _follows(self, context: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return mix64((context ^ _FOLLOWS) * _MULTIPLIER + self._word(at))
+        return mix64((context ^ _FOLLOWS) * _MULTIPLIER + self._word(at)) >> self.shift
 
-    def _sums(self, where: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
-        """Whole numbers below 2**53, so that they add up exactly."""
-        return np.bincount(where, values, n).astype(np.int64)
+    def _add(self, doc: np.ndarray, values: np.ndarray) -> None:
+        self.has["score"] = self.has["score"] + np.bincount(doc, values, len(self.has["size"]))
 
-    def _add(self, name: str, at: np.ndarray, values: np.ndarray) -> None:
-        self.has[name] = self.has[name] + np.bincount(self.doc[at], values, len(self.has["size"]))
+    def ask(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.active:
+            return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, bool)
+        if self.step == 0:
+            keys, where = _lookup(self.has["words"] >> self.shift)
+            return keys, *_told(where[self.has["stream"]], len(keys), self.train)
+        if self.step == 1:
+            at = self._firsts()[2]
+            keys, where = _lookup(self._follows(self._context(at, 1), at))
+            return keys, *_told(where, len(keys), self.train[at])
+        if self.step == 2:
+            keys, where, at = self._first_contexts()
+            return self._saved(keys, where, *self._first_shares(at), self.train[at])
+        at, train, depth = self.has["at"].astype(np.int64), self.has["train"][self.has["of"]], (self.step + 1) // 2
+        if self.step % 2:
+            keys, values, wants = self._counts(at, train, depth)[:3]
+            return keys, values, wants
+        keys, where = _lookup(self._context(at, depth) >> self.shift)
+        return self._saved(keys, where, self.has["total"], self.has["n"], self.has["lp"].astype(float), train)
+
+    def take(self, sums: np.ndarray, wanted: np.ndarray) -> None:
+        if self.step > 2 and not self.active:
+            return
+        (self._take_words if self.step == 0 else self._take_pairs if self.step == 1 else self._take_first_savings if self.step == 2
+         else self._take_counts if self.step % 2 else self._take_savings)(sums, wanted)
+        self.step += 1
 
     # Depth 0: words.
 
-    def ask_words(self):
-        stream, words = self.has["stream"], self.has["words"]
-        return words, self._sums(stream, len(words), self.train)
+    def _take_words(self, sums, wanted):
+        words, stream = self.has["words"], self.has["stream"]
+        where = _lookup(words >> self.shift)[1]
+        c, want = sums[where], wanted[where]
+        n, own = len(self.has["size"]), c[stream]
+        self.has |= {"c": c, "known": np.bincount(self.doc, own > 0, n).astype(np.int64), "base": np.bincount(self.doc, np.log(own + 1.0), n), "score": np.zeros(n)}
+        # A word that only one token of all has is no context, and nobody asks what it follows.
+        self.has |= {"want": want, "words": np.where((c >= 2) | want, words, U64(0))}
 
-    def take_words(self, sums: np.ndarray, model: tuple[int, float]):
-        self.has["c"] = sums
-        n = len(self.has["size"])
-        c = sums[self.has["stream"]]
-        self.has |= {"known": np.bincount(self.doc, c > 0, n).astype(np.int64), "base": np.bincount(self.doc, np.log(c + 1.0), n), "score": np.zeros(n)}
-        return self.ask_pairs()
-
-    def _roots(self, model: tuple[int, float]) -> np.ndarray:
+    def _roots(self) -> np.ndarray:
         """Log probability of each distinct word at the root."""
-        n, unknown = model
+        _, n, unknown = self.model
         c = self.has["c"]
         return np.where(c > 0, np.log(np.maximum(c, 1) / n * (1 - unknown)), np.log(unknown))
 
     # Depth 1: a word and what follows it.
 
-    def _first(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens after a word that occurs twice, what occurs of them at all, and whether their count must be asked for."""
+    def _firsts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens after a word that occurs twice, whether their count must be asked for, and those where it must."""
         c, stream = self.has["c"], self.has["stream"]
         at = np.flatnonzero(self.place > 0)
         at = at[c[stream[at - 1]] >= 2]
         own = c[stream[at]]
-        known = (own == 0) | (self.train[at] & (own == 1))
-        return at, own, ~known
-
-    def ask_pairs(self):
-        at, _, asked = self._first()
-        at = at[asked]
-        keys, where = _lookup(self._follows(self._context(at, 1), at))
-        return keys, self._sums(where, len(keys), self.train[at])
-
-    def take_pairs(self, sums: np.ndarray, model: tuple[int, float]):
-        at, own, asked = self._first()
-        keys, where = _lookup(self._follows(self._context(at[asked], 1), at[asked]))
-        n = np.minimum(own, 1)
-        n[asked] = sums[where]
-        self.has["n"] = n
-        lp = self._roots(model)[self.has["stream"][at]]
-        return self._savings(at, self.has["c"][self.has["stream"][at - 1]], n, lp, 1)
-
-    def _savings(self, at, total, n, lp, depth):
-        """What each context saves over its suffix, less its cost; contexts that occur twice or more."""
-        keys, where = _lookup(self._context(at, depth))
-        m = self.train[at]
-        each = np.rint((np.log(n[m] / total[m]) - lp[m] - COST / n[m]) * UNITS)
-        return keys, self._sums(where[m], len(keys), each)
-
-    def take_first_savings(self, sums: np.ndarray, model: tuple[int, float]):
-        stream, at, n = self.has["stream"], self._first()[0], self.has.pop("n")
-        roots = self._roots(model)
-        total = self.has.pop("c")
-        total, lp = total[stream[at - 1]], roots[stream[at]]
+        asked = (own > 1) | ((own == 1) & self.has["want"][stream[at]])
+        return at, asked, at[asked]
+
+    def _take_pairs(self, sums, wanted):
+        at, asked, some = self._firsts()
+        n = np.minimum(self.has["c"][self.has["stream"][at]], 1)
+        where = _lookup(self._follows(self._context(some, 1), some))[1]
+        want = np.zeros(len(n), bool)
+        n[asked], want[asked] = sums[where], wanted[where]
+        self.has |= {"n": n, "want2": want}
+
+    def _first_contexts(self):
+        """Keys of the words before tokens, the place among them of each token's, and the tokens."""
+        at = self._firsts()[0]
+        before = self.has["stream"][at - 1]
+        used = np.flatnonzero(np.bincount(before, minlength=len(self.has["words"])))
+        keys, where = _lookup(mix64(np.ones(len(used), U64) * _MULTIPLIER + self.has["words"][used]) >> self.shift)
+        number = np.zeros(len(self.has["words"]), np.int64)
+        number[used] = where
+        return keys, number[before], at
+
+    def _first_shares(self, at):
+        stream, c = self.has["stream"], self.has["c"]
+        return c[stream[at - 1]], self.has["n"], self._roots()[stream[at]]
+
+    @staticmethod
+    def _saved(keys, where, total, n, lp, train):
+        """What the training tokens of each context save over its suffix, less the costs of symbols, in whole units."""
+        n = n[train]
+        each = np.rint((np.log(n / total[train]) - lp[train] - COST / n) * UNITS)
+        return keys, _sums(where[train], len(keys), each), np.zeros(len(keys), bool)
+
+    def _take_first_savings(self, sums, wanted):
+        _, where, at = self._first_contexts()
+        stream, roots = self.has["stream"], self._roots()
+        total, n, lp = self._first_shares(at)
         rest = np.ones(len(stream), bool)
         rest[at] = False
-        self._add("score", np.flatnonzero(rest), roots[stream[rest]])
+        self._add(self.doc[rest], roots[stream[rest]])
         twice = np.zeros(len(stream), bool)
         twice[at] = n >= 2
-        self.has["twice"] = np.packbits(twice)
-        return self._deepen(at, total, n, lp, sums, 1)
+        want = self.has.pop("want2")
+        for name in ("c", "n", "want"):
+            del self.has[name]
+        self._deepen(at, self.doc[at], total, n, want, lp, sums[where] >= 0, twice, 1)
 
     # From depth to depth.
 
-    def _deepen(self, at, total, n, lp, sums, depth):
-        """Score by the states of ``depth``; what may have a state below goes on and asks for its counts."""
-        keys, where = _lookup(self._context(at, depth))
-        state = sums[where] >= 0 if len(at) else np.zeros(0, bool)
+    def _deepen(self, at, doc, total, n, want, lp, state, twice, depth):
+        """Score by the states of ``depth``; what may have a state below goes on, with the words that it may need.
+
+        ``twice`` tells the tokens that occur twice with the word before them: a context grows by a word
+        only there, else it occurs once at most.
+        """
         lp = np.where(state, np.log((n + WEIGHT * np.exp(lp)) / (total + WEIGHT)), lp)
-        on = state & (self.place[at] > depth)
-        twice = np.unpackbits(self.has["twice"], count=len(self.has["stream"])).view(bool)
-        on[on] = twice[at[on] - depth]  # else the longer context occurs once at most
-        self._add("score", at[~on], lp[~on])
-        self.has |= {"at": at[on].astype(np.uint32), "lp": lp[on].astype(np.float32)}
-        if not on.any():
-            for name in ("at", "lp", "twice", "words", "stream"):
-                del self.has[name]
-            return np.zeros(0, U64), np.zeros(0, np.int64)
-        return self._counts(at[on], depth + 1)[:2]
-
-    def _counts(self, at, depth):
-        context = self._context(at, depth)
-        one, of = _lookup(context)
-        two, to = _lookup(self._follows(context, at))
-        train = self.train[at]
-        values = np.append(self._sums(of, len(one), train), self._sums(to, len(two), train))
-        keys = np.append(one, two)
-        order = np.argsort(keys)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        return keys[order], values[order], back[of], back[len(one) + to]
-
-    def take_counts(self, sums: np.ndarray, depth: int):
-        at = self.has["at"].astype(np.int64)
-        _, _, of, to = self._counts(at, depth)
-        total, n, lp = sums[of], sums[to], self.has["lp"].astype(float)
+        on = state & twice[at - depth]
+        self._add(doc[~on], lp[~on])
+        at, stream = at[on], self.has["stream"]
+        # Words before a token, back to where one doesn't occur twice with the word before it.
+        run = np.cumsum(~twice)
+        needed = np.zeros(int(run[-1]) + 1 if len(run) else 0, bool)
+        needed[run[at - 1]] = True
+        keep = needed[run] if len(run) else np.zeros(0, bool)
+        keep[at] = True
+        used, stream = np.unique(stream[keep], return_inverse=True)
+        self.has |= {
+            "words": self.has["words"][used], "stream": stream.astype(np.uint32), "twice": np.packbits(twice[keep]),
+            "at": (np.cumsum(keep) - 1)[at].astype(np.uint32), "of": doc[on].astype(np.uint32), "lp": lp[on].astype(np.float32), "some": np.minimum(n[on], 2).astype(np.uint8), "want": want[on]}
+
+    def _counts(self, at, train, depth):
+        """Keys, sums and wants of the contexts and of what follows them, and the places among the keys of each token's.
+
+        What never has followed a context never follows a longer one; what has once does so once more in its
+        own place, which is asked for only if a token that is held out wants it.
+        """
+        context, some = self._context(at, depth), self.has["some"]
+        asked = (some > 1) | ((some == 1) & self.has["want"])
+        one, of = _lookup(context >> self.shift)
+        two, to = _lookup(self._follows(context[asked], at[asked]))
+        keys, back = _lookup(np.append(one, two))
+        told = [np.append(x, y) for x, y in zip(_told(of, len(one), train), _told(to, len(two), train[asked]), strict=True)]
+        return keys, _sums(back, len(keys), told[0]), _sums(back, len(keys), told[1]) > 0, back[:len(one)][of], asked, back[len(one):][to]
+
+    def _take_counts(self, sums, wanted):
+        at, doc = self.has["at"].astype(np.int64), self.has["of"]
+        _, _, _, of, asked, to = self._counts(at, self.has["train"][doc], (self.step + 1) // 2)
+        total, n = sums[of], self.has.pop("some").astype(np.int64)
+        want = np.zeros(len(n), bool)
+        n[asked], want[asked] = sums[to], wanted[to]
         m = total >= 2
-        self._add("score", at[~m], lp[~m])
-        at, total, n, lp = at[m], total[m], n[m], lp[m]
-        self.has |= {"at": at.astype(np.uint32), "lp": lp.astype(np.float32), "total": total, "n": n}
-        return self._savings(at, total, n, lp, depth)
-
-    def take_savings(self, sums: np.ndarray, depth: int):
-        return self._deepen(self.has["at"].astype(np.int64), self.has.pop("total"), self.has.pop("n"), self.has["lp"].astype(float), sums, depth)
+        self._add(doc[~m], self.has["lp"][~m].astype(float))
+        self.has |= {"total": total[m], "n": n[m], "want": want[m], **{k: self.has[k][m] for k in ("at", "of", "lp")}}
 
-    def advance(self, sums: np.ndarray, model: tuple[int, float]):
-        """Steps: words, pairs, savings, and then counts and savings for each further depth."""
-        self.step += 1
-        if self.step == 1:
-            return self.take_words(sums, model)
-        if "stream" not in self.has:
-            return np.zeros(0, U64), np.zeros(0, np.int64)
-        if self.step == 2:
-            return self.take_pairs(sums, model)
-        if self.step == 3:
-            return self.take_first_savings(sums, model)
-        return (self.take_savings if self.step % 2 else self.take_counts)(sums, self.step // 2)
+    def _take_savings(self, sums, wanted):
+        at, depth = self.has["at"].astype(np.int64), self.step // 2
+        where = _lookup(self._context(at, depth) >> self.shift)[1]
+        twice = np.unpackbits(self.has["twice"], count=len(self.has["stream"])).view(bool)
+        self._deepen(at, self.has["of"], self.has.pop("total"), self.has.pop("n"), self.has["want"], self.has["lp"].astype(float), sums[where] >= 0, twice, depth)
 
 
-_ROUND = "slab long, bucket int, keys binary, sums binary, state binary, active long"
+def _asked(model: tuple, buckets: int):
+    """(slab, bucket, asks): what each slab asks each bucket; buckets are ranges of keys."""
 
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                keys, values, wants = Slab(batch.column("state")[k].as_py(), model).ask()
+                bucket = ((keys >> U64(model[0] - 32)) * U64(buckets)) >> U64(32)
+                at = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U64))
+                some = np.flatnonzero(at[1:] > at[:-1])
+                # Differences of ascending keys: a part of a key's bytes.
+                asks = [pack({"k": np.diff(keys[at[b]:at[b + 1]], prepend=U64(0)), "v": values[at[b]:at[b + 1]], "w": wants[at[b]:at[b + 1]]}) for b in some.tolist()]
+                slab = np.full(len(some), batch.column("slab")[k].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(slab), pa.array(some.astype(np.int32)), pa.array(asks, pa.binary())], names=["slab", "bucket", "asks"])
 
-def _rows(slab: int, raw: bytes, active: int, keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
-    """A slab's row, and one for each bucket that it asks: keys ascend, and so do buckets."""
-    bucket = ((keys >> U64(32)) * U64(buckets)) >> U64(32)
-    at = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U64))
-    some = np.flatnonzero(at[1:] > at[:-1])
-    n = len(some)
-    parts = [(keys[at[b]:at[b + 1]], values[at[b]:at[b + 1]]) for b in some.tolist()]
-    columns = [
-        pa.array([slab] * (n + 1), pa.int64()), pa.array([None, *some.tolist()], pa.int32()), pa.array([None, *(k.tobytes() for k, _ in parts)], pa.binary()),
-        pa.array([None, *(pack({"v": v}) for _, v in parts)], pa.binary()), pa.array([raw] + [None] * n, pa.binary()), pa.array([active] + [None] * n, pa.int64())]
-    return pa.Table.from_arrays(columns, names=["slab", "bucket", "keys", "sums", "state", "active"])
+    return run
 
 
 def _sum_up(table: pa.Table) -> pa.Table:
-    """A bucket's sums for each slab that asks, and how many keys have a positive one, have 1, and their total."""
-    keys = [np.frombuffer(k.as_py(), U64) for k in table.column("keys")]
-    values = np.concatenate([unpack(v.as_py())["v"] for v in table.column("sums")])
-    every, where = _lookup(np.concatenate(keys))
+    """A bucket's sums for each slab that asks; their total, and how many are positive and how many 1, in its first row."""
+    asks = [unpack(x.as_py()) for x in table.column("asks")]
+    every, where = _lookup(np.concatenate([np.cumsum(x["k"], dtype=U64) for x in asks]))
     order = np.argsort(where, kind="stable")
-    sums = np.add.reduceat(values[order], np.searchsorted(where[order], np.arange(len(every))))
-    parts = np.split(sums[where], np.cumsum([len(k) for k in keys])[:-1])
+    sums = np.add.reduceat(np.concatenate([x["v"] for x in asks])[order], np.searchsorted(where[order], np.arange(len(every))))
+    wanted = np.bincount(where[np.concatenate([x["w"] for x in asks])], minlength=len(every)) > 0
+    parts = np.split(where, np.cumsum([len(x["k"]) for x in asks])[:-1])
     first = lambda x: pa.array([int(x)] + [0] * (len(parts) - 1), pa.int64())
-    columns = [table.column("slab"), table.column("bucket"), pa.array([pack({"v": p}) for p in parts], pa.binary()), first(sums.sum()), first((sums > 0).sum()), first((sums == 1).sum())]
+    columns = [table.column("slab"), table.column("bucket"), pa.array([pack({"v": sums[p], "w": wanted[p]}) for p in parts], pa.binary()), first(sums.sum()), first((sums > 0).sum()), first((sums == 1).sum())]
     return pa.Table.from_arrays(columns, names=["slab", "bucket", "sums", "total", "distinct", "once"])
 
 
-def _asked(buckets: int):
-    """The slabs' first round: counts of words."""
-
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                raw = batch.column("state")[k].as_py()
-                slab = Slab(raw)
-                yield from _rows(batch.column("slab")[k].as_py(), raw, slab.active, *slab.ask_words(), buckets).to_batches()
-
-    return run
-
-
-def _advanced(model: tuple[int, float], buckets: int):
+def _advanced(model: tuple):
     def run(states: pa.Table, answers: pa.Table) -> pa.Table:
-        slab = Slab(states.column("state")[0].as_py())
+        slab = Slab(states.column("state")[0].as_py(), model)
         order = np.argsort(answers.column("bucket").to_numpy())
-        sums = [unpack(answers.column("sums")[k].as_py())["v"] for k in order.tolist()]
-        keys, values = slab.advance(np.concatenate(sums) if sums else np.zeros(0, np.int64), model)
-        return _rows(states.column("slab")[0].as_py(), slab.raw(), slab.active, keys, values, buckets)
+        parts = [unpack(answers.column("sums")[k].as_py()) for k in order.tolist()] or [{"v": np.zeros(0, np.int64), "w": np.zeros(0, bool)}]
+        slab.take(*(np.concatenate([x[name] for x in parts]) for name in "vw"))
+        return pa.table({"slab": states.column("slab"), "state": pa.array([slab.raw()], pa.binary()), "active": pa.array([slab.active], pa.int64())})
 
     return run
 
@@ -336,22 +370,19 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (~_held_out()).alias("train"))
     now = scratch.keep(slabs(docs), "slabs")
     active = now.agg(F.sum("active")).first()[0] or 0
-    model, distinct, step = None, 0, 0
+    # Keys have so many bits that one in 2**SPARE is taken for another at most.
+    model: tuple = (min(64, max(40, active.bit_length() + SPARE)),)
+    total = distinct = 0
     while active:
         buckets = max(BUCKETS, -(-active // ASKS))
-        if step == 0:
-            before, now = now, scratch.keep(now.mapInArrow(_asked(buckets), _ROUND), "round")
-            scratch.drop(before)
-        answers = now.where("bucket is not null").select("slab", "bucket", "keys", "sums").groupBy("bucket").applyInArrow(
-            _sum_up, "slab long, bucket int, sums binary, total long, distinct long, once long")
+        asks = now.where("active > 0").select("slab", "state").mapInArrow(_asked(model, buckets), "slab long, bucket int, asks binary")
+        answers = asks.groupBy("bucket").applyInArrow(_sum_up, "slab long, bucket int, sums binary, total long, distinct long, once long")
         answers = scratch.keep(answers, "answers")
-        if step == 0:
+        if len(model) == 1:
             total, distinct, once = (int(x or 0) for x in answers.agg(F.sum("total"), F.sum("distinct"), F.sum("once")).first())
-            model = (max(total, 1), min(max(once, 1) / (max(total, 1) + 1), 0.5))
-        states = now.where("state is not null").select("slab", "state")
-        step += 1
-        after = states.groupBy("slab").cogroup(answers.select("slab", "bucket", "sums").groupBy("slab")).applyInArrow(_advanced(model, buckets), _ROUND)
-        after = scratch.keep(after, "round")
+            model = (model[0], max(total, 1), min(max(once, 1) / (max(total, 1) + 1), 0.5))
+        after = now.select("slab", "state").groupBy("slab").cogroup(answers.select("slab", "bucket", "sums").groupBy("slab"))
+        after = scratch.keep(after.applyInArrow(_advanced(model), "slab long, state binary, active long"), "slabs")
         scratch.drop(now)
         scratch.drop(answers)
         now = after
@@ -365,8 +396,7 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
                     [pa.array(s["ids"], mask=s["null"]), pa.array(~s["train"]), pa.array(s["size"]), pa.array(s["known"]), pa.array(s["base"]), pa.array(s["score"])],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
-    out = now.where("state is not null").select("state").mapInArrow(rows, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-    total = model[0] if model and distinct else 0
+    out = now.select("state").mapInArrow(rows, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     log10 = float(np.log(10))
     base = F.col("base") / log10 - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") / log10).alias("score"))
