@@ -13,8 +13,8 @@ say about keys (words, contexts with what follows them, contexts): each slab han
 with its own sums, keys are dealt to buckets by hash, and each slab gets back the whole sums of the
 keys that it has named. A hot word is one key of each slab, and a bucket holds about ASKS keys. Depth by
 depth one round counts, and one adds up savings in whole units, so that sums don't depend on their order.
-Words and contexts are hashes of up to 64 bits, as
-many as the number of tokens asks for.
+Words and contexts are hashes of up to 64 bits, as many as the number
+of tokens asks for.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from tidewright.llm.common import U64, Scratch, lower_ascii, mix64, prefix_hash,
 TOKENS, ASKS, BUCKETS = 1 << 19, 1 << 19, 64
 #: Nats that each different next symbol of a state costs; weight of the suffix in smoothing; units of a nat;
 #: bits that a key has beyond those that number the tokens.
-COST, WEIGHT, UNITS, SPARE = 12.0, 1.0, 1 << 20, 24
+COST, WEIGHT, UNITS, SPARE = 13.0, 1.0, 1 << 20, 20
 
 _END = np.zeros(1, U64)
 _MULTIPLIER, _FOLLOWS = U64(0xD1342543DE82EF95), U64(0x6C62272E07BB0142)
@@ -83,8 +83,13 @@ def slabs(docs: DataFrame) -> DataFrame:
             made += 1
             ids, null, train, size, word = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            words, stream = np.unique(word, return_inverse=True)
-            state = pack({"ids": ids, "null": null, "train": train, "size": size.astype(np.int64), "words": words, "stream": stream.astype(np.uint32)})
+            words, stream, count = np.unique(word, return_inverse=True, return_counts=True)
+            # By count: places of frequent words are small numbers.
+            order = np.argsort(-count)
+            back = np.empty(len(order), np.uint32)
+            back[order] = np.arange(len(order), dtype=np.uint32)
+            words, stream = words[order], back[stream]
+            state = pack({"ids": ids, "null": null, "train": train, "size": size.astype(np.int64), "words": words, "stream": stream})
             return pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([state], pa.binary()), pa.array([len(word)], pa.int64())], names=["slab", "state", "active"])
 
         n = 0
@@ -134,10 +139,12 @@ class Slab:
         self.shift = U64(64 - model[0])
         self.step = int(self.has.pop("step", np.zeros(1, np.int64))[0])
         if self.step < 3:
-            size = self.has["size"]
-            self.doc = np.repeat(np.arange(len(size)), size)
-            self.place = np.arange(len(self.doc)) - np.repeat(np.cumsum(size) - size, size)
-            self.train = self.has["train"][self.doc]
+            self.train = np.repeat(self.has["train"], self.has["size"])
+
+    @property
+    def doc(self) -> np.ndarray:
+        """The document of each token."""
+        return np.repeat(np.arange(len(self.has["size"])), self.has["size"])
 
     def raw(self) -> bytes:
         return pack({**self.has, "step": np.array([self.step], np.int64)})
@@ -170,17 +177,11 @@ class Slab:
             return keys, *_told(where[self.has["stream"]], len(keys), self.train)
         if self.step == 1:
             at = self._firsts()[2]
-            keys, where = _lookup(self._follows(self._context(at, 1), at))
+            keys, where = _lookup(self._pairs(at))
             return keys, *_told(where, len(keys), self.train[at])
-        if self.step == 2:
-            keys, where, at = self._first_contexts()
-            return self._saved(keys, where, *self._first_shares(at), self.train[at])
-        at, train, depth = self.has["at"].astype(np.int64), self.has["train"][self.has["of"]], (self.step + 1) // 2
-        if self.step % 2:
-            keys, values, wants = self._counts(at, train, depth)[:3]
-            return keys, values, wants
-        keys, where = _lookup(self._context(at, depth) >> self.shift)
-        return self._saved(keys, where, self.has["total"], self.has["n"], self.has["lp"].astype(float), train)
+        if self.step % 2 == 0:
+            return self.has["keys"], self.has["saved"], np.zeros(len(self.has["keys"]), bool)
+        return self._counts(self.has["at"].astype(np.int64), self.has["train"][self.has["of"]], (self.step + 1) // 2)[:3]
 
     def take(self, sums: np.ndarray, wanted: np.ndarray) -> None:
         if self.step > 2 and not self.active:
@@ -195,8 +196,9 @@ class Slab:
         words, stream = self.has["words"], self.has["stream"]
         where = _lookup(words >> self.shift)[1]
         c, want = sums[where], wanted[where]
-        n, own = len(self.has["size"]), c[stream]
-        self.has |= {"c": c, "known": np.bincount(self.doc, own > 0, n).astype(np.int64), "base": np.bincount(self.doc, np.log(own + 1.0), n), "score": np.zeros(n)}
+        size = self.has["size"]
+        first = np.cumsum(size) - size  # every document has a token
+        self.has |= {"c": c, "known": np.add.reduceat((c > 0)[stream], first, dtype=np.int64), "base": np.add.reduceat(np.log(c + 1.0)[stream], first), "score": np.zeros(len(size))}
         # A word that only one token of all has is no context, and nobody asks what it follows.
         self.has |= {"want": want, "words": np.where((c >= 2) | want, words, U64(0))}
 
@@ -210,27 +212,34 @@ class Slab:
 
     def _firsts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens after a word that occurs twice, whether their count must be asked for, and those where it must."""
-        c, stream = self.has["c"], self.has["stream"]
-        at = np.flatnonzero(self.place > 0)
-        at = at[c[stream[at - 1]] >= 2]
-        own = c[stream[at]]
-        asked = (own > 1) | ((own == 1) & self.has["want"][stream[at]])
+        c, stream, size = self.has["c"], self.has["stream"], self.has["size"]
+        after = np.append(False, (c >= 2)[stream[:-1]])
+        after[np.cumsum(size) - size] = False
+        at = np.flatnonzero(after)
+        asked = ((c > 1) | ((c == 1) & self.has["want"]))[stream[at]]
         return at, asked, at[asked]
 
+    def _pairs(self, at: np.ndarray) -> np.ndarray:
+        """Keys of tokens with the word before them."""
+        words, stream = self.has["words"], self.has["stream"]
+        before = (mix64(words + _MULTIPLIER) ^ _FOLLOWS) * _MULTIPLIER
+        return mix64(before[stream[at - 1]] + words[stream[at]]) >> self.shift
+
     def _take_pairs(self, sums, wanted):
         at, asked, some = self._firsts()
         n = np.minimum(self.has["c"][self.has["stream"][at]], 1)
-        where = _lookup(self._follows(self._context(some, 1), some))[1]
+        where = _lookup(self._pairs(some))[1]
         want = np.zeros(len(n), bool)
         n[asked], want[asked] = sums[where], wanted[where]
         self.has |= {"n": n, "want2": want}
+        keys, where, at = self._first_contexts(at)
+        self._save(keys, where, *self._first_shares(at), self.train[at])
 
-    def _first_contexts(self):
-        """Keys of the words before tokens, the place among them of each token's, and the tokens."""
-        at = self._firsts()[0]
+    def _first_contexts(self, at):
+        """Keys of the words before the tokens ``at``, the place among them of each token's, and the tokens."""
         before = self.has["stream"][at - 1]
         used = np.flatnonzero(np.bincount(before, minlength=len(self.has["words"])))
-        keys, where = _lookup(mix64(np.ones(len(used), U64) * _MULTIPLIER + self.has["words"][used]) >> self.shift)
+        keys, where = _lookup(mix64(self.has["words"][used] + _MULTIPLIER) >> self.shift)
         number = np.zeros(len(self.has["words"]), np.int64)
         number[used] = where
         return keys, number[before], at
@@ -239,26 +248,26 @@ class Slab:
         stream, c = self.has["stream"], self.has["c"]
         return c[stream[at - 1]], self.has["n"], self._roots()[stream[at]]
 
-    @staticmethod
-    def _saved(keys, where, total, n, lp, train):
-        """What the training tokens of each context save over its suffix, less the costs of symbols, in whole units."""
+    def _save(self, keys, where, total, n, lp, train):
+        """Keep what the training tokens of each context save over its suffix, less the costs of symbols, in whole units."""
         n = n[train]
         each = np.rint((np.log(n / total[train]) - lp[train] - COST / n) * UNITS)
-        return keys, _sums(where[train], len(keys), each), np.zeros(len(keys), bool)
+        self.has |= {"keys": keys, "saved": _sums(where[train], len(keys), each)}
 
     def _take_first_savings(self, sums, wanted):
-        _, where, at = self._first_contexts()
+        _, where, at = self._first_contexts(self._firsts()[0])
         stream, roots = self.has["stream"], self._roots()
         total, n, lp = self._first_shares(at)
         rest = np.ones(len(stream), bool)
         rest[at] = False
-        self._add(self.doc[rest], roots[stream[rest]])
+        doc = self.doc
+        self._add(doc[rest], roots[stream[rest]])
         twice = np.zeros(len(stream), bool)
         twice[at] = n >= 2
         want = self.has.pop("want2")
-        for name in ("c", "n", "want"):
+        for name in ("c", "n", "want", "keys", "saved"):
             del self.has[name]
-        self._deepen(at, self.doc[at], total, n, want, lp, sums[where] >= 0, twice, 1)
+        self._deepen(at, doc[at], total, n, want, lp, sums[where] >= 0, twice, 1)
 
     # From depth to depth.
 
@@ -306,9 +315,12 @@ class Slab:
         m = total >= 2
         self._add(doc[~m], self.has["lp"][~m].astype(float))
         self.has |= {"total": total[m], "n": n[m], "want": want[m], **{k: self.has[k][m] for k in ("at", "of", "lp")}}
+        keys, where = _lookup(self._context(at[m], self.step // 2 + 1) >> self.shift)
+        self._save(keys, where, total[m], n[m], self.has["lp"].astype(float), self.has["train"][doc[m]])
 
     def _take_savings(self, sums, wanted):
         at, depth = self.has["at"].astype(np.int64), self.step // 2
+        del self.has["keys"], self.has["saved"]
         where = _lookup(self._context(at, depth) >> self.shift)[1]
         twice = np.unpackbits(self.has["twice"], count=len(self.has["stream"])).view(bool)
         self._deepen(at, self.has["of"], self.has.pop("total"), self.has.pop("n"), self.has["want"], self.has["lp"].astype(float), sums[where] >= 0, twice, depth)
