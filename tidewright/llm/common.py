@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 #: Bytes of text that one vectorised pass handles at once; a longer text is a pass of its own.
 SLAB_BYTES = 1 << 18
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
@@ -27,10 +29,21 @@ class Scratch:
         self.n = 0
 
     def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """Write ``df`` and return it as read back; ``by`` is a column of few values to read one of at a time."""
+        """Write ``df`` and return it as read back; ``by`` is a column of few values to read one of at a time.
+
+        Nothing reads the shuffles of the write again, so Spark deletes their files when it ends.
+        """
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
