@@ -180,7 +180,8 @@ class Slab:
             keys, where = _lookup(self._pairs(at))
             return keys, *_told(where, len(keys), self.train[at])
         if self.step % 2 == 0:
-            return self.has["keys"], self.has["saved"], np.zeros(len(self.has["keys"]), bool)
+            keys = self._first_contexts()[0] if self.step == 2 else _lookup(self._context(self.has["at"].astype(np.int64), self.step // 2) >> self.shift)[0]
+            return keys, self.has["saved"], np.zeros(len(keys), bool)
         return self._counts(self.has["at"].astype(np.int64), self.has["train"][self.has["of"]], (self.step + 1) // 2)[:3]
 
     def take(self, sums: np.ndarray, wanted: np.ndarray) -> None:
@@ -193,14 +194,16 @@ class Slab:
     # Depth 0: words.
 
     def _take_words(self, sums, wanted):
-        words, stream = self.has["words"], self.has["stream"]
-        where = _lookup(words >> self.shift)[1]
+        words, stream = self.has["words"] >> self.shift, self.has["stream"]
+        where = _lookup(words)[1]
         c, want = sums[where], wanted[where]
         size = self.has["size"]
         first = np.cumsum(size) - size  # every document has a token
-        self.has |= {"c": c, "known": np.add.reduceat((c > 0)[stream], first, dtype=np.int64), "base": np.add.reduceat(np.log(c + 1.0)[stream], first), "score": np.zeros(len(size))}
-        # A word that only one token of all has is no context, and nobody asks what it follows.
-        self.has |= {"want": want, "words": np.where((c >= 2) | want, words, U64(0))}
+        self.has |= {"known": np.add.reduceat((c > 0)[stream], first, dtype=np.int64), "base": np.add.reduceat(np.log(c + 1.0)[stream], first), "score": np.zeros(len(size))}
+        # A word that only one token of all has is no context, and nobody asks what it follows: all those are one here.
+        named = (c >= 2) | want
+        number = np.where(named, np.cumsum(named) - 1, named.sum()).astype(np.uint32)
+        self.has |= {"words": np.append(words[named], U64(0)), "c": np.append(c[named], 1), "want": np.append(want[named], False), "stream": number[stream]}
 
     def _roots(self) -> np.ndarray:
         """Log probability of each distinct word at the root."""
@@ -232,30 +235,29 @@ class Slab:
         want = np.zeros(len(n), bool)
         n[asked], want[asked] = sums[where], wanted[where]
         self.has |= {"n": n, "want2": want}
-        keys, where, at = self._first_contexts(at)
-        self._save(keys, where, *self._first_shares(at), self.train[at])
-
-    def _first_contexts(self, at):
-        """Keys of the words before the tokens ``at``, the place among them of each token's, and the tokens."""
-        before = self.has["stream"][at - 1]
-        used = np.flatnonzero(np.bincount(before, minlength=len(self.has["words"])))
-        keys, where = _lookup(mix64(self.has["words"][used] + _MULTIPLIER) >> self.shift)
-        number = np.zeros(len(self.has["words"]), np.int64)
-        number[used] = where
-        return keys, number[before], at
+        keys, where = self._first_contexts()
+        self._save(len(keys), where[self.has["stream"][at - 1]], *self._first_shares(at), self.train[at])
+
+    def _first_contexts(self):
+        """Keys of the words that occur twice, and the place among them of each word."""
+        some = np.flatnonzero((self.has["c"] >= 2) & (self.has["words"] != 0))  # 0: an end
+        where = np.zeros(len(self.has["words"]), np.int64)
+        keys, where[some] = _lookup(mix64(self.has["words"][some] + _MULTIPLIER) >> self.shift)
+        return keys, where
 
     def _first_shares(self, at):
         stream, c = self.has["stream"], self.has["c"]
         return c[stream[at - 1]], self.has["n"], self._roots()[stream[at]]
 
-    def _save(self, keys, where, total, n, lp, train):
+    def _save(self, n_keys, where, total, n, lp, train):
         """Keep what the training tokens of each context save over its suffix, less the costs of symbols, in whole units."""
         n = n[train]
         each = np.rint((np.log(n / total[train]) - lp[train] - COST / n) * UNITS)
-        self.has |= {"keys": keys, "saved": _sums(where[train], len(keys), each)}
+        self.has["saved"] = _sums(where[train], n_keys, each)
 
     def _take_first_savings(self, sums, wanted):
-        _, where, at = self._first_contexts(self._firsts()[0])
+        at = self._firsts()[0]
+        where = self._first_contexts()[1][self.has["stream"][at - 1]]
         stream, roots = self.has["stream"], self._roots()
         total, n, lp = self._first_shares(at)
         rest = np.ones(len(stream), bool)
@@ -265,7 +267,7 @@ class Slab:
         twice = np.zeros(len(stream), bool)
         twice[at] = n >= 2
         want = self.has.pop("want2")
-        for name in ("c", "n", "want", "keys", "saved"):
+        for name in ("c", "n", "want", "saved"):
             del self.has[name]
         self._deepen(at, doc[at], total, n, want, lp, sums[where] >= 0, twice, 1)
 
@@ -316,11 +318,11 @@ class Slab:
         self._add(doc[~m], self.has["lp"][~m].astype(float))
         self.has |= {"total": total[m], "n": n[m], "want": want[m], **{k: self.has[k][m] for k in ("at", "of", "lp")}}
         keys, where = _lookup(self._context(at[m], self.step // 2 + 1) >> self.shift)
-        self._save(keys, where, total[m], n[m], self.has["lp"].astype(float), self.has["train"][doc[m]])
+        self._save(len(keys), where, total[m], n[m], self.has["lp"].astype(float), self.has["train"][doc[m]])
 
     def _take_savings(self, sums, wanted):
         at, depth = self.has["at"].astype(np.int64), self.step // 2
-        del self.has["keys"], self.has["saved"]
+        del self.has["saved"]
         where = _lookup(self._context(at, depth) >> self.shift)[1]
         twice = np.unpackbits(self.has["twice"], count=len(self.has["stream"])).view(bool)
         self._deepen(at, self.has["of"], self.has.pop("total"), self.has.pop("n"), self.has["want"], self.has["lp"].astype(float), sums[where] >= 0, twice, depth)
