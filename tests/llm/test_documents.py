@@ -315,8 +315,10 @@ def test_mixing(spark):
     again = mixing.mix_counts(spark, docs.repartition(7)).toPandas()
     key = ["size", "source_size", "taken"]
     assert sorted(map(tuple, got[key].values)) == sorted(map(tuple, again[key].values))
-    mixed = mixing.mix_documents(spark, docs.drop("row"))
-    assert mixed.columns == docs.drop("row").columns
+    docs = docs.withColumns({x: F.lit(7) for x in ("passes", "mark", "twin", "take", "row", "n_chars")})
+    mixed = mixing.mix_documents(spark, docs)
+    assert mixed.columns == docs.columns and mixed.where("passes = 7 and mark = 7 and twin = 7 and take = 7 and row = 7").count() == mixed.count()
+    assert mixed.where("n_chars <> length(text)").count() == 0
     assert sum(size(t["text"]) for t in mixed.select("text").collect()) == got.taken.sum()
     whole = {t for _, t in rows}
     assert sum(t["text"] in whole for t in mixed.select("text").collect()) > 50
@@ -326,11 +328,24 @@ def test_mixing(spark):
 def test_permutation(spark):
     for n in (1, 2, 7, 1000):
         s = spark.createDataFrame([("a", 3, n, 2 * n, 5)], "skey string, rank long, n_blocks long, n_slots long, shards long")
-        got = mixing.slots(s, 3).toPandas()
+        counts = mixing.shard_counts(s, 3)
+        assert counts.agg(F.sum("n")).first()[0] == 2 * n
+        got = mixing.slots(s, counts, 3).toPandas()
+        assert got.groupby("shard").size().to_dict() == {x["shard"]: x["n"] for x in counts.collect()}
         assert sorted(got.block) == sorted(list(range(n)) * 2) and set(got["pass"]) == {0, 1} and got.shard.between(0, 4).all()
         assert n < 1000 or list(got[got["pass"] == 0].block) != list(range(n))
 
 
+def test_shards_are_multinomial(spark):
+    n, k = 60_000, 40
+    s = spark.createDataFrame([("a", 1, 50_000, n, k), ("b", 2, 20_000, n // 3, k)], "skey string, rank long, n_blocks long, n_slots long, shards long")
+    for skey, total in (("a", n), ("b", n // 3)):
+        got = np.array([x["n"] for x in mixing.shard_counts(s, 3).where(f"skey = '{skey}'").collect()])
+        assert got.sum() == total and len(got) == k
+        chi = ((got - total / k) ** 2 / (total / k)).sum()  # 39 degrees of freedom
+        assert 15 < chi < 75
+
+
 def test_suffix_tree_scores(spark, texts):
     r = random.Random(1)
     rows = [*texts, *[(2000 + k, prose(r, 40)) for k in range(60)], (None, "al be"), (3, "Al\x0bbe x")]
@@ -385,7 +400,7 @@ def test_suffix_tree_matches_a_tree_of_dictionaries(spark):
 
     for x in sorted(seen, key=len):
         if total[x] >= 2 and (len(x) == 1 or x[1:] in states):
-            if sum(m * np.log(m / total[x] / p(x[1:], w)) - suffix_tree.COST for w, m in seen[x].items()) >= 0:
+            if sum(m * np.log(m / total[x] / p(x[1:], w)) - np.log(len(c)) for w, m in seen[x].items()) >= 0:
                 states[x] = True
     assert max(map(len, states)) > 2
     for x in random.Random(5).sample(sorted(states), 30):
@@ -441,6 +456,8 @@ def test_toxicity(spark):
     assert ((held.doc_id % 5 == 0) == (held.predicted == 1)).mean() > 0.97
     assert got[got.doc_id.isin([700, 701])].predicted.sum() == 0
     # Labels of held-out rows and other columns change nothing.
+    clash = docs.withColumns({x: F.lit(7) for x in ("c0", "_text", "score", "predicted", "x")})
+    assert toxicity.score(spark, clash, made).where("c0 = 7 and _text = 7 and x = 7 and score between 0 and 1").count() == len(rows)
     other = toxicity.score(spark, docs.withColumn("source", docs.source), spark.createDataFrame([(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 4 != 2], "doc_id long, toxic int")).toPandas()
     assert np.allclose(sorted(got.score), sorted(other.score))
     none = toxicity.score(spark, docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -460,3 +477,16 @@ def test_grammar():
 
     assert read("OIO") == "OIO" and read("YOI") == "YOU" and read("NI") == "Nn" and read("NOOOI")[-1] == "I"
     assert read("ROI") == "ROq" and read("RNI")[-1] == "q" and read("TOY") == "TOH" and read("YT") == "YT"
+
+    r = random.Random(12)
+    rules = toxicity.machines()
+    for _ in range(300):
+        said = [r.choice(toxicity.CLASSES) for _ in range(r.randrange(30))]
+        now = said
+        for machine in rules:
+            state, wrote = 0, []
+            for c in now:
+                state, w = machine[state, c]
+                wrote.append(w)
+            now = wrote
+        assert read(said) == "".join(now)

@@ -1,9 +1,10 @@
 """Mixing sources to target weights, in DataFrame and SQL functions only.
 
 Each source's words, its documents one after another, are packed into blocks of fixed length. A source
-gets as many block slots as its target asks for. Every slot falls on an output shard by itself, so the
-source counts of a shard are multinomial, given that the sources' totals meet their targets. Slot j of a
-source takes the block that a pseudorandom permutation of the source's blocks (one for each pass over
+gets as many block slots as its target asks for. How many of them each output shard gets is drawn first:
+every slot falls on a shard by itself, so the source counts of a shard are multinomial, given that the
+sources' totals meet their targets. A source's slots are then numbered shard by shard by these counts.
+Slot j of a source takes the block that a pseudorandom permutation of the source's blocks (one for each pass over
 them) has at j, and the slots are joined with the blocks by that index. The permutation is the
 swap-or-not shuffle of Hoang, Morris and Rogaway: it permutes any range without tables.
 """
@@ -52,20 +53,36 @@ def targets(sizes: DataFrame, percent: int, weights: tuple[int, ...], repeat: in
     return x.select("skey", "source_size", "rank", "weight", goal.alias("target"))
 
 
-def slots(sources: DataFrame, parts: int, seed: int = 0) -> DataFrame:
-    """(skey, shard, block, pass) for every slot of ``sources`` (skey, rank, n_blocks, n_slots, shards)."""
-    passes = F.expr("sequence(0L, (n_slots - 1) div n_blocks)")
-    x = sources.where("n_slots > 0").select("skey", "rank", "n_blocks", "n_slots", "shards", F.explode(passes).alias("pass"))
-    x = x.withColumn("here", F.expr("least(n_slots - pass * n_blocks, n_blocks)"))
-    x = x.select("*", F.explode(F.expr(f"sequence(0L, (here - 1) div {RUN})")).alias("run"))
-    # A number of partitions keeps Spark from joining these few rows in one task: each unfolds into a run.
-    x = x.repartition(parts, "skey", "pass", "run").withColumn("key", F.expr(f"rank * 64 + pass + {seed} * 4099"))
+def _unfolded(sources: DataFrame, parts: int) -> DataFrame:
+    """(skey, rank, n_blocks, n_slots, shards, run, upto): the slots of each source in runs of RUN."""
+    x = sources.where("n_slots > 0").select("skey", "rank", "n_blocks", "n_slots", "shards", F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {RUN})")).alias("run"))
+    # A number of partitions keeps Spark from unfolding these few rows in one task.
+    return x.withColumn("upto", F.expr(f"least(n_slots, (run + 1) * {RUN}) - 1")).repartition(parts, "skey", "run")
+
+
+def shard_counts(sources: DataFrame, parts: int, seed: int = 0) -> DataFrame:
+    """(skey, shard, n, start): multinomial slot counts of each output shard, and the slots of its source before it.
+
+    ``sources`` has skey, rank, n_blocks, n_slots and shards.
+    """
+    x = _unfolded(sources, parts).withColumn("key", F.expr(f"rank * 64 + {seed} * 4099"))
+    shard = F.explode(F.expr(f"transform(sequence(run * {RUN}, upto), j -> {draw('j', '31', 'key')} % shards)"))
+    counts = x.select("skey", shard.alias("shard")).groupBy("skey", "shard").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def slots(sources: DataFrame, counts: DataFrame, parts: int, seed: int = 0) -> DataFrame:
+    """(skey, shard, block, pass) for every slot of ``sources``, numbered by their ``shard_counts``."""
+    keys = sources.select("skey", "rank", "n_blocks")
+    # A shard has about SHARD slots, whatever the corpus.
+    x = counts.join(keys, "skey").repartition(parts, "skey", "shard")
+    x = x.select("skey", "shard", "rank", "n_blocks", F.explode(F.expr("sequence(start div n_blocks, (start + n - 1) div n_blocks)")).alias("pass"), "start", "n")
+    x = x.withColumns({"lo": F.expr("greatest(start - pass * n_blocks, 0)"), "hi": F.expr("least(start + n - pass * n_blocks, n_blocks) - 1"), "key": F.expr(f"rank * 64 + pass + {seed} * 4099")})
     rounds = f"transform(sequence(1, {ROUNDS}), r -> named_struct('k', {draw('r', '17', 'key')} % n_blocks, 'a', {draw('r', '23', 'key')} + 1, 'b', {draw('r', '29', 'key')}))"
-    x = x.withColumn("rounds", F.expr(rounds))
     step = "CASE WHEN (greatest(x, pmod(q.k - x, n_blocks)) % {0} * q.a + q.b) % {0} div 1024 % 2 = 1 THEN pmod(q.k - x, n_blocks) ELSE x END".format(PRIME)
-    drawn = (f"transform(sequence(run * {RUN}, least(here, (run + 1) * {RUN}) - 1), j -> named_struct("
-             f"'shard', ({draw('j', '31', 'key')}) % shards, 'block', aggregate(rounds, j, (x, q) -> {step})))")
-    return x.select("skey", "pass", F.explode(F.expr(drawn)).alias("slot")).select("skey", "slot.shard", "slot.block", "pass")
+    drawn = f"transform(sequence(lo, hi), j -> aggregate(rounds, j, (x, q) -> {step}))"
+    return x.withColumn("rounds", F.expr(rounds)).select("skey", "shard", F.explode(F.expr(drawn)).alias("block"), "pass")
 
 
 def placed(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int, weights: tuple[int, ...], repeat: int, seed: int):
@@ -91,7 +108,8 @@ def placed(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int,
     x = rows.withColumns({"nth": F.row_number().over(own), "upto": F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0))})
     x = x.join(starts, ["skey", "bucket"]).withColumn("at", F.col("start") + F.col("upto") - F.col("size"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return x.drop("start", "upto"), slots(goals, parts, seed)
+    counts = scratch.keep(shard_counts(goals, parts, seed), "shards")
+    return x.drop("start", "upto"), slots(goals, counts, parts, seed)
 
 
 def pieces(rows: DataFrame) -> DataFrame:
@@ -103,7 +121,9 @@ def pieces(rows: DataFrame) -> DataFrame:
 
 
 def mix_counts(spark: SparkSession, docs: DataFrame, percent: int = 150, weights: tuple[int, ...] = (3, 1, 2), repeat: int = 2, seed: int = 0) -> DataFrame:
-    """How many words the mix takes of each document: doc_id, size, source_size, target, taken.
+    """How many words the mix takes of each document: doc_id, size, source_size, target, taken, shards.
+
+    ``shards`` is the number of output shards that have a block with words of the document.
 
     ``docs`` has doc_id, text and source. One row for each row of it: null texts have size 0, null sources
     are a source of their own, rows with equal or null doc_id each have a place of their own. No document
@@ -113,11 +133,11 @@ def mix_counts(spark: SparkSession, docs: DataFrame, percent: int = 150, weights
     scratch = Scratch(spark, "mixing")
     rows, drawn = placed(spark, docs.select("doc_id", "text", "source"), scratch, percent, weights, repeat, seed)
     # Spark takes unfolded slots for as few as the rows they come from, and would broadcast them.
-    times = drawn.groupBy("skey", "block").agg(F.count("*").alias("times")).hint("merge")
+    times = drawn.groupBy("skey", "block").agg(F.count("*").alias("times"), F.collect_set("shard").alias("in")).hint("merge")
     key = ["skey", "bucket", "nth", "doc_id", "size", "source_size", "target"]
     x = pieces(rows).join(times, ["skey", "block"], "left")
-    x = x.groupBy(*key).agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken"))
-    return x.select("doc_id", "size", "source_size", "target", "taken")
+    x = x.groupBy(*key).agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken"), F.array_distinct(F.flatten(F.collect_list("in"))).alias("in"))
+    return x.select("doc_id", "size", "source_size", "target", "taken", F.size("in").cast("long").alias("shards"))
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, percent: int = 150, weights: tuple[int, ...] = (3, 1, 2), repeat: int = 2, seed: int = 0) -> DataFrame:
@@ -130,21 +150,23 @@ def mix_documents(spark: SparkSession, docs: DataFrame, percent: int = 150, weig
     scratch = Scratch(spark, "mixing")
     # Rows that are alike in doc_id, text and source are told apart by a number; which has which is all one.
     mark = F.xxhash64("doc_id", "text", "source")
-    again = Window.partitionBy("mix_mark").orderBy("doc_id")
-    docs_on = docs.withColumn("mix_mark", mark).withColumn("mix_nth", F.row_number().over(again))
+    # The row as it is stays in one struct, so that no column of it can clash with those added here.
+    again = Window.partitionBy("mark").orderBy("row.doc_id")
+    docs_on = docs.select(mark.alias("mark"), F.struct("*").alias("row")).withColumn("twin", F.row_number().over(again))
     slim = docs.select("doc_id", "text", "source", mark.alias("again"))
     rows, drawn = placed(spark, slim, scratch, percent, weights, repeat, seed)
     x = pieces(rows).where("block is not null").join(drawn.select("skey", "block", "pass").hint("merge"), ["skey", "block"])
     x = x.groupBy("skey", "bucket", "nth", "again", "size", "pass").agg(
         F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"), F.sum("words").alias("taken"))
     x = x.groupBy("skey", "bucket", "nth", "again").agg(F.collect_list(F.struct("pass", "size", "taken", "parts")).alias("passes"))
-    x = x.select(F.col("again").alias("mix_mark"), "passes", F.row_number().over(Window.partitionBy("again").orderBy("skey", "bucket", "nth")).alias("mix_nth"))
-    y = docs_on.join(x.hint("merge"), ["mix_mark", "mix_nth"]).withColumn("mix_pass", F.explode("passes"))
-    words = F.expr(f"transform(mix_pass.parts, p -> concat_ws(' ', slice(regexp_extract_all(text, '{WORD.replace(chr(92), chr(92) * 2)}', 0), cast(p.first + 1 as int), cast(p.words as int))))")
-    y = y.withColumn("text", F.when(F.col("mix_pass.taken") == F.col("mix_pass.size"), F.col("text")).otherwise(F.concat_ws(" ", words)))
+    x = x.select(F.col("again").alias("mark"), "passes", F.row_number().over(Window.partitionBy("again").orderBy("skey", "bucket", "nth")).alias("twin"))
+    y = docs_on.join(x.hint("merge"), ["mark", "twin"]).select("row", F.explode("passes").alias("take"))
+    words = F.expr(f"transform(take.parts, p -> concat_ws(' ', slice(regexp_extract_all(row.text, '{WORD.replace(chr(92), chr(92) * 2)}', 0), cast(p.first + 1 as int), cast(p.words as int))))")
+    text = F.when(F.col("take.taken") == F.col("take.size"), F.col("row.text")).otherwise(F.concat_ws(" ", words))
+    own = {c: F.col("row").getField(c) for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
-        y = y.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return y.select(*docs.columns)
+        own["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return y.select(*[v.alias(c) for c, v in own.items()])
 
 
 def counts_sql(percent: int = 150, weights: tuple[int, ...] = (3, 1, 2), repeat: int = 2, seed: int = 0) -> str:
@@ -169,12 +191,16 @@ def counts_sql(percent: int = 150, weights: tuple[int, ...] = (3, 1, 2), repeat:
     t AS (SELECT skey, rank, source_size, least(cap::DOUBLE, coalesce(level * weight, cap::DOUBLE)) AS target,
         (source_size + {BLOCK} - 1) // {BLOCK} AS n_blocks FROM v),
     n AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target * n_blocks / source_size + 0.5), n_blocks * {repeat}) ELSE 0 END::BIGINT AS n_slots FROM t),
-    j AS (SELECT skey, rank, n_blocks, unnest(range(n_slots)) AS slot FROM n),
+    h AS (SELECT *, greatest((sum(n_slots) OVER ())::BIGINT // {SHARD} + 1, 1) AS shards FROM n),
+    i AS (SELECT skey, rank, shards, unnest(range(n_slots)) AS slot FROM h),
+    f AS (SELECT skey, {draw('slot', '31', f'(rank * 64 + {seed} * 4099)')} % shards AS shard, count(*) AS n FROM i GROUP BY ALL),
+    g AS (SELECT skey, shard, n, (sum(n) OVER (PARTITION BY skey ORDER BY shard ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS start FROM f),
+    j AS (SELECT g.skey, rank, n_blocks, shard, start + unnest(range(g.n)) AS slot FROM g JOIN n USING (skey)),
     k AS (SELECT *, rank * 64 + slot // n_blocks + {seed} * 4099 AS key FROM j),
-    b AS (SELECT skey, list_reduce(list_concat([slot % n_blocks], range(1, {ROUNDS + 1})), lambda x, r: {swap}) AS block FROM k),
-    m AS (SELECT skey, block, count(*) AS times FROM b GROUP BY ALL),
+    b AS (SELECT skey, shard, list_reduce(list_concat([slot % n_blocks], range(1, {ROUNDS + 1})), lambda x, r: {swap}) AS block FROM k),
+    m AS (SELECT skey, block, count(*) AS times, list(DISTINCT shard) AS inside FROM b GROUP BY skey, block),
     e AS (SELECT nth, skey, spot, size, unnest(range(spot // {BLOCK}, (spot + size - 1) // {BLOCK} + 1)) AS block FROM p WHERE size > 0),
-    q AS (SELECT nth, sum((least(spot + size, (block + 1) * {BLOCK}) - greatest(spot, block * {BLOCK})) * times)::BIGINT AS taken
-        FROM e JOIN m USING (skey, block) GROUP BY nth)
-    SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken
+    q AS (SELECT nth, sum((least(spot + size, (block + 1) * {BLOCK}) - greatest(spot, block * {BLOCK})) * times)::BIGINT AS taken,
+        len(list_distinct(flatten(list(inside))))::BIGINT AS shards FROM e JOIN m USING (skey, block) GROUP BY nth)
+    SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(shards, 0) AS shards
     FROM p JOIN t USING (skey) LEFT JOIN q USING (nth)"""

@@ -3,8 +3,8 @@
 Symbols are the training words, a document's end, and one for all unknown words. A context of d words is a
 state if its suffix of d - 1 words is one (the root always is), if it occurs twice or more, and if its
 next-symbol distribution diverges enough from its suffix's: the nats that it saves over all its
-occurrences must pay COST for each different next symbol (Ron, Singer and Tishby, "The power of
-amnesia"). A state's distribution is smoothed towards its suffix's, and the longest suffix state scores
+occurrences must pay for naming each different next symbol, which costs the logarithm of the number of
+words (Ron, Singer and Tishby, "The power of amnesia"). A state's distribution is smoothed towards its suffix's, and the longest suffix state scores
 each token. Every word that stands before another is a context, and contexts grow as deep as there are
 states: no word, count or depth is left out.
 
@@ -31,9 +31,8 @@ from tidewright.llm.common import U64, Scratch, lower_ascii, mix64, prefix_hash,
 
 #: Tokens of a slab (a longer document is a slab of its own) and keys of a bucket, about; the fewest buckets.
 TOKENS, ASKS, BUCKETS = 1 << 19, 1 << 19, 64
-#: Nats that each different next symbol of a state costs; weight of the suffix in smoothing; units of a nat;
-#: bits that a key has beyond those that number the tokens.
-COST, WEIGHT, UNITS, SPARE = 13.0, 1.0, 1 << 20, 20
+#: Weight of the suffix in smoothing; units of a nat; bits that a key has beyond those that number the tokens.
+WEIGHT, UNITS, SPARE = 1.0, 1 << 20, 20
 
 _END = np.zeros(1, U64)
 _MULTIPLIER, _FOLLOWS = U64(0xD1342543DE82EF95), U64(0x6C62272E07BB0142)
@@ -131,7 +130,7 @@ class Slab:
     ``ask`` gives a step's keys, in ascending order, the slab's own sums, and where a token that is held out
     wants them; ``take`` takes the whole sums of those keys and whether any slab's tokens want them, and
     goes on to the next step. ``model`` has the bits of a key, and from the second step
-    on the number of training tokens and the share of unknown words.
+    on the number of training tokens, the share of unknown words and the nats that naming a symbol costs.
     """
 
     def __init__(self, raw: bytes, model: tuple):
@@ -179,7 +178,7 @@ class Slab:
             at = self._firsts()[2]
             keys, where = _lookup(self._pairs(at))
             return keys, *_told(where, len(keys), self.train[at])
-        if self.step % 2 == 0:
+        if self.step % 2 == 0:  # savings
             keys = self._first_contexts()[0] if self.step == 2 else _lookup(self._context(self.has["at"].astype(np.int64), self.step // 2) >> self.shift)[0]
             return keys, self.has["saved"], np.zeros(len(keys), bool)
         return self._counts(self.has["at"].astype(np.int64), self.has["train"][self.has["of"]], (self.step + 1) // 2)[:3]
@@ -207,7 +206,7 @@ class Slab:
 
     def _roots(self) -> np.ndarray:
         """Log probability of each distinct word at the root."""
-        _, n, unknown = self.model
+        _, n, unknown, _ = self.model
         c = self.has["c"]
         return np.where(c > 0, np.log(np.maximum(c, 1) / n * (1 - unknown)), np.log(unknown))
 
@@ -252,7 +251,7 @@ class Slab:
     def _save(self, n_keys, where, total, n, lp, train):
         """Keep what the training tokens of each context save over its suffix, less the costs of symbols, in whole units."""
         n = n[train]
-        each = np.rint((np.log(n / total[train]) - lp[train] - COST / n) * UNITS)
+        each = np.rint((np.log(n / total[train]) - lp[train] - self.model[3] / n) * UNITS)
         self.has["saved"] = _sums(where[train], n_keys, each)
 
     def _take_first_savings(self, sums, wanted):
@@ -334,28 +333,35 @@ def _asked(model: tuple, buckets: int):
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                keys, values, wants = Slab(batch.column("state")[k].as_py(), model).ask()
+                slab = Slab(batch.column("state")[k].as_py(), model)
+                keys, values, wants = slab.ask()
+                signs = np.array([slab.step > 0 and slab.step % 2 == 0])
                 bucket = ((keys >> U64(model[0] - 32)) * U64(buckets)) >> U64(32)
                 at = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U64))
                 some = np.flatnonzero(at[1:] > at[:-1])
                 # Differences of ascending keys: a part of a key's bytes.
-                asks = [pack({"k": np.diff(keys[at[b]:at[b + 1]], prepend=U64(0)), "v": values[at[b]:at[b + 1]], "w": wants[at[b]:at[b + 1]]}) for b in some.tolist()]
-                slab = np.full(len(some), batch.column("slab")[k].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(slab), pa.array(some.astype(np.int32)), pa.array(asks, pa.binary())], names=["slab", "bucket", "asks"])
+                asks = [pack({"k": np.diff(keys[at[b]:at[b + 1]], prepend=U64(0)), "v": values[at[b]:at[b + 1]], "w": wants[at[b]:at[b + 1]], "s": signs}) for b in some.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), batch.column("slab")[k].as_py(), np.int64)), pa.array(some.astype(np.int32)), pa.array(asks, pa.binary())], names=["slab", "bucket", "asks"])
 
     return run
 
 
 def _sum_up(table: pa.Table) -> pa.Table:
-    """A bucket's sums for each slab that asks; their total, and how many are positive and how many 1, in its first row."""
+    """A bucket's sums for each slab that asks; their total, and how many are positive and how many 1, in its first row.
+
+    Of savings, the asks say, no more than the sign is wanted.
+    """
     asks = [unpack(x.as_py()) for x in table.column("asks")]
     every, where = _lookup(np.concatenate([np.cumsum(x["k"], dtype=U64) for x in asks]))
     order = np.argsort(where, kind="stable")
     sums = np.add.reduceat(np.concatenate([x["v"] for x in asks])[order], np.searchsorted(where[order], np.arange(len(every))))
+    total, distinct, once = sums.sum(), (sums > 0).sum(), (sums == 1).sum()
+    if asks[0]["s"][0]:
+        sums = np.where(sums < 0, -1, 0)
     wanted = np.bincount(where[np.concatenate([x["w"] for x in asks])], minlength=len(every)) > 0
     parts = np.split(where, np.cumsum([len(x["k"]) for x in asks])[:-1])
     first = lambda x: pa.array([int(x)] + [0] * (len(parts) - 1), pa.int64())
-    columns = [table.column("slab"), table.column("bucket"), pa.array([pack({"v": sums[p], "w": wanted[p]}) for p in parts], pa.binary()), first(sums.sum()), first((sums > 0).sum()), first((sums == 1).sum())]
+    columns = [table.column("slab"), table.column("bucket"), pa.array([pack({"v": sums[p], "w": wanted[p]}) for p in parts], pa.binary()), first(total), first(distinct), first(once)]
     return pa.Table.from_arrays(columns, names=["slab", "bucket", "sums", "total", "distinct", "once"])
 
 
@@ -394,7 +400,7 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
         answers = scratch.keep(answers, "answers")
         if len(model) == 1:
             total, distinct, once = (int(x or 0) for x in answers.agg(F.sum("total"), F.sum("distinct"), F.sum("once")).first())
-            model = (model[0], max(total, 1), min(max(once, 1) / (max(total, 1) + 1), 0.5))
+            model = (model[0], max(total, 1), min(max(once, 1) / (max(total, 1) + 1), 0.5), float(np.log(max(distinct, 2))))
         after = now.select("slab", "state").groupBy("slab").cogroup(answers.select("slab", "bucket", "sums").groupBy("slab"))
         after = scratch.keep(after.applyInArrow(_advanced(model), "slab long, state binary, active long"), "slabs")
         scratch.drop(now)

@@ -50,8 +50,8 @@ def compose(one: dict, two: dict) -> dict:
             for s, c in one for t in {t for t, _ in two}}
 
 
-def grammar() -> tuple[list[list[int]], list[list[int]], str]:
-    """Next states and outputs of the composed machine, and its output classes.
+def machines() -> tuple[dict, dict, dict, dict]:
+    """The transducers for reported speech, negation, targets and threats, in the order that they read one another.
 
     Written classes: I plain insult, q reported, n negated, U at a target, H threat at a target.
     """
@@ -62,6 +62,12 @@ def grammar() -> tuple[list[list[int]], list[list[int]], str]:
     aimed = transducer(letters, 7, {(s, "Y"): (6, "Y") for s in range(7)} | {(s, "I"): (s, "U") for s in range(1, 7)})
     letters += "U"
     threat = transducer(letters, 5, {(s, "T"): (4, "T") for s in range(5)} | {(s, "Y"): (s - 1, "H") for s in range(1, 5)})
+    return reported, negated, aimed, threat
+
+
+def grammar() -> tuple[list[list[int]], list[list[int]], str]:
+    """Next states and outputs of the composed machine, and its output classes."""
+    reported, negated, aimed, threat = machines()
     machine = compose(compose(compose(reported, negated), aimed), threat)
     start = (((0, 0), 0), 0)
     number, todo = {start: 0}, [start]
