@@ -273,8 +273,8 @@ def _flags(z: str, jump: str = "false") -> str:
     flags AS (SELECT sensor, row_idx, time, value, n, m, coalesce(n >= 2 AND value IS NOT NULL AND ((s > 0 AND abs(value - m) > {z} * s) OR {jump}), false) AS flag FROM near)"""
 
 
-_HOURLY = f"""cells AS (SELECT event_type AS sensor, (epoch_us(ts) - epoch_us(date_trunc('month', ts))) // 3600000000 AS row_idx, avg(value) AS value FROM events GROUP BY ALL),
-    hours AS (SELECT sensor, row_idx, row_idx * 3600.0::DOUBLE AS time, value FROM (SELECT * FROM (SELECT DISTINCT event_type AS sensor FROM events) CROSS JOIN (SELECT unnest(range({HOURS})) AS row_idx)) LEFT JOIN cells USING (sensor, row_idx))"""
+_HOURLY = f"""cells AS (SELECT event_type AS sensor, (epoch_us(ts) - epoch_us((SELECT date_trunc('month', min(ts)) FROM events))) // 3600000000 AS row_idx, avg(value) AS value FROM events GROUP BY ALL),
+    hours AS (SELECT sensor, row_idx, row_idx * 3600.0::DOUBLE AS time, value FROM (SELECT * FROM (SELECT DISTINCT event_type AS sensor FROM events) CROSS JOIN (SELECT unnest(range(greatest({HOURS}, (SELECT max(row_idx) + 1 FROM cells)))) AS row_idx)) LEFT JOIN cells USING (sensor, row_idx))"""
 
 
 def _fill(table: str, value: str, out: str) -> str:
@@ -364,7 +364,7 @@ SQL = {
         steps AS (SELECT "column", v - lag(v) OVER (PARTITION BY "column" ORDER BY row_idx) AS d FROM top WHERE v IS NOT NULL),
         m AS (SELECT "column", bool_and(d >= -1e-12) AS monotone, median(abs(d)) > 0 AS moving FROM steps WHERE d IS NOT NULL GROUP BY "column")
         SELECT "column", count(*) AS n, avg((v IS NOT NULL)::INT::DOUBLE) AS numeric, coalesce(any_value(monotone), false) AS monotone, coalesce(any_value(moving), false) AS moving FROM top LEFT JOIN m USING ("column") GROUP BY "column" """,
-    "unpivot_signals": """WITH w AS (SELECT l_orderkey AS row_idx, l_orderkey * 1.0::DOUBLE AS time, sum(l_quantity) AS a, max(l_tax) AS b, count(*)::DOUBLE AS c FROM lineitem WHERE l_orderkey <= 2000 GROUP BY l_orderkey)
+    "unpivot_signals": """WITH w AS (SELECT l_orderkey AS row_idx, l_orderkey * 1.0::DOUBLE AS time, sum(l_quantity) AS a, max(l_tax) AS b, count(*)::DOUBLE AS c FROM lineitem GROUP BY l_orderkey)
         SELECT 'Qty. total' AS sensor, row_idx, time, a AS value FROM w UNION ALL SELECT 'tax', row_idx, time, b FROM w UNION ALL SELECT 'lines', row_idx, time, c FROM w""",
     "pivot_signals": f"WITH {_HOURLY} SELECT row_idx, time, max(value) FILTER (sensor = 'click') AS click, max(value) FILTER (sensor = 'purchase') AS purchase, max(value) FILTER (sensor = 'view') AS view FROM hours GROUP BY row_idx, time",
     "segment_time_rebuild": "SELECT o_custkey, o_orderkey, o_custkey * 10.0::DOUBLE + (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) * 0.5::DOUBLE AS time FROM orders",
