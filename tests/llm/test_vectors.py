@@ -162,9 +162,9 @@ def test_links_across_connect_what_links_connect(spark, monkeypatch):
     comp = {k: 0 if k < 40 else 40 if k < 50 else k for k in range(70)}
     held = {k: [1, 2] if k % 3 == 0 else [1, 3] if k < 40 else [1] for k in comp}
     value = {k: r.randrange(30) for k in comp}
-    rows = [(key, k, comp[k], held[k], [value[k] >> 2], bytes([value[k]])) for k in comp for key in held[k]]
-    df = spark.createDataFrame(rows, "key long, id long, component_id long, held array<long>, sketch array<long>, payload binary")
-    got = candidates.links_across(df, 1, 1, lambda a, b: abs(a[0] - b[0]) <= 1, 4).collect()
+    df = spark.createDataFrame([(key, k, comp[k]) for k in comp for key in held[k]], "key long, id long, component_id long")
+    table = spark.createDataFrame([(k, held[k], [value[k] >> 2], bytes([value[k]])) for k in comp], "id long, held array<long>, sketch array<long>, payload binary")
+    got = candidates.links_across(df, table, 1, 1, lambda a, b: abs(a[0] - b[0]) <= 1, Scratch(spark, "t"), 4).collect()
     want = [(a, b) for a in comp for b in comp if b < a and comp[a] != comp[b] and abs(value[a] - value[b]) <= 1 and ((value[a] >> 2) ^ (value[b] >> 2)).bit_count() <= 1]
     assert {(x["a"], x["b"]) for x in got} <= set(want)
 

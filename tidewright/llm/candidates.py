@@ -87,37 +87,57 @@ def _root(up: dict[int, int], c: int) -> int:
     return c
 
 
-def links_across(members: DataFrame, width: int, most: int, test: Callable[[bytes, bytes], bool], parts: int) -> DataFrame:
-    """Links (a, b) between a key's ids of different components that connect what all such links connect.
+def _close_pairs(t: pa.Table, starts: np.ndarray, ends: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows x, y of the blocks' pairs of different components whose sketches differ in at most ``most`` bits, and the bits.
 
-    ``members`` has key, id, component_id, held (the id's keys, ascending), sketch and payload. Pairs whose
-    sketches differ in at most ``most`` bits pass ``test`` (payload, payload) or not; a pair is tested at
-    the least key that both share.
+    A pair comes at the least key that both share.
     """
+    comp, key = (t.column(c).to_numpy() for c in ("component_id", "key"))
+    own, alone = t.column("own").to_numpy(), t.column("i").to_numpy() == t.column("j").to_numpy()
+    s = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, width).view(U64)
+    lists = t.column("held").combine_chunks()
+    at, flat = np.asarray(lists.offsets), lists.values.to_numpy()
+    n = np.diff(at)
+    # Past its keys a row repeats its own key here, which is not below itself.
+    held = [np.where(k < n, flat[np.minimum(at[:-1] + k, len(flat) - 1)], key) for k in range(int(n.max()))]
+    found = []
+    for x, y in group_pairs(starts, ends, max(1 << 12, (1 << 20) // width)):
+        m = (comp[x] != comp[y]) & (alone[x] | (own[x] != own[y]))
+        x, y = x[m], y[m]
+        d = np.zeros(len(x), np.int32)
+        for k in range(width):
+            d += np.bitwise_count(s[x, k] ^ s[y, k])
+        m = d <= most
+        x, y, d = x[m], y[m], d[m]
+        m = _unseen(held, key, x, y)
+        found.append((x[m], y[m], d[m]))
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+
+
+def links_across(members: DataFrame, table: DataFrame, width: int, most: int, test: Callable[[bytes, bytes], bool], scratch: Scratch, parts: int) -> DataFrame:
+    """Links (a, b) between a key's ids of different components that connect what all such links connect.
 
-    def run(batches):
-        for t, starts, ends in sorted_groups(batches, ["key", "i", "j"]):
-            ids, comp, key = (t.column(c).to_numpy() for c in ("id", "component_id", "key"))
-            own, alone = t.column("own").to_numpy(), t.column("i").to_numpy() == t.column("j").to_numpy()
-            s = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, width).view(U64)
-            lists = t.column("held").combine_chunks()
-            at, flat = np.asarray(lists.offsets), lists.values.to_numpy()
-            n = np.diff(at)
-            # Past its keys a row repeats its own key here, which is not below itself.
-            held = [np.where(k < n, flat[np.minimum(at[:-1] + k, len(flat) - 1)], key) for k in range(int(n.max()))]
-            found = []
-            for x, y in group_pairs(starts, ends, max(1 << 12, (1 << 20) // width)):
-                m = (comp[x] != comp[y]) & (alone[x] | (own[x] != own[y]))
-                x, y = x[m], y[m]
-                d = np.zeros(len(x), np.int32)
-                for k in range(width):
-                    d += np.bitwise_count(s[x, k] ^ s[y, k])
-                m = d <= most
-                x, y, d = x[m], y[m], d[m]
-                m = _unseen(held, key, x, y)
-                found.append((x[m], y[m], d[m]))
-            x, y, d = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
-            payload, out, up = t.column("payload"), [], {}
+    ``members`` has key, id and component_id, ``table`` id, held (the id's keys, ascending), sketch and
+    payload. Pairs whose sketches differ in at most ``most`` bits pass ``test`` (payload, payload) or not.
+    Rows first meet with their sketches; only those that have such a pair meet again with their payloads.
+    """
+    block = ["key", "i", "j"]
+
+    def dealt(rows: DataFrame, *more: str) -> DataFrame:
+        x = rows.join(table.select("id", "held", "sketch", *more), "id").repartition(parts, *block).sortWithinPartitions(*block)
+        return x.select(*block, "own", "id", "component_id", "held", "sketch", *more)
+
+    def paired(batches):
+        names = [*block, "own", "id", "component_id"]
+        for t, starts, ends in sorted_groups(batches, block):
+            x, y, _ = _close_pairs(t, starts, ends, width, most)
+            if len(x):
+                yield from t.select(names).take(pa.array(np.unique(np.append(x, y)))).to_batches()
+
+    def tested(batches):
+        for t, starts, ends in sorted_groups(batches, block):
+            x, y, d = _close_pairs(t, starts, ends, width, most)
+            ids, comp, payload, out, up = t.column("id").to_numpy(), t.column("component_id").to_numpy(), t.column("payload"), [], {}
             for k in np.argsort(d, kind="stable").tolist():
                 a, b = int(x[k]), int(y[k])
                 one, two = _root(up, int(comp[a])), _root(up, int(comp[b]))
@@ -128,9 +148,9 @@ def links_across(members: DataFrame, width: int, most: int, test: Callable[[byte
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    x = members.withColumn("size", F.octet_length("payload") + 8 * width)
-    dealt = blocks(x).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "own", "id", "component_id", "held", "sketch", "payload").mapInArrow(run, "a long, b long")
+    sizes = table.select("id", (F.octet_length("payload") + 8 * width).alias("size"))
+    rows = dealt(blocks(members.join(sizes, "id"))).mapInArrow(paired, "key long, i int, j int, own int, id long, component_id long")
+    return dealt(scratch.keep(rows, "paired"), "payload").mapInArrow(tested, "a long, b long")
 
 
 #: Sketches by id: (table of id and sketch, longs in a sketch, bits that linked ones may differ in).
@@ -164,5 +184,5 @@ def links(
     scratch.drop(labelled)
     table, width, most = refine(left.select("id").distinct())
     held = left.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("held"))
-    members = left.join(held.join(table, "id"), "id")
-    return scratch.keep(sure.union(links_across(members, width, most, test, parts)), "links")
+    table = scratch.keep(held.join(table, "id"), "held")
+    return scratch.keep(sure.union(links_across(left, table, width, most, test, scratch, parts)), "links")
