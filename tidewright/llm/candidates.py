@@ -124,7 +124,7 @@ def links_across(members: DataFrame, table: DataFrame, width: int, most: int, te
     block = ["key", "i", "j"]
 
     def dealt(rows: DataFrame, *more: str) -> DataFrame:
-        x = rows.join(table.select("id", "held", "sketch", *more), "id").repartition(parts, *block).sortWithinPartitions(*block)
+        x = rows.join(table.select("id", "held", "sketch", *more).hint("merge"), "id").repartition(parts, *block).sortWithinPartitions(*block)
         return x.select(*block, "own", "id", "component_id", "held", "sketch", *more)
 
     def paired(batches):

@@ -19,12 +19,17 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 class Scratch:
     """Tables written below ``spark.checkpoint.dir`` to cut lineage; they survive lost executors.
 
-    Where the session names no folder (tests), one below the temp folder is used.
+    Where the session names no folder, a local one (tests) uses one below the temp folder; on a cluster that
+    folder would go with its machine, so there it is an error.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no shared folder")
+            root = f"{tempfile.gettempdir()}/checkpoints"
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 

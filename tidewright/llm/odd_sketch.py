@@ -205,7 +205,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataF
     member = pairs.join(groups, "b").withColumn("salt", F.pmod(F.xxhash64("a", F.lit(11)), F.col("c")).cast("int"))
     member = member.select("a", "b", "salt", F.lit(1).alias("rank"))
     leader = groups.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("salt"), F.lit(0).alias("rank"))
-    rows = member.union(leader).join(sets.withColumnRenamed("id", "a"), "a").select("b", "salt", "rank", "a", "payload")
+    rows = member.union(leader).join(sets.withColumnRenamed("id", "a").hint("merge"), "a").select("b", "salt", "rank", "a", "payload")
     dealt = rows.repartition(parts, "b", "salt").sortWithinPartitions("b", "salt", "rank", "a")
     return dealt.select("b", "salt", "a", "payload").mapInArrow(run, "a long, b long")
 
@@ -230,18 +230,19 @@ def near_duplicates(
     # Numbers of classes are given once: the table is written and read again.
     low = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("low"))
     classes = scratch.keep(low.withColumn("id", F.monotonically_increasing_id()), "classes")
-    reps = full.join(classes.withColumnRenamed("low", "doc_id"), ["f1", "f2", "doc_id"])
+    # Classes and documents that share a bucket have no bound: their joins (merge) never broadcast them.
+    reps = full.join(classes.withColumnRenamed("low", "doc_id").hint("merge"), ["f1", "f2", "doc_id"])
     keys = bucket_leaders(reps.select("id", F.explode("bands").alias("key")), scratch)
     wanted = keys.select("id").distinct().join(classes, "id").withColumnRenamed("low", "doc_id")
     wanted = scratch.keep(wanted, "wanted")
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = shingle_bytes(texts, n_words).join(wanted, ["f1", "f2", "doc_id"]).select("id", "payload")
-    sets = scratch.keep(sets.dropDuplicates(["id"]), "sets")
+    texts = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    sets = shingle_bytes(texts, n_words).join(wanted.hint("merge"), ["f1", "f2", "doc_id"])
+    sets = scratch.keep(sets.dropDuplicates(["f1", "f2", "doc_id"]).select("id", "payload"), "sets")
     coarse = reps.select("id", "sketch").join(wanted, "id", "left_semi").dropDuplicates(["id"])
     coarse = scratch.keep(coarse, "sketches")
 
     def refine(ids):
-        fine = fine_sketches(sets.join(ids, "id", "left_semi"))
+        fine = fine_sketches(sets.join(ids.hint("merge"), "id", "left_semi"))
         return scratch.keep(fine, "fine"), BITS * FINE // 64, most_differing(percent / 100, FINE)
 
     edges = links(
