@@ -6,6 +6,8 @@ import csv
 import hashlib
 import io
 import json
+import tempfile
+import uuid
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -27,16 +29,30 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return [str(s.getPath().toString()) for s in (fs.globStatus(p) or [])]
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> str:
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> str:
     fs, p = _fs(spark, path)
     out = fs.create(p, True)
     try:
-        out.write(bytearray(text.encode("utf-8")))
+        out.write(bytearray(content))
     finally:
         out.close()
     return path
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> str:
+    return write_bytes(spark, path, text.encode("utf-8"))
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a local session that names none has one below the temp folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        root = f"{tempfile.gettempdir()}/checkpoints"
+    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex[:12]}"
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _fs(spark, path)
     f = fs.open(p)
