@@ -149,3 +149,15 @@ def test_scaling_summaries(spark):
     assert scaling.benchmark_summary(study).count() == 2
     wide = scaling.wide_metrics(scaling.metric_summary(study.selectExpr("mode", "nproc", "explode(breakdowns) as metrics")), ["compute"])
     assert [r["max_compute"] for r in wide.collect()] == [1.0, 1.0]
+
+
+def test_settings():
+    assert Config.of({}).modes == ("serial", "replicated", "partitioned")
+    with pytest.raises(TypeError):
+        Config.of({"characterization": {"method": "linear", "other": 1}})
+
+
+def test_values_of_all_columns_at_once(spark):
+    rows = [(k, str(k * 0.5), None if k % 3 else str(k % 2), None, f"2024-01-{k + 1:02d}") for k in range(9)]
+    got = {r["column"]: tuple(r)[1:] for r in schema.value_features(spark.createDataFrame(rows, "row_idx long, t string, few string, none string, `a.day` string"), ["t", "few", "none", "a.day"]).collect()}
+    assert got == {"t": (9, 1.0, True, True, 0.0), "few": (3, 1.0, False, True, 0.0), "a.day": (9, 0.0, False, False, 1.0)}

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tidewright import reports
 from tidewright.config import Steady
 from tidewright.operators import resample, steady
 from tidewright.workflow import steady_tables
@@ -82,3 +83,10 @@ def test_spline_in_runs_agrees_with_the_whole(spark):
     grid = np.linspace(t[0], t[-1], 4500)
     assert list(got.k) == list(range(4500))
     assert np.allclose(got.value, resample.spline_values(t, v, grid), atol=1e-9)
+
+
+def test_sentences_of_too_few_samples(spark):
+    rows = [("one", 0, 0.0, 1.0), ("one", 1, 1.0, 2.0), ("one", 2, 2.0, None), *[("same", k, float(k % 2), 1.0) for k in range(6)]]
+    counts = {r["sensor"]: r.asDict() for r in steady.sample_counts(spark.createDataFrame(rows, "sensor string, row_idx long, time double, value double")).collect()}
+    assert {s: (r["n_samples"], r["n_valid"]) for s, r in counts.items()} == {"one": (2, 2), "same": (2, 6)}
+    assert {s: reports.sensor_text(r, 60.0) for s, r in counts.items()} == {"one": reports.FEW, "same": reports.FEW_TIMES}

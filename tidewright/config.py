@@ -62,17 +62,17 @@ class Config:
     steady_state: Steady = field(default_factory=Steady)
     allow_index_time_fallback: bool = True
     analysis_dir: str = "analysis"
-    modes: tuple[str, ...] = ("serial",)
+    modes: tuple[str, ...] = ("serial", "replicated", "partitioned")
 
     @classmethod
     def of(cls, raw: dict[str, Any] | None) -> Config:
-        """From a plain mapping; keys that no operator reads are left out."""
+        """From a plain mapping; keys that no operator reads are left out, but an unknown one of characterization is an error."""
         raw = copy.deepcopy(raw or {})
         parts = {"schema": Schema, "cleaning": Cleaning, "characterization": Characterization, "steady_state": Steady}
         made: dict[str, Any] = {}
         for name, kind in parts.items():
             known = {f.name for f in fields(kind)}
-            made[name] = kind(**{k: v for k, v in (raw.get(name) or {}).items() if k in known})
+            made[name] = kind(**{k: v for k, v in (raw.get(name) or {}).items() if k in known or kind is Characterization})
         for name in ("allow_index_time_fallback", "analysis_dir"):
             if name in raw:
                 made[name] = raw[name]

@@ -71,18 +71,21 @@ def with_rows(raw: DataFrame) -> DataFrame:
     return x.withColumn("row_idx", F.col("_start") + F.col("_mono").bitwiseAND((1 << 33) - 1)).drop("_mono", "_part", "_start")
 
 
-def value_features(raw: DataFrame, column: str) -> DataFrame:
-    """One row about the first SAMPLE values of a column: n, numeric, monotone, moving, datetime."""
-    c = F.col(quoted(column)).cast("string")
-    x = raw.select("row_idx", c.alias("s")).where("s is not null").orderBy("row_idx").limit(SAMPLE)
-    x = x.select("row_idx", "s", number("s").alias("v"))
-    d = F.col("v") - F.lag("v").over(Window.orderBy("row_idx"))
-    # At most SAMPLE rows.
-    steps = x.where("v is not null").select(d.alias("d")).where("d is not null")
-    steps = steps.agg(F.bool_and(F.col("d") >= -1e-12).alias("monotone"), F.expr("percentile(abs(d), 0.5)").alias("middle"))
-    share = lambda c: F.avg(c.isNotNull().cast("double"))
-    whole = x.agg(F.count("*").alias("n"), share(F.col("v")).alias("numeric"), share(instant("s")).alias("datetime"))
-    return whole.crossJoin(steps).select("n", "numeric", F.coalesce("monotone", F.lit(False)).alias("monotone"), (F.coalesce("middle", F.lit(0.0)) > 0).alias("moving"), "datetime")
+def value_features(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """One row about the first SAMPLE values of each column that has any: column, n, numeric, monotone, moving, datetime.
+
+    All columns are read at once; each partition hands on at most SAMPLE values of a column.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("s")) for c in columns])
+    x = raw.select("row_idx", F.explode(cells).alias("cell")).select("row_idx", "cell.column", "cell.s").where("s is not null")
+    order = Window.partitionBy("column").orderBy("row_idx")
+    x = x.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE).select("column", "row_idx", "s", number("s").alias("v"))
+    # Steps from one number to the next: the last one before it, whatever stands between.
+    before = F.last("v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    step, share = F.col("v") - F.col("before"), lambda c: F.avg(c.isNotNull().cast("double"))
+    return x.withColumn("before", before).groupBy("column").agg(
+        F.count("*").alias("n"), share(F.col("v")).alias("numeric"), F.coalesce(F.bool_and(step >= -1e-12), F.lit(False)).alias("monotone"),
+        (F.coalesce(F.percentile(F.abs(step), 0.5), F.lit(0.0)) > 0).alias("moving"), share(instant("s")).alias("datetime"))
 
 
 def value_score(n: int, numeric: float | None, monotone: bool, moving: bool, datetime: float | None) -> tuple[float, list[str]]:
@@ -109,9 +112,10 @@ def infer_time_column(raw: DataFrame, manual: str | None = None) -> TimeColumn:
     if not headers:
         return TimeColumn(None, None, 0.0, {}, ["no columns found"], True)
     scores, reasons = {}, {}
+    found = {f["column"]: tuple(f)[1:] for f in value_features(raw, headers).collect()}  # a row for each column
     for h in headers:
         by_name = name_score(normalize_header(h))
-        by_value, notes = value_score(*value_features(raw, h).first())
+        by_value, notes = value_score(*found.get(h, (0, None, False, False, None)))
         scores[h] = by_name + by_value
         reasons[h] = [f"name_score={by_name:.2f}", f"value_score={by_value:.2f}", *notes]
     best, *others = sorted(headers, key=lambda h: -scores[h])

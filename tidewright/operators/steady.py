@@ -90,9 +90,11 @@ def rollup(segments: DataFrame, samples: DataFrame, key: str = "sensor") -> Data
 
 
 def sample_counts(signals: DataFrame, value: str = "value") -> DataFrame:
-    """(sensor, n_samples) of valid samples; sensors without any have 0."""
-    every = signals.select("sensor").distinct()
-    return every.join(valid_samples(signals, value).groupBy("sensor").agg(F.count("*").alias("n_samples")), "sensor", "left").fillna(0, "n_samples")
+    """(sensor, n_samples, n_valid): valid samples, and rows with time and value before times are made unique; 0 where there are none."""
+    valid = F.count_if(F.col("time").isNotNull() & F.col(value).isNotNull())
+    every = signals.groupBy("sensor").agg(valid.alias("n_valid"))
+    counts = valid_samples(signals, value).groupBy("sensor").agg(F.count("*").alias("n_samples"))
+    return every.join(counts, "sensor", "left").fillna(0, "n_samples").select("sensor", "n_samples", "n_valid")
 
 
 def resolve_groups(groups: dict[str, list[str]] | None, sensors: list[str]) -> dict[str, list[str]]:

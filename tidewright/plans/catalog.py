@@ -196,11 +196,8 @@ def numeric_fraction(spark, sf_dir):
 
 
 def time_score(spark, sf_dir):
-    raw, out = _raw(spark, sf_dir), None
-    for c in (c for c in raw.columns if c != "row_idx"):
-        x = schema.value_features(raw, c).select(F.lit(c).alias("column"), "n", "numeric", "monotone", "moving")
-        out = x if out is None else out.union(x)
-    return out
+    raw = _raw(spark, sf_dir)
+    return schema.value_features(raw, [c for c in raw.columns if c != "row_idx"]).select("column", "n", "numeric", "monotone", "moving")
 
 
 def unpivot_signals(spark, sf_dir):

@@ -10,6 +10,7 @@ from tidewright.functions import normalize_header
 
 #: Sentences of the summaries.
 FEW = "Not enough valid points to estimate steady-state behavior."
+FEW_TIMES = "Not enough unique time samples to estimate steady-state behavior."
 NONE = "No sustained steady-state window of at least {:.0f} s was detected. The signal appears to keep changing or stays too noisy for the current thresholds."
 SOME = "Detected {} steady-state window(s). Longest steady window: {} to {} ({:.2f} s)."
 BREAKOUT = " First clear breakout from steady-state occurs near {}."
@@ -33,7 +34,7 @@ def _text(row: dict, none: str, some: str, breakout: str) -> str:
 
 def sensor_text(row: dict, min_duration: float) -> str:
     if (row["n_samples"] or 0) < 3:
-        return FEW
+        return FEW if (row.get("n_valid") or 0) < 3 else FEW_TIMES
     n = row["n_steady_segments"]
     return _text(row, NONE.format(min_duration), SOME.replace("{}", str(n), 1), BREAKOUT)
 
@@ -59,6 +60,7 @@ def write_steady(
         return None
     for r in rows:
         r["summary_text"] = sensor_text(r, min_duration)
+        r.pop("n_valid", None)  # for the sentence only
     listed = lambda df, key: {r[key]: r["s"] for r in df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != key]))).alias("s")).collect()}
     found = {k: [s.asDict() for s in v] for k, v in listed(segments, "sensor").items()}
     scale = {r["sensor"]: r.asDict() for r in limits.collect()}

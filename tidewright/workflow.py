@@ -54,7 +54,7 @@ def steady_tables(data: DataFrame, config: Config, value: str = "value") -> dict
     mask = steady.steady_mask(data, c, value)
     segments = steady.steady_segments(mask, c.duration)
     counts = steady.sample_counts(data, value)
-    out = {"mask": mask, "segments": segments, "rollup": steady.rollup(segments, counts), "limits": steady.thresholds(signals.valid_samples(data, value), c)}
+    out = {"mask": mask, "segments": segments, "rollup": steady.rollup(segments, counts).join(counts.select("sensor", "n_valid"), "sensor"), "limits": steady.thresholds(signals.valid_samples(data, value), c)}
     names = [r[0] for r in counts.select("sensor").collect()]
     groups = steady.resolve_groups(c.groups, names)
     if groups:
