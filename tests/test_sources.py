@@ -4,6 +4,7 @@ import zipfile
 import pytest
 
 from tidewright import cache, synth, workflow
+from tidewright.__main__ import main
 from tidewright.config import Config, Schema
 from tidewright.functions import normalize_header
 from tidewright.operators import scaling, schema
@@ -130,6 +131,8 @@ def test_workflow_writes_and_reuses(spark, tmp_path):
         assert (tmp_path / run[key]).exists()
     text = open(run["cleaning_summary_csv"]).read().splitlines()
     assert text[0] == "sensor,n_points,n_flagged,fraction_flagged,mean_original,mean_cleaned,std_original,std_cleaned,min_cleaned,max_cleaned" and text[1].startswith("Sensor_A,35,1,")
+    about = json.loads(open(f"{report['session_dir']}/session_metadata.json").read())
+    assert about["command_name"] == "workflow" and report["session_dir"].endswith(about["session_id"]) and about["paths"]["outputs_dir"] == f"{report['session_dir']}/outputs"
     assert cache.ensure_cache(spark, config.analysis_dir, str(src), config)["status"] == "reused"
     data = cache.load_cache(spark, report["cache"]["cache_dir"])
     want = workflow.clean(data, config).orderBy("sensor", "row_idx").collect()
@@ -149,6 +152,17 @@ def test_scaling_summaries(spark):
     assert scaling.benchmark_summary(study).count() == 2
     wide = scaling.wide_metrics(scaling.metric_summary(study.selectExpr("mode", "nproc", "explode(breakdowns) as metrics")), ["compute"])
     assert [r["max_compute"] for r in wide.collect()] == [1.0, 1.0]
+    texts = spark.createDataFrame([("a", 1, 0, {"host": None, "kind": "x"}), ("a", 1, 2, {"host": "n2", "kind": "y"}), ("a", 1, 1, {"host": "n1"})], "mode string, nproc int, run int, texts map<string,string>")
+    assert sorted(tuple(r) for r in scaling.text_summary(texts).collect()) == [("a", 1, "host", "n1"), ("a", 1, "kind", "x")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "in.csv").write_text("Time,A\n" + "\n".join(f"{k},{k * 2}" for k in range(20)))
+    (tmp_path / "c.json").write_text(json.dumps({"analysis_dir": str(tmp_path / "analysis")}))
+    out = main(["--config", str(tmp_path / "c.json"), "cache-build", str(tmp_path / "in.csv")])
+    assert out["status"] == "built" and json.loads(capsys.readouterr().out)["status"] == "built"
+    (about,) = (tmp_path / "analysis").glob("*/session_metadata.json")
+    assert json.loads(about.read_text())["argv"][2] == "cache-build"
 
 
 def test_settings():

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import argparse
 import json
+import sys
 
 from pyspark.sql import SparkSession
 
-from tidewright import cache, reports, synth, workflow
+from tidewright import cache, files, reports, synth, workflow
 from tidewright.config import load_config
 from tidewright.operators import resample
 
@@ -53,6 +54,8 @@ def main(argv: list[str] | None = None) -> dict:
     spark = SparkSession.builder.appName("tidewright").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     config = load_config(args.config).with_window(getattr(args, "steady_window_seconds", None))
     session = cache.new_session(config.analysis_dir)
+    if args.command in ("cache-build", "clean", "characterize"):  # the others write nothing there, or have one of their own
+        files.describe_session(spark, session, args.command, sys.argv[1:] if argv is None else argv)
     if args.command == "inspect":
         out = {"files": [workflow.inspect(spark, p, config) for p in args.inputs]}
     elif args.command == "cache-build":

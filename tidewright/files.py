@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import csv
+import datetime
 import hashlib
 import io
 import json
+import platform
 import tempfile
 import uuid
 from typing import Any
@@ -98,3 +100,14 @@ def signature(spark: SparkSession, path: str | None) -> dict[str, Any] | None:
 
 def text_sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def describe_session(spark: SparkSession, session: str, command: str, argv: list[str]) -> dict[str, Any]:
+    """Writes ``session_metadata.json`` into a run's folder: what ran, when, where, and the run's folders."""
+    meta = {
+        "session_id": session.rstrip("/").rsplit("/", 1)[-1], "command_name": command, "argv": list(argv),
+        "timestamp_utc": datetime.datetime.now(datetime.UTC).isoformat(), "hostname": platform.node(), "platform": platform.platform(),
+        "python_version": platform.python_version(), "spark_version": spark.version, "application_id": spark.sparkContext.applicationId,
+        "paths": {"session_dir": session, **{f"{k}_dir": f"{session}/{k}" for k in ("logs", "outputs", "plots", "cache")}}}
+    write_json(spark, f"{session}/session_metadata.json", meta)
+    return meta

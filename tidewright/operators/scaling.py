@@ -44,6 +44,12 @@ def metric_summary(metrics: DataFrame) -> DataFrame:
     return x.groupBy("mode", "nproc", "repeat", "key").agg(F.avg("v").alias("mean"), F.max("v").alias("max"))
 
 
+def text_summary(metrics: DataFrame) -> DataFrame:
+    """(mode, nproc, key, value) of (mode, nproc, run, texts map<string, string>): the first run's that isn't null."""
+    x = metrics.select("mode", "nproc", "run", F.explode("texts").alias("key", "v")).where("v is not null")
+    return x.groupBy("mode", "nproc", "key").agg(F.min_by("v", "run").alias("value"))
+
+
 def wide_metrics(summary: DataFrame, keys: list[str]) -> DataFrame:
     """``metric_summary`` with a column mean_k and max_k for each key."""
     x = summary.groupBy("mode", "nproc", "repeat").pivot("key", keys).agg(F.first("mean").alias("mean"), F.first("max").alias("max"))

@@ -94,6 +94,7 @@ def run_workflow(spark: SparkSession, path: str | None = None, config: Config |
     if path is None and cache_dir is None:
         raise ValueError("workflow needs an input file or a cache")
     session = cache.new_session(config.analysis_dir)
+    files.describe_session(spark, session, "workflow", [])
     report: dict = {"session_dir": session, "config": asdict(config)}
     if path is not None and inspect_first:
         report["inspect"] = inspect(spark, path, config, sheet)
