@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bin_slack, lattice, license_scan, line_dedup, mixing, odd_sketch, prefix_forest, reply_trees, suffix_tree, toxicity
+from tidewright.llm import bin_slack, byte_bpe, lattice, license_scan, line_dedup, mixing, odd_sketch, prefix_forest, reply_trees, suffix_tree, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(spark, _table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of what they decode to."""
+    import public_tokenizers  # here: most queries don't need it
+
+    return byte_bpe.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_lattice": op1_lattice,
     "op2_prefix_forest": op2_prefix_forest,
@@ -80,6 +87,7 @@ QUERIES = {
     "op8_segment_join": op8_segment_join,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_mixing": op10_mixing,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLE_SQL = {
     "op5_reply_trees": reply_trees.digest_sql(),
