@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bin_slack, byte_bpe, lattice, license_scan, line_dedup, mixing, odd_sketch, prefix_forest, reply_trees, suffix_tree, toxicity
+from tidewright.llm import anagram, bin_slack, byte_bpe, lattice, license_scan, line_dedup, mixing, odd_sketch, prefix_forest, reply_trees, suffix_tree, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(spark, _table(spark, sf_dir, "documents"))
 
 
+def op11_anagram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, and the more frequent words that they are variants of."""
+    return anagram.variants(spark, _table(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of what they decode to."""
     import public_tokenizers  # here: most queries don't need it
@@ -87,10 +92,12 @@ QUERIES = {
     "op8_segment_join": op8_segment_join,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_mixing": op10_mixing,
+    "op11_anagram": op11_anagram,
     "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLE_SQL = {
     "op5_reply_trees": reply_trees.digest_sql(),
     "op6_diagonal_voting": license_scan.scan_sql(),
     "op10_mixing": mixing.counts_sql(),
+    "op11_anagram": anagram.variants_sql(),
 }
