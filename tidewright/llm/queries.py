@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import anagram, bin_slack, byte_bpe, lattice, license_scan, line_dedup, mixing, odd_sketch, prefix_forest, reply_trees, suffix_tree, toxicity
+from tidewright.llm import anagram, bin_slack, byte_bpe, collocations, lattice, license_scan, line_dedup, mixing, odd_sketch, prefix_forest, reply_trees, suffix_tree, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op11_anagram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anagram.variants(spark, _table(spark, sf_dir, "documents"))
 
 
+def op12_bitmap_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's strongest phrases of two to four words."""
+    return collocations.collocations(spark, _table(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of what they decode to."""
     import public_tokenizers  # here: most queries don't need it
@@ -93,6 +98,7 @@ QUERIES = {
     "op9_suffix_tree": op9_suffix_tree,
     "op10_mixing": op10_mixing,
     "op11_anagram": op11_anagram,
+    "op12_bitmap_phrases": op12_bitmap_phrases,
     "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLE_SQL = {
@@ -100,4 +106,5 @@ ORACLE_SQL = {
     "op6_diagonal_voting": license_scan.scan_sql(),
     "op10_mixing": mixing.counts_sql(),
     "op11_anagram": anagram.variants_sql(),
+    "op12_bitmap_phrases": collocations.collocations_sql(),
 }
