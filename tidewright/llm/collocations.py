@@ -1,6 +1,6 @@
 """Phrase collocations from position bitmaps of shards.
 
-Texts of a language are laid on end in shards of a few million positions, with an empty position between
+Texts of a language are laid on end in shards of a million positions or two, with an empty position between
 pieces. In a shard each word has a bitmap of its positions, compressed to the 64-bit blocks that have any.
 A phrase's bitmap has the positions of its last word: shifted by one it holds where the phrase may go on,
 the first set bit tells the next word, AND with that word's bitmap gives all places of the longer phrase in
@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import Scratch
 
 #: Positions of a shard, and of all shards that a task has begun; a piece is never cut.
-SHARD, OPEN = 3 << 20, 6 << 20
+SHARD, OPEN = 3 << 19, 3 << 20
 #: Bytes of a text that are cut into words at once.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 20
 #: Entries of bitmaps that are extended at once.
-SLICE = 1 << 18
+SLICE = 1 << 17
 #: Bits of a word's number: its place in a shard's list of words, and the shard's in its task.
 PLACE, ORDINAL = 28, 14
 #: What ends a piece becomes a line feed, a tab a space, A-Z a-z.
