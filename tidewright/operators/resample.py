@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators import ranges
 from tidewright.operators.signals import valid_samples
 
 #: Knots of a run, and knots more on both sides of it.
@@ -23,27 +24,31 @@ def grid_sizes(samples: DataFrame, dense_factor: float) -> DataFrame:
     return x.withColumn("dense_n", F.greatest(F.floor(F.col("n") * F.lit(float(dense_factor))), F.col("n")))
 
 
-def grid(sizes: DataFrame) -> DataFrame:
-    """(sensor, k, time): dense_n equal steps from t0 to t1, both ends exact. Unfolded in runs, so that they spread."""
-    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("dense_n") - 1) / F.lit(RUN))))
-    x = sizes.where("n >= 4").withColumn("run", runs).repartition("sensor", "run")
-    last = F.least(F.col("dense_n"), (F.col("run") + 1) * RUN) - 1
-    x = x.withColumn("k", F.explode(F.sequence(F.col("run") * RUN, last)))
-    t = F.col("t0") + F.col("k") * ((F.col("t1") - F.col("t0")) / (F.col("dense_n") - 1))
-    return x.select("sensor", "k", F.when(F.col("k") == F.col("dense_n") - 1, F.col("t1")).otherwise(t).alias("time"))
+def stretched(samples: DataFrame, sizes: DataFrame, run: int) -> DataFrame:
+    """Samples of sensors with 4 or more, with their sensor's sizes and a stretch of time of about ``run`` samples (bucket)."""
+    x = samples.join(sizes.where("n >= 4"), "sensor")
+    return x.withColumn("bucket", F.floor((F.col("time") - F.col("t0")) / (F.col("t1") - F.col("t0")) * F.ceil(F.col("n") / F.lit(run))))
 
 
-def dense_linear(signals: DataFrame, dense_factor: float = 4, value: str = "value") -> DataFrame:
-    """(sensor, k, time, value) on the dense grid, by lines between neighbouring samples."""
+def dense_linear(signals: DataFrame, dense_factor: float = 4, value: str = "value", run: int = RUN) -> DataFrame:
+    """(sensor, k, time, value) on the dense grid, by lines between neighbouring samples.
+
+    Each sample makes the grid points up to the next one, so the grid needs no join with the samples.
+    """
     samples = valid_samples(signals, value)
-    w = Window.partitionBy("sensor").orderBy("time")
-    knots = samples.select("sensor", "time", F.struct(F.col("time").alias("t"), F.col("value").alias("v"), F.lead("time").over(w).alias("t2"), F.lead("value").over(w).alias("v2")).alias("knot"))
-    x = knots.withColumn("k", F.lit(None).cast("long")).unionByName(grid(grid_sizes(samples, dense_factor)), allowMissingColumns=True)
-    # Knots come before grid points of the same time.
-    at = F.last("knot", ignorenulls=True).over(Window.partitionBy("sensor").orderBy("time", F.col("k").asc_nulls_first()))
-    x = x.withColumn("at", at).where("k is not null")
-    line = (F.col("at.v2") - F.col("at.v")) / (F.col("at.t2") - F.col("at.t")) * (F.col("time") - F.col("at.t")) + F.col("at.v")
-    return x.select("sensor", "k", "time", F.coalesce(line, F.col("at.v")).alias("value"))
+    x = stretched(samples, grid_sizes(samples, dense_factor), run)
+    x = ranges.with_next(x, "sensor", {"t2": "time", "v2": "value"}).withColumnsRenamed({"time": "t", "value": "v"})
+    x = x.withColumn("step", F.col("t1") - F.col("t0")).withColumn("step", F.col("step") / (F.col("dense_n") - 1))
+    # A point more on both sides: which of them lie in the interval is told by their own times.
+    near = lambda t, d: F.floor((F.col(t) - F.col("t0")) / F.col("step")).cast("long") + d
+    x = x.withColumns({"lo": F.greatest(near("t", -1), F.lit(0).cast("long")), "hi": F.least(F.coalesce(near("t2", 1), F.col("dense_n") - 1), F.col("dense_n") - 1)})
+    # A long gap's points unfold a run at a time.
+    x = x.withColumn("piece", F.explode(F.expr(f"sequence(lo div {RUN}, hi div {RUN})")))
+    x = x.withColumn("k", F.explode(F.expr(f"sequence(greatest(lo, piece * {RUN}), least(hi, (piece + 1) * {RUN} - 1))")))
+    x = x.withColumn("time", F.when(F.col("k") == F.col("dense_n") - 1, F.col("t1")).otherwise(F.col("t0") + F.col("k") * F.col("step")))
+    x = x.where("time >= t AND (t2 IS NULL OR time < t2)")
+    line = (F.col("v2") - F.col("v")) / (F.col("t2") - F.col("t")) * (F.col("time") - F.col("t")) + F.col("v")
+    return x.select("sensor", "k", "time", F.coalesce(line, F.col("v")).alias("value"))
 
 
 def spline_slopes(t: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -84,9 +89,7 @@ def dense_cubic(signals: DataFrame, dense_factor: float = 4, value: str = "value
     samples = valid_samples(signals, value)
     sizes = grid_sizes(samples, dense_factor)
     # Rank within a sensor, by one row for each stretch of time.
-    x = samples.join(sizes.where("n >= 4").select("sensor", "t0", "t1", "dense_n", "n"), "sensor")
-    stretch = F.floor((F.col("time") - F.col("t0")) / (F.col("t1") - F.col("t0")) * F.ceil(F.col("n") / F.lit(run)))
-    x = x.withColumn("stretch", stretch)
+    x = stretched(samples, sizes, run).withColumnRenamed("bucket", "stretch")
     sums = x.groupBy("sensor", "stretch").agg(F.count("*").alias("c"))
     before = F.sum("c").over(Window.partitionBy("sensor").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
     x = x.join(sums.select("sensor", "stretch", F.coalesce(before, F.lit(0)).alias("before")), ["sensor", "stretch"])

@@ -5,6 +5,9 @@ from __future__ import annotations
 import logging
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,14 +16,18 @@ from tidewright.functions import instant, normalize_header, number
 from tidewright.operators.signals import elapsed_seconds, quoted, unpivot
 
 LOG = logging.getLogger(__name__)
-#: Values of a column that are looked at.
-SAMPLE = 2000
+#: Values of a column that are looked at, and groups of partitions that are merged first.
+SAMPLE, GROUPS = 2000, 256
 #: Scores of normalized headers, and of parts of them.
 NAME_SCORES = {
     "time": 10.0, "t": 7.0, "seconds": 9.0, "second": 8.0, "sec": 8.0, "s": 5.0, "timestamp": 10.0,
     "datetime": 10.0, "date_time": 10.0, "elapsed_time": 10.0, "x_value": 9.0,
 }
 PART_SCORES = ((("time",), 5.0), (("sec",), 3.0), (("stamp", "date"), 2.0))
+#: A time column leads by so much and has so much, confidence is the share of so much; sensors are numbers in this share of rows.
+LEAD, LEAST, FULL, NUMERIC = 1.5, 4.0, 15.0, 0.75
+#: Reasons where no values are looked at.
+MANUAL, NOTHING = "manual override", "no columns found"
 #: What the scores of a column's values stand for.
 NOTES = {"empty": "all values are missing in sampled rows", "monotone": "values are monotone nondecreasing",
          "elapsed": "values look like elapsed time", "datetime": "values parse as datetimes"}
@@ -71,15 +78,51 @@ def with_rows(raw: DataFrame) -> DataFrame:
     return x.withColumn("row_idx", F.col("_start") + F.col("_mono").bitwiseAND((1 << 33) - 1)).drop("_mono", "_part", "_start")
 
 
-def value_features(raw: DataFrame, columns: list[str]) -> DataFrame:
+def first_values(raw: DataFrame, columns: list[str], in_order: bool) -> DataFrame:
+    """(column, row_idx, s): the first SAMPLE values of each column as strings.
+
+    A partition hands on at most SAMPLE values of a column, and where rows come in order it stops reading once
+    it has them. They are merged in two steps, so that no task sees those of all partitions.
+    """
+
+    def run(batches):
+        found = {c: (np.zeros(0, np.int64), pa.array([], pa.string())) for c in columns}
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            for k, c in enumerate(columns, 1):
+                at, values = found[c]
+                cells = batch.column(k)
+                here = np.flatnonzero(cells.is_valid().to_numpy(zero_copy_only=False))
+                if in_order:
+                    here = here[:SAMPLE - len(at)]
+                if len(here):
+                    at, values = np.append(at, rows[here]), pa.concat_arrays([values, cells.take(pa.array(here))])
+                    if len(at) > SAMPLE:
+                        least = np.argsort(at, kind="stable")[:SAMPLE]
+                        at, values = at[least], values.take(pa.array(least))
+                    found[c] = (at, values)
+            if in_order and all(len(at) == SAMPLE for at, _ in found.values()):
+                break
+        part = TaskContext.get().partitionId()
+        for c, (at, values) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(at), pa.string()), pa.array(at), values, pa.array(np.full(len(at), part % GROUPS, np.int32))], names=["column", "row_idx", "s", "grp"])
+
+    x = raw.select(F.col("row_idx").cast("long"), *[F.col(quoted(c)).cast("string").alias(f"c{k}") for k, c in enumerate(columns)])
+    x = x.mapInArrow(run, "column string, row_idx long, s string, grp int")
+    for keys in (["column", "grp"], ["column"]):
+        x = x.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("row_idx"))).where(F.col("nth") <= SAMPLE)
+    return x.select("column", "row_idx", "s")
+
+
+def value_features(raw: DataFrame, columns: list[str], in_order: bool = False) -> DataFrame:
     """One row about the first SAMPLE values of each column that has any: column, n, numeric, monotone, moving, datetime.
 
-    All columns are read at once; each partition hands on at most SAMPLE values of a column.
+    ``in_order`` says that rows are read by row_idx, as ``with_rows`` numbers them; a table without row_idx is numbered here.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("s")) for c in columns])
-    x = raw.select("row_idx", F.explode(cells).alias("cell")).select("row_idx", "cell.column", "cell.s").where("s is not null")
+    if "row_idx" not in raw.columns:
+        raw, in_order = with_rows(raw), True
+    x = first_values(raw, columns, in_order).select("column", "row_idx", "s", number("s").alias("v"))
     order = Window.partitionBy("column").orderBy("row_idx")
-    x = x.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE).select("column", "row_idx", "s", number("s").alias("v"))
     # Steps from one number to the next: the last one before it, whatever stands between.
     before = F.last("v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     step, share = F.col("v") - F.col("before"), lambda c: F.avg(c.isNotNull().cast("double"))
@@ -101,26 +144,28 @@ def value_score(n: int, numeric: float | None, monotone: bool, moving: bool, dat
     return score, notes
 
 
-def infer_time_column(raw: DataFrame, manual: str | None = None) -> TimeColumn:
-    """The best column by name and values; ambiguous if the lead is under 1.5 or the score under 4."""
+def infer_time_column(raw: DataFrame, manual: str | None = None, in_order: bool = False) -> TimeColumn:
+    """The best column by name and values; ambiguous if it leads by less than LEAD or has less than LEAST."""
     headers = [c for c in raw.columns if c != "row_idx"]
+    plain = {h: normalize_header(h) for h in headers}
     if manual is not None:
-        same = [h for h in headers if h == manual] or [h for h in headers if normalize_header(h) == normalize_header(manual)]
-        if not same:
-            raise ValueError(f"no such time column: {manual}")
-        return TimeColumn(same[0], normalize_header(same[0]), 1.0, {same[0]: 1.0}, ["manual override"], False)
+        # The header itself before one that only looks like it.
+        for h in sorted((h for h in headers if plain[h] == normalize_header(manual) or h == manual), key=lambda h: h != manual):
+            return TimeColumn(h, plain[h], 1.0, {h: 1.0}, [MANUAL], False)
+        raise ValueError(f"no such time column: {manual}")
     if not headers:
-        return TimeColumn(None, None, 0.0, {}, ["no columns found"], True)
-    scores, reasons = {}, {}
-    found = {f["column"]: tuple(f)[1:] for f in value_features(raw, headers).collect()}  # a row for each column
-    for h in headers:
-        by_name = name_score(normalize_header(h))
-        by_value, notes = value_score(*found.get(h, (0, None, False, False, None)))
-        scores[h] = by_name + by_value
-        reasons[h] = [f"name_score={by_name:.2f}", f"value_score={by_value:.2f}", *notes]
-    best, *others = sorted(headers, key=lambda h: -scores[h])
-    lead = scores[best] - (scores[others[0]] if others else float("-inf"))
-    return TimeColumn(best, normalize_header(best), min(scores[best] / 15.0, 1.0), scores, reasons[best], lead < 1.5 or scores[best] < 4.0)
+        return TimeColumn(None, None, 0.0, {}, [NOTHING], True)
+    rows = {f["column"]: f for f in value_features(raw, headers, in_order).collect()}  # a row for each column
+    ranked = []
+    for place, h in enumerate(headers):
+        f = rows.get(h)
+        by_value, notes = value_score(f["n"], f["numeric"], f["monotone"], f["moving"], f["datetime"]) if f else (0.0, [NOTES["empty"]])
+        by_name = name_score(plain[h])
+        ranked.append((-(by_name + by_value), place, h, [f"name_score={by_name:.2f}", f"value_score={by_value:.2f}", *notes]))
+    ranked.sort(key=lambda r: r[:2])
+    top, _, best, why = ranked[0]
+    lead = ranked[1][0] - top if len(ranked) > 1 else float("inf")
+    return TimeColumn(best, plain[best], min(-top / FULL, 1.0), {h: -score for score, _, h, _ in sorted(ranked, key=lambda r: r[1])}, why, lead < LEAD or -top < LEAST)
 
 
 def numeric_fractions(raw: DataFrame, columns: list[str]) -> DataFrame:
@@ -138,13 +183,13 @@ def infer_sensor_columns(raw: DataFrame, time_column: str | None, manual: list[s
     if not left:
         return []
     shares = numeric_fractions(raw, left).first()
-    return [c for c, share in zip(left, shares, strict=True) if share >= 0.75]
+    return [c for c, share in zip(left, shares, strict=True) if share >= NUMERIC]
 
 
-def infer_schema(raw: DataFrame, config: Config | None = None) -> Mapping:
+def infer_schema(raw: DataFrame, config: Config | None = None, in_order: bool = False) -> Mapping:
     s = (config or Config()).schema
     headers = [c for c in raw.columns if c != "row_idx"]
-    time = infer_time_column(raw, s.manual_time_column)
+    time = infer_time_column(raw, s.manual_time_column, in_order)
     sensors = infer_sensor_columns(raw, time.original_name, s.manual_sensor_columns, s.exclude_columns)
     notes = []
     if time.ambiguous:
@@ -160,8 +205,9 @@ def normalize(raw: DataFrame, name: str, config: Config | None = None) -> tuple[
     ambiguous or neither, it is the row index if the settings allow. An ambiguous column is not a sensor.
     """
     config = config or Config()
+    in_order = "row_idx" not in raw.columns
     raw = with_rows(raw)
-    mapping = infer_schema(raw, config)
+    mapping = infer_schema(raw, config, in_order)
     column, source, time = mapping.time_column.original_name, "generated_index", F.col("row_idx").cast("double")
     if column is not None and not mapping.time_column.ambiguous:
         text = F.col(quoted(column)).cast("string")

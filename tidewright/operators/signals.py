@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import number
+from tidewright.operators import ranges
 
 
 def quoted(name: str) -> str:
@@ -35,10 +36,14 @@ def elapsed_seconds(ts: str | Column, first: Column) -> Column:
 
 
 def numbered(df: DataFrame, sensor: str, ts: str, value: str, *order: str) -> DataFrame:
-    """Signals of an event table: rows in time order for each sensor, time in seconds from its first row."""
-    w = Window.partitionBy("sensor").orderBy("ts", *[f"o{k}" for k in range(len(order))])
-    x = df.select(F.col(sensor).alias("sensor"), F.col(ts).alias("ts"), number(value).alias("value"), *[F.col(o).alias(f"o{k}") for k, o in enumerate(order)])
-    return x.select("sensor", (F.row_number().over(w) - 1).cast("long").alias("row_idx"), elapsed_seconds("ts", F.first("ts").over(w)).alias("time"), "value")
+    """Signals of an event table: rows in time order for each sensor, time in seconds from its first row.
+
+    Rows are sorted in ranges of sensor and time that all tasks share, however long a sensor is.
+    """
+    keys = [f"o{k}" for k in range(len(order))]
+    x = df.select(F.col(sensor).alias("sensor"), F.col(ts).alias("ts"), number(value).alias("value"), *[F.col(o).alias(k) for k, o in zip(keys, order, strict=True)])
+    x = ranges.counted(ranges.laid_out(x, ["sensor", "ts", *keys]), "sensor", start="ts")
+    return x.select("sensor", F.col("nth").alias("row_idx"), elapsed_seconds("ts", F.col("start")).alias("time"), "value")
 
 
 def index_time(signals: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def _bases(flagged: DataFrame, radius: int, bucket_rows: int | None) -> DataFram
         "l": F.last(seen(F.struct("row_idx", "value", "flag")), ignorenulls=True).over(left),
         "r": F.first(seen(F.struct("row_idx", "value")), ignorenulls=True).over(right),
     })
-    return _own(x, bucket_rows).where("flag").select("sensor", "row_idx", "rest", "n", "l", "r")
+    return _own(x, bucket_rows).where("flag").select("sensor", "row_idx", F.struct("row_idx", "rest", "n", "l", "r", F.struct(*flagged.columns).alias("row")).alias("x"))
 
 
 def _clusters(rows: DataFrame, radius: int) -> DataFrame:
@@ -92,7 +92,7 @@ def _clusters(rows: DataFrame, radius: int) -> DataFrame:
     w = Window.partitionBy("sensor").orderBy("row_idx")
     far = F.coalesce((F.col("row_idx") - F.lag("row_idx").over(w) > radius).cast("int"), F.lit(0))
     x = rows.withColumn("far", far).withColumn("cluster", F.sum("far").over(w))
-    return x.groupBy("sensor", "cluster").agg(F.array_sort(F.collect_list(F.struct("row_idx", "rest", "n", "l", "r"))).alias("rows"))
+    return x.groupBy("sensor", "cluster").agg(F.array_sort(F.collect_list("x"), lambda a, b: F.signum(a["row_idx"] - b["row_idx"]).cast("int")).alias("rows"))
 
 
 def repair(
@@ -118,10 +118,10 @@ def repair(
         if strategy == "clip" and clip_max is not None:
             new = f"least(greatest({new}, {-abs(clip_max)}D), {abs(clip_max)}D)"
     fold = F.expr(f"aggregate(rows, cast(array() as array<struct<i:bigint,v:double>>), (acc, x) -> concat(acc, array(named_struct('i', x.row_idx, 'v', {new}))))")
-    fixed = _clusters(_bases(flagged, window_radius, bucket_rows), window_radius).select("sensor", F.explode(fold).alias("f"))
-    fixed = fixed.select("sensor", F.col("f.i").alias("row_idx"), F.col("f.v").alias("new"))
-    x = flagged.join(fixed, ["sensor", "row_idx"], "left")
-    return x.withColumn("repaired", F.when(F.col("flag"), F.col("new")).otherwise(F.col("value"))).drop("new")
+    # What is flagged comes back from its run with all its columns: there is nothing to join.
+    folded = _clusters(_bases(flagged, window_radius, bucket_rows), window_radius).select("rows", fold.alias("new"))
+    fixed = folded.select(F.explode(F.expr("transform(rows, (x, i) -> struct(x.row AS row, new[i].v AS repaired))")).alias("f")).select("f.row.*", "f.repaired")
+    return flagged.where(~F.col("flag")).withColumn("repaired", F.col("value")).unionByName(fixed)
 
 
 def local_mean_parallel(flagged: DataFrame, window_radius: int = 5) -> DataFrame:

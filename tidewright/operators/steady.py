@@ -1,7 +1,8 @@
 """Steady state: features of a time window around each sample, segments, rollups, groups.
 
-Windows reach half the window seconds to both sides, ends included, and must be full to count. With
-``bucket_seconds`` a sensor is cut along time and each bucket gets the samples within reach.
+Windows reach half the window seconds to both sides, ends included, and must be full to count. A sensor is
+cut along time into buckets of ``bucket_seconds``, and each bucket gets the samples within reach; where it
+isn't given, a bucket is BUCKET_WINDOWS windows long. Infinite buckets hold whole sensors.
 """
 
 from __future__ import annotations
@@ -10,8 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.config import Steady
+from tidewright.operators import ranges
 from tidewright.operators.signals import valid_samples
 
+#: Windows in a bucket: the samples that a bucket holds twice are one in as many.
+BUCKET_WINDOWS = 1024
+
 
 def thresholds(samples: DataFrame, config: Steady) -> DataFrame:
     """(sensor, n_samples, signal_scale, max_change, max_std, slope_tol) of valid samples."""
@@ -25,25 +30,22 @@ def thresholds(samples: DataFrame, config: Steady) -> DataFrame:
 
 
 def window_features(samples: DataFrame, window_seconds: float, bucket_seconds: float | None = None) -> DataFrame:
-    """Adds n_near, span, slope, local_std and endpoint_change of the closed window around each sample."""
-    h, keys, x = window_seconds / 2, "sensor", samples
-    if bucket_seconds is not None:
-        at = lambda d: F.floor((F.col("time") + d) / F.lit(bucket_seconds)).cast("long")
-        x = x.withColumn("own", at(0.0)).withColumn("bucket", F.explode(F.sequence(at(-h), at(h))))
-        keys = "sensor, bucket"
-    over = f"OVER (PARTITION BY {keys} ORDER BY time RANGE BETWEEN {h!r}D PRECEDING AND {h!r}D FOLLOWING)"
+    """Adds bucket, n_near, span, slope, local_std and endpoint_change of the closed window around each sample."""
+    h = window_seconds / 2
+    wide = BUCKET_WINDOWS * window_seconds if bucket_seconds is None else bucket_seconds
+    at = lambda d: F.floor((F.col("time") + d) / F.lit(float(wide))).cast("long")
+    x = samples.withColumn("own", at(0.0)).withColumn("bucket", F.explode(F.sequence(at(-h), at(h))))
+    over = f"OVER (PARTITION BY sensor, bucket ORDER BY time RANGE BETWEEN {h!r}D PRECEDING AND {h!r}D FOLLOWING)"
     f = lambda e: F.expr(f"{e} {over}")
     x = x.withColumns({
         "n_near": f("count(*)"), "span": f("max(time)") - f("min(time)"), "t_var": f("var_pop(time)"), "fit": f("regr_slope(value, time)"),
         "local_std": f("stddev_pop(value)"), "endpoint_change": F.abs(f("last_value(value)") - f("first_value(value)"))})
     x = x.withColumn("slope", F.when(F.col("t_var") * F.col("n_near") * F.col("n_near") > 1e-12, F.coalesce("fit", F.lit(0.0))).otherwise(0.0))
-    if bucket_seconds is not None:
-        x = x.where("bucket = own").drop("bucket", "own")
-    return x.drop("t_var", "fit")
+    return x.where("bucket = own").drop("own", "t_var", "fit")
 
 
 def steady_mask(signals: DataFrame, config: Steady | None = None, value: str = "value", bucket_seconds: float | None = None) -> DataFrame:
-    """Valid samples with window features and steady; none for a sensor with fewer than 3."""
+    """Valid samples with window features, steady and bucket; none for a sensor with fewer than 3."""
     c = config or Steady()
     samples = valid_samples(signals, value)
     limits = thresholds(samples, c).where("n_samples >= 3")
@@ -53,18 +55,13 @@ def steady_mask(signals: DataFrame, config: Steady | None = None, value: str = "
     return x.withColumn("steady", steady)
 
 
-def _islands(mask: DataFrame, key: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy("time")
-    x = mask.withColumns({"new": F.coalesce((F.col("steady") != F.lag("steady").over(w)).cast("int"), F.lit(0)), "next_time": F.lead("time").over(w)})
-    return x.withColumn("island", F.sum("new").over(w)).where("steady")
-
-
 def steady_segments(mask: DataFrame, min_duration: float) -> DataFrame:
     """Runs of steady samples that last long enough, with breakout_time: the next sample, if there is one."""
-    x = _islands(mask, "sensor").groupBy("sensor", "island").agg(
-        F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.avg("value").alias("mean_value"), F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"), F.avg(F.abs("slope")).alias("mean_abs_slope"), F.max("endpoint_change").alias("max_endpoint_change"),
-        F.max("local_std").alias("max_local_std"), F.max_by("next_time", "time").alias("breakout_time"))
+    partial = [F.count("value").alias("_n"), F.sum("value").alias("_sum"), F.min("value").alias("_min"), F.max("value").alias("_max"), F.sum(F.abs("slope")).alias("_slopes"),
+               F.count("slope").alias("_n_slopes"), F.max("endpoint_change").alias("_change"), F.max("local_std").alias("_std")]
+    merged = [(F.sum("_sum") / F.sum("_n")).alias("mean_value"), F.min("_min").alias("min_value"), F.max("_max").alias("max_value"), (F.sum("_slopes") / F.sum("_n_slopes")).alias("mean_abs_slope"),
+              F.max("_change").alias("max_endpoint_change"), F.max("_std").alias("max_local_std")]
+    x = ranges.merged_runs(mask, "sensor", "steady", partial, merged)
     x = x.withColumn("duration_seconds", F.col("end_time") - F.col("start_time")).where(F.col("duration_seconds") >= min_duration)
     return x.select("sensor", "start_time", "end_time", "duration_seconds", "mean_value", "min_value", "max_value", "mean_abs_slope", "max_endpoint_change", "max_local_std", "breakout_time")
 
@@ -110,7 +107,7 @@ def resolve_groups(groups: dict[str, list[str]] | None, sensors: list[str]) -> d
 
 
 def group_mask(mask: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
-    """(group, time, steady): whether all members are steady; groups whose members differ in samples have none.
+    """(group, time, steady, bucket): whether all members are steady; groups whose members differ in samples have none.
 
     ``groups`` is as ``resolve_groups`` gives it.
     """
@@ -122,12 +119,12 @@ def group_mask(mask: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     base = n.agg(F.min(F.struct("sensor", "n")).alias("b")).select(F.col("b.n").alias("base"))
     even = members.join(n, "sensor", "left").crossJoin(base).groupBy("group").agg(F.bool_and(F.coalesce(F.col("n") == F.col("base"), F.lit(False))).alias("even"))
     kept = members.join(even.where("even").select("group"), "group")
-    x = mask.join(kept, "sensor").groupBy("group", "time").agg(F.bool_and("steady").alias("steady"), F.count("*").alias("c"), F.max("members").alias("members"))
-    return x.where("c = members").select("group", "time", "steady")
+    x = mask.join(kept, "sensor").groupBy("group", "time").agg(F.bool_and("steady").alias("steady"), F.count("*").alias("c"), F.max("members").alias("members"), F.first("bucket").alias("bucket"))
+    return x.where("c = members").select("group", "time", "steady", "bucket")
 
 
 def group_segments(mask: DataFrame, min_duration: float) -> DataFrame:
     """Segments of ``group_mask``: (group, start_time, end_time, duration_seconds, breakout_time)."""
-    x = _islands(mask, "group").groupBy("group", "island").agg(F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.max_by("next_time", "time").alias("breakout_time"))
+    x = ranges.merged_runs(mask, "group", "steady", [], [])
     x = x.withColumn("duration_seconds", F.col("end_time") - F.col("start_time")).where(F.col("duration_seconds") >= min_duration)
     return x.select("group", "start_time", "end_time", "duration_seconds", "breakout_time")

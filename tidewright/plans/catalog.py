@@ -161,7 +161,7 @@ def hourly_groups(spark, sf_dir):
 
 
 def group_steady(spark, sf_dir):
-    return hourly_groups(spark, sf_dir)
+    return hourly_groups(spark, sf_dir).drop("bucket")
 
 
 def group_segments(spark, sf_dir):
