@@ -82,6 +82,23 @@ def lvm_segments(spark, sf_dir):
     return x.select("row_idx", F.col("X_Value").alias("time"), F.col("Key").cast("long").alias("n_nationkey"), F.col("Comment").alias("n_name"))
 
 
+def lvm_many_segments(spark, sf_dir):
+    """Orders through an instrument's text in parts: a segment for each customer, decimal commas, rows that are too long and too short."""
+    o = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    lines = lambda *a: F.posexplode(F.array(*[F.lit(v) if isinstance(v, str) else v for v in a])).alias("at", "line")
+    top = spark.range(1).select(F.lit(-1).cast("long").alias("cust"), lines("\ufeffLabVIEW Measurement\t", "Separator\tSemicolon", "Decimal_Separator\t,", "X_Columns\tNo", "***End_of_Header***\t", ""))
+    x0 = F.concat(F.lit("X0\t"), F.col("cust").cast("string"), F.lit(",5"))
+    heads = o.select(F.col("o_custkey").cast("long").alias("cust")).distinct().select("cust", lines("Channels\t3", x0, "Delta_X\t0,25", "***End_of_Header***", "X_Value\tKey\tPrice\tNote"))
+    price = F.replace(F.col("o_totalprice").cast("string"), F.lit("."), F.lit(","))
+    body = F.concat_ws("\t", F.lit(""), F.col("o_orderkey").cast("string"), price, F.when(F.col("o_orderkey") % 7 != 0, F.concat_ws("\t", "o_orderstatus", "o_orderpriority")))
+    rows = o.select(F.col("o_custkey").cast("long").alias("cust"), (F.col("o_orderkey") + 10).cast("long").alias("at"), body.alias("line"))
+    path = f"{files.scratch_folder(spark)}/orders.lvm"
+    # Parts in order, none of which holds the whole.
+    top.union(heads).union(rows).orderBy("cust", "at").select("line").write.text(path)
+    x = read_table(spark, path)
+    return x.select("row_idx", F.col("X_Value").alias("time"), F.col("Key").cast("long").alias("o_orderkey"), F.col("Price").alias("price"), F.col("Note").alias("note"))
+
+
 def _workbook(rows: list[tuple], columns: list[str]) -> bytes:
     """A workbook of two sheets, the second with the rows: numbers as cells, texts inline."""
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -172,7 +189,7 @@ def cache_chosen(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    csv_events, csv_row_count, csv_row_numbers, ndjson_events, json_records, lvm_segments, xlsx_sheet, xlsx_preview, normalized_signals, schema_roles, sensor_columns,
+    csv_events, csv_row_count, csv_row_numbers, ndjson_events, json_records, lvm_segments, lvm_many_segments, xlsx_sheet, xlsx_preview, normalized_signals, schema_roles, sensor_columns,
     synthetic_waves, synthetic_dropouts, cache_round_trip, cache_chosen)}
 
 _NUMBERS = "VALUES " + ", ".join(
@@ -189,6 +206,8 @@ SQL = {
     "json_records": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation",
     "lvm_segments": """SELECT row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS row_idx, (n_regionkey * 10 + 0.5 * (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1))::DOUBLE AS time,
         n_nationkey::BIGINT AS n_nationkey, n_name FROM nation""",
+    "lvm_many_segments": """SELECT row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS row_idx, (o_custkey + 0.5 + 0.25 * (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1))::DOUBLE AS time,
+        o_orderkey::BIGINT AS o_orderkey, o_totalprice AS price, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus || ';' || o_orderpriority END AS note FROM orders""",
     "xlsx_sheet": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS row_idx, n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation",
     "xlsx_preview": """SELECT 'Rows' AS sheet_name, 'n_nationkey,n_name,n_regionkey' AS columns, (SELECT count(*) FROM nation) AS n_rows, 3::BIGINT AS n_columns,
         string_agg(n_name, ',' ORDER BY n_nationkey) AS first_names FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 3)""",

@@ -116,7 +116,7 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> Data
     elif suffix == ".xlsx":
         df = xlsx.read(spark, whole(spark, path), sheet)
     elif suffix == ".lvm":
-        df = lvm.read(spark, path)[0]
+        df = lvm.table(spark, path)
     elif suffix == ".json":
         df = read_json(spark, path)
     elif suffix == ".ndjson":

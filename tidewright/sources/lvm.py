@@ -1,115 +1,170 @@
 """LabVIEW measurement text: a global header, then segments of a header, column names and rows.
 
-Lines are numbered by Spark. Those that begin or end a header give each segment's place, so rows of all
-segments are parsed where they are; only headers, bounded by the number of segments, come to the driver.
+One plan reads all segments. Every line learns its segment from running counts: of the lines that begin
+and end headers within its block of the file, and of all blocks before it (one row for each). Lines with
+their segment are written once; header fields become one row for each segment, which its rows are joined
+with. The number of jobs doesn't depend on the number of segments, and a segment of any length spreads
+over as many tasks as it has blocks.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright import files
 from tidewright.functions import number
-from tidewright.operators.schema import with_rows
-from tidewright.operators.signals import quoted
 
 END, CHANNELS = "***End_of_Header***", "Channels"
 #: Separators by name; rows are always cut at tabs.
 SEPARATORS = {"tab": "\t", "comma": ",", "semicolon": ";"}
 #: Header fields of a segment, in the order of its description.
 FIELDS = {"channels": "Channels", "samples": "Samples", "date": "Date", "time": "Time", "x_columns": "X_Columns", "x0": "X0", "delta_x": "Delta_X"}
+BOM = "﻿"
 
 
-def _header(lines: list[str]) -> dict[str, list[str]]:
-    out = {}
-    for line in lines:
-        key, *rest = line.split("\t")
-        if key := key.strip().lstrip("﻿"):
-            out[key] = [v.strip() for v in rest]
-    return out
+def marked(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, pos, seg, kind, line): lines of headers (kind h) and bodies (b) with their segment, 0 for the global header.
 
+    ``path`` is a file or a folder of parts, which follow one another by name. Blank lines of bodies and
+    what stands between the global header and the first segment are left out.
+    """
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), F.regexp_replace("value", "\r$", "").alias("line"))
+    key = F.trim(F.regexp_replace(F.split("line", "\t")[0], BOM, ""))
+    is_end, is_channels = (key == END).cast("long"), (key == CHANNELS).cast("long")
+    # Within a block: ends of headers before the line, and lines that may begin a segment, all or those after the first end.
+    w = Window.partitionBy("file", "block").orderBy("pos")
+    x = text.withColumns({"is_end": is_end, "is_start": is_channels})
+    x = x.withColumn("ends", F.sum("is_end").over(w) - F.col("is_end"))
+    x = x.withColumn("later", F.when(F.col("ends") > 0, F.col("is_start")).otherwise(0))
+    upto = lambda c: F.max(F.when(F.col(c) > 0, F.col("ends"))).over(w)
+    x = x.withColumns({"starts": F.sum("is_start").over(w), "starts_later": F.sum("later").over(w), "head": upto("is_start"), "head_later": upto("later")})
+    # What lies before each block; one row for each block of the file.
+    blocks = x.groupBy("file", "block").agg(F.sum("is_end").alias("n_ends"), F.sum("is_start").alias("n"), F.sum("later").alias("n_later"), F.max("head").alias("last"), F.max("head_later").alias("last_later"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("ends0", F.coalesce(F.sum("n_ends").over(before), F.lit(0)))
+    open_ = F.col("ends0") > 0
+    blocks = blocks.withColumns({"n": F.when(open_, F.col("n")).otherwise(F.col("n_later")), "last": F.col("ends0") + F.when(open_, F.col("last")).otherwise(F.col("last_later"))})
+    blocks = blocks.select("file", "block", "ends0", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("seg0"), F.max("last").over(before).alias("head0"))
+    x = x.join(F.broadcast(blocks), ["file", "block"])
+    x = x.withColumns({
+        "seg": F.col("seg0") + F.when(open_, F.col("starts")).otherwise(F.col("starts_later")), "at": F.col("ends0") + F.col("ends"),
+        "begun": F.coalesce(F.col("ends0") + F.when(open_, F.col("head")).otherwise(F.col("head_later")), F.col("head0"))})
+    # A line is in its segment's header while no header has ended since the segment began.
+    header = F.when(F.col("seg") == 0, F.col("at") == 0).otherwise(F.col("at") == F.col("begun"))
+    x = x.withColumn("kind", F.when(header, "h").when((F.col("seg") > 0) & (F.trim("line") != ""), "b")).where("kind is not null")
+    x = x.select("file", "block", "pos", "seg", "kind", "line")
+    out = f"{files.scratch_folder(spark)}/lines"
+    x.write.parquet(out)
+    return spark.read.schema(x.schema).parquet(out)
+
+
+@dataclass(frozen=True)
+class Parsed:
+    """cells (row_idx, seg, names, cells as strings), heads (a row for each segment), columns, separator, decimal."""
+
+    lines: DataFrame
+    heads: DataFrame
+    rows: DataFrame
+    columns: list[str]
+    glob: dict[str, str | None]
+
+
+def _first(fields: Column) -> Column:
+    """The first value that isn't empty."""
+    return F.get(F.filter(fields, lambda v: v != ""), F.lit(0))
+
+
+def parsed(spark: SparkSession, path: str) -> Parsed:
+    lines = marked(spark, path)
+    f = F.split("line", "\t", -1)
+    fields = lines.where("kind = 'h'").select("seg", "file", "block", "pos", F.trim(F.regexp_replace(f[0], BOM, "")).alias("key"), F.transform(F.slice(f, 2, F.size(f)), lambda v: F.trim(v)).alias("values"))
+    # A key's last line counts.
+    fields = fields.where("key <> ''").groupBy("seg", "key").agg(_first(F.max_by("values", F.struct("file", "block", "pos"))).alias("value"))
+    # Null fields too: END itself is one.
+    heads = fields.groupBy("seg").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("head"))
+
+    # Rows of a segment numbered from 0 (its column names): within each block, and by the counts of blocks before.
+    body = lines.where("kind = 'b'")
+    parts = body.groupBy("seg", "file", "block").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("seg").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("seg", "file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("nth0"))
+    own = Window.partitionBy("seg", "file", "block").orderBy("pos")
+    body = body.withColumn("nth", F.row_number().over(own) - 1).join(parts, ["seg", "file", "block"]).withColumn("nth", F.col("nth") + F.col("nth0"))
+
+    names = body.where("nth = 0").select("seg", F.transform(F.split("line", "\t", -1), lambda v: F.trim(v)).alias("names"))
+    sizes = body.groupBy("seg").agg((F.count("*") - 1).alias("n_rows"))
+    heads = heads.join(names, "seg", "left").join(sizes, "seg", "left")
+    # One row for each segment.
+    heads = heads.withColumn("row0", F.coalesce(F.sum(F.coalesce("n_rows", F.lit(0))).over(Window.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    glob = heads.where("seg = 0").select("head").first()
+    glob = dict(glob["head"]) if glob else {}
+    if END not in glob:
+        raise ValueError(f"LVM header did not contain {END}")
+    x_columns = F.coalesce(F.col("head")["X_Columns"], F.lit(glob.get("X_Columns")))
+    heads = heads.where("seg > 0").withColumns({"x_columns": x_columns, "rebuilt": F.coalesce(F.lower(x_columns) == "no", F.lit(False))})
+    missing = lambda k: F.count_if(F.col("rebuilt") & F.col("head")[k].isNull())
+    told = heads.agg(F.count("*").alias("n"), F.count_if(~F.map_contains_key("head", END)).alias("open"), F.count_if(F.col("names").isNull()).alias("empty"), missing("X0").alias("X0"), missing("Delta_X").alias("Delta_X")).first()
+    if not told["n"]:
+        raise ValueError(f"No tabular data segments were found in LVM file: {path}")
+    if told["open"]:
+        raise ValueError(f"LVM header did not contain {END}")
+    if told["empty"]:
+        raise ValueError("LVM segment ended before the tabular data header row")
+    for k in ("X0", "Delta_X"):
+        if told[k]:
+            raise ValueError(f"LVM segment is missing required metadata field: {k}")
+    # A row for each column name; first come, first.
+    found = heads.select("seg", F.posexplode("names").alias("place", "name")).groupBy("name").agg(F.min(F.struct("seg", "place")).alias("first"))
+    columns = [r["name"] for r in found.orderBy("first").collect()]
+
+    separator, decimal = SEPARATORS.get((glob.get("Separator") or "Tab").lower(), "\t"), glob.get("Decimal_Separator") or "."
+    x = body.where("nth > 0").join(heads.select("seg", "names", "row0", "rebuilt", *[(F.replace(F.col("head")[k], F.lit(decimal), F.lit(".")).cast("double")).alias(k.lower()) for k in ("X0", "Delta_X")]), "seg")
+    x = x.withColumns({"f": F.split("line", "\t", -1), "width": F.size("names"), "i": F.col("nth") - 1})
+    # What a long row has too much goes to its last cell.
+    last = F.when(F.size("f") > F.col("width"), F.array_join(F.slice("f", F.col("width"), F.size("f")), separator))
+    tidy = lambda c: F.nullif(F.trim(c), F.lit(""))
+    put = lambda c: F.replace(tidy(c), F.lit(decimal), F.lit(".")) if decimal != "." else tidy(c)
+    x = x.withColumn("last", last)
 
-def _first(header: dict[str, list[str]], key: str) -> str | None:
-    return next((v for v in header.get(key, []) if v), None)
+    def cell(name: str) -> Column:
+        place = F.array_position("names", name)
+        told = F.when((place == F.col("width")) & F.col("last").isNotNull(), F.col("last")).when(place > 0, F.get("f", (place - 1).cast("int")))
+        return F.when(F.col("rebuilt") & (place == 1), (F.col("x0") + F.col("i") * F.col("delta_x")).cast("string")).otherwise(put(told))
 
+    rows = x.select((F.col("row0") + F.col("i")).alias("row_idx"), F.struct(*[cell(c).alias(f"c{k}") for k, c in enumerate(columns)]).alias("cells"))
+    return Parsed(lines, heads, rows, columns, glob)
 
-def read(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """(table, metadata): rows of all segments by column name, with row_idx.
 
-    A column is numeric where all its values in a segment are. Where a segment's X_Columns (or else the
-    global one) says No, its first column is X0 + i * Delta_X. Short rows are filled, and what a long row
-    has too much is joined to its last cell by the declared separator.
+def table(spark: SparkSession, path: str, got: Parsed | None = None) -> DataFrame:
+    """Rows of all segments by column name, with row_idx. A column is numeric where all its values are.
+
+    Where a segment's X_Columns (or else the global one) says No, its first column is X0 + i * Delta_X. Short
+    rows are filled, and what a long row has too much is joined to its last cell by the declared separator.
     """
-    text = with_rows(spark.read.text(path)).select("row_idx", F.regexp_replace("value", "\r$", "").alias("line"))
-    key = F.trim(F.regexp_replace(F.split("line", "\t")[0], "﻿", ""))
-    marks = text.select("row_idx", key.alias("key")).where(F.col("key").isin(END, CHANNELS)).orderBy("row_idx").collect()
-    ends = [m["row_idx"] for m in marks if m["key"] == END]
-    if not ends:
-        raise ValueError(f"LVM header did not contain {END}")
-    starts = [m["row_idx"] for m in marks if m["key"] == CHANNELS and m["row_idx"] > ends[0]]
-    spans = []  # segment header, and where its rows end
-    for k, s in enumerate(starts):
-        end = next((e for e in ends if e > s), None)
-        if end is None:
-            raise ValueError(f"LVM header did not contain {END}")
-        spans.append((s, end, starts[k + 1] if k + 1 < len(starts) else None))
-    if not spans:
-        raise ValueError(f"No tabular data segments were found in LVM file: {path}")
-    within = lambda lo, hi: (F.col("row_idx") >= lo) & (F.col("row_idx") < hi)
-    want = reduce(lambda a, b: a | b, [within(0, ends[0]), *[within(s, e) for s, e, _ in spans]])
-    heads = {r["row_idx"]: r["line"] for r in text.where(want).collect()}
-    glob = _header([heads[k] for k in sorted(heads) if k < ends[0]])
-    separator = SEPARATORS.get((_first(glob, "Separator") or "Tab").lower(), "\t")
-    decimal = _first(glob, "Decimal_Separator") or "."
-    frames, segments = [], []
-    for n, (s, end, after) in enumerate(spans):
-        meta = _header([heads[k] for k in range(s, end) if k in heads])
-        body = text.where(F.col("row_idx") > end) if after is None else text.where((F.col("row_idx") > end) & (F.col("row_idx") < after))
-        body = body.where(F.trim("line") != "")
-        names = body.orderBy("row_idx").first()
-        if names is None:
-            raise ValueError("LVM segment ended before the tabular data header row")
-        columns = [c.strip() for c in names["line"].split("\t")]
-        x_columns = _first(meta, "X_Columns") or _first(glob, "X_Columns")
-        described = {k: _first(meta, v) for k, v in FIELDS.items()} | {"x_columns": x_columns}
-        frame, numeric = _rows(body.where(F.col("row_idx") > names["row_idx"]), columns, separator, decimal, described)
-        frames.append((frame.withColumn("segment", F.lit(n)), numeric))
-        segments.append(described)
-    # A column is numeric if it is in every segment that has it.
-    numbers: dict[str, bool] = {}
-    for _, flags in frames:
-        for c, on in flags.items():
-            numbers[c] = numbers.get(c, True) and on
-    kept = [f.select("at", "segment", *[number(quoted(c)).alias(c) if numbers[c] else F.col(quoted(c)).cast("string").alias(c) for c in flags]) for f, flags in frames]
-    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kept).orderBy("segment", "at").drop("segment", "at")
-    return table, {"global_header": {k: _first(glob, k) for k in glob}, "segment_count": len(segments), "segments": segments}
-
-
-def _rows(body: DataFrame, columns: list[str], separator: str, decimal: str, described: dict) -> tuple[DataFrame, dict[str, bool]]:
-    """Cells of a segment, and which columns hold numbers only."""
-    n = len(columns)
-    f = F.split("line", "\t", -1)
-    body = body.withColumn("f", f)
-    cells = [F.get("f", F.lit(k)) for k in range(n - 1)]
-    cells.append(F.when(F.size("f") > n, F.array_join(F.slice("f", n, F.size("f")), separator)).otherwise(F.get("f", F.lit(n - 1))))
-    tidy = lambda c: F.nullif(F.trim(c), F.lit(""))
-    body = body.select(F.col("row_idx").alias("at"), *[(F.replace(tidy(c), F.lit(decimal), F.lit(".")) if decimal != "." else tidy(c)).alias(f"c{k}") for k, c in enumerate(cells)])
-    if (described["x_columns"] or "").lower() == "no":
-        for k in ("x0", "delta_x"):
-            if described[k] is None:
-                raise ValueError(f"LVM segment is missing required metadata field: {FIELDS[k]}")
-        x0, dx = float(described["x0"].replace(decimal, ".")), float(described["delta_x"].replace(decimal, "."))
-        body = segment_time(body.withColumn("segment", F.lit(0)), "segment", "at", x0, dx, "c0").drop("segment")
-    numeric = body.agg(*[(F.count(number(f"c{k}")) == F.count(f"c{k}")).alias(f"c{k}") for k in range(n)]).first()
-    return body.select("at", *[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)]), dict(zip(columns, numeric, strict=True))
+    got = got or parsed(spark, path)
+    cells = [F.col("cells").getField(f"c{k}") for k in range(len(got.columns))]
+    numeric = got.rows.agg(*[(F.count(number(c)) == F.count(c)).alias(f"c{k}") for k, c in enumerate(cells)]).first()
+    return got.rows.select("row_idx", *[(number(c) if on else c).alias(name) for c, on, name in zip(cells, numeric, got.columns, strict=True)])
+
+
+def segments(got: Parsed) -> DataFrame:
+    """(segment, channels, samples, date, time, x_columns, x0, delta_x): what each segment's header says."""
+    return got.heads.select(F.col("seg").alias("segment"), *[F.col("x_columns") if k == "x_columns" else F.col("head")[v].alias(k) for k, v in FIELDS.items()])
+
+
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(table in order, metadata): as ``table``, and one description for each segment."""
+    got = parsed(spark, path)
+    described = [r.asDict() for r in segments(got).orderBy("segment").drop("segment").collect()]
+    return table(spark, path, got).orderBy("row_idx").drop("row_idx"), {"global_header": got.glob, "segment_count": len(described), "segments": described}
 
 
 def segment_time(rows: DataFrame, segment: str, order: str, x0, dx, into: str) -> DataFrame:
     """Sets ``into`` to x0 + i * dx, i from 0 in each segment."""
-    from pyspark.sql import Window
-
     lit = lambda v: F.col(v) if isinstance(v, str) else F.lit(float(v))
     i = F.row_number().over(Window.partitionBy(segment).orderBy(order)) - 1
     return rows.withColumn(into, lit(x0) + i * lit(dx))
