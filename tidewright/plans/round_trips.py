@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.sax.saxutils import escape
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright import cache, files, synth
+from tidewright import cache, files, sinks, synth
 from tidewright.functions import number
 from tidewright.operators import schema
 from tidewright.plans.catalog import _SIGNALS, event_signals, events
@@ -25,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _csv(spark: SparkSession, sf_dir: str) -> str:
     path = f"{files.scratch_folder(spark)}/events.csv"
-    events(spark, sf_dir).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).write.option("header", True).csv(path)
+    events(spark, sf_dir).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).write.option("header", True).option("escape", '"').csv(path)
     return path
 
 
@@ -58,12 +54,11 @@ def ndjson_events(spark, sf_dir):
 
 
 def json_records(spark, sf_dir):
-    """Nations through one JSON document with a list ``records`` (a document is one value: a small table)."""
-    rows = _table(spark, sf_dir, "nation").select("n_nationkey", F.struct("n_name", "n_regionkey").alias("of"))
-    path = f"{files.scratch_folder(spark)}/nation.json"
-    files.write_text(spark, path, rows.agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("records")))).first()[0])
+    """Suppliers through one JSON document with a list ``records`` of nested objects."""
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", F.struct("s_name", "s_nationkey").alias("of"), F.col("s_suppkey").alias("row_idx"))
+    path = sinks.write_file(rows, f"{files.scratch_folder(spark)}/supplier.json", around=('{"records": ', "}"))
     x = read_table(spark, path)
-    return x.select("n_nationkey", F.col("`of.n_name`").alias("n_name"), F.col("`of.n_regionkey`").alias("n_regionkey"))
+    return x.select("s_suppkey", F.col("`of.s_name`").alias("s_name"), F.col("`of.s_nationkey`").alias("s_nationkey"))
 
 
 def lvm_segments(spark, sf_dir):
@@ -99,44 +94,38 @@ def lvm_many_segments(spark, sf_dir):
     return x.select("row_idx", F.col("X_Value").alias("time"), F.col("Key").cast("long").alias("o_orderkey"), F.col("Price").alias("price"), F.col("Note").alias("note"))
 
 
-def _workbook(rows: list[tuple], columns: list[str]) -> bytes:
-    """A workbook of two sheets, the second with the rows: numbers as cells, texts inline."""
-    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-
-    def cell(ref, v):
-        return f'<c r="{ref}"><v>{v}</v></c>' if not isinstance(v, str) else f'<c r="{ref}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
-
-    body = "".join(f'<row r="{k}">' + "".join(cell(f"{chr(65 + i)}{k}", v) for i, v in enumerate(r) if v is not None) + "</row>" for k, r in enumerate([tuple(columns), *rows], 1))
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="Empty" r:id="r1"/><sheet name="Rows" r:id="r2"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/s1.xml"/><Relationship Id="r2" Target="/xl/worksheets/s2.xml"/></Relationships>')
-        z.writestr("xl/worksheets/s1.xml", f"<worksheet {main}><sheetData/></worksheet>")
-        z.writestr("xl/worksheets/s2.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
-    return out.getvalue()
-
-
-def _nation_book(spark: SparkSession, sf_dir: str) -> bytes:
-    # A sheet ends at 2^20 rows by its format; this table has one row for each nation.
-    rows = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()
-    return _workbook([tuple(r) for r in rows], ["n_nationkey", "n_name", "n_regionkey"])
+def _customer_book(spark: SparkSession, sf_dir: str) -> str:
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("c_mktsegment"), F.col("c_custkey").alias("row_idx"))
+    return sinks.write_file(rows, f"{files.scratch_folder(spark)}/customer.xlsx", "Customers")
 
 
 def xlsx_sheet(spark, sf_dir):
-    """Nations through the second sheet of a workbook."""
-    path = files.write_bytes(spark, f"{files.scratch_folder(spark)}/nation.xlsx", _nation_book(spark, sf_dir))
-    x = read_table(spark, path, "Rows")
-    return x.select("row_idx", F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+    """Customers through a workbook, made and read in tasks; some cells are missing."""
+    x = read_table(spark, _customer_book(spark, sf_dir), "Customers")
+    return x.select("row_idx", F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", number("c_acctbal").alias("c_acctbal"), "c_mktsegment")
 
 
 def xlsx_preview(spark, sf_dir):
     """Shape, columns and first rows of a sheet."""
-    got = xlsx.preview(spark, _nation_book(spark, sf_dir), "Rows", 3)
-    names = [r["n_name"] for r in got["sample_rows"]]
+    got = xlsx.preview(spark, _customer_book(spark, sf_dir), None, 3)
+    names = [r["c_name"] for r in got["sample_rows"]]
     return spark.createDataFrame([(got["sheet_name"], ",".join(got["columns"]), *got["shape"], ",".join(names))], "sheet_name string, columns string, n_rows long, n_columns long, first_names string")
 
 
+def csv_file(spark, sf_dir):
+    """Orders through one CSV file whose parts are written by tasks."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit('say "'), "o_orderpriority", F.lit('", '), "o_orderstatus")).alias("note"), F.col("o_orderkey").alias("row_idx"))  # numbers with gaps: only their order counts
+    x = read_table(spark, sinks.write_file(o, f"{files.scratch_folder(spark)}/orders.csv"))
+    return x.select("row_idx", F.col("o_orderkey").cast("long").alias("o_orderkey"), number("o_totalprice").alias("o_totalprice"), "note")
+
+
+def json_file(spark, sf_dir):
+    """Customers through one JSON list whose parts are written by tasks."""
+    c = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", F.col("c_custkey").alias("row_idx"))
+    x = read_table(spark, sinks.write_file(c, f"{files.scratch_folder(spark)}/customer.json"))
+    return x.select("c_custkey", "c_name", "c_acctbal")
+
+
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a raw table of strings with a time column and two columns of numbers."""
     e = events(spark, sf_dir)
@@ -177,6 +166,39 @@ def synthetic_dropouts(spark, sf_dir):
     return x.agg(F.count("*").alias("n_rows"), F.count_if(F.col("value").isNull()).alias("n_gone"))
 
 
+def synthetic_spikes(spark, sf_dir):
+    """How many rows of each sensor differ from the same sensor without spikes, by two shares of spikes."""
+    n = events(spark, sf_dir).count()
+    out = None
+    for k, share in ((0, 0.002), (1, 0.03)):
+        plain, spiky = (synth.sensor(spark, k, n, 7, 0.1, s, 0.0, 0.0) for s in (0.0, share))
+        both = plain.join(spiky.withColumnRenamed("value", "with_spikes"), "row_idx")
+        x = both.agg(F.lit(synth.header(k)).alias("sensor"), F.count("*").alias("n_rows"), F.count_if(F.abs(F.col("value") - F.col("with_spikes")) > 1e-9).alias("n_spikes"))
+        out = x if out is None else out.union(x)
+    return out
+
+
+def synthetic_flats(spark, sf_dir):
+    """Whether rows that flat stretches changed hold the value of an earlier row, within the longest stretch."""
+    n = events(spark, sf_dir).count()
+    plain, flat = (synth.sensor(spark, 2, n, 7, 0.1, 0.0, f, 0.0) for f in (0.0, 0.01))
+    both = plain.join(flat.withColumnRenamed("value", "held"), "row_idx")
+    changed = both.where("value <> held").select("row_idx", "held")
+    source = plain.select(F.col("row_idx").alias("start"), F.col("value").alias("held"))
+    found = changed.join(source, "held").where("start < row_idx").groupBy("row_idx").agg(F.max(F.col("row_idx") - F.col("start")).alias("off"))
+    n_changed = changed.agg(F.count("*").alias("c"))
+    return found.agg(F.count("*").alias("n"), F.max("off").alias("off")).crossJoin(n_changed).select(
+        F.lit(n).cast("long").alias("n_rows"), (F.col("n") == F.col("c")).alias("all_held"), (F.col("off") < synth.FLAT_LONGEST[1]).alias("short"), (F.col("c") > 0).alias("some"))
+
+
+def synthetic_columns(spark, sf_dir):
+    """Time and junk columns of a table with irregular headers, all rows."""
+    n = events(spark, sf_dir).count()
+    x = synth.table(spark, n, 2, 0.0, 7, 0.0, "datetime", "irregular", True)
+    seconds = F.timestamp_diff("SECOND", F.expr("timestamp_ntz'2026-01-01 00:00:00'"), F.col("Timestamp"))
+    return x.select("row_idx", seconds.alias("second"), F.col("Operator Notes").alias("notes"), F.col("Batch ID").alias("batch"), F.col("QC Flag").alias("qc"), F.lit(",".join(x.columns[2:4])).alias("headers"))
+
+
 def cache_round_trip(spark, sf_dir):
     """Signals of events through a cache by sensor."""
     return cache.load_cache(spark, cache.write_cache(event_signals(spark, sf_dir), files.scratch_folder(spark))).select("sensor", "row_idx", "time", "value")
@@ -189,8 +211,8 @@ def cache_chosen(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    csv_events, csv_row_count, csv_row_numbers, ndjson_events, json_records, lvm_segments, lvm_many_segments, xlsx_sheet, xlsx_preview, normalized_signals, schema_roles, sensor_columns,
-    synthetic_waves, synthetic_dropouts, cache_round_trip, cache_chosen)}
+    csv_events, csv_row_count, csv_row_numbers, ndjson_events, json_records, lvm_segments, lvm_many_segments, xlsx_sheet, xlsx_preview, csv_file, json_file, normalized_signals, schema_roles, sensor_columns,
+    synthetic_waves, synthetic_dropouts, synthetic_spikes, synthetic_flats, synthetic_columns, cache_round_trip, cache_chosen)}
 
 _NUMBERS = "VALUES " + ", ".join(
     f"('{c}', (SELECT avg((try_cast({c}::VARCHAR AS DOUBLE) IS NOT NULL)::INT) FROM orders))" for c in ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
@@ -203,14 +225,16 @@ SQL = {
     "csv_row_count": "SELECT count(DISTINCT event_type) AS n_rows FROM events",
     "csv_row_numbers": "SELECT count(*) AS n, 0::BIGINT AS first_row, count(*) - 1 AS last_row, (count(*) * (count(*) - 1) // 2)::BIGINT AS row_sum FROM events",
     "ndjson_events": "SELECT event_id, event_type, value, user_id FROM events",
-    "json_records": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation",
+    "json_records": "SELECT s_suppkey::BIGINT AS s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey FROM supplier",
     "lvm_segments": """SELECT row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS row_idx, (n_regionkey * 10 + 0.5 * (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1))::DOUBLE AS time,
         n_nationkey::BIGINT AS n_nationkey, n_name FROM nation""",
     "lvm_many_segments": """SELECT row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS row_idx, (o_custkey + 0.5 + 0.25 * (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1))::DOUBLE AS time,
         o_orderkey::BIGINT AS o_orderkey, o_totalprice AS price, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus || ';' || o_orderpriority END AS note FROM orders""",
-    "xlsx_sheet": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS row_idx, n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation",
-    "xlsx_preview": """SELECT 'Rows' AS sheet_name, 'n_nationkey,n_name,n_regionkey' AS columns, (SELECT count(*) FROM nation) AS n_rows, 3::BIGINT AS n_columns,
-        string_agg(n_name, ',' ORDER BY n_nationkey) AS first_names FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 3)""",
+    "xlsx_sheet": """SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx, c_custkey::BIGINT AS c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer""",
+    "xlsx_preview": """SELECT 'Customers' AS sheet_name, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS columns, (SELECT count(*) FROM customer) AS n_rows, 5::BIGINT AS n_columns,
+        string_agg(c_name, ',' ORDER BY c_custkey) AS first_names FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 3)""",
+    "csv_file": """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx, o_orderkey::BIGINT AS o_orderkey, o_totalprice, CASE WHEN o_orderkey % 3 <> 0 THEN 'say "' || o_orderpriority || '", ' || o_orderstatus END AS note FROM orders""",
+    "json_file": "SELECT c_custkey::BIGINT AS c_custkey, c_name, c_acctbal FROM customer",
     "normalized_signals": """SELECT 'Value A' AS sensor, event_id AS row_idx, (event_id * 0.25)::DOUBLE AS time, value FROM events
         UNION ALL SELECT 'Users', event_id, (event_id * 0.25)::DOUBLE, user_id::DOUBLE FROM events""",
     "schema_roles": """SELECT * FROM (VALUES ('Elapsed Time [s]', 'elapsed_time_s', 'time'), ('Value A', 'value_a', (SELECT CASE WHEN avg((value IS NOT NULL)::INT) >= 0.75 THEN 'sensor' ELSE 'other' END FROM events)),
@@ -218,6 +242,11 @@ SQL = {
         ('Kind', 'kind', (SELECT CASE WHEN avg((try_cast(event_type AS DOUBLE) IS NOT NULL)::INT) >= 0.75 THEN 'sensor' ELSE 'other' END FROM events))) AS t(header, normalized, role)""",
     "sensor_columns": f"SELECT column_name FROM ({_NUMBERS}) AS t(column_name, share) WHERE share >= 0.75",
     "synthetic_waves": f"WITH rows AS (SELECT i, i / greatest((SELECT count(*) FROM events) - 1, 1)::DOUBLE AS a FROM (SELECT unnest(range((SELECT count(*) FROM events))) AS i)) {_WAVE}",
+    "synthetic_spikes": """SELECT * FROM (SELECT 'Sensor_1' AS sensor, count(*) AS n_rows, floor(count(*) * 0.002::DOUBLE)::BIGINT AS n_spikes FROM events
+        UNION ALL SELECT 'Sensor_2', count(*), floor(count(*) * 0.03::DOUBLE)::BIGINT FROM events)""",
+    "synthetic_flats": "SELECT count(*) AS n_rows, true AS all_held, true AS short, true AS some FROM events",
+    "synthetic_columns": """SELECT i AS row_idx, i AS second, CASE WHEN i % 97 = 0 THEN 'check sensor bank' ELSE 'ok' END AS notes, 'run-7' AS batch, CASE WHEN i % 211 = 0 THEN 'WARN' ELSE 'PASS' END AS qc,
+        'TC-01 Temp (C),flow sensor 2' AS headers FROM (SELECT unnest(range((SELECT count(*) FROM events))) AS i)""",
     "synthetic_dropouts": "SELECT count(*) AS n_rows, floor(count(*) * 0.25)::BIGINT AS n_gone FROM events",
     "cache_round_trip": f"WITH {_SIGNALS} SELECT sensor, row_idx, time, value FROM signals",
     "cache_chosen": f"WITH {_SIGNALS} SELECT sensor, row_idx FROM signals WHERE sensor IN ('click', 'view')",

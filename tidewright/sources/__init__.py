@@ -58,9 +58,9 @@ def csv_encoding(spark: SparkSession, path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings under their headers."""
+    """All columns as strings under their headers; a quote inside quotes is doubled, and a record is a line."""
     enc = csv_encoding(spark, path)
-    return spark.read.option("header", True).option("encoding", enc).option("inferSchema", False).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return spark.read.option("header", True).option("escape", '"').option("encoding", enc).option("inferSchema", False).option("ignoreLeadingWhiteSpace", False).csv(path)
 
 
 def flattened(df: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> Data
     if suffix == ".csv":
         df = read_csv(spark, path)
     elif suffix == ".xlsx":
-        df = xlsx.read(spark, whole(spark, path), sheet)
+        df = xlsx.read(spark, path, sheet)
     elif suffix == ".lvm":
         df = lvm.table(spark, path)
     elif suffix == ".json":

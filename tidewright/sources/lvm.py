@@ -55,7 +55,7 @@ def marked(spark: SparkSession, path: str) -> DataFrame:
         "begun": F.coalesce(F.col("ends0") + F.when(open_, F.col("head")).otherwise(F.col("head_later")), F.col("head0"))})
     # A line is in its segment's header while no header has ended since the segment began.
     header = F.when(F.col("seg") == 0, F.col("at") == 0).otherwise(F.col("at") == F.col("begun"))
-    x = x.withColumn("kind", F.when(header, "h").when((F.col("seg") > 0) & (F.trim("line") != ""), "b")).where("kind is not null")
+    x = x.withColumn("kind", F.when(header, "h").when((F.col("seg") > 0) & F.col("line").rlike(r"\S"), "b")).where("kind is not null")
     x = x.select("file", "block", "pos", "seg", "kind", "line")
     out = f"{files.scratch_folder(spark)}/lines"
     x.write.parquet(out)

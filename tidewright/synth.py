@@ -11,11 +11,16 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright import files
+from tidewright import files, sinks
 
 #: Headers of the irregular style, in turn.
 IRREGULAR = ("TC-{0:02d} Temp (C)", "flow sensor {0}", "Pressure.Channel.{0}", "sensor {0} reading")
 
+#: Flat stretches number this many times their share of the rows, from the first of these counts to the second.
+FLATS_TIMES, FLATS_COUNT = 10, (1, 10)
+#: A flat stretch has at least so many rows, and at most one in so many of all, within these bounds.
+FLAT_SHORTEST, FLAT_PART, FLAT_LONGEST = 3, 50, (4, 200)
+
 
 def header(k: int, style: str = "standard") -> str:
     if style == "standard":
@@ -51,10 +56,10 @@ def sensor(spark: SparkSession, k: int, n_rows: int, seed: int, noise: float, sp
         hit = _chosen(rows, n, F.lit(seed), F.lit(k), F.lit("spike")).withColumn("hit", F.lit(True))
         x = x.join(hit, "row_idx", "left").withColumn("value", F.col("value") + F.when(F.col("hit"), max(6.0, 20 * noise) * _normal(*key, F.lit("size"))).otherwise(0.0)).drop("hit")
     if flats > 0 and n_rows:
-        count = max(1, min(10, int(n_rows * flats * 10) or 1))
-        longest = max(4, min(n_rows // 50 + 1, 200))
+        count = sorted((*FLATS_COUNT, int(n_rows * flats * FLATS_TIMES)))[1]
+        longest = sorted((*FLAT_LONGEST, n_rows // FLAT_PART + 1))[1]
         starts = spark.range(count).select(
-            F.floor(_uniform(F.lit(seed), F.lit(k), F.lit("flat"), "id") * max(n_rows - 2, 1)).alias("start"), (3 + F.floor(_uniform(F.lit(seed), F.lit(k), F.lit("length"), "id") * (longest - 3))).alias("length"))
+            F.floor(_uniform(F.lit(seed), F.lit(k), F.lit("flat"), "id") * max(n_rows - 2, 1)).alias("start"), (FLAT_SHORTEST + F.floor(_uniform(F.lit(seed), F.lit(k), F.lit("length"), "id") * (longest - FLAT_SHORTEST))).alias("length"))
         inside = starts.select("start", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + F.col("length"), F.lit(n_rows)) - 1)).alias("row_idx")).groupBy("row_idx").agg(F.min("start").alias("start"))
         held = x.join(starts.select("start").distinct(), x.row_idx == F.col("start"), "left_semi").select(F.col("row_idx").alias("start"), F.col("value").alias("held"))
         x = x.join(inside.join(held, "start").select("row_idx", "held"), "row_idx", "left").withColumn("value", F.coalesce("held", "value")).drop("held")
@@ -89,16 +94,14 @@ def table(
 
 
 def write(df: DataFrame, path: str, fmt: str) -> str:
-    """One file's rows in order, as a folder of csv or ndjson parts; json is one list in one part."""
+    """Rows in order: csv and ndjson as a folder of parts, json as one list and xlsx as one sheet in a file."""
+    if fmt in ("json", "xlsx"):
+        return sinks.write_file(df, path)
     x = df.orderBy("row_idx").drop("row_idx")
     if fmt == "csv":
-        x.write.mode("overwrite").option("header", True).csv(path)
+        x.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     elif fmt == "ndjson":
         x.write.mode("overwrite").json(path)
-    elif fmt == "json":
-        spark = df.sparkSession
-        # A single JSON list can't be split: for small tables only.
-        files.write_text(spark, path, "[\n" + ",\n".join(x.toJSON().collect()) + "\n]\n")
     else:
         raise ValueError(f"Unsupported synthetic output format: {fmt}")
     return path

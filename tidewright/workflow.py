@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewright import cache, files, reports
 from tidewright.config import Config
 from tidewright.operators import resample, schema, scaling, signals, spikes, steady
-from tidewright.sources import csv_encoding, csv_rows, lvm, read_table, whole, xlsx
+from tidewright.sources import csv_encoding, csv_rows, lvm, read_table, xlsx
 
 #: Rows of a bucket in partitioned mode.
 BUCKET_ROWS = 100_000
@@ -32,7 +32,7 @@ def inspect(spark: SparkSession, path: str, config: Config | None = None, sheet:
     else:
         out["shape"] = [raw.count(), len(columns)]
     if suffix == ".xlsx":
-        out["sheets"] = list(xlsx.sheets(whole(spark, path)))
+        out["sheets"] = xlsx.sheet_names(spark, path)
     if suffix == ".lvm":
         out["lvm_metadata"] = lvm.read(spark, path)[1]
     return out
