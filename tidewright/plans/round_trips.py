@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright import cache, files, sinks, synth
+from tidewright import cache, files, sinks, streaming, synth
 from tidewright.functions import number
 from tidewright.operators import schema
-from tidewright.plans.catalog import _SIGNALS, event_signals, events
+from tidewright.plans.catalog import _SIGNALS, SQL as CATALOG_SQL, event_signals, events
 from tidewright.sources import csv_rows, flattened, read_table, xlsx
 
 TIME = "Elapsed Time [s]"
@@ -199,6 +199,20 @@ def synthetic_columns(spark, sf_dir):
     return x.select("row_idx", seconds.alias("second"), F.col("Operator Notes").alias("notes"), F.col("Batch ID").alias("batch"), F.col("QC Flag").alias("qc"), F.lit(",".join(x.columns[2:4])).alias("headers"))
 
 
+def spike_flags_stream(spark, sf_dir):
+    """Spikes of events that arrive in three chunks of time, each a micro-batch, and then end."""
+    folder = files.scratch_folder(spark)
+    e = events(spark, sf_dir).select(F.col("event_type").alias("sensor"), "ts", "value", F.col("event_id").alias("ord"))
+    ends = e.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    third = F.least(F.floor(F.timestamp_diff("SECOND", F.col("t0"), F.col("ts")) * 3 / (F.timestamp_diff("SECOND", F.col("t0"), F.col("t1")) + 1)), F.lit(2))
+    chunks = [e.crossJoin(F.broadcast(ends)).where(third == k).select(*e.columns) for k in range(3)]
+    chunks.append(e.select("sensor").distinct().select("sensor", F.lit(None).cast(e.schema["ts"].dataType).alias("ts"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("long").alias("ord")))
+    for chunk in chunks:
+        chunk.write.mode("append").parquet(f"{folder}/in")
+        streaming.run_batch(spark, f"{folder}/in", e.schema, f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out").where("flag").select("sensor", "row_idx", "time", "value")
+
+
 def cache_round_trip(spark, sf_dir):
     """Signals of events through a cache by sensor."""
     return cache.load_cache(spark, cache.write_cache(event_signals(spark, sf_dir), files.scratch_folder(spark))).select("sensor", "row_idx", "time", "value")
@@ -212,7 +226,7 @@ def cache_chosen(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     csv_events, csv_row_count, csv_row_numbers, ndjson_events, json_records, lvm_segments, lvm_many_segments, xlsx_sheet, xlsx_preview, csv_file, json_file, normalized_signals, schema_roles, sensor_columns,
-    synthetic_waves, synthetic_dropouts, synthetic_spikes, synthetic_flats, synthetic_columns, cache_round_trip, cache_chosen)}
+    synthetic_waves, synthetic_dropouts, synthetic_spikes, synthetic_flats, synthetic_columns, spike_flags_stream, cache_round_trip, cache_chosen)}
 
 _NUMBERS = "VALUES " + ", ".join(
     f"('{c}', (SELECT avg((try_cast({c}::VARCHAR AS DOUBLE) IS NOT NULL)::INT) FROM orders))" for c in ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
@@ -248,6 +262,7 @@ SQL = {
     "synthetic_columns": """SELECT i AS row_idx, i AS second, CASE WHEN i % 97 = 0 THEN 'check sensor bank' ELSE 'ok' END AS notes, 'run-7' AS batch, CASE WHEN i % 211 = 0 THEN 'WARN' ELSE 'PASS' END AS qc,
         'TC-01 Temp (C),flow sensor 2' AS headers FROM (SELECT unnest(range((SELECT count(*) FROM events))) AS i)""",
     "synthetic_dropouts": "SELECT count(*) AS n_rows, floor(count(*) * 0.25)::BIGINT AS n_gone FROM events",
+    "spike_flags_stream": CATALOG_SQL["spike_flags"],
     "cache_round_trip": f"WITH {_SIGNALS} SELECT sensor, row_idx, time, value FROM signals",
     "cache_chosen": f"WITH {_SIGNALS} SELECT sensor, row_idx FROM signals WHERE sensor IN ('click', 'view')",
 }
