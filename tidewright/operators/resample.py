@@ -128,3 +128,18 @@ def characterize(signals: DataFrame, method: str = "cubic_spline", dense_factor:
 def curve_summary(dense: DataFrame) -> DataFrame:
     """(sensor, method, n_dense) of ``characterize``."""
     return dense.groupBy("sensor", "method").agg(F.count("*").alias("n_dense"))
+
+
+def pixels(signals: DataFrame, width: int, value: str = "value") -> DataFrame:
+    """What a plot of ``width`` pixels shows: for each sensor and pixel column its n, first, last, least and greatest value.
+
+    Lines drawn through these look like lines through all samples, so a curve of any length becomes at most
+    four points a column. Columns without samples aren't there; a sensor of one time has one column.
+    """
+    samples = valid_samples(signals, value)
+    ends = samples.groupBy("sensor").agg(F.min("time").alias("t0"), F.max("time").alias("t1"))
+    at = F.least(F.floor((F.col("time") - F.col("t0")) / (F.col("t1") - F.col("t0")) * F.lit(width)), F.lit(width - 1))
+    x = samples.join(ends, "sensor").withColumn("pixel", F.when(F.col("t1") > F.col("t0"), at).otherwise(0).cast("long"))
+    return x.groupBy("sensor", "pixel").agg(
+        F.count("*").alias("n"), F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.min_by("value", "time").alias("first_value"), F.max_by("value", "time").alias("last_value"),
+        F.min("value").alias("least_value"), F.max("value").alias("greatest_value"))

@@ -1,4 +1,7 @@
-"""Summaries of scaling studies: rows of (mode, nproc, elapsed_sec, all_times, child_payloads)."""
+"""Summaries of scaling studies: rows of (mode, nproc, elapsed_sec, all_times, child_payloads).
+
+Beside seconds they take work: the rows that each rank of a mode would hold, counted from signals.
+"""
 
 from __future__ import annotations
 
@@ -63,3 +66,31 @@ def work_metrics(loads: DataFrame) -> DataFrame:
         F.max("load_sec").alias("max_load_elapsed_sec"), F.max("compute_sec").alias("max_compute_elapsed_sec"),
         *[f(c).alias(f"{n}_{c}") for c in ("n_sensors", "n_rows") for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))],
         F.avg("n_halo").alias("mean_halo_rows"), (F.max(busy) / F.min(busy)).alias("compute_ratio"))
+
+
+def loads(signals: DataFrame, points: list[tuple[str, int]], window_radius: int = 5) -> DataFrame:
+    """(mode, nproc, rank, n_sensors, n_rows, n_halo): what each rank holds of ``signals`` (sensor, row_idx).
+
+    serial: one rank has all. replicated: sensors in turn, by name. partitioned: each sensor in equal runs of
+    rows, with ``window_radius`` rows more on both sides. Every row is counted where it falls, and the sums
+    of tasks are added up; ranks without rows aren't there.
+    """
+    # One row for each sensor.
+    sizes = signals.groupBy("sensor").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("nth", F.row_number().over(Window.orderBy("sensor")) - 1)
+    at = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(n).alias("nproc")) for m, n in points])).alias("p")
+    x = signals.select("sensor", "row_idx").join(sizes, "sensor").select("sensor", "row_idx", "n", "nth", at).select("sensor", "row_idx", "n", "nth", "p.*")
+    run = lambda i: F.expr(f"(({i} + 1) * nproc - 1) div n")
+    whole = F.when(F.col("mode") == "replicated", F.col("nth") % F.col("nproc")).otherwise(0).cast("long")
+    split = F.col("mode") == "partitioned"
+    own = F.when(split, run("row_idx")).otherwise(whole)
+    near = F.when(split, F.sequence(run(f"greatest(row_idx - {window_radius}, 0)"), run(f"least(row_idx + {window_radius}, n - 1)"))).otherwise(F.array(whole))
+    x = x.select("mode", "nproc", "sensor", own.alias("own"), F.explode(near).alias("rank"))
+    held = x.groupBy("mode", "nproc", "rank", "sensor").agg(F.count_if(F.col("rank") == F.col("own")).alias("n_rows"), F.count_if(F.col("rank") != F.col("own")).alias("n_halo"))
+    return held.groupBy("mode", "nproc", "rank").agg(F.count_if(F.col("n_rows") > 0).alias("n_sensors"), F.sum("n_rows").alias("n_rows"), F.sum("n_halo").alias("n_halo"))
+
+
+def work_runs(held: DataFrame) -> DataFrame:
+    """Runs (mode, nproc, all_times, elapsed_sec) whose times are rows: the busiest rank's, with its halo and without."""
+    x = held.groupBy("mode", "nproc").agg(F.array(F.max(F.col("n_rows") + F.col("n_halo")).cast("double"), F.max("n_rows").cast("double")).alias("all_times"))
+    return elapsed(x)

@@ -232,33 +232,58 @@ def dataset_summary(spark, sf_dir):
     return x.select("dataset_name", "n_rows", "n_sensors", F.array_join("sensor_names", ",").alias("sensor_names"), "time_min", "time_max")
 
 
-#: Timings that the summaries below are about.
-RUNS = (("serial", 1, (10.0, 11.0)), ("partitioned", 2, (6.0, 6.5)), ("replicated", 2, (5.0, 7.0)), ("partitioned", 8, (2.0, 2.5)), ("replicated", 4, (4.0, 4.0)))
+#: Modes and process counts whose work is counted.
+POINTS = [("serial", 1), ("replicated", 2), ("replicated", 4), ("partitioned", 2), ("partitioned", 4), ("partitioned", 8)]
+#: Process counts of weak scaling: each has as many eighths of every sensor.
+WEAK = (1, 2, 4, 8)
 
 
-def _runs(spark):
-    return scaling.elapsed(spark.createDataFrame([(m, n, list(t)) for m, n, t in RUNS], "mode string, nproc int, all_times array<double>"))
+def _loads(spark, sf_dir):
+    return scaling.loads(event_signals(spark, sf_dir), POINTS)
 
 
 def benchmark_summary(spark, sf_dir):
-    return scaling.benchmark_summary(_runs(spark))
+    """Speedup and efficiency by the rows that the busiest rank holds of the events."""
+    return scaling.benchmark_summary(scaling.work_runs(_loads(spark, sf_dir)))
 
 
 def weak_scaling_summary(spark, sf_dir):
-    x = _runs(spark).withColumns({"rows_per_rank": F.lit(125000), "total_rows": F.col("nproc") * 125000})
-    return scaling.weak_scaling_summary(x)
+    """The same where each process count has its share of every sensor's rows."""
+    x = event_signals(spark, sf_dir)
+    n = x.groupBy("sensor").agg(F.count("*").alias("n"))
+    out = None
+    for p in WEAK:
+        part = x.join(n, "sensor").where(f"row_idx < n * {p} div {WEAK[-1]}").select("sensor", "row_idx")
+        held = scaling.loads(part, [("partitioned", p)])
+        rows = held.groupBy("mode", "nproc").agg(F.sum("n_rows").alias("total_rows"))
+        run = scaling.work_runs(held).join(rows, ["mode", "nproc"]).withColumn("rows_per_rank", F.col("total_rows") / F.col("nproc"))
+        out = run if out is None else out.union(run)
+    return scaling.weak_scaling_summary(out)
 
 
 def timing_breakdown(spark, sf_dir):
-    x = _runs(spark).select("mode", "nproc", F.explode("all_times").alias("t"))
-    return scaling.metric_summary(x.select("mode", "nproc", F.create_map(F.lit("load_elapsed_sec"), F.col("t") / 10, F.lit("compute_elapsed_sec"), F.col("t")).alias("metrics")))
+    """Mean and most of each rank's rows and halo rows."""
+    held = _loads(spark, sf_dir)
+    named = F.create_map(F.lit("halo_rows"), F.col("n_halo").cast("double"), F.lit("own_rows"), F.col("n_rows").cast("double"))
+    return scaling.metric_summary(held.select("mode", "nproc", named.alias("metrics")))
+
+
+def rank_metrics(spark, sf_dir):
+    """Least, most and mean of what eight ranks hold, and how uneven it is."""
+    held = _loads(spark, sf_dir).where("mode = 'partitioned' AND nproc = 8")
+    return scaling.work_metrics(held.withColumns({"load_sec": (F.col("n_rows") + F.col("n_halo")).cast("double"), "compute_sec": F.col("n_rows").cast("double")}))
+
+
+def pixel_columns(spark, sf_dir):
+    """What a plot 200 pixels wide shows of each sensor."""
+    return resample.pixels(event_signals(spark, sf_dir), 200)
 
 
 QUERIES = {f.__name__: f for f in (
     spike_flags, spike_flags_bucketed, spike_flags_jump, spike_stats_per_sensor, repair_drop_fill, repair_local_mean_parallel, repair_local_mean, repair_clip, repair_nearest,
     fill_missing_hourly, fill_missing_bucketed, cleaning_stats, elapsed_time, index_time, dedupe_time, signal_scale_thresholds, window_features, steady_mask, steady_mask_bucketed,
     steady_segments, transitions, steady_rollup, group_steady, group_segments, dense_linear, dense_cubic, resample_grid, numeric_fraction, time_score, unpivot_signals, pivot_signals,
-    segment_time_rebuild, header_normalize, number_coercion, dataset_summary, benchmark_summary, weak_scaling_summary, timing_breakdown)}
+    segment_time_rebuild, header_normalize, number_coercion, dataset_summary, benchmark_summary, weak_scaling_summary, timing_breakdown, rank_metrics, pixel_columns)}
 
 _SIGNALS = """signals AS (SELECT event_type AS sensor, row_number() OVER w - 1 AS row_idx, (epoch_us(ts) - epoch_us(first_value(ts) OVER w)) / 1e6::DOUBLE AS time, value
     FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))"""
@@ -314,7 +339,16 @@ def _fold(new: str) -> str:
 
 
 _MEAN = "((rest + coalesce(list_sum([y.v for y in {seen} if y.i >= {r}.row_idx - 5]), 0)) / n)"
-_VALUES = "(VALUES " + ", ".join(f"('{m}', {n}, [{', '.join(map(str, t))}]::DOUBLE[])" for m, n, t in RUNS) + ") AS r(mode, nproc, all_times)"
+_POINTS = "(VALUES " + ", ".join(f"('{m}', {n})" for m, n in POINTS) + ") AS p(mode, nproc)"
+# Ranks of a row by the bounds of ranks, not by the row's own formula.
+_HELD = """bounds AS (SELECT mode, nproc, sensor, n, nth, unnest(range(nproc)) AS rank FROM points),
+    cuts AS (SELECT *, CASE WHEN mode = 'partitioned' THEN rank * n // nproc WHEN rank = CASE WHEN mode = 'replicated' THEN nth % nproc ELSE 0 END THEN 0 ELSE n END AS lo,
+        CASE WHEN mode = 'partitioned' THEN (rank + 1) * n // nproc ELSE n END AS hi FROM bounds),
+    parts AS (SELECT *, hi - lo AS own, CASE WHEN mode = 'partitioned' THEN least(5, lo) + least(5, n - hi) ELSE 0 END AS halo FROM cuts WHERE hi > lo),
+    held AS (SELECT mode, nproc, rank, count(*) AS n_sensors, sum(own) AS n_rows, sum(halo) AS n_halo FROM parts GROUP BY mode, nproc, rank)"""
+_SIZES = "sizes AS (SELECT event_type AS sensor, count(*) AS n, row_number() OVER (ORDER BY event_type) - 1 AS nth FROM events GROUP BY event_type)"
+_LOADS = f"{_SIZES}, points AS (SELECT * FROM sizes, {_POINTS}), {_HELD}"
+_RUNS = "runs AS (SELECT mode, nproc, max(n_rows + n_halo)::DOUBLE AS top, max(n_rows)::DOUBLE AS elapsed_sec, sum(n_rows)::BIGINT AS total_rows FROM held GROUP BY mode, nproc)"
 _RAW = """raw AS (SELECT o_orderkey AS row_idx, o_orderkey::VARCHAR AS "Order Key", o_totalprice::VARCHAR AS "Total (USD)", o_orderpriority AS "Priority",
     CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE o_custkey::VARCHAR END AS "Customer" FROM orders), long AS (UNPIVOT raw ON "Order Key", "Total (USD)", "Priority", "Customer" INTO NAME "column" VALUE s)"""
 
@@ -368,11 +402,31 @@ SQL = {
     "header_normalize": "SELECT p_partkey, trim(regexp_replace(replace(lower(trim('  TC-' || p_partkey || ' ' || p_type || ' (°C) ')), '°', 'deg'), '[^a-z0-9]+', '_', 'g'), '_') AS header FROM part",
     "number_coercion": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN c_acctbal END AS value FROM customer",
     "dataset_summary": f"WITH {_SIGNALS} SELECT 'events' AS dataset_name, count(DISTINCT row_idx) AS n_rows, count(DISTINCT sensor) AS n_sensors, string_agg(DISTINCT sensor, ',' ORDER BY sensor) AS sensor_names, min(time) AS time_min, max(time) AS time_max FROM signals",
-    "benchmark_summary": f"""WITH t AS (SELECT *, list_min(all_times) AS elapsed_sec FROM {_VALUES}), s AS (SELECT elapsed_sec AS serial FROM t WHERE mode = 'serial' AND nproc = 1)
-        SELECT mode, nproc, elapsed_sec, len(all_times) AS repeat, list_avg(all_times) AS mean_elapsed_sec, list_max(all_times) AS max_elapsed_sec, serial / elapsed_sec AS speedup_vs_serial, serial / elapsed_sec / nproc AS parallel_efficiency FROM t, s""",
-    "weak_scaling_summary": f"""WITH t AS (SELECT *, list_min(all_times) AS elapsed_sec FROM {_VALUES}), b AS (SELECT *, first_value(elapsed_sec) OVER (PARTITION BY mode ORDER BY nproc) AS base FROM t)
-        SELECT mode, nproc, 125000 AS rows_per_rank, nproc * 125000 AS total_rows, elapsed_sec, base / elapsed_sec AS weak_scaling_efficiency, elapsed_sec / base AS normalized_elapsed FROM b""",
-    "timing_breakdown": f"""WITH t AS (SELECT mode, nproc, len(all_times) AS repeat, unnest(all_times) AS t FROM {_VALUES})
-        SELECT mode, nproc, repeat, 'compute_elapsed_sec' AS key, avg(t) AS mean, max(t) AS max FROM t GROUP BY ALL UNION ALL SELECT mode, nproc, repeat, 'load_elapsed_sec', avg(t / 10), max(t / 10) FROM t GROUP BY ALL""",
+    "benchmark_summary": f"""WITH {_LOADS}, {_RUNS}, s AS (SELECT elapsed_sec AS serial FROM runs WHERE mode = 'serial' AND nproc = 1)
+        SELECT mode, nproc, elapsed_sec, 2 AS repeat, (top + elapsed_sec) / 2 AS mean_elapsed_sec, top AS max_elapsed_sec, serial / elapsed_sec AS speedup_vs_serial, serial / elapsed_sec / nproc AS parallel_efficiency FROM runs, s""",
+    "weak_scaling_summary": f"""WITH {_SIZES}, points AS (SELECT 'partitioned' AS mode, nproc, sensor, n * nproc // 8 AS n, nth FROM sizes, (VALUES (1), (2), (4), (8)) AS p(nproc)), {_HELD}, {_RUNS},
+        b AS (SELECT *, first_value(elapsed_sec) OVER (PARTITION BY mode ORDER BY nproc) AS base FROM runs)
+        SELECT mode, nproc, total_rows / nproc AS rows_per_rank, total_rows, elapsed_sec, base / elapsed_sec AS weak_scaling_efficiency, elapsed_sec / base AS normalized_elapsed FROM b""",
+    "timing_breakdown": f"""WITH {_LOADS}, c AS (SELECT *, count(*) OVER (PARTITION BY mode, nproc) AS repeat FROM held)
+        SELECT mode, nproc, repeat, 'own_rows' AS key, avg(n_rows)::DOUBLE AS mean, max(n_rows)::DOUBLE AS max FROM c GROUP BY ALL UNION ALL SELECT mode, nproc, repeat, 'halo_rows', avg(n_halo)::DOUBLE, max(n_halo)::DOUBLE FROM c GROUP BY ALL""",
+    "rank_metrics": f"""WITH {_LOADS} SELECT max(n_rows + n_halo)::DOUBLE AS max_load_elapsed_sec, max(n_rows)::DOUBLE AS max_compute_elapsed_sec, min(n_sensors)::BIGINT AS min_n_sensors, max(n_sensors)::BIGINT AS max_n_sensors, avg(n_sensors) AS mean_n_sensors,
+        min(n_rows)::BIGINT AS min_n_rows, max(n_rows)::BIGINT AS max_n_rows, avg(n_rows) AS mean_n_rows, avg(n_halo) AS mean_halo_rows, max(n_rows)::DOUBLE / min(n_rows) AS compute_ratio FROM held WHERE mode = 'partitioned' AND nproc = 8""",
+    "pixel_columns": f"""WITH {_SIGNALS}, u AS (SELECT sensor, time, arg_min(value, row_idx) AS value FROM signals WHERE value IS NOT NULL AND time IS NOT NULL GROUP BY sensor, time),
+        e AS (SELECT sensor, min(time) AS t0, max(time) AS t1 FROM u GROUP BY sensor),
+        p AS (SELECT sensor, CASE WHEN t1 > t0 THEN least(floor((time - t0) / (t1 - t0) * 200), 199) ELSE 0 END::BIGINT AS pixel, time, value FROM u JOIN e USING (sensor))
+        SELECT sensor, pixel, count(*) AS n, min(time) AS first_time, max(time) AS last_time, arg_min(value, time) AS first_value, arg_max(value, time) AS last_value, min(value) AS least_value, max(value) AS greatest_value FROM p GROUP BY sensor, pixel""",
+    "dense_cubic": f"""WITH RECURSIVE {_FILLED}, knots AS (SELECT sensor, time AS t, value AS v, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY sensor) AS n, lead(time) OVER w - time AS h, (lead(value) OVER w - value) / (lead(time) OVER w - time) AS d
+            FROM samples WINDOW w AS (PARTITION BY sensor ORDER BY time)),
+        near AS (SELECT *, lag(h) OVER w AS hp, lag(d) OVER w AS dp, lead(h) OVER w AS hn, lead(d) OVER w AS dn, lag(h, 2) OVER w AS hq, lag(d, 2) OVER w AS dq FROM knots WINDOW w AS (PARTITION BY sensor ORDER BY i)),
+        eq AS (SELECT sensor, i, n, CASE WHEN i = 0 THEN 0 WHEN i = n - 1 THEN hp + hq ELSE h END AS low, CASE WHEN i = 0 THEN hn WHEN i = n - 1 THEN hq ELSE 2 * (hp + h) END AS mid, CASE WHEN i = 0 THEN h + hn WHEN i = n - 1 THEN 0 ELSE hp END AS high,
+            CASE WHEN i = 0 THEN ((h + 2 * (h + hn)) * hn * d + h * h * dn) / (h + hn) WHEN i = n - 1 THEN (hp * hp * dq + (2 * (hp + hq) + hp) * hq * dp) / (hp + hq) ELSE 3 * (h * dp + hp * d) END AS b FROM near),
+        down AS (SELECT sensor, i, n, mid, high, b FROM eq WHERE i = 0 UNION ALL
+            SELECT e.sensor, e.i, e.n, e.mid - e.low / f.mid * f.high, e.high, e.b - e.low / f.mid * f.b FROM down f JOIN eq e ON e.sensor = f.sensor AND e.i = f.i + 1),
+        up AS (SELECT sensor, i, b / mid AS s FROM down WHERE i = n - 1 UNION ALL SELECT f.sensor, f.i, (f.b - f.high * u.s) / f.mid FROM up u JOIN down f ON f.sensor = u.sensor AND f.i = u.i - 1),
+        arcs AS (SELECT k.sensor, k.t, k.v, k.h, a.s, z.s AS s2, y.v AS v2 FROM knots k JOIN up a ON a.sensor = k.sensor AND a.i = k.i JOIN up z ON z.sensor = k.sensor AND z.i = k.i + 1 JOIN knots y ON y.sensor = k.sensor AND y.i = k.i + 1),
+        ends AS (SELECT sensor, count(*) * 4 AS m, min(time) AS t0, max(time) AS t1 FROM samples GROUP BY sensor), ks AS (SELECT *, unnest(range(m)) AS k FROM ends),
+        grid AS (SELECT sensor, k, CASE WHEN k = m - 1 THEN t1 ELSE t0 + k * ((t1 - t0) / (m - 1)) END AS time FROM ks),
+        spots AS (SELECT g.sensor, g.k, g.time, (g.time - a.t) / a.h AS u, a.* EXCLUDE (sensor) FROM grid g ASOF JOIN arcs a ON a.sensor = g.sensor AND g.time >= a.t)
+        SELECT sensor, k, time, v * (1 + 2 * u) * (1 - u) * (1 - u) + h * s * u * (1 - u) * (1 - u) + v2 * u * u * (3 - 2 * u) + h * s2 * u * u * (u - 1) AS value FROM spots""",
 }
 SQL["dense_linear"] = SQL["dense_linear"].replace("FROM grid ASOF JOIN knots USING (sensor) WHERE FALSE", "FROM grid g ASOF JOIN knots n ON g.sensor = n.sensor AND g.time >= n.t").replace("SELECT sensor, k, time, coalesce", "SELECT g.sensor, k, time, coalesce")
