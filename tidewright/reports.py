@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright import files
+from tidewright import files, sinks
 from tidewright.functions import normalize_header
 
 #: Sentences of the summaries.
@@ -20,6 +20,10 @@ GROUP_BREAKOUT = " First group breakout occurs near {}."
 REPORT = ("# Steady-State Report", "", "This report is a practical interpretation of the cleaned signals.",
           "A sensor is marked as steady when it changes only slightly across a sustained time window.", "")
 
+#: Breakouts of a sensor's segments.
+TRANSITIONS = ("transform(filter(steady_segments, s -> s.breakout_time IS NOT NULL), s -> named_struct('time', s.breakout_time, 'from_state', 'steady', "
+               "'to_state', 'changing', 'after_segment_start', s.start_time, 'after_segment_end', s.end_time))")
+
 
 def seconds(t: float | None) -> str:
     return "n/a" if t is None else f"{t:.2f} s"
@@ -50,34 +54,60 @@ def _rows(df: DataFrame, key: str) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.orderBy(key).collect()]
 
 
+def _distinct(names: list[str]) -> list[str]:
+    """Names with a number where one has come before."""
+    seen: dict[str, int] = {}
+    out = []
+    for n in names:
+        seen[n] = seen.get(n, 0) + 1
+        out.append(n if seen[n] == 1 else f"{n}_{seen[n]}")
+    return out
+
+
+def _nested(segments: DataFrame, key: str) -> DataFrame:
+    """A key's segments in one row, in order."""
+    return segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[c for c in segments.columns if c != key]))).alias("_segments"))
+
+
+def _segments(segments: DataFrame, key: str) -> Column:
+    """Segments as ``_nested`` has them; an empty list where there are none."""
+    kinds = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in segments.schema if f.name != key)
+    return F.coalesce("_segments", F.expr(f"cast(array() AS array<struct<{kinds}>>)"))
+
+
 def write_steady(
     spark: SparkSession, folder: str, rollup: DataFrame, segments: DataFrame, limits: DataFrame, min_duration: float,
     group_rollup: DataFrame | None = None, group_segments: DataFrame | None = None, groups: dict[str, list[str]] | None = None,
 ) -> dict[str, str] | None:
-    """Steady-state JSON, CSV and Markdown; nothing without sensors. Returns the paths."""
+    """Steady-state JSON, CSV and Markdown; nothing without sensors. Returns the paths.
+
+    The driver has one row for each sensor and group; segments go from tasks to files, those of a sensor in one.
+    """
     rows = _rows(rollup, "sensor")
     if not rows:
         return None
     for r in rows:
         r["summary_text"] = sensor_text(r, min_duration)
         r.pop("n_valid", None)  # for the sentence only
-    listed = lambda df, key: {r[key]: r["s"] for r in df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != key]))).alias("s")).collect()}
-    found = {k: [s.asDict() for s in v] for k, v in listed(segments, "sensor").items()}
-    scale = {r["sensor"]: r.asDict() for r in limits.collect()}
-    per_sensor = [{"sensor": r["sensor"], "method": "steady_state_window", **{k: v for k, v in r.items() if k != "sensor"}, "thresholds": scale.get(r["sensor"], {}), "steady_segments": found.get(r["sensor"], []),
-                   "state_transitions": [{"time": s["breakout_time"], "from_state": "steady", "to_state": "changing", "after_segment_start": s["start_time"], "after_segment_end": s["end_time"]}
-                                         for s in found.get(r["sensor"], []) if s["breakout_time"] is not None]} for r in rows]
-    group_rows = []
+    out = {"steady_state_summary_json": f"{folder}/steady_state_summary.json", "steady_state_summary_csv": f"{folder}/steady_state_summary.csv", "steady_state_report_md": f"{folder}/steady_state_report.md"}
+    files.write_csv(spark, out["steady_state_summary_csv"], rows)
+    # Sentences and names are made here, a row for each sensor; what there are many of stays in the plan.
+    names = _distinct([normalize_header(r["sensor"]) for r in rows])
+    told = spark.createDataFrame([(k, r["sensor"], r["summary_text"], n) for k, (r, n) in enumerate(zip(rows, names, strict=True))], "row_idx long, sensor string, summary_text string, _name string")
+    x = rollup.drop("n_valid").join(told, "sensor").join(_nested(segments, "sensor"), "sensor", "left").join(limits.select("sensor", F.struct(*[c for c in limits.columns if c != "sensor"]).alias("thresholds")), "sensor", "left")
+    x = x.withColumns({"method": F.lit("steady_state_window"), "steady_segments": _segments(segments, "sensor"), "state_transitions": F.expr(TRANSITIONS)})
+    per_sensor = x.select("row_idx", "_name", "sensor", "method", *[c for c in rollup.columns if c not in ("sensor", "n_valid")], "summary_text", "thresholds", "steady_segments", "state_transitions")
+    group_rows, per_group = [], None
     if group_rollup is not None and groups:
-        parts = {k: [s.asDict() for s in v] for k, v in listed(group_segments, "group").items()}
         for r in _rows(group_rollup, "group"):
             group_rows.append({"group": r["group"], "members": ",".join(groups[r["group"]]), **{k: v for k, v in r.items() if k != "group"}, "summary_text": group_text(r, min_duration)})
-    out = {"steady_state_summary_json": f"{folder}/steady_state_summary.json", "steady_state_summary_csv": f"{folder}/steady_state_summary.csv", "steady_state_report_md": f"{folder}/steady_state_report.md"}
-    per_group = [r | {"members": groups[r["group"]], "steady_segments": parts.get(r["group"], [])} for r in group_rows] if group_rows else []
-    files.write_json(spark, out["steady_state_summary_json"], {"per_sensor": per_sensor, "per_group": per_group})
-    files.write_csv(spark, out["steady_state_summary_csv"], rows)
-    for r in per_sensor:
-        files.write_json(spark, f"{folder}/sensors/{normalize_header(r['sensor'])}_steady_state.json", r)
+    if group_rows:
+        told = spark.createDataFrame([(k, r["group"], groups[r["group"]], r["summary_text"]) for k, r in enumerate(group_rows)], "row_idx long, group string, members array<string>, summary_text string")
+        per_group = group_rollup.join(told, "group").join(_nested(group_segments, "group"), "group", "left").withColumn("steady_segments", _segments(group_segments, "group"))
+        per_group = per_group.select("row_idx", "group", "members", *[c for c in group_rollup.columns if c != "group"], "summary_text", "steady_segments")
+    sinks.write_lists(spark, out["steady_state_summary_json"], {"per_sensor": per_sensor.drop("_name"), "per_group": per_group})
+    content = F.to_json(F.struct(*[c for c in per_sensor.columns if c not in ("row_idx", "_name")]), {"ignoreNullFields": "false"})
+    sinks.write_each(per_sensor.select(F.col("_name").alias("name"), content.alias("content")), f"{folder}/sensors", "_steady_state.json")
     lines = list(REPORT)
     if group_rows:
         out["steady_state_groups_summary_csv"] = files.write_csv(spark, f"{folder}/steady_state_groups_summary.csv", group_rows)

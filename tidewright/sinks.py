@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import os
 from collections.abc import Iterable
 from xml.sax.saxutils import escape
@@ -86,6 +87,46 @@ def _pour(spark: SparkSession, out, pieces: Iterable[bytes | str]) -> None:
             source.close()
 
 
+def _objects(df: DataFrame) -> list[str]:
+    """Files with the rows of ``df`` as JSON objects, a comma before each but the first."""
+    row = F.to_json(F.struct(*[F.col(quoted(c)) for c in df.columns if c != "row_idx"]), {"ignoreNullFields": "false"})
+    x = _ranked(with_rows(df))
+    return _parts(x.select("row_idx", F.concat(F.when(F.col("nth") == 0, F.lit(" ")).otherwise(F.lit(",")), row).alias("line")), df.sparkSession)
+
+
+def _written(spark: SparkSession, path: str, pieces: Iterable[bytes | str]) -> str:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        _pour(spark, out, pieces)
+    finally:
+        out.close()
+    return path
+
+
+def write_lists(spark: SparkSession, path: str, lists: dict[str, DataFrame | None]) -> str:
+    """One JSON object with a list of objects for each table, rows by row_idx; none is an empty list."""
+    pieces: list[bytes | str] = []
+    for k, (name, df) in enumerate(lists.items()):
+        pieces += [("{" if k == 0 else ",").encode(), f"{json.dumps(name)}: [\n".encode(), *(_objects(df) if df is not None else []), b"]"]
+    return _written(spark, path, [*pieces, b"}\n"])
+
+
+def write_each(df: DataFrame, folder: str, suffix: str) -> list[str]:
+    """A file for each row of ``df`` (name, content), written by tasks; names are different and few enough to list."""
+    spark = df.sparkSession
+    parts = f"{files.scratch_folder(spark)}/each"
+    df.select("name", "content").write.partitionBy("name").text(parts)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for part in files.names(spark, f"{parts}/name=*/part-*"):
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(part.rsplit("/", 2)[1].removeprefix("name="))
+        out.append(f"{folder}/{name}{suffix}")
+        source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (part, out[-1]))
+        jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, True, True, conf)
+    return sorted(out)
+
+
 def write_file(df: DataFrame, path: str, sheet: str = "Sheet1", around: tuple[str, str] = ("", "")) -> str:
     """Writes one file in the format of its suffix, rows by row_idx (or else as they are read), and returns its path.
 
@@ -123,20 +164,12 @@ def write_file(df: DataFrame, path: str, sheet: str = "Sheet1", around: tuple[st
         finally:
             out.close()
         return path
+    if suffix == ".json":
+        return _written(spark, path, [(around[0] + "[\n").encode(), *_objects(x), f"]{around[1]}\n".encode()])
     if suffix == ".csv":
         line, first = F.to_csv(row, {"nullValue": "", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}), io.StringIO()
         csv.writer(first, lineterminator="\n").writerow(names)
         head, tail = first.getvalue(), ""
     else:
         line, head, tail = F.to_json(row, {"ignoreNullFields": "false"}), "", ""
-        if suffix == ".json":
-            x = _ranked(x)
-            line = F.concat(F.when(F.col("nth") == 0, F.lit(" ")).otherwise(F.lit(",")), line)
-            head, tail = around[0] + "[\n", "]" + around[1] + "\n"
-    parts = _parts(x.select("row_idx", line.alias("line")), spark)
-    out = fs.create(target, True)
-    try:
-        _pour(spark, out, [head.encode(), *parts, tail.encode()])
-    finally:
-        out.close()
-    return path
+    return _written(spark, path, [head.encode(), *_parts(x.select("row_idx", line.alias("line")), spark), tail.encode()])

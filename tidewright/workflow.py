@@ -15,7 +15,7 @@ from tidewright.config import Config
 from tidewright.operators import resample, schema, scaling, signals, spikes, steady
 from tidewright.sources import csv_encoding, csv_rows, lvm, read_table, xlsx
 
-#: Rows of a bucket in partitioned mode.
+#: Rows of a bucket.
 BUCKET_ROWS = 100_000
 
 
@@ -39,13 +39,13 @@ def inspect(spark: SparkSession, path: str, config: Config | None = None, sheet:
 
 
 def clean(data: DataFrame, config: Config | None = None, mode: str = "serial") -> DataFrame:
-    """Cleaned signals. serial and replicated: whole sensors; partitioned: buckets of rows. All give the same rows."""
+    """Cleaned signals. replicated: whole sensors; serial and partitioned: buckets of rows. All give the same rows."""
     if mode not in scaling.MODES:
         raise ValueError(f"unknown mode: {mode}")
     config = config or Config()
     if mode == "replicated":
         data = data.repartition("sensor")
-    return spikes.clean(data, config.cleaning, BUCKET_ROWS if mode == "partitioned" else None)
+    return spikes.clean(data, config.cleaning, None if mode == "replicated" else BUCKET_ROWS)
 
 
 def steady_tables(data: DataFrame, config: Config, value: str = "value") -> dict:
