@@ -2,7 +2,8 @@
 
 Null texts count as empty ones and null sources as a source of their own; rows with a null doc_id are
 documents like others; empty tables give empty results; further columns pass through all stages but the
-last.
+last. Texts are taken whole, whatever their length; ties go by doc_id, then by the rows' other columns, so
+that reruns keep the same rows.
 """
 
 from __future__ import annotations
@@ -36,12 +37,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near-duplicates, by 5-word shingles at a similarity of 0.8.
 
     The one with the smallest doc_id stays, with all its texts if it has several; of rows that are equal in
-    doc_id and text one stays. Rows with a null doc_id are told apart by their text.
+    doc_id and text one stays, the first by its other columns. Rows with a null doc_id are told apart by their text.
     """
     row = F.struct(*docs.columns).alias("row")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("text"), "text")).alias("doc_id"), "text", row)
     kept = odd_sketch.near_duplicates(spark, rows.select("doc_id", "text"), n_words=5, percent=80).where("kept")
-    first = rows.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    rest = F.to_json(F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != "text"]))
+    first = rows.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by("row", rest).alias("row"))
     return first.select("row.*")
 
 

@@ -210,3 +210,19 @@ def test_trees_and_ranks(spark):
     chain = spark.createDataFrame([("w", k, k - 1 if k else None, "user", str(k), 0.0) for k in range(41)], df.schema)
     row = reply_trees.format_trees(spark, chain).first()
     assert [t for _, t in reply_trees.read_back(row["formatted"])] == [str(k) for k in range(41)] and row["loss"] == []
+
+
+@pytest.mark.parametrize("backwards", [False, True])
+def test_rows_that_share_a_vec_id_keep_the_links_of_each(spark, backwards):
+    r = np.random.default_rng(5)
+    rows, near = [], []
+    for k in range(20):
+        for side in range(2):
+            v = r.normal(size=16)
+            rows.append((k, v.tolist(), 1))
+            rows.append((100 + 2 * k + side, (v + 0.001 * r.normal(size=16)).tolist(), 1))
+            near.append(100 + 2 * k + side)
+    df = spark.createDataFrame(rows[::-1] if backwards else rows, "vec_id long, embedding array<double>, label int").coalesce(1)
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in lattice.near_duplicates(spark, df).collect()}
+    assert {i: got[i] for i in near} == {i: (1, (i - 100) // 2) for i in near}
+    assert {k: got[k] for k in range(20)} == {k: (2, k) for k in range(20)}

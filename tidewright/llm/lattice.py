@@ -191,21 +191,21 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.98
     Vectors of one label are linked where their cosine, in double precision, is at least ``least``.
     Vectors that are null, empty or zero, or hold null or non-finite components, and those with a null
     label or vec_id, have no links; a null vec_id has a null component and is kept. Vectors of different
-    lengths are not compared. Equal rows are one vector; equal vectors are carried by their smallest
-    vec_id and count as links of each other. Empty tables give empty results; further columns are ignored.
+    lengths are not compared. Equal rows are one vector; equal vectors count as links of each other. Rows
+    that share a vec_id are one vector with several values: it has the links of each, and connects what
+    they are linked with. Vectors are of any length. Empty tables give empty results; further columns are ignored.
     """
     scratch = Scratch(spark, "lattice")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), v.alias("v"))
-    # Equal rows, and rows that share a vec_id, are told apart by no more than vector and label.
     rows = rows.where(valid("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    classes = rows.groupBy("label", "v").agg(F.min("vec_id").alias("id"))
+    # Equal vectors of a label are a class; its number is its own, whatever vec_ids it has, and fixed by the table.
+    classes = rows.groupBy("label", "v").agg(F.min("vec_id").alias("least")).withColumn("id", F.monotonically_increasing_id())
     classes = scratch.keep(classes, "classes")
     member = scratch.keep(rows.join(classes, ["label", "v"]).select("vec_id", "id").distinct(), "members")
     sizes = member.groupBy("id").agg(F.count("*").alias("copies"))
-    reps = classes.join(sizes, "id").select("id", "label", F.size("v").alias("dim"), "copies", "v")
-    reps = scratch.keep(reps.dropDuplicates(["id"]), "reps")
+    reps = scratch.keep(classes.join(sizes, "id").select("id", "least", "label", F.size("v").alias("dim"), "copies", "v"), "reps")
 
     spots = scratch.keep(_cells_of(reps, seed, parts), "cells")
     full = spots.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("home").alias("home")).where("lo <> hi and home")
@@ -214,12 +214,16 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = 0.98
     scratch.drop(spots)
     light = reps.select("id", "copies", "v")
     links = _compare(met.join(light, "id"), least, parts, "key")
-    found = connected_components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
+    # Classes that share a vec_id are reached through it.
+    shared = member.groupBy("vec_id").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    shared = member.join(shared, "vec_id").where("id <> b").select(F.col("id").alias("a"), "b")
+    found = connected_components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).union(shared), scratch)
     found = scratch.keep(found, "components")
     counts = _compare(found.join(light, "id"), least, parts, "component_id").groupBy("id").agg(F.sum("n").alias("n"))
-    by = reps.select("id", "copies").join(found, "id", "left").join(counts, "id", "left")
-    by = scratch.keep(by.select("id", F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "by-class")
-    linked = member.join(by, "id").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    by = reps.select("id", "least", "copies").join(found, "id", "left").join(counts, "id", "left")
+    by = scratch.keep(by.select("id", "least", F.coalesce("component_id", "id").alias("group"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "by-class")
+    by = by.join(by.groupBy("group").agg(F.min("least").alias("component_id")), "group")
+    linked = member.join(by.select("id", "n_links", "component_id"), "id").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     ids = ids.where("vec_id is not null").distinct().union(ids.where("vec_id is null"))
     out = ids.join(linked, "vec_id", "left")
