@@ -281,6 +281,46 @@ def test_license_scan(spark):
     assert license_scan.scan(spark, docs_of(spark, []))[1].count() == 0
 
 
+def brute_spans(words, text, base):
+    """(first word, words, cover) of a template's merged spans, hit by hit."""
+    t = text.split()
+    grams = [tuple(t[k:k + license_scan.GRAM]) for k in range(len(t) - license_scan.GRAM + 1)]
+    hits = sorted((p - q, q) for p in range(len(words)) for q, g in enumerate(grams) if tuple(words[p:p + license_scan.GRAM]) == g)
+    runs = []
+    for d, q in hits:
+        if runs and d - runs[-1][-1][0] <= (0 if base else license_scan.GAP):
+            runs[-1].append((d, q))
+        else:
+            runs.append([(d, q)])
+    out = []
+    for run in runs:
+        first, last = min(d + q for d, q in run), max(d + q for d, q in run)
+        cover, n = len({q for _, q in run}) / len(grams), last - first + license_scan.GRAM
+        if cover == 1 if base else cover >= license_scan.COVER and n <= license_scan.STRETCH * len(t):
+            out.append((first, n, round(cover, 9)))
+    return out
+
+
+def test_license_texts_of_any_length_match_brute_force(spark):
+    r = random.Random(9)
+    mit, bsd = (max((t for label, t in license_scan.NOTICES if label == name), key=len) for name in ("mit", "bsd"))
+    rows = []
+    for k in range(12):
+        w = ("pre " * k + r.choice([mit, bsd]) + " post").split()
+        for _ in range(4 * k):
+            i = r.randrange(len(w))
+            w[i:i + 1] = r.choice([[], ["changed"], [w[i], "more"]])
+        rows.append((k, " ".join(w).title()))
+    phrases = (("long", " ".join(f"w{k}" for k in range(130))),)
+    rows.append((50, "x " + phrases[0][1] + " " + phrases[0][1]))
+    spans = license_scan.scan(spark, docs_of(spark, rows), phrases)[0]
+    got = sorted((s["doc_id"], s["label"], s["first_word"], s["words"], round(s["cover"], 9)) for s in spans.collect())
+    want = sorted((i, label, *x) for i, t in rows for label, text, base in [(*p, True) for p in phrases] + [(*n, False) for n in license_scan.NOTICES]
+                  for x in brute_spans(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(ASCII)), text, base))
+    assert got == want
+    assert {len(t.split()) > 150 for t in (mit, bsd)} == {True} and sum(n > 150 for _, _, _, n, _ in got) >= 6 and [g[2] for g in got if g[1] == "long"] == [1, 131]
+
+
 def goals(sizes, weights):
     """Targets by sharing again and again."""
     names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
