@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright import files, reports, workflow
+from tidewright import files, reports, sinks, workflow
 from tidewright.config import Cleaning, Config
 from tidewright.functions import number
 from tidewright.operators import resample, steady
@@ -76,8 +76,8 @@ def curve_files(spark, sf_dir):
 
 def inspected_columns(spark, sf_dir):
     """What inspection tells of a CSV file of events: its columns, their roles and its rows."""
-    path = f"{files.scratch_folder(spark)}/events.csv"
-    events(spark, sf_dir).select(F.col("event_id").alias("Elapsed Time"), "value", "event_type").write.option("header", True).csv(path)
+    rows = events(spark, sf_dir).select(F.col("event_id").alias("Elapsed Time"), "value", "event_type", F.col("event_id").alias("row_idx"))
+    path = sinks.write_file(rows, f"{files.scratch_folder(spark)}/events.csv")
     got = workflow.inspect(spark, path)
     m = got["schema_mapping"]
     rows = [(c, c == m["time_column"]["original_name"], c in m["sensor_columns"], got["encoding"]) for c in got["columns"]]
