@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _fs(spark: SparkSession, path: str):
@@ -55,6 +55,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/files-{uuid.uuid4().hex[:12]}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to a new folder and read back, for what several jobs read."""
+    path = f"{scratch_folder(df.sparkSession)}/kept"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _fs(spark, path)
     f = fs.open(p)

@@ -49,17 +49,17 @@ def clean(data: DataFrame, config: Config | None = None, mode: str = "serial") -
 
 
 def steady_tables(data: DataFrame, config: Config, value: str = "value") -> dict:
-    """mask, segments, rollup, limits, and the same of the groups."""
+    """mask, segments, rollup, limits, and the same of the groups. Mask, segments and counts are written once."""
     c = config.steady_state
-    mask = steady.steady_mask(data, c, value)
-    segments = steady.steady_segments(mask, c.duration)
-    counts = steady.sample_counts(data, value)
-    out = {"mask": mask, "segments": segments, "rollup": steady.rollup(segments, counts).join(counts.select("sensor", "n_valid"), "sensor"), "limits": steady.thresholds(signals.valid_samples(data, value), c)}
+    mask = files.kept(steady.steady_mask(data, c, value))
+    segments = files.kept(steady.steady_segments(mask, c.duration))
+    counts = files.kept(steady.sample_counts(data, value))
+    out = {"mask": mask, "segments": segments, "rollup": steady.rollup(segments, counts).join(counts.select("sensor", "n_valid"), "sensor"), "limits": files.kept(steady.thresholds(signals.valid_samples(data, value), c))}
     names = [r[0] for r in counts.select("sensor").collect()]
     groups = steady.resolve_groups(c.groups, names)
     if groups:
-        gmask = steady.group_mask(mask, groups)
-        parts = steady.group_segments(gmask, c.duration)
+        gmask = files.kept(steady.group_mask(mask, groups))
+        parts = files.kept(steady.group_segments(gmask, c.duration))
         gcounts = gmask.groupBy("group").agg(F.count("*").alias("n_samples"))
         out |= {"groups": groups, "group_segments": parts, "group_rollup": steady.rollup(parts, gcounts, "group")}
     return out
