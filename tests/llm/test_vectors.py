@@ -226,3 +226,51 @@ def test_rows_that_share_a_vec_id_keep_the_links_of_each(spark, backwards):
     got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in lattice.near_duplicates(spark, df).collect()}
     assert {i: got[i] for i in near} == {i: (1, (i - 100) // 2) for i in near}
     assert {k: got[k] for k in range(20)} == {k: (2, k) for k in range(20)}
+
+
+def test_shared_lengths():
+    rng = np.random.default_rng(5)
+    code = np.sort(np.concatenate([rng.integers(0, 1 << prefix_forest.BITS, 300), np.repeat(rng.integers(0, 1 << prefix_forest.BITS, 4), 9)]))
+    asks = np.concatenate([rng.integers(0, 1 << prefix_forest.BITS, 50), code[::7]])
+    for n in (1, 5, 21):
+        level, edge = prefix_forest.shared_lengths(code, asks, n)
+        want = [sorted((prefix_forest.BITS - int(a ^ c).bit_length() for c in code.tolist()), reverse=True)[n - 1] for a in asks.tolist()]
+        assert (level <= want).all() and (level[~edge] == np.array(want)[~edge]).all() and not edge.all()
+    level, edge = prefix_forest.shared_lengths(code[:0], asks, 3)
+    assert not level.any() and edge.all()
+
+
+def test_descents_do_not_depend_on_ranges(spark):
+    rng = np.random.default_rng(8)
+    u = unit(rng, 400, 16) * rng.uniform(0.5, 2, (400, 1))
+    u[50:90] = u[50]  # equal strings: a range may end among them
+    top = float(np.linalg.norm(u, axis=1).max()) * (1 + 1e-9)
+    rows = spark.createDataFrame([(k, 16, v.tolist()) for k, v in enumerate(u)], "id long, dim int, v array<double>")
+    asks = rows.where("id % 3 = 0")
+    got = {r["id"]: r["level"] for r in prefix_forest._descend(rows, asks, {16: top}, 5, 0, 40, Scratch(spark, "t")).collect()}
+    x = u / top
+    code = prefix_forest.strings(np.column_stack([x, np.sqrt(np.maximum(1 - (x * x).sum(axis=1), 0))]), 0)
+    ask = prefix_forest.strings(np.column_stack([u / np.linalg.norm(u, axis=1, keepdims=True), np.zeros(400)]), 0)
+    held = {q: [sorted((prefix_forest.BITS - int(a ^ c).bit_length() for c in code[:, t].tolist()), reverse=True)[4] for t, a in enumerate(ask[q].tolist())] for q in range(0, 400, 3)}
+    assert got == {q: sorted(x, reverse=True)[prefix_forest.TREES // 2 - 1] for q, x in held.items()}
+
+
+@pytest.mark.parametrize("noise, share", [((0.1, 0.2), 0.1), ((0.2, 0.5), 0.4)])
+def test_recall_and_rows_seen(spark, noise, share):
+    """The nearer a query's neighbours are, the fewer rows it is compared with, counted in every tree."""
+    rng = np.random.default_rng(21)
+    n, dim = 20_000, 32
+    centres = unit(rng, n // 40, dim)
+    w = unit(rng, n, dim)
+    u = np.repeat(centres, 40, axis=0)
+    u = (u + rng.uniform(*noise, (n, 1)) * w) * rng.uniform(0.9, 1, (n, 1))
+    u = u.astype(np.float32)
+    data = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(u)], "vec_id long, embedding array<float>")
+    got = prefix_forest.nearest(spark, data, data.where("vec_id % 100 = 0"), 20).toPandas()
+    scores = u[::100].astype(float) @ u.astype(float).T
+    scores[np.arange(200), np.arange(0, n, 100)] = -np.inf
+    last = np.sort(scores, axis=1)[:, -20]
+    hits = sum((g.score >= last[q // 100] - 1e-9).sum() for q, g in got.groupby("query_id"))
+    assert len(got) == 4000 and hits / 4000 >= 0.9
+    seen = got.groupby("query_id").seen.first()
+    assert len(seen) == 200 and seen.sum() < 200 * n * share
