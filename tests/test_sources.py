@@ -3,7 +3,7 @@ import zipfile
 
 import pytest
 
-from tidewright import cache, synth, workflow
+from tidewright import cache, studies, synth, workflow
 from tidewright.__main__ import main
 from tidewright.config import Config, Schema
 from tidewright.functions import normalize_header
@@ -148,7 +148,7 @@ def test_scaling_summaries(spark):
     loads = spark.createDataFrame([(0.1, 2.0, 3, 10, 1), (0.3, 1.0, 2, 12, 2), (0.2, 0.0, 2, 8, 0)], "load_sec double, compute_sec double, n_sensors int, n_rows int, n_halo int")
     m = scaling.work_metrics(loads).first()
     assert m["compute_ratio"] == 2.0 and m["max_load_elapsed_sec"] == 0.3 and m["mean_halo_rows"] == 1.0
-    study = workflow.scaling_study(spark, lambda mode, n: {"timing_breakdown": {"compute": 1.0}}, [("serial", 1), ("partitioned", 2)], 2)
+    study = studies.scaling_study(spark, lambda mode, n: {"timing_breakdown": {"compute": 1.0}}, [("serial", 1), ("partitioned", 2)], 2)
     assert scaling.benchmark_summary(study).count() == 2
     wide = scaling.wide_metrics(scaling.metric_summary(study.selectExpr("mode", "nproc", "explode(breakdowns) as metrics")), ["compute"])
     assert [r["max_compute"] for r in wide.collect()] == [1.0, 1.0]

@@ -1,4 +1,4 @@
-"""Command line: inspect, cache-build, clean, characterize, synth, workflow. Prints JSON."""
+"""Command line: inspect, cache-build, clean, characterize, synth, workflow, weak-scaling. Prints JSON."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from tidewright import cache, files, reports, synth, workflow
-from tidewright.config import load_config
+from tidewright import cache, files, reports, studies, synth, workflow
+from tidewright.config import Config, load_config
 from tidewright.operators import resample
 
 
@@ -45,7 +45,20 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--modes", nargs="+")
     a.add_argument("--characterize", action="store_true")
     a.add_argument("--skip-inspect", action="store_true")
+    a.add_argument("--skip-clean-runs", action="store_true")
+    a.add_argument("--process-counts", nargs="+", type=int)
+    a.add_argument("--repeat", type=int)
+    timed = a.add_mutually_exclusive_group()
+    timed.add_argument("--benchmark", dest="benchmark", action="store_true", default=None)
+    timed.add_argument("--skip-benchmark", dest="benchmark", action="store_false")
     a.add_argument("--steady-window-seconds", type=float)
+    a = sub.add_parser("weak-scaling")
+    a.add_argument("--out", required=True)
+    a.add_argument("--rows-per-rank", type=int, required=True)
+    a.add_argument("--process-counts", nargs="+", type=int, required=True)
+    a.add_argument("--modes", nargs="+", choices=["serial", "replicated", "partitioned"], default=["serial", "replicated", "partitioned"])
+    a.add_argument("--sensors", type=int, default=8)
+    a.add_argument("--repeat", type=int, default=3)
     return p
 
 
@@ -54,8 +67,18 @@ def main(argv: list[str] | None = None) -> dict:
     spark = SparkSession.builder.appName("tidewright").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     config = load_config(args.config).with_window(getattr(args, "steady_window_seconds", None))
     session = cache.new_session(config.analysis_dir)
-    if args.command in ("cache-build", "clean", "characterize"):  # the others write nothing there, or have one of their own
+    if args.command not in ("cache-build", "clean", "characterize", "workflow"):  # these write nothing there
+        out = run(spark, args, config, session)
+    else:
         files.describe_session(spark, session, args.command, sys.argv[1:] if argv is None else argv)
+        with files.session_log(spark, session):
+            out = run(spark, args, config, session)
+    print(json.dumps(out, indent=2, default=str))
+    return out
+
+
+def run(spark: SparkSession, args: argparse.Namespace, config: Config, session: str) -> dict:
+    """What a command does; its results, or where they are."""
     if args.command == "inspect":
         out = {"files": [workflow.inspect(spark, p, config) for p in args.inputs]}
     elif args.command == "cache-build":
@@ -70,9 +93,12 @@ def main(argv: list[str] | None = None) -> dict:
     elif args.command == "synth":
         df = synth.table(spark, args.rows, args.sensors, args.spike_fraction, args.seed, args.noise_sigma, args.time_mode, args.header_style, args.include_junk_columns, args.flat_fraction, args.dropout_fraction)
         out = {"path": synth.write(df, args.out, args.format)}
+    elif args.command == "weak-scaling":
+        out = studies.write_weak_study(spark, studies.weak_study(spark, args.out, args.rows_per_rank, args.process_counts, config, args.modes, args.repeat, args.sensors), args.out)
     else:
-        out = workflow.run_workflow(spark, args.input, config, args.cache_dir, args.sheet_name, tuple(args.modes) if args.modes else None, args.characterize, not args.skip_inspect)
-    print(json.dumps(out, indent=2, default=str))
+        out = workflow.run_workflow(
+            spark, args.input, config, args.cache_dir, args.sheet_name, tuple(args.modes) if args.modes else None, args.characterize, not args.skip_inspect,
+            not args.skip_clean_runs, args.benchmark, tuple(args.process_counts) if args.process_counts else None, args.repeat, session)
     return out
 
 

@@ -63,6 +63,9 @@ class Config:
     allow_index_time_fallback: bool = True
     analysis_dir: str = "analysis"
     modes: tuple[str, ...] = ("serial", "replicated", "partitioned")
+    process_counts: tuple[int, ...] = (1, 2, 4, 8)
+    repeat: int = 3
+    benchmark: bool = False
 
     @classmethod
     def of(cls, raw: dict[str, Any] | None) -> Config:
@@ -79,6 +82,15 @@ class Config:
         modes = (raw.get("execution") or {}).get("default_modes") or raw.get("modes")
         if modes:
             made["modes"] = tuple(modes)
+        study = raw.get("benchmark") or {}
+        # As ``asdict`` gives it, or as a settings file has it.
+        study = study if isinstance(study, dict) else {"enabled_by_default": study}
+        study = {k: raw[k] for k in ("process_counts", "repeat") if k in raw} | study
+        if study.get("process_counts"):
+            made["process_counts"] = tuple(int(n) for n in study["process_counts"])
+        if study.get("repeat") is not None:
+            made["repeat"] = int(study["repeat"])
+        made["benchmark"] = bool(study.get("enabled_by_default"))
         return cls(**made)
 
     def with_window(self, seconds: float | None) -> Config:

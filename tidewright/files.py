@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import datetime
 import hashlib
 import io
 import json
+import logging
 import platform
 import tempfile
 import uuid
@@ -118,3 +120,24 @@ def describe_session(spark: SparkSession, session: str, command: str, argv: list
         "paths": {"session_dir": session, **{f"{k}_dir": f"{session}/{k}" for k in ("logs", "outputs", "plots", "cache")}}}
     write_json(spark, f"{session}/session_metadata.json", meta)
     return meta
+
+
+@contextlib.contextmanager
+def session_log(spark: SparkSession, session: str):
+    """What this package logs meanwhile, from INFO up, goes to ``logs/session.log``; a failure's trace too."""
+    log, text = logging.getLogger("tidewright"), io.StringIO()
+    handler, before = logging.StreamHandler(text), log.level
+    handler.setFormatter(logging.Formatter("%(asctime)s | %(levelname)s | %(name)s | %(message)s"))
+    log.addHandler(handler)
+    log.setLevel(logging.INFO)
+    try:
+        log.info("session %s", session.rstrip("/").rsplit("/", 1)[-1])
+        yield
+        log.info("done")
+    except Exception:
+        log.exception("failed")
+        raise
+    finally:
+        log.removeHandler(handler)
+        log.setLevel(before)
+        write_text(spark, f"{session}/logs/session.log", text.getvalue())

@@ -36,7 +36,7 @@ def benchmark_summary(runs: DataFrame) -> DataFrame:
 
 def weak_scaling_summary(runs: DataFrame) -> DataFrame:
     """Efficiency against the least process count of each mode."""
-    base = F.first("elapsed_sec").over(Window.partitionBy("mode").orderBy("nproc"))
+    base = F.first("elapsed_sec").over(Window.partitionBy("mode").orderBy("nproc", "total_rows"))
     return runs.select("mode", "nproc", "rows_per_rank", "total_rows", "elapsed_sec", (base / F.nullif("elapsed_sec", F.lit(0.0))).alias("weak_scaling_efficiency"), (F.col("elapsed_sec") / F.nullif(base, F.lit(0.0))).alias("normalized_elapsed"))
 
 
@@ -94,3 +94,10 @@ def work_runs(held: DataFrame) -> DataFrame:
     """Runs (mode, nproc, all_times, elapsed_sec) whose times are rows: the busiest rank's, with its halo and without."""
     x = held.groupBy("mode", "nproc").agg(F.array(F.max(F.col("n_rows") + F.col("n_halo")).cast("double"), F.max("n_rows").cast("double")).alias("all_times"))
     return elapsed(x)
+
+
+def work_shares(held: DataFrame) -> DataFrame:
+    """(mode, nproc, ranks, least, most and mean n_sensors and n_rows, mean_n_halo, row_ratio) of ``loads``."""
+    return held.groupBy("mode", "nproc").agg(
+        F.count("*").alias("ranks"), *[f(c).alias(f"{n}_{c}") for c in ("n_sensors", "n_rows") for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))],
+        F.avg("n_halo").alias("mean_n_halo"), (F.max("n_rows") / F.nullif(F.min("n_rows"), F.lit(0))).alias("row_ratio"))

@@ -1,16 +1,15 @@
-"""From a file to results: inspection, cache, cleaning, curves, steady states, reports, scaling studies."""
+"""From a file to results: inspection, cache, cleaning, curves, steady states, reports; studies on request."""
 
 from __future__ import annotations
 
 import os
 import time
-from collections.abc import Callable
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright import cache, files, reports
+from tidewright import cache, files, reports, studies
 from tidewright.config import Config
 from tidewright.operators import resample, schema, scaling, signals, spikes, steady
 from tidewright.sources import csv_encoding, csv_rows, lvm, read_table, xlsx
@@ -88,44 +87,27 @@ def run_clean(spark: SparkSession, cache_dir: str, folder: str, config: Config |
     return out
 
 
-def run_workflow(spark: SparkSession, path: str | None = None, config: Config | None = None, cache_dir: str | None = None, sheet: str | None = None, modes: tuple[str, ...] | None = None, characterize: bool = False, inspect_first: bool = True) -> dict:
-    """Inspect a file, find or build its cache, and clean it in each mode; writes workflow_report.json."""
+def run_workflow(spark: SparkSession, path: str | None = None, config: Config | None = None, cache_dir: str | None = None, sheet: str | None = None, modes: tuple[str, ...] | None = None, characterize: bool = False, inspect_first: bool = True,
+                 runs: bool = True, benchmark: bool | None = None, counts: tuple[int, ...] | None = None, repeat: int | None = None, session: str | None = None) -> dict:
+    """Inspect a file, find or build its cache, clean it in each mode, and time that; writes workflow_report.json.
+
+    ``benchmark``, ``counts`` and ``repeat`` are the settings' where they are not given.
+    """
     config = config or Config()
     if path is None and cache_dir is None:
         raise ValueError("workflow needs an input file or a cache")
-    session = cache.new_session(config.analysis_dir)
-    files.describe_session(spark, session, "workflow", [])
+    if session is None:
+        session = cache.new_session(config.analysis_dir)
+        files.describe_session(spark, session, "workflow", [])
     report: dict = {"session_dir": session, "config": asdict(config)}
     if path is not None and inspect_first:
         report["inspect"] = inspect(spark, path, config, sheet)
     if cache_dir is None:
         report["cache"] = cache.ensure_cache(spark, config.analysis_dir, path, config, sheet, session)
         cache_dir = report["cache"]["cache_dir"]
-    report["runs"] = [run_clean(spark, cache_dir, f"{session}/outputs/{m}", config, m, characterize) for m in modes or config.modes]
+    report["runs"] = [run_clean(spark, cache_dir, f"{session}/outputs/{m}", config, m, characterize) for m in modes or config.modes] if runs else []
+    if config.benchmark if benchmark is None else benchmark:
+        study = studies.clean_study(spark, cache_dir, config, modes or config.modes, counts or config.process_counts, config.repeat if repeat is None else repeat)
+        report["benchmark"] = studies.write_study(spark, *study, f"{session}/outputs/benchmark")
     report["workflow_report_json"] = files.write_json(spark, f"{session}/workflow_report.json", report)
     return report
-
-
-def scaling_study(spark: SparkSession, run: Callable[[str, int], dict], points: list[tuple[str, int]], repeat: int = 3) -> DataFrame:
-    """Times ``run(mode, n)`` at each point; a row for each: mode, nproc, all_times, elapsed_sec, metrics of each run."""
-    rows = []
-    for mode, n in points:
-        times, metrics = [], []
-        for _ in range(repeat):
-            began = time.time()
-            got = run(mode, n)
-            times.append(time.time() - began)
-            metrics.append({k: float(v) for k, v in (got.get("timing_breakdown") or {}).items()})
-        rows.append((mode, n, times, metrics))
-    x = spark.createDataFrame(rows, "mode string, nproc int, all_times array<double>, breakdowns array<map<string,double>>")
-    return scaling.elapsed(x)
-
-
-def write_study(spark: SparkSession, study: DataFrame, folder: str) -> dict[str, str]:
-    """Summary and breakdown CSV of a study (a row for each point)."""
-    rows = [r.asDict() for r in scaling.benchmark_summary(study).collect()]
-    parts = scaling.metric_summary(study.select("mode", "nproc", F.explode("breakdowns").alias("metrics")))
-    by_point: dict[tuple, dict] = {}
-    for r in parts.orderBy(scaling.mode_order(), "nproc", "key").collect():
-        by_point.setdefault((r["mode"], r["nproc"]), {"mode": r["mode"], "nproc": r["nproc"], "repeat": r["repeat"]}).update({f"mean_{r['key']}": r["mean"], f"max_{r['key']}": r["max"]})
-    return {"benchmark_summary_csv": files.write_csv(spark, f"{folder}/benchmark_summary.csv", rows), "timing_breakdown_csv": files.write_csv(spark, f"{folder}/timing_breakdown.csv", list(by_point.values()))}
