@@ -365,6 +365,34 @@ def test_mixing(spark):
     assert mixing.mix_counts(spark, docs_of(spark, [])).count() == 0 and mixing.mix_documents(spark, docs_of(spark, [])).count() == 0
 
 
+def test_shards_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    monkeypatch.setattr(mixing, "SHARD", 32)
+    r = random.Random(9)
+    rows = [(k % 70 if k % 9 else None, prose(r, r.randrange(0, 60)) or None) for k in range(90)] + [(900, prose(r, 1500)), (901, None), (902, " "), (903, "lone"), (903, "lone")]
+    sources = [r.choice(["a", "a", "b", "Z", None, ""]) if k < 90 else "b" for k in range(len(rows))]
+    docs = docs_of(spark, rows, sources).withColumns({x: F.lit(7) for x in ("words", "parts", "twin", "again", "place", "block", "shard")})
+    got = mixing.mix_blocks(spark, docs).toPandas()
+    counts = mixing.mix_counts(spark, docs).toPandas()
+    assert got.n_words.sum() == counts.taken.sum() and [len(t.split(" ")) for t in got.text] == list(got.n_words) and got.n_words.max() == 16
+    assert all(sorted(g.place) == list(range(len(g))) for _, g in got.groupby("shard")) and got.shard.nunique() > 3
+    assert not got.duplicated(["source", "block", "pass"]).any()
+    names = lambda s: None if s is None or s != s else s
+    for source, g in got.groupby(got.source.map(lambda s: repr(names(s)))):
+        g = g.drop_duplicates("block").sort_values("block")
+        assert (g.n_words[:-1] == 16).all()
+        own = [(t or "").split() for (_, t), s in zip(rows, sources, strict=True) if repr(s) == source]
+        if len(g) == -(-sum(map(len, own)) // 16):  # every block was drawn: their words in order are the documents, each whole
+            said = " " + " ".join(g.text) + " "
+            assert Counter(said.split()) == Counter(w for t in own for w in t) and all(" " + " ".join(t) + " " in said for t in own if t)
+    inside = got.explode("doc_ids").query("doc_ids == 900")
+    assert set(inside.shard) and len(set(inside.shard)) == counts[counts.doc_id == 900].shards.iloc[0]
+    again = mixing.mix_blocks(spark, docs.repartition(5)).toPandas()
+    key = ["shard", "place", "block", "pass", "n_words", "text"]
+    assert sorted(map(tuple, got[key].values)) == sorted(map(tuple, again[key].values))
+    assert mixing.mix_blocks(spark, docs_of(spark, [])).count() == 0
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 1000):
         s = spark.createDataFrame([("a", 3, n, 2 * n, 5)], "skey string, rank long, n_blocks long, n_slots long, shards long")

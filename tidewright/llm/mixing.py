@@ -169,6 +169,39 @@ def mix_documents(spark: SparkSession, docs: DataFrame, percent: int = 150, weig
     return y.select(*[v.alias(c) for c, v in own.items()])
 
 
+def mix_blocks(spark: SparkSession, docs: DataFrame, percent: int = 150, weights: tuple[int, ...] = (3, 1, 2), repeat: int = 2, seed: int = 0) -> DataFrame:
+    """The output shards of the mix, a row for each slot: shard, place, source, block, pass, n_words, doc_ids, text.
+
+    A shard's slots stand in a pseudorandom order of all sources, at places from 0. A block's text is its words
+    joined by single spaces, doc_ids their documents in order (null where the row has none); a source's last
+    block may be shorter than BLOCK. Each pass over a source has a block once. A null source stays null. Cases
+    are those of ``mix_counts``; very long texts are split into words once; ties and repeated rows have a place each.
+    """
+    scratch = Scratch(spark, "mixing")
+    mark = F.xxhash64("doc_id", "text", "source").alias("again")
+    slim = docs.select("doc_id", "text", "source", mark)
+    rows, drawn = placed(spark, slim, scratch, percent, weights, repeat, seed)
+    drawn = scratch.keep(drawn, "drawn")
+    rows = rows.withColumn("twin", F.row_number().over(Window.partitionBy("again").orderBy("skey", "bucket", "nth")))
+    wanted = drawn.select("skey", "block").distinct().hint("merge")
+    x = pieces(rows).where("block is not null").join(wanted, ["skey", "block"], "left_semi")
+    x = x.groupBy("again", "twin").agg(F.collect_list(F.struct("skey", "block", "at", "first", "words")).alias("parts"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark).withColumn("twin", F.row_number().over(Window.partitionBy("again").orderBy("doc_id")))
+    # Unfolding an array of one keeps Spark from splitting the text again for each part.
+    words = F.explode(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("words")
+    x = texts.join(x.hint("merge"), ["again", "twin"]).select("doc_id", "parts", words)
+    cut = "transform(parts, p -> named_struct('skey', p.skey, 'block', p.block, 'at', p.at, 'n', p.words, 'text', concat_ws(' ', slice(words, cast(p.first + 1 as int), cast(p.words as int)))))"
+    x = x.select("doc_id", F.explode(F.expr(cut)).alias("p"))
+    # Words of a source have one document each, so a block has at most BLOCK parts.
+    x = x.groupBy(F.col("p.skey").alias("skey"), F.col("p.block").alias("block")).agg(
+        F.sum("p.n").alias("n_words"), F.array_sort(F.collect_list(F.struct("p.at", "doc_id", "p.text"))).alias("parts"))
+    x = drawn.join(x.hint("merge"), ["skey", "block"])
+    order = Window.partitionBy("shard").orderBy(F.xxhash64("skey", "block", "pass", F.lit(seed)), "skey", "block", "pass")
+    return x.select(
+        "shard", (F.row_number().over(order) - 1).alias("place"), F.when(F.col("skey") != "", F.expr("substring(skey, 2)")).alias("source"), "block", "pass", "n_words",
+        F.col("parts.doc_id").alias("doc_ids"), F.concat_ws(" ", F.col("parts.text")).alias("text"))
+
+
 def counts_sql(percent: int = 150, weights: tuple[int, ...] = (3, 1, 2), repeat: int = 2, seed: int = 0) -> str:
     """DuckDB SQL over ``documents`` for the rows of ``mix_counts``."""
     other = f"((({draw('r', '17', 'key')} % n_blocks) - x + n_blocks) % n_blocks)"
