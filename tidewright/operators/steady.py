@@ -19,7 +19,7 @@ BUCKET_WINDOWS = 1024
 
 
 def thresholds(samples: DataFrame, config: Steady) -> DataFrame:
-    """(sensor, n_samples, signal_scale, max_change, max_std, slope_tol) of valid samples."""
+    """(sensor, n_samples, signal_scale, max_change, max_std, slope_tol) of all rows of ``samples``."""
     scale = F.greatest(F.stddev_pop("value"), (F.max("value") - F.min("value")) / 6, F.lit(1e-12))
     x = samples.groupBy("sensor").agg(F.count("*").alias("n_samples"), scale.alias("signal_scale"))
     fixed = lambda v, e: F.lit(float(v)) if v is not None else e
