@@ -104,3 +104,17 @@ def test_jobs_do_not_depend_on_segments(spark, tmp_path):
 
     # Spark's jobs vary with what it broadcasts.
     assert abs(jobs(300) - jobs(3)) < 10
+
+
+def test_segments_are_numbered_by_blocks_and_lines_cut_once(spark, tmp_path):
+    p = tmp_path / "long.lvm"
+    body = [x for k in range(3) for x in ("Channels\t1", f"X0\t{k}", "Delta_X\t1", "X_Columns\tNo", "***End_of_Header***", "", f"X_Value\tA\tN{k % 2}", "\t5", "", "\t6\tx\ty\t")]
+    p.write_text("\n".join(LINES[:7] + body), encoding="utf-8")
+    got = lvm.parsed(spark, str(p))
+    # No window over segments, and no line is read again for what is asked of heads or rows.
+    for df in (got.heads, got.rows):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "split(" not in plan
+    assert got.columns == ["X_Value", "A", "N0", "N1"]
+    assert [(r["row_idx"], *r["cells"]) for r in got.rows.orderBy("row_idx").collect()] == [
+        (0, "0.0", "5", None, None), (1, "1.0", "6", "x.y.", None), (2, "1.0", "5", None, None), (3, "2.0", "6", None, "x.y."), (4, "2.0", "5", None, None), (5, "3.0", "6", "x.y.", None)]
