@@ -24,9 +24,9 @@ WINDOW, END = 2048, 1
 #: Salts that split the ranking of equal lengths.
 SALTS = 128
 #: Distinct words and word bodies whose ids a worker remembers (about 150 bytes each).
-MEMORY = 250_000
+MEMORY = 600_000
 #: Bytes of the texts that are looked up at once; a longer text is looked up by itself.
-AT_ONCE = 2_000_000
+AT_ONCE = 8_000_000
 #: Marks that end many words; a run of them after a letter is a part of its own for the tokenizer.
 TAIL = ".,!?|;:"
 BREAK = "<|startoftext|>"
@@ -90,10 +90,14 @@ class WordIds:
         parts = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
         words = parts.flatten().dictionary_encode()
         distinct, known = words.dictionary.to_pylist(), self.known
-        more = self.learn([w for w in distinct if w not in known])
+        found = list(map(known.get, distinct))
+        at = [k for k, x in enumerate(found) if x is None]
+        more = self.learn([distinct[k] for k in at])
+        for k in at:
+            found[k] = more[distinct[k]]
         if len(known) + len(more) <= MEMORY:
             known.update(more)
-        ids = pa.array([more[w] if w in more else known[w] for w in distinct], pa.large_binary()).take(words.indices)
+        ids = pa.array(found, pa.large_binary()).take(words.indices)
         ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
         at, raw = ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()].tolist(), ids.buffers()[2]
         return [raw[lo:hi].to_pybytes() if hi > lo else b"" for lo, hi in zip(at[:-1], at[1:], strict=True)]
