@@ -1,5 +1,6 @@
 """Operators on documents against brute force on small tables with odd rows."""
 
+import glob
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -480,6 +482,32 @@ def test_suffix_tree_matches_a_tree_of_dictionaries(spark):
     assert got[300] > 2 * sum(np.log10(root(w)) for w in said[300]) / 3
 
 
+def test_suffix_tree_in_parts(spark, monkeypatch):
+    """Rounds that take slabs by parts and pairs by ranges of keys give whole rounds' scores, and hardly keep a slab twice."""
+    r = random.Random(8)
+    rows = [(k, prose(r, 50)) for k in range(150)]
+    rows += [(300 + k, rows[k][1]) for k in range(40)]
+    docs = docs_of(spark, rows).repartition(12)
+    kept, tables = [], []
+
+    class Watched(suffix_tree.Scratch):
+        def keep(self, df, name, by=None):
+            out = super().keep(df, name, by)
+            tables.append(name)
+            kept.append(sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{self.root}/*-slabs/**/*.parquet", recursive=True)))
+            return out
+
+    monkeypatch.setattr(suffix_tree, "Scratch", Watched)
+    scores = lambda: sorted(tuple(x) for x in suffix_tree.score(spark, docs).collect())
+    whole, n = scores(), kept[0]
+    assert n >= 8 and max(kept) == 2 * n
+    monkeypatch.setattr(suffix_tree, "MANY", 0)
+    kept.clear(), tables.clear()
+    assert scores() == whole
+    assert kept[0] == n and max(kept) <= n + -(-n // suffix_tree.PARTS) + 1
+    assert tables[:8] == ["slabs", "answers"] + ["slabs"] * 6 and tables[8:10] == ["answers"] * suffix_tree.RANGES
+
+
 def test_sums_of_slabs():
     """A round's keys come back in order with the sums of all slabs, whatever their buckets."""
     r, model = random.Random(3), (48,)

@@ -53,6 +53,13 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def one(self, df: DataFrame, by: str, value: int) -> DataFrame:
+        """The rows of one value of the column ``by`` that ``df`` was kept by, a table that can be dropped alone."""
+        path = f"{df._scratch_path}/{by}={value}"
+        out = self.spark.read.schema(df.drop(by).schema).parquet(path)
+        out._scratch_path = path
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no plan reads any more."""
         if path := getattr(df, "_scratch_path", None):

@@ -13,6 +13,8 @@ say about keys (words, contexts with what follows them, contexts): each slab han
 with its own sums, keys are dealt to buckets by hash, and each slab gets back the whole sums of the
 keys that it has named. A hot word is one key of each slab, and a bucket holds about ASKS keys. Depth by
 depth one round counts, and one adds up savings in whole units, so that sums don't depend on their order.
+On disk a round keeps little besides the slabs and the sums for them: the first rounds take on the slabs part by part,
+each in the place of what it was before, and ask for pairs of words range of keys by range.
 Words and contexts are hashes of up to 64 bits, as many as the number
 of tokens asks for.
 """
@@ -20,6 +22,7 @@ of tokens asks for.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,12 @@ from tidewright.llm.common import U64, Scratch, lower_ascii, mix64, prefix_hash,
 
 #: Tokens of a slab (a longer document is a slab of its own) and keys of a bucket, about; the fewest buckets.
 TOKENS, ASKS, BUCKETS = 1 << 19, 1 << 19, 64
+#: Parts of the slabs and ranges of the keys of pairs that a round takes one by one; with fewer tokens than MANY it takes all at once.
+PARTS, RANGES, MANY = 6, 2, 1 << 24
 #: Weight of the suffix in smoothing; units of a nat; bits that a key has beyond those that number the tokens.
 WEIGHT, UNITS, SPARE = 1.0, 1 << 20, 20
 
+_SLAB = "slab long, state binary, active long"
 _END = np.zeros(1, U64)
 _MULTIPLIER, _FOLLOWS = U64(0xD1342543DE82EF95), U64(0x6C62272E07BB0142)
 
@@ -71,10 +77,12 @@ def _tokens(column):
 
 
 def slabs(docs: DataFrame) -> DataFrame:
-    """(slab, state, active): documents (doc_id, text, train) as slabs of tokens."""
+    """(slab, state, active, part): documents (doc_id, text, train) as slabs of tokens."""
+
+    parts = PARTS
 
     def run(batches):
-        base, made = TaskContext.get().partitionId() << 32, 0
+        task, made = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
 
         def row():
@@ -89,7 +97,7 @@ def slabs(docs: DataFrame) -> DataFrame:
             back[order] = np.arange(len(order), dtype=np.uint32)
             words, stream = words[order], back[stream]
             state = pack({"ids": ids, "null": null, "train": train, "size": size.astype(np.int64), "words": words, "stream": stream})
-            return pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([state], pa.binary()), pa.array([len(word)], pa.int64())], names=["slab", "state", "active"])
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + made], pa.int64()), pa.array([state], pa.binary()), pa.array([len(word)], pa.int64()), pa.array([(task + made) % parts], pa.int32())], names=["slab", "state", "active", "part"])
 
         n = 0
         for batch in batches:
@@ -106,7 +114,7 @@ def slabs(docs: DataFrame) -> DataFrame:
         if held:
             yield row()
 
-    return docs.mapInArrow(run, "slab long, state binary, active long")
+    return docs.mapInArrow(run, f"{_SLAB}, part int")
 
 
 def _lookup(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +137,7 @@ class Slab:
     Steps: words, pairs of words, savings of words, and then counts and savings for each further depth.
     ``ask`` gives a step's keys, in ascending order, the slab's own sums, and where a token that is held out
     wants them; ``take`` takes the whole sums of those keys and whether any slab's tokens want them, and
-    goes on to the next step. ``model`` has the bits of a key, and from the second step
+    goes on to the next step. Pairs can be asked for range by range of all keys. ``model`` has the bits of a key, and from the second step
     on the number of training tokens, the share of unknown words and the nats that naming a symbol costs.
     """
 
@@ -168,7 +176,7 @@ class Slab:
     def _add(self, doc: np.ndarray, values: np.ndarray) -> None:
         self.has["score"] = self.has["score"] + np.bincount(doc, values, len(self.has["size"]))
 
-    def ask(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def ask(self, range_: int = 0, ranges: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.active:
             return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, bool)
         if self.step == 0:
@@ -176,11 +184,20 @@ class Slab:
             return keys, *_told(where[self.has["stream"]], len(keys), self.train)
         if self.step == 1:
             at = self._firsts()[2]
-            keys, where = _lookup(self._pairs(at))
+            pairs = self._pairs(at)
+            if ranges > 1:
+                mine = _shares(pairs, self.model, ranges) == range_
+                at, pairs = at[mine], pairs[mine]
+            keys, where = _lookup(pairs)
             return keys, *_told(where, len(keys), self.train[at])
+        if self.step == 2:
+            at = self._firsts()[0]
+            keys, where = self._first_contexts()
+            return keys, self._saved(len(keys), where[self.has["stream"][at - 1]], *self._first_shares(at), self.train[at]), np.zeros(len(keys), bool)
         if self.step % 2 == 0:  # savings
-            keys = self._first_contexts()[0] if self.step == 2 else _lookup(self._context(self.has["at"].astype(np.int64), self.step // 2) >> self.shift)[0]
-            return keys, self.has["saved"], np.zeros(len(keys), bool)
+            keys, where = _lookup(self._context(self.has["at"].astype(np.int64), self.step // 2) >> self.shift)
+            saved = self._saved(len(keys), where, self.has["total"], self.has["n"], self.has["lp"].astype(float), self.has["train"][self.has["of"]])
+            return keys, saved, np.zeros(len(keys), bool)
         return self._counts(self.has["at"].astype(np.int64), self.has["train"][self.has["of"]], (self.step + 1) // 2)[:3]
 
     def take(self, sums: np.ndarray, wanted: np.ndarray) -> None:
@@ -234,8 +251,6 @@ class Slab:
         want = np.zeros(len(n), bool)
         n[asked], want[asked] = sums[where], wanted[where]
         self.has |= {"n": n, "want2": want}
-        keys, where = self._first_contexts()
-        self._save(len(keys), where[self.has["stream"][at - 1]], *self._first_shares(at), self.train[at])
 
     def _first_contexts(self):
         """Keys of the words that occur twice, and the place among them of each word."""
@@ -248,11 +263,11 @@ class Slab:
         stream, c = self.has["stream"], self.has["c"]
         return c[stream[at - 1]], self.has["n"], self._roots()[stream[at]]
 
-    def _save(self, n_keys, where, total, n, lp, train):
-        """Keep what the training tokens of each context save over its suffix, less the costs of symbols, in whole units."""
+    def _saved(self, n_keys, where, total, n, lp, train):
+        """What the training tokens of each context save over its suffix, less the costs of symbols, in whole units."""
         n = n[train]
         each = np.rint((np.log(n / total[train]) - lp[train] - self.model[3] / n) * UNITS)
-        self.has["saved"] = _sums(where[train], n_keys, each)
+        return _sums(where[train], n_keys, each)
 
     def _take_first_savings(self, sums, wanted):
         at = self._firsts()[0]
@@ -266,7 +281,7 @@ class Slab:
         twice = np.zeros(len(stream), bool)
         twice[at] = n >= 2
         want = self.has.pop("want2")
-        for name in ("c", "n", "want", "saved"):
+        for name in ("c", "n", "want"):
             del self.has[name]
         self._deepen(at, doc[at], total, n, want, lp, sums[where] >= 0, twice, 1)
 
@@ -316,27 +331,29 @@ class Slab:
         m = total >= 2
         self._add(doc[~m], self.has["lp"][~m].astype(float))
         self.has |= {"total": total[m], "n": n[m], "want": want[m], **{k: self.has[k][m] for k in ("at", "of", "lp")}}
-        keys, where = _lookup(self._context(at[m], self.step // 2 + 1) >> self.shift)
-        self._save(len(keys), where, total[m], n[m], self.has["lp"].astype(float), self.has["train"][doc[m]])
 
     def _take_savings(self, sums, wanted):
         at, depth = self.has["at"].astype(np.int64), self.step // 2
-        del self.has["saved"]
         where = _lookup(self._context(at, depth) >> self.shift)[1]
         twice = np.unpackbits(self.has["twice"], count=len(self.has["stream"])).view(bool)
         self._deepen(at, self.has["of"], self.has.pop("total"), self.has.pop("n"), self.has["want"], self.has["lp"].astype(float), sums[where] >= 0, twice, depth)
 
 
-def _asked(model: tuple, buckets: int):
-    """(slab, bucket, asks): what each slab asks each bucket; buckets are ranges of keys."""
+def _shares(keys: np.ndarray, model: tuple, n: int) -> np.ndarray:
+    """Which of ``n`` equal ranges each key is in."""
+    return ((keys >> U64(model[0] - 32)) * U64(n)) >> U64(32)
+
+
+def _asked(model: tuple, buckets: int, range_: int = 0, ranges: int = 1):
+    """(slab, bucket, asks): what each slab asks each bucket; buckets are ranges of keys, as many in each of ``ranges``."""
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 slab = Slab(batch.column("state")[k].as_py(), model)
-                keys, values, wants = slab.ask()
+                keys, values, wants = slab.ask(range_, ranges)
                 signs = np.array([slab.step > 0 and slab.step % 2 == 0])
-                bucket = ((keys >> U64(model[0] - 32)) * U64(buckets)) >> U64(32)
+                bucket = _shares(keys, model, buckets)
                 at = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U64))
                 some = np.flatnonzero(at[1:] > at[:-1])
                 # Differences of ascending keys: a part of a key's bytes.
@@ -388,25 +405,40 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(spark, "suffix-tree")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (~_held_out()).alias("train"))
-    now = scratch.keep(slabs(docs), "slabs")
-    active = now.agg(F.sum("active")).first()[0] or 0
+    first = scratch.keep(slabs(docs), "slabs", by="part")
+    sizes = {x["part"]: x["n"] for x in first.groupBy("part").agg(F.sum("active").alias("n")).collect()}
+    now = {part: scratch.one(first, "part", part) for part in sorted(sizes)} or {None: first}
+    active = sum(sizes.values())
     # Keys have so many bits that one in 2**SPARE is taken for another at most.
     model: tuple = (min(64, max(40, active.bit_length() + SPARE)),)
-    total = distinct = 0
+    total = distinct = step = 0
     while active:
-        buckets = max(BUCKETS, -(-active // ASKS))
-        asks = now.where("active > 0").select("slab", "state").mapInArrow(_asked(model, buckets), "slab long, bucket int, asks binary")
-        answers = asks.groupBy("bucket").applyInArrow(_sum_up, "slab long, bucket int, sums binary, total long, distinct long, once long")
-        answers = scratch.keep(answers, "answers")
+        ranges = RANGES if step == 1 and active >= MANY else 1
+        buckets = -(-max(BUCKETS, -(-active // ASKS)) // ranges) * ranges
+        every = reduce(DataFrame.union, now.values())
+        told = []
+        for k in range(ranges):
+            asks = every.where("active > 0").select("slab", "state").mapInArrow(_asked(model, buckets, k, ranges), "slab long, bucket int, asks binary")
+            answers = asks.groupBy("bucket").applyInArrow(_sum_up, "slab long, bucket int, sums binary, total long, distinct long, once long")
+            told.append(scratch.keep(answers, "answers"))
+        answers = reduce(DataFrame.union, told)
         if len(model) == 1:
             total, distinct, once = (int(x or 0) for x in answers.agg(F.sum("total"), F.sum("distinct"), F.sum("once")).first())
             model = (model[0], max(total, 1), min(max(once, 1) / (max(total, 1) + 1), 0.5), float(np.log(max(distinct, 2))))
-        after = now.select("slab", "state").groupBy("slab").cogroup(answers.select("slab", "bucket", "sums").groupBy("slab"))
-        after = scratch.keep(after.applyInArrow(_advanced(model), "slab long, state binary, active long"), "slabs")
-        scratch.drop(now)
-        scratch.drop(answers)
+        sums = answers.select("slab", "bucket", "sums")
+        # A part of the slabs goes once the same part of the next ones is there.
+        after = {}
+        for part, old in (now if active >= MANY else {None: every}).items():
+            of = sums if part is None else sums.where((F.shiftright("slab", 32) + F.col("slab").bitwiseAND((1 << 32) - 1)) % PARTS == part)
+            new = old.select("slab", "state").groupBy("slab").cogroup(of.groupBy("slab")).applyInArrow(_advanced(model), _SLAB)
+            after[part] = scratch.keep(new, "slabs")
+            for table in now.values() if part is None else [old]:
+                scratch.drop(table)
+        for table in told:
+            scratch.drop(table)
         now = after
-        active = now.agg(F.sum("active")).first()[0] or 0
+        active = reduce(DataFrame.union, now.values()).agg(F.sum("active")).first()[0] or 0
+        step += 1
 
     def rows(batches):
         for batch in batches:
@@ -416,7 +448,7 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
                     [pa.array(s["ids"], mask=s["null"]), pa.array(~s["train"]), pa.array(s["size"]), pa.array(s["known"]), pa.array(s["base"]), pa.array(s["score"])],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
-    out = now.select("state").mapInArrow(rows, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    out = reduce(DataFrame.union, now.values()).select("state").mapInArrow(rows, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     log10 = float(np.log(10))
     base = F.col("base") / log10 - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") / log10).alias("score"))
